@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillstone.llm import chat_format, pseudonyms
+
+QUERIES = {
+    "op6_pseudonyms": pseudonyms.op6_pseudonyms,
+    "op7_chat_format": chat_format.op7_chat_format,
+}
+ORACLE_SQL = {"op7_chat_format": chat_format.OP7_SQL}
