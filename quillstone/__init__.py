@@ -1 +1,8 @@
 """Document, link-graph and corpus analytics expressed as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code along, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
