@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat_format, pseudonyms
+from quillstone.llm import chat_format, pieces, pseudonyms, token_counts
 
 QUERIES = {
     "op6_pseudonyms": pseudonyms.op6_pseudonyms,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op10_pieces": pieces.op10_pieces,
     "op7_chat_format": chat_format.op7_chat_format,
 }
 ORACLE_SQL = {"op7_chat_format": chat_format.OP7_SQL}
