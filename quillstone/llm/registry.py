@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat_format, pieces, pseudonyms, quality_rules, token_counts
+from quillstone.llm import chat_format, language_id, pieces, pseudonyms, quality_rules, token_counts
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op6_pseudonyms": pseudonyms.op6_pseudonyms,
     "op8_token_counts": token_counts.op8_token_counts,
