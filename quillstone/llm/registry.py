@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat_format, language_id, pieces, pseudonyms, quality_rules, token_counts
+from quillstone.llm import chat_format, language_id, pieces, pseudonyms, quality_classifier, quality_rules, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op6_pseudonyms": pseudonyms.op6_pseudonyms,
     "op8_token_counts": token_counts.op8_token_counts,
