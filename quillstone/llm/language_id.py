@@ -44,7 +44,7 @@ TRIGRAMS = 4096
 #: Documents that a machine learns each side from.
 PER_CLASS = 1000
 HELD_OUT_FOLDS = 5
-BATCH_BYTES, BATCH_TEXTS = 16_000_000, 1024
+BATCH_BYTES, BATCH_TEXTS = 2_000_000, 512
 
 FOLDED = np.arange(256, dtype=np.int64)
 FOLDED[65:91] += 32

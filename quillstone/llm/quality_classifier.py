@@ -30,7 +30,7 @@ FEATURES, SEED, PENALTY, BINS, FOLDS = 256, 20240229, 1e-3, 512, 3
 BANDWIDTH = 4.0
 #: Standardised statistics are cut off at so many standard deviations.
 CUT = 4.0
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 2_000_000
 STATISTICS = 20
 
 
