@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat_format, language_id, pieces, pseudonyms, quality_classifier, quality_rules, simhash, token_counts
+from quillstone.llm import chat_format, decontaminate, language_id, pieces, pseudonyms, quality_classifier, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
