@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat_format, decontaminate, language_id, pieces, pseudonyms, quality_classifier, quality_rules, simhash, token_counts
+from quillstone.llm import chat_format, decontaminate, language_id, pieces, pseudonyms, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pseudonyms": pseudonyms.op6_pseudonyms,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_pieces": pieces.op10_pieces,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op7_chat_format": chat_format.op7_chat_format,
 }
 ORACLE_SQL = {"op7_chat_format": chat_format.OP7_SQL}
