@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, read, utf8_buffer
+from quillstone.llm.common import Scratch, free_names, read, utf8_buffer
 from quillstone.llm.spans import SpanHashes, byte_table, owners, runs
 from quillstone.llm.token_counts import batches
 
@@ -193,5 +193,6 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, with their columns."""
     done = judged(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))
-    gone = done.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
+    id_, hash_ = free_names(docs, "gone_id", "gone_hash")
+    gone = done.where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, read, utf8_buffer
+from quillstone.llm.common import Scratch, free_names, read, utf8_buffer
 from quillstone.llm.token_counts import batches
 
 # Languages of a family. Any other language is a family of its own.
@@ -149,8 +149,10 @@ def choose(x: np.ndarray, names: list[str], level: str, machines: dict) -> tuple
 def predict(docs: DataFrame, langs: list[str], machines: dict, columns: list[str]) -> DataFrame:
     """The columns asked for with lang_pred and score, from text alone."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, machines))
-    docs = docs.select(*dict.fromkeys([*columns, "text"])).withColumn("__has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + ["lang_pred string", "score double"])
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
+    has_letter, *own = free_names(docs, "has_letter", "lang_pred", "score")
+    docs = docs.withColumn(has_letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"{own[0]} string", f"{own[1]} double"])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, machines = shared.value
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, langs: list[str], machines: dict, columns: list[str
         families = sorted(of)
         for b in tables:
             for at, part in small_batches(b.column("text")):
-                letter = b.column("__has_letter").slice(at, len(part)).to_numpy(zero_copy_only=False) & bool(langs)
+                letter = b.column(has_letter).slice(at, len(part)).to_numpy(zero_copy_only=False) & bool(langs)
                 named, least = np.full(len(part), "und", object), np.full(len(part), -np.inf)
                 if langs:
                     x = features(part)
@@ -172,7 +174,7 @@ def predict(docs: DataFrame, langs: list[str], machines: dict, columns: list[str
                             named[rows], least[rows] = np.array(of[f], object)[best], np.minimum(margin[rows], inner)
                 score = np.where(letter, 1 / (1 + np.exp(-4 * least)), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(at, len(part)) for c in columns), pa.array(np.where(letter, named, "und"), pa.string()), pa.array(score)], [*columns, "lang_pred", "score"]
+                    [*(b.column(c).slice(at, len(part)) for c in columns), pa.array(np.where(letter, named, "und"), pa.string()), pa.array(score)], [*columns, *own]
                 )
 
     return docs.mapInArrow(run, schema)

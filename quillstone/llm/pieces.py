@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillstone.llm.common import read
+from quillstone.llm.common import free_names, read
 from quillstone.llm.token_counts import batches
 
 MARK = "▁"
@@ -95,8 +96,9 @@ class Codec:
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """docs with ids array<int> and decoded string."""
-    schema = docs.schema.add("ids", "array<int>").add("decoded", "string")
+    """docs with ids array<int> and decoded string (with an underscore in front, where the name is taken)."""
+    own = free_names(docs, "ids", "decoded")
+    schema = StructType([*docs.schema.fields, StructField(own[0], ArrayType(IntegerType())), StructField(own[1], StringType())])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
@@ -104,7 +106,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             for at, part in batches(b.column("text"), BATCH_BYTES):
                 ids = codec.encode(part)
                 rest = b.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*rest.columns, ids, pa.array(codec.decode(ids), pa.string())], [*b.schema.names, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, ids, pa.array(codec.decode(ids), pa.string())], [*b.schema.names, *own])
 
     return docs.mapInArrow(run, schema)
 
@@ -136,3 +138,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and decoded of each document."""
+    import public_tokenizers
+
+    done = encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

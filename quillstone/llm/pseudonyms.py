@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import read
+from quillstone.llm.common import free_names, read
 
 #: Stands in for the secret that a deployment passes.
 DEMO_KEY = "quillstone-demonstration-key"
@@ -218,16 +218,17 @@ def pseudonym(kind: Column, s: Column, key: str, restore: bool) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, restore: bool = False) -> DataFrame:
-    """docs with its text pseudonymised, plus pii_kinds: the array of the kinds replaced, one for each occurrence.
+    """docs with its text pseudonymised, plus pii_kinds (in place of a column of that name): the kinds replaced, one for each occurrence.
 
     The text is cut at the matches; gaps and new values are joined again, so nothing else in it changes.
     """
-    found = docs.withColumn("pii_matches", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    found = found.withColumn("pii_kinds", F.transform("pii_matches", kind_of))
-    pairs = F.zip_with("pii_kinds", "pii_matches", lambda k, s: pseudonym(k, s, key, restore))
+    matches = free_names(docs, "pii_matches")[0]
+    found = docs.withColumn(matches, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = found.withColumn("pii_kinds", F.transform(matches, kind_of))
+    pairs = F.zip_with("pii_kinds", matches, lambda k, s: pseudonym(k, s, key, restore))
     gaps = F.split("text", PATTERN)
-    text = F.when(F.size("pii_matches") > 0, F.array_join(F.zip_with(gaps, F.concat(pairs, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")).otherwise(F.col("text"))
-    out = found.withColumn("text", text).withColumn("pii_kinds", F.coalesce(F.filter("pii_kinds", lambda k: k.isNotNull()), F.array().cast("array<string>"))).drop("pii_matches")
+    text = F.when(F.size(matches) > 0, F.array_join(F.zip_with(gaps, F.concat(pairs, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")).otherwise(F.col("text"))
+    out = found.withColumn("text", text).withColumn("pii_kinds", F.coalesce(F.filter("pii_kinds", lambda k: k.isNotNull()), F.array().cast("array<string>"))).drop(matches)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -235,3 +236,8 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [(F.size("pii_kinds") - F.size(F.array_remove(F.col("pii_kinds"), kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_pii"), *counts)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its columns, its text pseudonymised and n_chars to match."""
+    return pseudonymise(docs).select(*docs.columns)

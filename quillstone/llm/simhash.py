@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, read
+from quillstone.llm.common import Scratch, free_names, read
 from quillstone.llm.components import local_roots, star_forest
 from quillstone.llm.token_counts import batches
 
@@ -206,5 +206,5 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component, once, with its columns."""
     done = near_duplicates(docs, Scratch(spark, "simhash"))
-    kept = done.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = done.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(free_names(docs, "kept_id")[0])).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept.columns[0])), "left_semi").dropDuplicates(["doc_id"])

@@ -116,11 +116,11 @@ def encode_misses(misses: DataFrame, path: str, digest: str) -> DataFrame:
 
 
 def count_with_cache(docs: DataFrame, path: str, cache_path: str) -> DataFrame:
-    """docs(doc_id, text) with n_bytes and n_tokens; what the cache at cache_path lacked is appended to it."""
+    """doc_id, n_bytes, n_tokens of docs(doc_id, text); what the cache at cache_path lacked is appended to it."""
     spark = docs.sparkSession
     digest = tokenizer_digest(path)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"n_bytes": F.octet_length(text).cast("long"), "content_digest": F.unhex(F.sha2(text, 256))})
+    keyed = docs.select("doc_id", "text").withColumns({"n_bytes": F.octet_length(text).cast("long"), "content_digest": F.unhex(F.sha2(text, 256))})
     try:
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
         known = cache.where(F.col("tokenizer_digest") == digest).select("content_digest").distinct()
