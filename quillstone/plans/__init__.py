@@ -1 +1,4 @@
-"""See README.md for what lives here."""
+"""Registered queries over the driver tables."""
+
+from quillstone.plans import registry  # noqa: F401
+from quillstone.plans import graph_queries, search_queries, table_queries, task_queries, view_queries  # noqa: F401
