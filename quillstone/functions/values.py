@@ -238,7 +238,7 @@ def _tokens(pattern: str, table: dict[str, str]) -> str:
     for m in re.finditer("|".join(map(re.escape, names)) + r"|\[([^\]]*)\]|'([^']*)'|.", pattern, re.S):
         s = m[0]
         quoted = m[1] if m[1] is not None else m[2]
-        out.append(f"'{quoted}'" if quoted is not None else table.get(s, f"'{s}'" if s.isalpha() else s))
+        out.append("'" + quoted.replace("'", "''") + "'" if quoted is not None else table.get(s, f"'{s}'" if s.isalpha() else s))
     return "".join(out)
 
 

@@ -19,7 +19,7 @@ def listing_diff(catalog: DataFrame, listing: DataFrame) -> DataFrame:
 
 def under(changes: DataFrame, catalog: DataFrame) -> DataFrame:
     """Changes of folders as changes of the notes in them: every folder above a note is joined by equality."""
-    parents = catalog.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.substring_index(F.col("path"), "/", i))).alias("at"))
+    parents = catalog.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))).alias("at"))
     return parents.join(changes.withColumnRenamed("path", "at"), "at").select("path", "op").distinct()
 
 
