@@ -156,3 +156,45 @@ def packed_rings(sizes: pd.DataFrame) -> pd.DataFrame:
     place = np.arange(len(sizes)) - 3 * ring * (ring - 1) - 1
     angle = 2 * np.pi * place / np.maximum(6 * ring, 1)
     return sizes.assign(x=ring * np.cos(angle), y=ring * np.sin(angle))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """path, outlinks (in written order), inlinks (by path): for notes whose links fit in a row; hubs are better left as edges."""
+    out = edges.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("outlinks"))
+    into = edges.groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("inlinks"))
+    none = F.array().cast("array<string>")
+    return out.join(into, "path", "full").select("path", F.coalesce("outlinks", none).alias("outlinks"), F.coalesce("inlinks", none).alias("inlinks"))
+
+
+def embedded(edges: DataFrame, start: str, levels: int = 3) -> DataFrame:
+    """path, level of what a note embeds, and what that embeds, along edges only."""
+    links = edges.select("src", "dst").distinct()
+    reached = edges.sparkSession.createDataFrame([(start, 0)], "path string, level int")
+    front = reached
+    for k in range(1, levels + 1):
+        nearby = front.join(links, front["path"] == links["src"]).select(F.col("dst").alias("path")).distinct()
+        front = written(nearby.join(reached, "path", "left_anti").withColumn("level", F.lit(k)), f"level{k}")
+        reached = reached.unionByName(front)
+    return reached
+
+
+def nearest(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
+    """q, path, distance: the nearest of points(path, x, y) to each of queries(q, x, y) within the radius, by cells of that size."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy"))))))
+    wanted = queries.select("q", F.col("x").alias("qx"), F.col("y").alias("qy"), around.alias("c")).select("q", "qx", "qy", "c.cx", "c.cy")
+    met = points.withColumns({"cx": cell("x"), "cy": cell("y")}).join(wanted, ["cx", "cy"])
+    met = met.withColumn("distance", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).where(F.col("distance") <= radius)
+    return met.groupBy("q").agg(F.min(F.struct("distance", "path")).alias("m")).select("q", "m.path", "m.distance")
+
+
+def galaxy(notes: DataFrame, links: DataFrame, now: Column, arms: int = 6) -> DataFrame:
+    """path, arm, x, y, size, alpha of notes(path, folder, mtime): arms by the largest folders, places by hash, size by links, fading with age."""
+    big = [r["folder"] for r in notes.groupBy("folder").count().orderBy(F.desc("count"), "folder").limit(arms).collect()]
+    arm = F.coalesce(*[F.when(F.col("folder") == f, F.lit(i)) for i, f in enumerate(big)], F.lit(len(big)))
+    part = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(10_000)) / 10_000.0
+    radius = F.sqrt(part(1))
+    angle = arm * float(2 * np.pi / max(len(big), 1)) + radius * 2.0 + (part(2) - 0.5) * 0.6
+    age = F.greatest(F.datediff(now, "mtime"), F.lit(0))
+    placed_ = notes.join(degrees(links), "path", "left")
+    return placed_.select("path", arm.alias("arm"), (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"), (1 + F.log1p(F.coalesce("degree", F.lit(0)))).alias("size"), F.greatest(1 - age / 365.0, F.lit(0.15)).alias("alpha"))

@@ -6,7 +6,6 @@ Everything is a Column expression over the text of a note, so reading a folder i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
@@ -142,13 +141,21 @@ def note_table(files: DataFrame) -> DataFrame:
 
 
 def task_table(notes: DataFrame) -> DataFrame:
-    """path, k, line, status, text, indent, completed, dates and parent_k of every task."""
-    rows = notes.select("path", F.posexplode("tasks").alias("k", "t")).select("path", "k", "t.*")
-    above = F.expr("filter(before, x -> x.indent < indent)")
-    before = F.collect_list(F.struct("k", "indent")).over(W.partitionBy("path").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("before", before).withColumn("above", above)
-    parent = F.when(F.size("above") > 0, F.element_at("above", -1)["k"])
-    return rows.withColumns({"parent_k": parent, "completed": F.lower("status") == "x", **{k: task_date(F.col("text"), k) for k in TASK_DATES}}).drop("before", "above")
+    """path, k, line, status, text, indent, completed, fully_completed (with all below it), dates and parent_k of every task.
+
+    The tasks of a note are one array, so nothing is shuffled.
+    """
+    rows = notes.select("path", "tasks", F.posexplode("tasks").alias("k", "t")).select("path", "tasks", "k", "t.*")
+    before = F.transform(F.slice("tasks", F.lit(1), F.col("k")), lambda t, i: F.struct(i.alias("k"), t["indent"].alias("indent")))
+    above = F.filter(before, lambda x: x["indent"] < F.col("indent"))
+    parent = F.when(F.size(above) > 0, F.element_at(above, -1)["k"])
+    after = F.slice("tasks", F.col("k") + 2, F.size("tasks"))
+    # Those below it are the deeper ones up to the first that is not.
+    start = F.struct(F.lit(True).alias("inside"), F.lit(True).alias("done"))
+    step = lambda acc, t: F.struct((acc["inside"] & (t["indent"] > F.col("indent"))).alias("inside"), (acc["done"] & (~(acc["inside"] & (t["indent"] > F.col("indent"))) | (F.lower(t["status"]) == "x"))).alias("done"))
+    completed = F.lower("status") == "x"
+    below = F.aggregate(after, start, step)["done"]
+    return rows.withColumns({"parent_k": parent, "completed": completed, "fully_completed": completed & below, **{k: task_date(F.col("text"), k) for k in TASK_DATES}}).drop("tasks")
 
 
 def resolved(notes: DataFrame, files: DataFrame) -> DataFrame:

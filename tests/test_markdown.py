@@ -50,6 +50,7 @@ def test_notes_of_a_folder(spark, tmp_path):
     assert edges == {("Alpha.md", "Beta.md"), ("Alpha.md", "sub/Gamma.md"), ("Beta.md", "Alpha.md"), ("sub/Gamma.md", "Beta.md"), ("sub/Gamma.md", "sub/Delta.md")}
     t = {r.k: r for r in M.task_table(notes).collect()}
     assert [(t[k].text.split()[0], t[k].status, t[k].parent_k) for k in sorted(t)] == [("first", " ", None), ("nested", "x", 0)]
+    assert not t[0].fully_completed and t[1].fully_completed
     assert t[0].due == date(2026, 1, 2) and t[1].completion == date(2026, 1, 3) and t[1].due is None
     section = files.where("stem = 'Alpha'").select(M.section(F.col("text"), "part").alias("s")).first().s
     assert section == "## Part\ntext"
@@ -78,3 +79,21 @@ def test_edits(spark):
     assert edit(spark, "hi", lambda t: E.property_set(t, "a", "1")) == "---\na: 1\n---\nhi"
     assert edit(spark, "[[Old|x]] [[Older]]", lambda t: E.links_renamed(t, "old", "New")) == "[[New|x]] [[Older]]"
     assert edit(spark, "a\n\n", lambda t: E.appended(t, "b")) == "a\nb\n"
+
+
+def test_catalog_refresh_equals_fresh_read(spark, tmp_path):
+    from quillstone.sources.catalog import Catalog, by_kind
+
+    root = tmp_path / "vault"
+    root.mkdir()
+    path = folder(root)
+    catalog = Catalog(spark, str(tmp_path / "tables"))
+    assert {r.op for r in catalog.refresh(path).collect()} == {"new"}
+    (root / "Beta.md").write_text("[[sub/Delta]] #changed now\n")
+    (root / "New.md").write_text("hello [[Alpha]]")
+    (root / "sub" / "Gamma.md").unlink()
+    assert {(r.path, r.op) for r in catalog.refresh(path).collect()} == {("Beta.md", "edited"), ("New.md", "new"), ("sub/Gamma.md", "deleted")}
+    fresh = M.note_table(M.read_folder(spark, path))
+    key = lambda df: sorted((r.path, tuple(r.links), tuple(r.tags)) for r in df.collect())
+    assert key(catalog.notes()) == key(fresh)
+    assert {(r.kind, r.n) for r in by_kind(M.read_folder(spark, path)).collect()} == {("note", 4), ("image", 1)}
