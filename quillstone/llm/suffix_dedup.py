@@ -271,7 +271,7 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spans = covered(occurrences(texts))
     if len(repeated.where(F.col("total") > HOT).take(1)):
         hot = scratch.table(occurrences(texts.where(F.size("hot") > 0).withColumn("repeated", F.col("hot"))), "hot")
-        spans = spans.unionByName(covered_by_digest(hot))
+        spans = spans.unionByName(scratch.table(covered_by_digest(hot), "hot_spans"))  # written, so that AQE can split its join
     spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return cut(texts.join(spans, KEY))
 

@@ -33,6 +33,8 @@ CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 LIMIT = 512
 #: Texts of about so many bytes are encoded together.
 BATCH_BYTES = 32_000_000
+#: Pieces encoded by one call.
+PIECES = 20_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -68,7 +70,8 @@ def can_cut(tokenizer) -> bool:
 
 
 def lengths(tokenizer, pieces: list[str]) -> list[int]:
-    return [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    """Tokens of each piece. The library's results are large, so few are held at a time."""
+    return [len(e) for i in range(0, len(pieces), PIECES) for e in tokenizer.encode_batch_fast(pieces[i : i + PIECES], add_special_tokens=False)]
 
 
 def count_tokens(texts: pa.Array, tokenizer, cut: bool = True) -> np.ndarray:

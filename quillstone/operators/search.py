@@ -24,17 +24,23 @@ def words(text: Column) -> Column:
 
     def spread(w: Column) -> Column:
         parts = F.split(w, r"[-._/]")
-        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.substr(w, F.length(F.array_join(F.slice(parts, F.lit(1), i - 1), " ")) + F.when(i > 1, 2).otherwise(1)))
-        return F.when(F.size(parts) > 1, F.concat(F.array(w), parts, tails)).otherwise(F.array(w))
+        tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.substr(w, F.length(F.array_join(F.slice(parts, F.lit(1), i - 1), " ")) + 2))
+        return F.concat(parts, tails)
 
-    return F.array_distinct(F.transform(F.flatten(F.transform(found, spread)), lambda w: F.substring(w, 1, LONGEST)))
+    joined = F.filter(found, lambda w: w.rlike(r"[-._/]"))
+    every = F.array_distinct(F.concat(found, F.flatten(F.transform(joined, spread))))
+    long_ = F.exists(every, lambda w: F.length(w) > LONGEST)
+    return F.when(long_, F.array_distinct(F.transform(every, lambda w: F.substring(w, 1, LONGEST)))).otherwise(every)
 
 
 def postings(notes: DataFrame, *also: str) -> DataFrame:
-    """word, key, exact of notes(key, text): a row for each distinct word of a note; where its folded form differs, one for that, not exact."""
-    own = words(F.concat_ws("\n", "text", *also))
-    each = F.flatten(F.transform(own, lambda w: F.filter(F.array(F.struct(w.alias("word"), F.lit(True).alias("exact")), F.struct(fold(w).alias("word"), F.lit(False).alias("exact"))), lambda x: x["exact"] | (x["word"] != w))))
-    return notes.select("key", F.explode(F.array_distinct(each)).alias("w")).select("w.word", "key", "w.exact")
+    """word, key, exact of notes(key, text): a row for each distinct word of a note, and one, not exact, for each that only the folded text has."""
+    own = notes.select("key", F.concat_ws("\n", "text", *also).alias("text"))
+    own = own.select("key", words(F.col("text")).alias("exact"), F.when(F.col("text").rlike(r"[^\x00-\x7F]"), words(fold(F.col("text")))).alias("folded"))
+    only_folded = F.array_except(F.coalesce("folded", F.array().cast("array<string>")), F.col("exact"))
+    exact = own.select("key", F.explode("exact").alias("word"), F.lit(True).alias("exact"))
+    folded = own.select("key", F.explode(only_folded).alias("word"), F.lit(False).alias("exact"))
+    return exact.unionByName(folded).select("word", "key", "exact")
 
 
 def write_postings(found: DataFrame, path: str) -> None:
