@@ -32,7 +32,7 @@ class Rows:
         return Rows(df, tuple(F.col(c).asc() for c in unique or ("path",)))
 
     def where(self, condition: Column) -> Rows:
-        return replace(self, df=self.df.where(F.coalesce(condition, F.lit(False))))
+        return replace(self, df=self.df.where(condition))
 
     def sort(self, *keys: Column) -> Rows:
         """Stable: the order so far breaks ties. Keys are columns with asc() (nulls first) or desc() (nulls last)."""

@@ -19,7 +19,10 @@ Filter = Column | list | dict | None
 
 
 def condition(f: Filter) -> Column:
-    """A tree of and / or / not over conditions; a list is an and; nothing is true."""
+    """A tree of and / or / not over conditions; a list is an and; nothing is true.
+
+    Null is as good as false, so only below a not does it need a word; elsewhere conditions stay as scans understand them.
+    """
     if f is None:
         return F.lit(True)
     if isinstance(f, list):
@@ -33,9 +36,9 @@ def condition(f: Filter) -> Column:
         if kind == "or":
             return some if each else F.lit(True)
         if kind == "not":
-            return ~some
+            return ~F.coalesce(some, F.lit(False))
         raise ValueError(f"no such filter: {kind}")
-    return F.coalesce(f, F.lit(False))
+    return f
 
 
 def with_formulas(df: DataFrame, formulas: dict[str, tuple[Callable[..., Column], tuple[str, ...]]]) -> DataFrame:

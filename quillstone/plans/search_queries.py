@@ -72,10 +72,10 @@ def search_accent_fold(spark, d):
     return S.search(notes, index, [[Term("etre")]]).select("key")
 
 
-@query("SELECT doc_id AS key FROM documents LEFT JOIN labels USING (doc_id) ORDER BY coalesce(toxic = 1, false), NOT contains(CAST(doc_id AS VARCHAR), '7'), doc_id LIMIT 400")
+@query("SELECT doc_id AS key FROM documents LEFT JOIN labels USING (doc_id) ORDER BY coalesce(toxic = 1, false), NOT contains(CAST(doc_id AS VARCHAR), '7'), doc_id")
 def search_rank_superseded_last(spark, d):
     found = P.document_notes(spark, d)
-    return S.ranked(found, "7", F.coalesce(F.col("toxic") == 1, F.lit(False)), F.col("key").cast("string")).limit(400).select("key")
+    return S.ranked(found, "7", F.coalesce(F.col("toxic") == 1, F.lit(False)), F.col("key").cast("string")).select("key")
 
 
 @query(r"SELECT doc_id AS key, CASE WHEN pos > 0 THEN substr(flat, greatest(pos - 50, 1), pos - greatest(pos - 50, 1) + 110) END AS snippet FROM (SELECT doc_id, flat, instr(lower(flat), 'then') AS pos FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents))")

@@ -22,14 +22,14 @@ def view_formula_month_clamp(spark, d):
     return View(["key", "due", "gross"], filters=F.dayofmonth("date") >= 29, own_filters=F.col("gross") > 200000, formulas=formulas).rows(P.order_notes(spark, d))
 
 
-@query("SELECT doc_id AS key, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, 'docs/' || source || '/' || lang || '/' || doc_id || '.md' LIMIT 350")
+@query("SELECT doc_id AS key, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, 'docs/' || source || '/' || lang || '/' || doc_id || '.md'")
 def view_sort_nulls_last(spark, d):
-    return View(["key", "quality"], sort=[("quality", "number", True)], limit=350).rows(P.document_notes(spark, d))
+    return View(["key", "quality"], sort=[("quality", "number", True)]).rows(P.document_notes(spark, d))
 
 
-@query("SELECT c_custkey AS key FROM customer ORDER BY lower(c_mktsegment), c_custkey LIMIT 400")
+@query("SELECT c_custkey AS key FROM customer ORDER BY lower(c_mktsegment), c_custkey")
 def view_sort_natural(spark, d):
-    return View(["key"], sort=[("segment", "string", False), ("name", "string", False)], limit=400).rows(P.customer_notes(spark, d))
+    return View(["key"], sort=[("segment", "string", False), ("name", "string", False)]).rows(P.customer_notes(spark, d))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer GROUP BY 1")
