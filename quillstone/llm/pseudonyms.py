@@ -30,12 +30,15 @@ DATE_DAY_FIRST = r"(?<![\d./])\d\d([./])\d\d\1\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
 PHONE_US = r"(?<![\d+])\(?[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4}(?!\d)"
-CARD = r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+CARD_USUAL = r"\d{4}(?:(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})(?!\d)"
+CARD_GROUPS = rf"(?<!\d){CARD_USUAL}"
+#: Other groups, but not a number beside a card in the usual ones.
+CARD = rf"(?<![\d+-])(?!\d+[ -]{CARD_USUAL})\d{{3,7}}(?:[ -]\d{{3,7}}){{2,5}}(?![ -]?\d)"
 CARD_PLAIN = r"(?<!\d)\d{13,19}(?!\d)"
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"
 ACCESS_KEY = r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"
 SECRET = r"(?i:(?:password|passwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9_+/.~-]{8,}"
-PATTERN = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, DATE_ISO, DATE_DAY_FIRST.replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]"), SSN, PHONE, PHONE_US, CARD, CARD_PLAIN, IBAN])
+PATTERN = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, DATE_ISO, DATE_DAY_FIRST.replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]"), SSN, PHONE, PHONE_US, CARD_PLAIN, CARD_GROUPS, CARD, IBAN])
 
 KINDS = ("secret", "email", "access_key", "ip", "date", "ssn", "phone", "card", "iban")
 #: Days from 1900-01-01 that dates are permuted among: 252 x 290 of them, to 2100-02-01.

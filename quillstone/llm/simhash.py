@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, read
@@ -66,8 +66,14 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
+def row_key() -> tuple[Column, Column]:
+    """128 bits of the id and the whole text, which tell rows apart and are never null."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to doc_id, fp long (the fingerprint's bits)."""
+    """docs(doc_id, text) to doc_id, fp long (the fingerprint's bits), key_a and key_b (see row_key)."""
+    key_a, key_b = row_key()
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
@@ -80,9 +86,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         out.append(majority(held))
                         held, n = [], 0
                 out.append(majority(held))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in ("doc_id", "key_a", "key_b")), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "key_a", "key_b", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", "text", key_a.alias("key_a"), key_b.alias("key_b"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key_a long, key_b long, fp long")
 
 
 class Forest:
@@ -185,7 +192,7 @@ def banded(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, fp, component_id for docs(doc_id, text)."""
+    """doc_id, key_a, key_b, fp, component (a fingerprint of it) and component_id for docs(doc_id, text)."""
     own = scratch.table(fingerprints(docs), "fingerprints")
     fps = scratch.table(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     forest = star_forest(shard_links(banded(fps)), scratch)
@@ -193,8 +200,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = forest.unionByName(forest.select(F.col("root").alias("node"), "root")).distinct()
     with_ids = members.join(fps.withColumnRenamed("fp", "node"), "node")
     smallest = with_ids.groupBy("root").agg(F.min("least").alias("smallest"))
-    smallest = with_ids.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    of = fps.join(smallest, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    smallest = with_ids.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
+    of = fps.join(smallest, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("smallest", "least").alias("component_id"))
     return own.join(of, "fp", "left")
 
 
@@ -204,7 +211,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, once, with its columns."""
+    """A row of each component with its columns: one with the smallest doc_id, of texts under that id any one."""
     done = near_duplicates(docs, Scratch(spark, "simhash"))
-    kept = done.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(free_names(docs, "kept_id")[0])).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept.columns[0])), "left_semi").dropDuplicates(["doc_id"])
+    a, b = free_names(docs, "key_a", "key_b")
+    kept = done.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("key_a", "key_b")).alias("k"))
+    kept = kept.select(F.col("k.key_a").alias(a), F.col("k.key_b").alias(b))
+    key_a, key_b = row_key()
+    return docs.withColumns({a: key_a, b: key_b}).join(kept, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)

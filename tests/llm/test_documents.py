@@ -151,6 +151,18 @@ def test_simhash(spark, sf, rows, empty_sf, monkeypatch):
     assert simhash.op4_simhash(spark, empty_sf).count() == 0
 
 
+def test_near_dedup_keeps_a_row_of_each_component(spark, docs, rows):
+    kept = simhash.stage(spark, docs, "").collect()
+    fp = {t: plain_fingerprint(t) for _, t, *_ in rows}
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2
+    texts = [r.text for r in kept]
+    assert all(any(near(t, k) for k in texts) or any(near(t, u) and any(near(u, k) for k in texts) for u in fp) for _, t, *_ in rows)
+    assert all(a is b or not near(a, b) for a in texts for b in texts)
+    # One id with two different texts, one of them twice: both texts stay, each once.
+    two = [rows[6], (6, rows[7][1], "en", "s", 1), rows[6]]
+    assert Counter(r.text for r in simhash.stage(spark, spark.createDataFrame(two, docs.schema), "").collect()) == Counter({rows[6][1]: 1, rows[7][1]: 1})
+
+
 def test_bk_forest_finds_what_comparing_all_finds():
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
@@ -338,6 +350,12 @@ def test_pseudonyms(spark, rows, docs, empty):
     assert kept.count() == len(rows) and set(docs.columns) < set(kept.columns)
 
 
+def test_numbers_beside_a_card_do_not_hide_it(spark):
+    texts = ["4111111111111111 2 times", "4111 1111 1111 1111 23", "4465758382889437 4465758382889437", "7 4111-1111-1111-1111", "3782 822463 10005 9", "123 4111 1111 1111 1111", "411 1111 111111 111"]
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.pii_kinds for r in got] == [["card"], ["card"], ["card"] * 2 * luhn("4465758382889437"), ["card"], ["card"], ["card"], ["card"]]
+
+
 def test_feistel_is_one_to_one(spark):
     pairs = spark.range(35).select(pseudonyms.feistel(F.floor(F.col("id") / 5), F.col("id") % 5, F.lit(7), F.lit(5), "k", F.lit("x")).alias("p")).collect()
     assert len({(r.p.high, r.p.low) for r in pairs}) == 35 and all(0 <= r.p.high < 7 and 0 <= r.p.low < 5 for r in pairs)
