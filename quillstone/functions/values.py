@@ -307,3 +307,60 @@ def shown(c: Column, kind: str) -> Column:
     elif kind == "date":
         c = F.when(c == F.date_trunc("day", c), F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm"))
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def contains_all(hay: Column, needles: list[Column], kind: str = "string") -> Column:
+    return reduce(lambda a, b: a & b, [contains(hay, n, kind) for n in needles], F.lit(True))
+
+
+def contains_any(hay: Column, needles: list[Column], kind: str = "string") -> Column:
+    return reduce(lambda a, b: a | b, [contains(hay, n, kind) for n in needles], F.lit(False))
+
+
+def index_of(l: Column, value: Column) -> Column:
+    """From 0; -1 if it is not there."""
+    return F.coalesce(F.array_position(l, value) - 1, F.lit(-1).cast("long"))
+
+
+# Texts, kinds and links -------------------------------------------------------------------------------------------
+
+
+def text_slice(s: Column, start: int, end: int | None = None) -> Column:
+    """Characters from start up to, not including, end; negatives count from the end."""
+    n = F.length(s)
+    at = lambda k: F.greatest(n + k, F.lit(0)) if k < 0 else F.least(F.lit(k), n)
+    first, last = at(start), n if end is None else at(end)
+    return F.substr(s, first + 1, F.greatest(last - first, F.lit(0)))
+
+
+def is_empty(c: Column, kind: str) -> Column:
+    """Null, an empty text, an empty list or an empty object."""
+    if kind == "string":
+        return F.coalesce(c == "", F.lit(True))
+    if kind in ("array", "object"):
+        return F.coalesce(F.size(c) <= 0, F.lit(True))
+    return c.isNull()
+
+
+def kind_name(c: Column) -> Column:
+    """null, boolean, number, string, date, array or object, by the type of the column."""
+    t = F.typeof(c)
+    named = F.when(t.isin("tinyint", "smallint", "int", "bigint", "float", "double") | t.startswith("decimal"), "number")
+    named = named.when(t.isin("date", "timestamp", "timestamp_ntz"), "date").when(t.startswith("array"), "array").when(t.startswith("map") | t.startswith("struct"), "object")
+    return F.when(c.isNull(), "null").otherwise(named.otherwise(t))
+
+
+def link(target: Column, display: Column | None = None) -> Column:
+    """struct<path, subpath, display> of a link's target; what follows a # is the subpath, null if there is none."""
+    sub = F.when(F.contains(target, F.lit("#")), F.substr(target, F.locate("#", target) + 1))
+    return F.struct(F.substring_index(target, "#", 1).alias("path"), sub.alias("subpath"), (F.lit(None).cast("string") if display is None else display).alias("display"))
+
+
+def link_date(path: Column) -> Column:
+    """The first ISO date in a path."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(path, r"(\d{4}-\d\d-\d\d)", 1), F.lit("")), F.lit("yyyy-MM-dd"))
+
+
+def duration_part(ms: Column, unit: str) -> Column:
+    """A duration in a unit, with its fraction."""
+    return ms / UNIT_MS[UNIT_NAMES.get(unit, unit.rstrip("s"))]

@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -95,6 +96,20 @@ def folder_anchors(positions: DataFrame, folder: Column) -> DataFrame:
     return positions.groupBy(folder.alias("folder")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 
 
+def folder_ranks(nodes: DataFrame, folder: Column) -> DataFrame:
+    """folder, n, rank: folders by size, then name. The window runs over folders, after they are counted."""
+    counts = nodes.groupBy(folder.alias("folder")).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "folder")))
+
+
+def median_link_length(edges: DataFrame, positions: DataFrame) -> DataFrame:
+    """median and links, of links with both ends placed."""
+    a = positions.select(F.col("path").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    b = positions.select(F.col("path").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    length = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+    return edges.join(a, "src").join(b, "dst").agg(F.median(length).alias("median"), F.count("*").alias("links"))
+
+
 def pivot_layout(edges: DataFrame, pivots: int = 8, hops: int = 12) -> DataFrame:
     """path, x, y: pivot multidimensional scaling. Distances to farthest-first pivots come from joins; only a pivots x pivots matrix is solved on the driver."""
     nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct(), "nodes")

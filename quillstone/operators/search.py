@@ -48,6 +48,11 @@ def write_postings(found: DataFrame, path: str) -> None:
     found.repartitionByRange("word").sortWithinPartitions("word", "key").write.mode("overwrite").parquet(path)
 
 
+def refreshed(index: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """The index without the postings of gone(key), and with those of new(key, text): what an edit, a deletion or an addition changes."""
+    return index.join(gone.select("key").distinct(), "key", "left_anti").select("word", "key", "exact").unionByName(postings(new))
+
+
 @dataclass(frozen=True)
 class Term:
     """A word start, a phrase, a fragment inside words (3 letters or more), or a field (path, title, tag)."""

@@ -111,3 +111,12 @@ def status_rules(spark, d):
     fields = F.create_map(F.lit("Status"), F.array(word), F.lit("Due"), F.array(F.date_format("date", "yyyy-MM-dd")))
     found = P.order_notes(spark, d).select("key", status_of(fields, F.lit("1998-05-20").cast("date")).alias("s"))
     return found.select("key", "s.state", "s.overdue", (F.col("s.state") + F.shiftleft(F.col("s.overdue").cast("int"), 2)).alias("byte"))
+
+
+@query(r"SELECT w AS word, count(*) AS notes FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(CASE WHEN lang = 'de' THEN text || ' neuwort' ELSE text END), '[\p{L}\p{N}]+')) AS w FROM documents WHERE lang <> 'es') WHERE length(w) > 3 AND regexp_full_match(w, '[a-z0-9]+') GROUP BY 1")
+def search_refreshed_index(spark, d):
+    """An index after edits of all German documents and the deletion of all Spanish ones, as if built anew."""
+    notes, index = indexed(spark, d)
+    edited = notes.where("lang = 'de'").select("key", F.concat("text", F.lit(" neuwort")).alias("text"))
+    found = S.refreshed(index, notes.where("lang in ('de', 'es')"), edited)
+    return found.where(F.col("exact") & (F.length("word") > 3) & F.col("word").rlike("^[a-z0-9]+$")).groupBy("word").agg(F.count("*").alias("notes"))

@@ -173,3 +173,22 @@ def dql_sort_mixed_types(spark, d):
     key = F.col("key")
     raw = F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, "text").otherwise(F.col("n_chars").cast("string"))
     return Rows.of(P.document_notes(spark, d), "key").sort(V.from_text(raw).asc()).table(key=key)
+
+
+@query("SELECT o_orderkey AS key, 'customers/' || o_custkey || '.md' AS path, 'part ' || o_orderpriority AS subpath, o_orderpriority AS display FROM orders WHERE o_orderstatus = 'F'")
+def dql_link_meta(spark, d):
+    notes = P.order_notes(spark, d).where("status = 'F'")
+    made = V.link(F.concat(F.col("customer"), F.lit("#part "), F.col("priority")), F.col("priority"))
+    return notes.select("key", made.alias("l")).select("key", "l.path", "l.subpath", "l.display")
+
+
+@query("SELECT doc_id AS key, CASE WHEN quality IS NULL THEN 'null' ELSE 'number' END AS a, 'string' AS b, 'array' AS c FROM documents LEFT JOIN labels USING (doc_id)")
+def dql_typeof(spark, d):
+    return P.document_notes(spark, d).select("key", V.kind_name(F.col("quality")).alias("a"), V.kind_name(F.col("lang")).alias("b"), V.kind_name(F.col("tags")).alias("c"))
+
+
+@query("SELECT o_orderkey AS key, CAST(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1992-01-01') AS DOUBLE) / 86400000 / 7 AS weeks, CAST(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1992-01-01') AS DOUBLE) / 3600000 AS hours, strftime(o_orderdate, '%Y-%m-%d') AS named FROM orders")
+def dql_duration_parts(spark, d):
+    since = V.between_ms(F.col("date"), F.lit("1992-01-01").cast("timestamp"))
+    named = F.concat(F.lit("log/"), F.date_format("date", "yyyy-MM-dd"), F.lit(".md"))
+    return P.order_notes(spark, d).select("key", V.duration_part(since, "weeks").alias("weeks"), V.duration_part(since, "hours").alias("hours"), day(V.link_date(named)).alias("named"))

@@ -91,3 +91,21 @@ def graph_small_layouts(spark, d):
 def status_citation(spark, d):
     rev = F.when(F.col("key") % 2 == 0, F.regexp_extract("nation", r"(\d+)", 1)).otherwise("")
     return P.customer_notes(spark, d).select("key", T.citation(F.col("name"), rev, F.lit(""), F.col("path")).alias("cite"))
+
+
+@query("SELECT folder, n, CAST(row_number() OVER (ORDER BY n DESC, folder) AS INT) AS rank FROM (SELECT 'orders' AS folder, count(*) AS n FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'nations', count(*) FROM nation UNION ALL SELECT 'regions', count(*) FROM region UNION ALL SELECT 'suppliers', count(*) FROM supplier UNION ALL SELECT 'parts', count(*) FROM part)")
+def graph_folder_ranks(spark, d):
+    return G.folder_ranks(P.nodes(spark, d), F.col("folder"))
+
+
+@query("SELECT median(sqrt(power(c_acctbal - o_totalprice, 2) + power(c_nationkey - 10, 2))) AS median, count(*) AS links FROM orders JOIN customer ON c_custkey = o_custkey")
+def graph_link_length(spark, d):
+    orders = P.order_notes(spark, d).select("path", F.col("total").alias("x"), F.lit(10.0).alias("y"))
+    customers = P.read(spark, d, "customer").select(P.path_of("customers", F.col("c_custkey")).alias("path"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return G.median_link_length(P.edges(spark, d), orders.unionByName(customers))
+
+
+@query("SELECT 'nations/' || c_nationkey || '.md' AS folder, avg(c_acctbal) AS x, avg(CAST(c_custkey AS DOUBLE)) AS y, count(*) AS n FROM customer GROUP BY 1")
+def graph_folder_centroids(spark, d):
+    at = P.customer_notes(spark, d).select("nation", F.col("balance").alias("x"), F.col("key").cast("double").alias("y"))
+    return G.folder_anchors(at, F.col("nation"))

@@ -90,3 +90,21 @@ def view_related_overlap(spark, d):
 def view_text_number_date_funcs(spark, d):
     c = P.customer_notes(spark, d)
     return c.select("key", V.title(F.col("segment")).alias("t"), F.format_string("%.2f", F.col("balance")).alias("fx"), V.view_format(F.lit("2024-02-29").cast("timestamp"), "DD.MM.YY").alias("f"), F.when(F.col("balance") > 0, "plus").otherwise("minus").alias("w"))
+
+
+@query("SELECT p_partkey AS key, right(p_name, 5) AS tail, substr(p_name, 2, 3) AS part, reverse(p_name) AS turned, repeat(p_brand, 2) AS twice, contains(p_type, 'STEEL') AND contains(p_type, 'S') AS every, contains(p_type, 'TIN') OR contains(p_type, 'BRASS') AS some FROM part")
+def view_text_methods(spark, d):
+    name, kind = F.col("p_name"), F.col("p_type")
+    return P.read(spark, d, "part").select(
+        F.col("p_partkey").alias("key"), V.text_slice(name, -5).alias("tail"), V.text_slice(name, 1, 4).alias("part"), F.reverse(name).alias("turned"), F.repeat("p_brand", F.lit(2)).alias("twice"),
+        V.contains_all(kind, [F.lit("STEEL"), F.lit("S")]).alias("every"), V.contains_any(kind, [F.lit("TIN"), F.lit("BRASS")]).alias("some"),
+    )
+
+
+@query("SELECT p_partkey AS key, array_to_string(list_reverse(string_split(p_type, ' ')), ' ') AS turned, string_split(p_type, ' ')[-1] AS last, CAST(coalesce(list_position(string_split(p_type, ' '), 'STEEL') - 1, -1) AS BIGINT) AS at, len(list_filter(string_split(p_type, ' '), lambda w: w = 'TIN')) = 0 AS none FROM part")
+def view_list_methods(spark, d):
+    words = F.split("p_type", " ")
+    return P.read(spark, d, "part").select(
+        F.col("p_partkey").alias("key"), F.array_join(F.reverse(words), " ").alias("turned"), V.item(words, -1).alias("last"), V.index_of(words, F.lit("STEEL")).alias("at"),
+        V.is_empty(F.filter(words, lambda w: w == "TIN"), "array").alias("none"),
+    )
