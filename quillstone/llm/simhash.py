@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     smallest = with_ids.groupBy("root").agg(F.min("least").alias("smallest"))
     smallest = with_ids.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
     of = fps.join(smallest, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("smallest", "least").alias("component_id"))
-    return own.join(of, "fp", "left")
+    # Written, so that the join's both sides are dealt out for it alone and AQE can split a fingerprint that many rows have.
+    return own.join(scratch.table(of, "components"), "fp", "left")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
