@@ -221,8 +221,9 @@ def covered(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "text_hash long, n_bytes long, low long, high long")
 
 
-def covered_by_digest(found: DataFrame) -> DataFrame:
-    """The same for anchors with very many occurrences: a row and a digest for each string."""
+def covered_by_digest(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for anchors with very many occurrences: a row and a digest for each string. Digests that are there twice
+    are written, so that both sides of the join are dealt out for it alone and AQE can split a string that is very common."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
@@ -232,7 +233,7 @@ def covered_by_digest(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n), pa.array([key[1]] * n), pa.array([copies] * n), pa.array(np.arange(n) + place - far), pa.array(digests)], [*KEY, "copies", "low", "digest"])
 
     strings = found.mapInArrow(run, "text_hash long, n_bytes long, copies long, low long, digest binary")
-    twice = strings.groupBy("digest").agg(F.sum("copies").alias("total")).where("total > 1")
+    twice = scratch.table(strings.groupBy("digest").agg(F.sum("copies").alias("total")).where("total > 1").select("digest"), "twice")
     return strings.join(twice, "digest").select(*KEY, "low", (F.col("low") + LENGTH).alias("high"))
 
 
@@ -271,7 +272,7 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spans = covered(occurrences(texts))
     if len(repeated.where(F.col("total") > HOT).take(1)):
         hot = scratch.table(occurrences(texts.where(F.size("hot") > 0).withColumn("repeated", F.col("hot"))), "hot")
-        spans = spans.unionByName(scratch.table(covered_by_digest(hot), "hot_spans"))  # written, so that AQE can split its join
+        spans = spans.unionByName(scratch.table(covered_by_digest(hot, scratch), "hot_spans"))
     spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return cut(texts.join(spans, KEY))
 
