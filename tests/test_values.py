@@ -95,3 +95,17 @@ def test_mixed_values_sort_like_a_plain_evaluator(spark):
 
 def test_no_nan_in_half_up(spark):
     assert not math.isnan(one(spark, V.half_up(F.lit(0.49999999))))
+
+
+def test_links_kinds_and_slices(spark):
+    df = spark.createDataFrame([("Notes/A#Part", "abcdef", ["x", None], 5), (None, None, None, None)], "target string, s string, l array<string>, n int")
+    got = df.select(
+        V.link(F.col("target"), F.lit("shown")).alias("link"), V.text_slice(F.col("s"), -2).alias("tail"), V.text_slice(F.col("s"), 1, -1).alias("inner"), V.text_slice(F.col("s"), 4, 2).alias("none"),
+        V.kind_name(F.col("n")).alias("kind"), V.is_empty(F.col("l"), "array").alias("empty"), V.index_of(F.col("l"), F.lit("x")).alias("at"), V.index_of(F.col("l"), F.lit("y")).alias("no"),
+        V.contains_all(F.col("s"), [F.lit("a"), F.lit("f")]).alias("all"), V.contains_any(F.col("l"), [F.lit("q"), F.lit("x")], "array").alias("any"), V.link_date(F.lit("log/2026-11-09 day.md")).alias("day"),
+    ).collect()
+    a, b = got
+    assert (a.link.path, a.link.subpath, a.link.display) == ("Notes/A", "Part", "shown") and b.link.path is None
+    assert (a.tail, a.inner, a.none, b.tail) == ("ef", "bcde", "", None)
+    assert (a.kind, b.kind, a.empty, b.empty, a.at, a.no, b.at) == ("number", "null", False, True, 0, -1, -1)
+    assert a.all and a.any and not b.all and not b.any and str(a.day)[:10] == "2026-11-09"
