@@ -151,9 +151,8 @@ def small_layouts(members: DataFrame, most: int = 500) -> DataFrame:
 
     The place follows from the rank alone, which a window gives; components beyond the bound are left to pivot_layout().
     """
-    from pyspark.sql import Window as W
-
-    ranked = members.withColumn("n", F.count("*").over(W.partitionBy("component"))).where(F.col("n") <= most)
+    small = members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    ranked = members.join(small, "component")
     ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("component").orderBy(F.desc("degree"), "path")) - 1)
     angle, radius = F.col("k") * float(np.pi * (3 - np.sqrt(5))), F.sqrt(F.col("k").cast("double"))
     return ranked.select("path", "component", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))

@@ -73,9 +73,10 @@ class Rows:
     def calendar(self, day: Column) -> DataFrame:
         """day, n and the first DAY_ITEMS paths of each day; rows without a date are left out."""
         dated = self.df.withColumn("day", F.to_date(day)).where("day is not null")
-        ranked = dated.withColumn("__at", F.row_number().over(W.partitionBy("day").orderBy(*self.order)))
-        kept = F.when(F.col("__at") <= DAY_ITEMS, F.struct("__at", "path"))
-        return ranked.groupBy("day").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["path"]).alias("items")).orderBy("day")
+        # Counts and first items are taken apart: both shrink before they are shuffled, however full a day is.
+        first = dated.withColumn("__at", F.row_number().over(W.partitionBy("day").orderBy(*self.order))).where(F.col("__at") <= DAY_ITEMS)
+        items = first.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "path"))), lambda x: x["path"]).alias("items"))
+        return dated.groupBy("day").agg(F.count("*").alias("n")).join(items, "day").orderBy("day")
 
     def capped(self, most: int = CAP) -> tuple[DataFrame, Callable[[], int]]:
         """The first rows, and the count of all."""
