@@ -30,7 +30,7 @@ from quillstone.llm.common import free_names, read
 from quillstone.llm.token_counts import batches
 
 MARK = "▁"
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 
 
 def chunkable(processor) -> bool:
