@@ -28,17 +28,19 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE_ISO = r"(?<![\d-])\d{4}-\d\d-\d\d(?![\d-])"
 DATE_DAY_FIRST = r"(?<![\d./])\d\d([./])\d\d\1\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-PHONE_US = r"(?<![\d+])\(?[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4}(?!\d)"
-CARD_USUAL = r"\d{4}(?:(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})(?!\d)"
-CARD_GROUPS = rf"(?<!\d){CARD_USUAL}"
-#: Other groups, but not a number beside a card in the usual ones.
-CARD = rf"(?<![\d+-])(?!\d+[ -]{CARD_USUAL})\d{{3,7}}(?:[ -]\d{{3,7}}){{2,5}}(?![ -]?\d)"
-CARD_PLAIN = r"(?<!\d)\d{13,19}(?!\d)"
+#: The usual form, or groups of one to four digits with an area code in brackets or none.
+PHONE = r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4})(?!\d)"
+PHONE_US = r"(?<![\d+])(?:\([2-9]\d\d\)[ .-]?|\(?[2-9]\d\d\)?[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)"
+#: A maximal run of digit groups that is long enough for a card, and the cards that may begin at any group of it.
+RUN = r"(?<!\d)(?=(?:\d[ -]?){13})\d+(?:[ -]\d+)*"
+CARD_USUAL = r"\d{4}(?:(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})"
+CARD_GROUPS = [r"\d{13,19}", CARD_USUAL, *[rf"\d{{3,7}}(?:[ -]\d{{3,7}}){{{k}}}[ -]\d{{1,7}}" for k in range(1, 5)]]
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"
 ACCESS_KEY = r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"
 SECRET = r"(?i:(?:password|passwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9_+/.~-]{8,}"
-PATTERN = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, DATE_ISO, DATE_DAY_FIRST.replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]"), SSN, PHONE, PHONE_US, CARD_PLAIN, CARD_GROUPS, CARD, IBAN])
+PATTERN = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, DATE_ISO, DATE_DAY_FIRST.replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]"), SSN, PHONE, PHONE_US, IBAN])
+#: Runs outside of other values.
+RUNS = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, IBAN, RUN])
 
 KINDS = ("secret", "email", "access_key", "ip", "date", "ssn", "phone", "card", "iban")
 #: Days from 1900-01-01 that dates are permuted among: 252 x 290 of them, to 2100-02-01.
@@ -192,12 +194,11 @@ def access_key(s: Column, key: str) -> Column:
 
 
 def kind_of(s: Column) -> Column:
-    """The kind of a match, null if it fails validation."""
+    """The kind of a match of PATTERN, null if it fails validation."""
     digits = digits_of(s)
     octets_fit = F.forall(F.split(s, r"\."), lambda x: x.cast("int") <= 255)
     day = as_day(s)
     real_day = day.isNotNull() & (F.datediff(day, F.lit(FIRST_DAY).cast("date")) >= 0) & (F.datediff(day, F.lit(FIRST_DAY).cast("date")) < DAY_HIGH * DAY_LOW)
-    is_card = is_full(s, r"\d(?:[ -]?\d){12,18}")
     return (
         F.when(is_full(s, SECRET), "secret")
         .when(s.contains("@"), "email")
@@ -205,33 +206,69 @@ def kind_of(s: Column) -> Column:
         .when(is_full(s, r"\d{1,3}(?:\.\d{1,3}){3}"), F.when(octets_fit, "ip"))
         .when(is_full(s, r"\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}"), F.when(real_day, "date"))
         .when(is_full(s, r"\d{3}-\d\d-\d{4}"), F.when(~s.rlike("^(?:000|66[6-9]|6[7-9]|[7-9])|-00-|-0000$"), "ssn"))
-        .when(is_card & (luhn_sum(digits) % 10 == 0), "card")
         .when(s.startswith("+") & F.length(digits).between(8, 15), "phone")
-        .when(is_full(s, r"\(?[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4}"), "phone")
+        .when(is_full(s, PHONE_US), "phone")
         .when(is_full(s, r"[A-Z]{2}\d\d[A-Z0-9 ]+") & (iban_rest(s) == 1) & F.length(digits_of(F.substr(s, F.lit(5)))).between(2, 34), "iban")
     )
 
 
 def pseudonym(kind: Column, s: Column, key: str, restore: bool) -> Column:
-    new = F.when(kind == "card", card(s, key, restore)).when(kind == "ip", ip(s, key, restore)).when(kind == "phone", phone(s, key, restore))
+    new = F.when(kind == "ip", ip(s, key, restore)).when(kind == "phone", phone(s, key, restore))
     new = new.when(kind == "date", date(s, key, restore)).when(kind == "ssn", ssn(s, key, restore)).when(kind == "iban", iban(s, key, restore))
     if not restore:
         new = new.when(kind == "secret", secret(s, key)).when(kind == "email", email(s, key)).when(kind == "access_key", access_key(s, key))
     return new.otherwise(s)
 
 
+def run_cards(run: Column) -> Column:
+    """Distinct cards of a run of digit groups: windows of groups, 13 to 19 digits, with a valid check digit. Of two that overlap the more usual one stays."""
+    windows = F.concat(*[F.regexp_extract_all(run, F.lit(rf"(?<![0-9A-Za-z])(?=({p}(?!\d)))"), F.lit(1)) for p in CARD_GROUPS])
+    fit = lambda w: F.length(digits_of(w)).between(13, 19) & (luhn_sum(digits_of(w)) % 10 == 0)
+    # Cards begin with 3 to 6, some with 22 to 27, and a permutation keeps the first digit.
+    rank = lambda w: F.when(w.rlike("^[3-6]"), 0).otherwise(2) + F.when(is_full(w, rf"\d+|{CARD_USUAL}"), 0).otherwise(1)
+    place = lambda w: F.struct(rank(w).alias("rank"), (-F.length(w)).alias("size"), F.instr(run, w).alias("at"), w.alias("w"))
+    ordered = F.array_sort(F.transform(F.filter(F.array_distinct(windows), fit), place))
+    meets = lambda a, b: (a["at"] < b["at"] - b["size"]) & (b["at"] < a["at"] - a["size"])
+    none = F.array().cast("array<struct<rank:int,size:int,at:int,w:string>>")
+    chosen = F.aggregate(ordered, none, lambda acc, w: F.when(F.exists(acc, lambda a: meets(a, w)), acc).otherwise(F.concat(acc, F.array(w))))
+    return F.transform(chosen, lambda x: x["w"])
+
+
+def cards_of(text: Column) -> Column:
+    """Distinct cards of a text, longest first, outside of other values; what only looks like an IBAN is no such value."""
+    outside = lambda s: is_full(s, r"\d+(?:[ -]\d+)*") | (is_full(s, IBAN) & (iban_rest(s) != 1))
+    found = F.flatten(F.transform(F.filter(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), outside), run_cards))
+    ordered = F.array_sort(F.transform(F.array_distinct(found), lambda w: F.struct((-F.length(w)).alias("size"), w.alias("w"))))
+    return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), F.transform(ordered, lambda x: x["w"]))
+
+
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, restore: bool = False) -> DataFrame:
     """docs with its text pseudonymised, plus pii_kinds (in place of a column of that name): the kinds replaced, one for each occurrence.
 
-    The text is cut at the matches; gaps and new values are joined again, so nothing else in it changes.
+    The text is cut at the cards, and what is between them at the other matches; gaps and new values are joined again, so nothing
+    else in it changes. Where groups beside a card happen to make a second valid card with it, restoring may choose the other one.
     """
-    matches = free_names(docs, "pii_matches")[0]
-    found = docs.withColumn(matches, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    found = found.withColumn("pii_kinds", F.transform(matches, kind_of))
-    pairs = F.zip_with("pii_kinds", matches, lambda k, s: pseudonym(k, s, key, restore))
-    gaps = F.split("text", PATTERN)
-    text = F.when(F.size(matches) > 0, F.array_join(F.zip_with(gaps, F.concat(pairs, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")).otherwise(F.col("text"))
-    out = found.withColumn("text", text).withColumn("pii_kinds", F.coalesce(F.filter("pii_kinds", lambda k: k.isNotNull()), F.array().cast("array<string>"))).drop(matches)
+    pii = free_names(docs, "pii_matches")[0]
+    found = docs.withColumn(pii, cards_of(F.col("text")))
+    either = F.concat(F.lit(r"(?<!\d)(?:"), F.array_join(pii, "|"), F.lit(r")(?!\d)"))
+    some = F.size(pii) > 0
+    cut = F.struct(F.when(some, F.split("text", either)).otherwise(F.array("text")).alias("parts"), F.when(some, F.regexp_extract_all("text", either, F.lit(0))).otherwise(F.array().cast("array<string>")).alias("cards"))
+    found = found.withColumn(pii, F.when(F.col("text").isNotNull(), cut))
+
+    def replaced(part: Column) -> Column:
+        def joined(matches: Column) -> Column:
+            def put(kinds: Column) -> Column:
+                pairs = F.zip_with(kinds, matches, lambda k, s: pseudonym(k, s, key, restore))
+                text = F.array_join(F.zip_with(F.split(part, PATTERN), F.concat(pairs, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+                return F.struct(F.when(F.size(matches) > 0, text).otherwise(part).alias("text"), F.filter(kinds, lambda k: k.isNotNull()).alias("kinds"))
+
+            return let(F.transform(matches, kind_of), put)
+
+        return let(F.regexp_extract_all(part, F.lit(PATTERN), F.lit(0)), joined)
+
+    found = found.withColumn(pii, F.zip_with(F.transform(f"{pii}.parts", replaced), f"{pii}.cards", lambda p, c: F.struct(F.concat(p["text"], F.coalesce(card(c, key, restore), F.lit(""))).alias("text"), F.when(c.isNull(), p["kinds"]).otherwise(F.concat(p["kinds"], F.array(F.lit("card")))).alias("kinds"))))
+    text = F.when(F.col("text").isNotNull(), F.array_join(f"{pii}.text", ""))
+    out = found.withColumns({"text": text, "pii_kinds": F.coalesce(F.flatten(f"{pii}.kinds"), F.array().cast("array<string>"))}).drop(pii)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -356,6 +356,20 @@ def test_numbers_beside_a_card_do_not_hide_it(spark):
     assert [r.pii_kinds for r in got] == [["card"], ["card"], ["card"] * 2 * luhn("4465758382889437"), ["card"], ["card"], ["card"], ["card"]]
 
 
+def test_groups_before_a_card_do_not_hide_it(spark):
+    number = "4111 1111 1111 1111"
+    texts = [f"in 2019 {number}", f"100 200 {number}", f"250 300 {number}", f"2024-02-29 {number} 77", f"ID12 {number}", f"{number} 5500-0000-0000-0004 {number}", "4222 2222 2222 2"]
+    phones = ["+33 1 23 45 67 89", "(212)555-0199", "+44 (0)20 7946 0958", "+45 12 34 56 78"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + phones)], "doc_id long, text string")
+    done = pseudonyms.pseudonymise(df).cache()
+    got = done.orderBy("doc_id").collect()
+    assert [r.pii_kinds for r in got] == [["card"]] * 3 + [["date", "card"], ["card"], ["card"] * 3, ["card"]] + [["phone"]] * 4
+    assert got[0].text.startswith("in 2019 4") and got[1].text.startswith("100 200 4") and got[3].text.endswith(" 77")
+    for r, t in zip(got, texts + phones, strict=True):
+        assert number not in r.text and r.text != t and re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", t)
+    assert [r.text for r in pseudonyms.pseudonymise(done.select("doc_id", "text"), restore=True).orderBy("doc_id").collect()][6:] == [*texts, *phones][6:]
+
+
 def test_feistel_is_one_to_one(spark):
     pairs = spark.range(35).select(pseudonyms.feistel(F.floor(F.col("id") / 5), F.col("id") % 5, F.lit(7), F.lit(5), "k", F.lit("x")).alias("p")).collect()
     assert len({(r.p.high, r.p.low) for r in pairs}) == 35 and all(0 <= r.p.high < 7 and 0 <= r.p.low < 5 for r in pairs)
