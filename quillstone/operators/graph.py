@@ -146,16 +146,20 @@ def smoothed(positions: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFra
     return positions
 
 
-def small_layouts(members: DataFrame, most: int = 500) -> DataFrame:
-    """path, component, x, y: sunflower placement within each component of members(component, path, degree), hubs in the middle.
-
-    The place follows from the rank alone, which a window gives; components beyond the bound are left to pivot_layout().
-    """
-    small = members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most)
-    ranked = members.join(small, "component")
-    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("component").orderBy(F.desc("degree"), "path")) - 1)
+def ranked(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """rows with k, their place within the group from 0. A global sort gives it, with the group's rows in earlier partitions counted before, so a group of any size has no window or task of its own."""
+    at = written(rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(group, *order).withColumn("id", F.monotonically_increasing_id()), "ranked")
+    at = at.withColumn("part", F.shiftright("id", 33))
+    counts = at.groupBy(F.col(group).alias("g"), F.col("part").alias("p")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    counts = counts.select("g", "p", "first", (F.sum("n").over(W.partitionBy("g").orderBy("p")) - F.col("n")).alias("before"))
+    return at.join(counts, (at[group] == counts["g"]) & (at["part"] == counts["p"])).select(*rows.columns, (F.col("id") - F.col("first") + F.col("before")).alias("k"))
+
+
+def small_layouts(members: DataFrame) -> DataFrame:
+    """path, component, x, y: sunflower placement within each component of members(component, path, degree), of any size, hubs in the middle. The place follows from the rank alone."""
+    places = ranked(members.select("component", "path", "degree"), "component", F.desc("degree"), F.col("path"))
     angle, radius = F.col("k") * float(np.pi * (3 - np.sqrt(5))), F.sqrt(F.col("k").cast("double"))
-    return ranked.select("path", "component", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+    return places.select("path", "component", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
 
 
 def spliced(edges: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:

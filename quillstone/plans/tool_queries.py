@@ -82,7 +82,7 @@ def graph_galaxy(spark, d):
 
 @query()
 def graph_small_layouts(spark, d):
-    edges = P.edges(spark, d).where(F.col("src").startswith("orders/"))
+    edges = P.edges(spark, d)
     members = G.components(edges).join(G.degrees(edges), "path")
     return G.small_layouts(members).select("path", "component", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 

@@ -106,6 +106,15 @@ def test_layouts(spark):
     assert {(r.px, r.py) for r in cells} == {(0, 0), (1, 0), (2, 0), (3, 0)}
 
 
+def test_large_components_keep_every_member(spark):
+    members = spark.createDataFrame([("big", f"n{i:04}", i % 7) for i in range(1200)] + [("c", "a", 3), ("c", "b", 1)], "component string, path string, degree long")
+    got = {(r.component, r.path): r.x**2 + r.y**2 for r in G.small_layouts(members.repartition(5)).collect()}
+    assert len(got) == 1202
+    order = sorted((-(i % 7), f"n{i:04}") for i in range(1200))
+    assert all(abs(got["big", p] - k) < 1e-6 for k, (_, p) in enumerate(order))
+    assert got["c", "a"] == 0 and abs(got["c", "b"] - 1) < 1e-9
+
+
 def test_incremental_equals_batch(spark):
     rng = random.Random(1)
     table = {f"f{i % 3}/n{i}": i for i in range(40)}
