@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -35,15 +36,21 @@ def without_hubs(edges: DataFrame, cap: int = 1000) -> DataFrame:
     return edges.join(hubs, edges["src"] == hubs["path"], "left_anti").join(hubs, edges["dst"] == hubs["path"], "left_anti")
 
 
-def neighbourhood(edges: DataFrame, start: str, hops: int) -> DataFrame:
-    """path, hop of what is within so many links of a note, either way."""
+def neighbourhood(edges: DataFrame, start: str, hops: int | None) -> DataFrame:
+    """path, hop of what is within so many links of a note, either way; with None, of all that can be reached."""
     links = both_ways(edges).distinct()
+    if hops is None:
+        links = written(links, "links")
     reached = edges.sparkSession.createDataFrame([(start, 0)], "path string, hop int")
     front = reached
-    for k in range(1, hops + 1):
+    for k in count(1) if hops is None else range(1, hops + 1):
         nearby = front.join(links, front["path"] == links["src"]).select(F.col("dst").alias("path")).distinct()
         front = written(nearby.join(reached, "path", "left_anti").withColumn("hop", F.lit(k)), f"hop{k}")
+        if hops is None and front.isEmpty():
+            break
         reached = reached.unionByName(front)
+        if k % 20 == 0:
+            reached = written(reached, f"reached{k}")  # keeps the plan short in long chains
     return reached
 
 
@@ -110,8 +117,11 @@ def median_link_length(edges: DataFrame, positions: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").agg(F.median(length).alias("median"), F.count("*").alias("links"))
 
 
-def pivot_layout(edges: DataFrame, pivots: int = 8, hops: int = 12) -> DataFrame:
-    """path, x, y: pivot multidimensional scaling. Distances to farthest-first pivots come from joins; only a pivots x pivots matrix is solved on the driver."""
+def pivot_layout(edges: DataFrame, pivots: int = 8, hops: int | None = None) -> DataFrame:
+    """path, x, y: pivot multidimensional scaling. Distances to farthest-first pivots come from joins; only a pivots x pivots matrix is solved on the driver.
+
+    A search goes on until its front is empty, unless hops bound it. What it does not reach counts as one link beyond the greatest distance from any pivot.
+    """
     nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct(), "nodes")
     first = degrees(edges).orderBy(F.desc("degree"), "path").first()
     if first is None:
@@ -119,12 +129,15 @@ def pivot_layout(edges: DataFrame, pivots: int = 8, hops: int = 12) -> DataFrame
     table, chosen = nodes, [first["path"]]
     for k in range(pivots):
         hop = neighbourhood(edges, chosen[-1], hops).select("path", F.col("hop").cast("double").alias(f"d{k}"))
-        table = written(table.join(hop, "path", "left").fillna(float(hops + 1), [f"d{k}"]), f"pivot{k}")
-        far = table.withColumn("least", F.least(*[F.col(f"d{i}") for i in range(k + 1)]) if k else F.col("d0")).orderBy(F.desc("least"), "path").first()
+        table = written(table.join(hop, "path", "left"), f"pivot{k}")
+        least = F.least(*[F.col(f"d{i}") for i in range(k + 1)]) if k else F.col("d0")
+        far = table.withColumn("least", F.coalesce(least, F.lit(float("inf")))).orderBy(F.desc("least"), "path").first()
         if far is None or far["least"] == 0 or k + 1 == pivots:
             pivots = k + 1
             break
         chosen.append(far["path"])
+    beyond = float(hops) if hops is not None else max(table.agg(*[F.max(f"d{k}") for k in range(pivots)]).first())
+    table = table.fillna(beyond + 1)
     squares = [F.col(f"d{k}") ** 2 for k in range(pivots)]
     n, *means = table.agg(F.count("*"), *map(F.avg, squares)).first()
     row = sum(squares) / pivots

@@ -57,8 +57,7 @@ def graph_density_raster(spark, d):
 
 @query()
 def graph_pivot_layout(spark, d):
-    nation_edges = P.edges(spark, d).where(~F.col("src").startswith("orders/"))
-    return G.pivot_layout(nation_edges, pivots=3, hops=4).select("path", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return G.pivot_layout(P.edges(spark, d)).select("path", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("SELECT src, count(*) AS links_out, min(dst) AS least FROM " + EDGES + " WHERE dst LIKE 'nations/%' GROUP BY 1")

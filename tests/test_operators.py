@@ -115,6 +115,14 @@ def test_large_components_keep_every_member(spark):
     assert got["c", "a"] == 0 and abs(got["c", "b"] - 1) < 1e-9
 
 
+def test_pivot_layout_reaches_the_ends_of_a_chain(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(18)] + [("z0", "z1")], "src string, dst string")
+    reached = {r.path: r.hop for r in G.neighbourhood(edges, "n00", None).collect()}
+    assert reached == {f"n{i:02}": i for i in range(19)}
+    at = {r.path: (round(r.x, 6), round(r.y, 6)) for r in G.pivot_layout(edges, pivots=3).collect()}
+    assert len({at[f"n{i:02}"] for i in range(19)}) == 19
+
+
 def test_incremental_equals_batch(spark):
     rng = random.Random(1)
     table = {f"f{i % 3}/n{i}": i for i in range(40)}
