@@ -35,6 +35,12 @@ def graph_components(spark, d):
     return G.components(P.edges(spark, d).where(F.col("src").startswith("orders/")))
 
 
+@query("WITH n AS (SELECT n_nationkey, 'nations/' || n_nationkey || '.md' AS p, 'regions/' || n_regionkey || '.md' AS r FROM nation), m AS (SELECT p AS path, r FROM n UNION ALL SELECT DISTINCT r, r FROM n UNION ALL SELECT 'customers/' || c_custkey || '.md', r FROM customer JOIN n ON c_nationkey = n_nationkey UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', r FROM supplier JOIN n ON s_nationkey = n_nationkey UNION ALL SELECT 'orders/' || o_orderkey || '.md', r FROM orders JOIN customer ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey) SELECT path, min(path) OVER (PARTITION BY r) AS component FROM m")
+def graph_whole_components(spark, d):
+    """Over all edges: customers are joined through nations and regions."""
+    return G.components(P.edges(spark, d))
+
+
 @query("SELECT 'parts/' || p_partkey || '.md' AS path, 'parts' AS folder FROM part UNION ALL SELECT 'regions/' || r_regionkey || '.md', 'regions' FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)")
 def graph_orphans(spark, d):
     return G.orphans(P.nodes(spark, d), P.edges(spark, d)).select("path", "folder")
