@@ -189,12 +189,20 @@ def packed_rings(sizes: pd.DataFrame) -> pd.DataFrame:
     return sizes.assign(x=ring * np.cos(angle), y=ring * np.sin(angle))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """path, outlinks (in written order), inlinks (by path): for notes whose links fit in a row; hubs are better left as edges."""
-    out = edges.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("outlinks"))
-    into = edges.groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_set("src")).alias("inlinks"))
+def inlink_counts(edges: DataFrame) -> DataFrame:
+    """path, n: distinct notes that link to it, counted as pairs."""
+    return edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"))
+
+
+def adjacency(edges: DataFrame, size: int = 10_000) -> DataFrame:
+    """path, block, outlinks (in written order), inlinks (by path): so many of each at most in a block, so a hub has several rows, numbered from 0."""
+    out = ranked(edges.select(F.col("src").alias("path"), "ord", "dst"), "path", F.col("ord"), F.col("dst"))
+    into = ranked(edges.select(F.col("dst").alias("path"), "src").distinct(), "path", F.col("src"))
+    block = F.floor(F.col("k") / size).alias("block")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c])
+    out, into = out.groupBy("path", block).agg(listed("dst").alias("outlinks")), into.groupBy("path", block).agg(listed("src").alias("inlinks"))
     none = F.array().cast("array<string>")
-    return out.join(into, "path", "full").select("path", F.coalesce("outlinks", none).alias("outlinks"), F.coalesce("inlinks", none).alias("inlinks"))
+    return out.join(into, ["path", "block"], "full").select("path", "block", F.coalesce("outlinks", none).alias("outlinks"), F.coalesce("inlinks", none).alias("inlinks"))
 
 
 def embedded(edges: DataFrame, start: str, levels: int = 3) -> DataFrame:

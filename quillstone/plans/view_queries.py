@@ -61,7 +61,7 @@ def view_summaries_counts(spark, d):
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM customer GROUP BY 1")
 def view_custom_summary(spark, d):
-    positive = custom_summary(lambda values: F.size(F.filter(values, lambda x: x > 0)).cast("long"), F.col("balance"))
+    positive = custom_summary(lambda c: F.count_if(c > 0), F.col("balance"))
     return View(["key"], group=("segment", "string", False)).groups(P.customer_notes(spark, d), positive=positive)
 
 

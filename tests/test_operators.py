@@ -123,6 +123,18 @@ def test_pivot_layout_reaches_the_ends_of_a_chain(spark):
     assert len({at[f"n{i:02}"] for i in range(19)}) == 19
 
 
+def test_no_group_is_gathered_in_a_row(spark):
+    df = spark.range(10).select(F.lit("a").alias("g"), "id")
+    plan = df.groupBy("g").agg(VW.custom_summary(lambda c: F.count_if(c > 3), F.col("id")).alias("n"))
+    assert plan.first().n == 6 and "collect_list" not in plan._jdf.queryExecution().toString()
+    edges = spark.createDataFrame([(f"n{i:02}", "hub", 0) for i in range(25)] + [("hub", f"m{9 - i}", i) for i in range(7)] + [("n00", "hub", 1)], "src string, dst string, ord int")
+    rows = sorted(G.adjacency(edges, 10).where("path = 'hub'").collect(), key=lambda r: r.block)
+    assert [len(r.inlinks) for r in rows] == [10, 10, 5] and [x for r in rows for x in r.inlinks] == [f"n{i:02}" for i in range(25)]
+    assert [x for r in rows for x in r.outlinks] == [f"m{9 - i}" for i in range(7)]
+    counts = G.inlink_counts(edges)
+    assert {r.path: r.n for r in counts.collect()}["hub"] == 25 and "collect_set" not in counts._jdf.queryExecution().toString()
+
+
 def test_incremental_equals_batch(spark):
     rng = random.Random(1)
     table = {f"f{i % 3}/n{i}": i for i in range(40)}
