@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from quillstone.functions.values import fold
 
 WORD = r"[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*"
-LONGEST = 48
 
 
 def words(text: Column) -> Column:
@@ -28,9 +27,7 @@ def words(text: Column) -> Column:
         return F.concat(parts, tails)
 
     joined = F.filter(found, lambda w: w.rlike(r"[-._/]"))
-    every = F.array_distinct(F.concat(found, F.flatten(F.transform(joined, spread))))
-    long_ = F.exists(every, lambda w: F.length(w) > LONGEST)
-    return F.when(long_, F.array_distinct(F.transform(every, lambda w: F.substring(w, 1, LONGEST)))).otherwise(every)
+    return F.array_distinct(F.concat(found, F.flatten(F.transform(joined, spread))))
 
 
 def postings(notes: DataFrame, *also: str) -> DataFrame:

@@ -48,6 +48,15 @@ def test_search(spark):
     assert found(no=[Term("blue")]) == [2] and found() == []
 
 
+def test_long_words_are_found_whole(spark):
+    long_ = "a" * 60
+    notes = spark.createDataFrame([(1, long_ + "xyz"), (2, long_ + "b"), (3, f"c-{long_}q")], "key int, text string")
+    index = S.postings(notes)
+    found = lambda t: sorted(r.key for r in S.search(notes, index, [[t]]).collect())
+    assert found(Term("axyz", "fragment")) == [1] and found(Term(long_ + "b")) == [2] and found(Term(long_ + "q")) == [3]
+    assert index.where(F.col("word").startswith(long_)).select("word").distinct().count() == 3
+
+
 def test_mentions_and_quotes(spark):
     notes = spark.createDataFrame([(1, "---\nx: Alpha\n---\nAlpha, alphabet [[Alpha]] `Alpha` #Alpha (alpha)"), (2, "none")], "key int, text string")
     assert [(r.key, r.mentions) for r in S.mentions(notes, ["Alpha", "no"]).collect()] == [(1, 2)]
