@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, read, utf8_buffer
-from quillstone.llm.spans import SpanHashes, byte_table, owners, runs
+from quillstone.llm.spans import byte_table, digests, numbered_spans, owners, runs
 from quillstone.llm.token_counts import batches
 
 WINDOW = 13
@@ -40,11 +40,12 @@ IN_WORD = byte_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of each text, and the offsets of the texts in words."""
+    """A digest of each word of each text, and the offsets of the texts in words."""
     data, offsets = utf8_buffer(texts)
     data = LOWER[data]
     starts, ends = runs(IN_WORD[data], offsets)
-    return SpanHashes(data)(starts, ends), np.searchsorted(starts, offsets)
+    codes, distinct = numbered_spans(data, starts, ends)
+    return digests(distinct)[codes], np.searchsorted(starts, offsets)
 
 
 class Tests:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, read, utf8_buffer
 from quillstone.llm.quality_rules import base_columns
-from quillstone.llm.spans import NOT_WHITE, SpanHashes, owners, per_text, runs
+from quillstone.llm.spans import NOT_WHITE, numbered_spans, owners, per_text, runs
 from quillstone.llm.token_counts import batches
 
 FEATURES, SEED, PENALTY, BINS, FOLDS = 256, 20240229, 1e-3, 512, 3
@@ -43,7 +43,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     some, words = np.maximum(size, 1), np.maximum(base["n_words"], 1)
     share = lambda flags: per_text(offsets, flags) / some
     starts, ends = runs(NOT_WHITE[data], offsets)
-    text, h = owners(offsets, starts), SpanHashes(data)(starts, ends)
+    text, h = owners(offsets, starts), numbered_spans(data, starts, ends)[0]
     follows = np.zeros(len(h), bool)
     follows[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
     by_word = lambda flags: np.bincount(text[flags], minlength=n) / words

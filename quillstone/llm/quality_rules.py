@@ -1,48 +1,53 @@
 """Quality rules: word and line rules, and n-gram perplexity within bands of the language.
 
-The language model is a modified Kneser-Ney model of ORDER symbols for each language. Symbols are classes of
-characters (SYMBOLS of them), so a language has at most SYMBOLS ** ORDER n-grams, however large the corpus: Spark counts
-all texts, tasks count densely before anything is shuffled, and the model that is broadcast has a proven bound of
-about 17 MB a language; languages are scored CHUNK at a time. The model is kept as sorted arrays of n-gram hashes with their
-log probabilities and backoff weights. The bands come from the quartiles of all documents' perplexities in a language;
-they are wide, because a document that quotes another language is unlikely but sound.
-
-Defined results: a null text has no words and fails the base rule; a null language is a language of its own; an empty
-table gives no rows; repeated rows are judged alike; other columns pass through where asked for.
+* Counts. N-grams are of ORDER bytes of UTF-8, exact as packed integers, so every script has its own. Tasks count what
+  they read before anything is shuffled; the table of counts holds every n-gram of every whole text and grows with them.
+* Model. Modified Kneser-Ney, as joins and aggregates of the count table: lower orders count distinct left neighbours,
+  discounts follow each language's counts of counts. An n-gram of MIDDLE bytes or more that is there fewer than SEEN times
+  gets no mass of its own but what shorter ones lend it, so that a document isn't judged by what only it says. The log
+  probabilities are kept as sorted arrays of n-gram hashes, a row for each shard of the hash range; no task or driver
+  holds more than a shard.
+* Scores. Texts are dealt into blocks of about BLOCK bytes. A block asks each shard once for its distinct n-grams, and
+  the answers meet the texts by block, from the same shuffle that the questions came from.
+* Bands. A document is rejected beyond BELOW or ABOVE interquartile ranges of log2 perplexity of its language, taken over
+  all documents that pass the base rule.
+
+Defined results: a null text has no words and fails the base rule; null is a language of its own, apart from the empty
+name; an empty table gives no rows; repeated rows are judged alike; other columns pass through where asked for, and a
+name of OWN that they take gets an underscore in front. Texts of any length are worked on by slices.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, mix64, read, utf8_buffer
-from quillstone.llm.spans import NOT_WHITE, SpanHashes, owners, per_text, repeated, runs
+from quillstone.llm.spans import NOT_WHITE, numbered_spans, owners, pair_numbers, per_text, repeated, runs
 from quillstone.llm.token_counts import batches
 
 #: Base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-ORDER, SYMBOLS = 4, 32
-#: Languages scored at a time.
-CHUNK = 8
-#: A document is rejected beyond these many interquartile ranges of log2 perplexity below the first and above the third quartile.
-BELOW, ABOVE = 12.0, 30.0
-#: The least interquartile range, in bits a symbol, so that very uniform corpora aren't judged on noise.
-LEAST_RANGE = 0.03
-BATCH_BYTES = 2_000_000
-
-#: 0 white space, 1 to 26 small letters, 27 digits, 28 other ASCII, 29 capitals, 30 and 31 other characters.
-CLASSES = np.full(256, 28, np.uint8)
-CLASSES[~NOT_WHITE] = 0
-CLASSES[97:123] = np.arange(1, 27)
-CLASSES[48:58] = 27
-CLASSES[65:91] = 29
-CLASSES[128:] = 30
+#: Bytes of an n-gram; from MIDDLE bytes on it needs SEEN occurrences to have a mass of its own.
+ORDER, MIDDLE, SEEN = 5, 3, 3
+#: Interquartile ranges below the first and above the third quartile that are still within the band.
+BELOW, ABOVE = 2.5, 2.5
+#: The least interquartile range, in bits a byte, so that very uniform corpora aren't judged on noise.
+LEAST_RANGE = 0.01
+#: Bytes of text in a block, of a slice that is worked on at once, and of texts taken from Arrow together.
+BLOCK, SLICE, BATCH_BYTES = 32_000_000, 4_000_000, 2_000_000
+#: Distinct n-grams that a task holds before it hands on their counts.
+HELD = 4_000_000
+#: Least number of shards, hashes in a shard, and blocks a shard.
+SHARDS, SHARD_HASHES, SHARD_BLOCKS = 64, 1_000_000, 1024
+
+GRAM_BITS = 8 * ORDER
 SYMBOL_BYTES = np.zeros(256, bool)
 SYMBOL_BYTES[list(b"#*$%&|<>")] = True
 
@@ -54,22 +59,19 @@ def base_columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     texts = len(offsets) - 1
     inside = NOT_WHITE[data]
     starts, ends = runs(inside, offsets)
-    hashes = SpanHashes(data)
-    text, own = owners(offsets, starts), hashes(starts, ends)
+    text, own = owners(offsets, starts), numbered_spans(data, starts, ends)[0]
     marked = np.zeros(len(own), bool)
     if len(own) >= 3:
-        with_two = text[:-2] == text[2:]
-        windows = mix64(mix64(own[:-2] * np.uint64(3) + own[1:-1]) * np.uint64(5) + own[2:])
-        at = np.flatnonzero(with_two)
+        windows = pair_numbers(pair_numbers(own[:-2], own[1:-1]), own[2:])
+        at = np.flatnonzero(text[:-2] == text[2:])
         twice = at[repeated(text[at], windows[at])[0]]
         for k in range(3):
             marked[twice + k] = True
     l_starts, l_ends = runs(data != 10, offsets)
-    words_before = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
-    full = words_before[l_ends] > words_before[l_starts]
+    full = np.searchsorted(starts, l_ends) > np.searchsorted(ends, l_starts, "right")
     l_starts, l_ends = l_starts[full], l_ends[full]
     l_text = owners(offsets, l_starts)
-    dup = repeated(l_text, hashes(l_starts, l_ends))[1]
+    dup = repeated(l_text, numbered_spans(data, l_starts, l_ends)[0])[1]
     return {
         "n_words": np.bincount(text, minlength=texts),
         "word_chars": per_text(offsets, inside & ((data & 0xC0) != 0x80)),
@@ -79,177 +81,259 @@ def base_columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     }
 
 
-def gram_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each character, as an integer, and the characters' offsets. A text begins after white space."""
-    lead = (data & 0xC0) != 0x80
-    kind = CLASSES[data]
-    if len(data):
-        following = np.append(data[1:], 0)
-        kind = np.where(data >= 128, 30 + (following & 1), kind).astype(np.int64)
-    kind = kind[lead]
-    sizes = per_text(offsets, lead)
-    pad = ORDER - 1
-    ends = np.cumsum(sizes + pad)
-    padded = np.zeros(len(kind) + pad * len(sizes), np.int64)
-    real = np.ones(len(padded), bool)
-    for k in range(pad):
-        real[ends - (sizes + pad) + k] = False
-    padded[real] = kind
-    ids = padded.copy()
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of positions, of SLICE bytes at most."""
+    return ((i, min(i + SLICE, int(offsets[-1]))) for i in range(0, int(offsets[-1]), SLICE))
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
+    """The n-gram that ends at each of the positions i to j, packed; a text begins after zero bytes."""
+    out = data[i:j].astype(np.int64)
+    starts = offsets[np.searchsorted(offsets, i - ORDER, "right") : np.searchsorted(offsets, j)]
     for k in range(1, ORDER):
-        ids[k:] += padded[:-k] << (5 * k)
-    return ids[real], np.concatenate([[0], np.cumsum(sizes)])
+        before = np.zeros(j - i, np.int64)
+        low = max(i - k, 0)
+        before[low + k - i :] = data[low : j - k]
+        crossing = (starts[:, None] + np.arange(k)).reshape(-1) - i
+        before[crossing[(crossing >= 0) & (crossing < j - i)]] = 0
+        out += before << (8 * k)
+    return out
+
+
+def lang_name(lang: Column) -> Column:
+    """A name for each language that is never null."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
+
+
+class Tally:
+    """Counts of integers, given piece by piece."""
+
+    def __init__(self):
+        self.keys, self.n, self.held, self.open = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, []
+
+    def add(self, values: np.ndarray) -> None:
+        found = pc.value_counts(pa.array(values))
+        self.open.append((found.field("values").to_numpy(), found.field("counts").to_numpy()))
+        self.held += len(found)
+        if self.held > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip((self.keys, self.n), *self.open, strict=True))
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(place, weights=n, minlength=len(self.keys)).astype(np.int64)
+        self.held, self.open = 0, []
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over every whole text. Tasks count densely first."""
+    """lang (see lang_name), gram, n: how often every n-gram occurs in all texts."""
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        tally = Tally()
+
+        def hand_on() -> pa.RecordBatch:
+            tally.settle()
+            names = pa.array(list(codes), pa.string()).take(pa.array(tally.keys >> GRAM_BITS))
+            return pa.RecordBatch.from_arrays([names, pa.array(tally.keys & ((1 << GRAM_BITS) - 1)), pa.array(tally.n)], ["lang", "gram", "n"])
+
         for b in tables:
-            langs, totals = pc.fill_null(b.column("lang"), "").to_numpy(zero_copy_only=False), {}
+            of = np.array([codes.setdefault(x, len(codes)) for x in b.column("lang").to_pylist()], np.int64)
             for at, part in batches(b.column("text"), BATCH_BYTES):
                 data, offsets = utf8_buffer(part)
-                ids, ends = gram_ids(data, offsets)
-                here = langs[at : at + len(part)]
-                for lang in set(here):
-                    chosen = ids[np.repeat(here == lang, np.diff(ends))]
-                    totals[lang] = totals.get(lang, 0) + np.bincount(chosen, minlength=SYMBOLS**ORDER)
-            for lang, total in totals.items():
-                seen = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["lang", "gram", "n"])
-
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def key(order: int, grams: np.ndarray) -> np.ndarray:
-    return mix64(grams.astype(np.uint64) + (np.uint64(order + 1) << np.uint64(40)))
-
-
-def kneser_ney(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and beside them log2 probabilities of the seen n-grams of all orders and log2 backoff weights of their contexts.
-
-    Lower orders count distinct left neighbours. Discounts follow counts of counts; the last backoff is uniform.
-    """
-    counts = np.zeros(SYMBOLS**ORDER, np.float64)
-    counts[grams] = n
-    counts = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        counts.insert(0, (counts[0].reshape(SYMBOLS, -1) > 0).sum(0).astype(np.float64))
-    below = np.full(1, 1 / SYMBOLS)
-    parts = []
-    for order, c in enumerate(counts, 1):
-        n1, n2, n3, n4 = (max(float((c == k).sum()), 1.0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
-        table = c.reshape(-1, SYMBOLS)
-        level = np.clip(table, 0, 3).astype(int)
-        cut = d[level]
-        total = table.sum(1, keepdims=True)
-        weight = np.where(total > 0, cut.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
-        lower = np.tile(below, len(table) * SYMBOLS // len(below)) if order > 1 else np.full(SYMBOLS, 1 / SYMBOLS)
-        p = np.maximum(table - cut, 0) / np.maximum(total, 1) + weight * lower.reshape(-1, SYMBOLS)
-        seen = np.flatnonzero(c)
-        parts.append((key(order, seen), np.log2(p.reshape(-1)[seen]), "p"))
-        contexts = np.flatnonzero(total[:, 0])
-        parts.append((key(order + ORDER, contexts), np.log2(weight[contexts, 0]), "w"))
-        below = p.reshape(-1)
-    hashes, values = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.float32)
-    order = np.argsort(hashes)
-    return hashes[order], values[order]
-
-
-def look_up(model: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the hashes in the sorted arrays, and which are there."""
-    at = np.minimum(np.searchsorted(model[0], hashes), len(model[0]) - 1)
-    return model[1][at], model[0][at] == hashes
-
-
-def log_probabilities(model: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    """log2 probability of the last symbol of each distinct n-gram: of the longest seen suffix, with the backoff weights above it."""
-    out, open_, added = np.zeros(len(grams)), np.arange(len(grams)), np.zeros(len(grams))
-    for order in range(ORDER, 0, -1):
-        own = grams[open_] & (SYMBOLS**order - 1)
-        value, found = look_up(model, key(order, own))
-        out[open_[found]] = value[found] + added[open_[found]]
-        open_ = open_[~found]
-        weight, known = look_up(model, key(order + ORDER, (grams[open_] & (SYMBOLS**order - 1)) >> 5))
-        added[open_] += np.where(known, weight, 0)
-    out[open_] = added[open_] - np.log2(SYMBOLS)
-    return out
+                for i, j in slices(offsets):
+                    tally.add(grams(data, offsets, i, j) | of[at + owners(offsets, np.arange(i, j))] << GRAM_BITS)
+                if len(tally.keys) > HELD:
+                    yield hand_on()
+                    tally = Tally()
+        yield hand_on()
+
+    rows = docs.select(lang_name(F.col("lang")).alias("lang"), "text")
+    return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def low_bytes(gram: Column, k: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << (8 * k)) - 1))
+
+
+def log_probabilities(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """lang, gram, p: the interpolated modified Kneser-Ney probability of the last byte of each counted n-gram."""
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = scratch.table(levels[k + 1].groupBy("lang", low_bytes(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), f"level{k}")
+    lower = None
+    for k in range(1, ORDER + 1):
+        m = [F.greatest(F.count_if(F.col("n") == i), F.lit(1)).cast("double") for i in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1])
+        discounts = levels[k].groupBy("lang").agg(*[
+            F.least(F.greatest(i - (i + 1) * y * m[i] / m[i - 1], F.lit(0.05)), F.lit(i - 0.05 if i == 1 else i - 0.1)).alias(f"d{i}") for i in (1, 2, 3)
+        ])
+        rows = levels[k].join(discounts, "lang").withColumn("context", F.shiftright("gram", 8))
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        own = F.greatest(F.col("n") - cut, F.lit(0.0))
+        rows = rows.withColumn("own", F.when(F.col("n") >= SEEN, own).otherwise(0.0) if k >= MIDDLE else own)
+        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("own").alias("mass"))
+        rows = rows.join(contexts, ["lang", "context"])
+        lent = 1 - F.col("mass") / F.col("total")
+        if lower is None:
+            p = F.col("own") / F.col("total") + lent / 256
+        else:
+            rows = rows.withColumn("short", low_bytes(F.col("gram"), k - 1)).join(lower, ["lang", "short"])
+            p = F.col("own") / F.col("total") + lent * F.col("below")
+        done = rows.select("lang", "gram", p.alias("p"))
+        lower = done.select("lang", F.col("gram").alias("short"), F.col("p").alias("below"))
+    return done
+
+
+def hashed(langs: list[str], of: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The hash of each n-gram of a language."""
+    own = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+    return mix64(mix64(gram.astype(np.uint64)) ^ own[of]) if len(langs) else np.zeros(0, np.uint64)
+
+
+def shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sorted_arrays(model: DataFrame, bits: int) -> DataFrame:
+    """shard, hashes, log2s: sorted hashes as bytes, and log2 probabilities beside them, of model(lang, gram, p)."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tables:
+            langs = b.column("lang").dictionary_encode()
+            h = hashed(langs.dictionary.to_pylist(), langs.indices.to_numpy(), b.column("gram").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, bits)), pa.array(h.view(np.int64)), pa.array(np.log2(b.column("p").to_numpy()).astype(np.float32))], ["shard", "hash", "log2"])
 
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        h = table.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        return pa.table({"shard": [key[0].as_py()], "hashes": pa.array([h[order].tobytes()], pa.binary()), "log2s": pa.array([table.column("log2").to_numpy()[order].tobytes()], pa.binary())})
 
-def scored(docs: DataFrame, models: dict[str, tuple], bands: dict[str, tuple[float, float]] | None, columns: list[str]) -> DataFrame:
-    """The columns asked for, then OWN: the base counts, base_failed, bits (log2 perplexity), kept. A name of OWN that is taken gets an underscore in front."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((models, bands))
-    docs = docs.select(*dict.fromkeys([*columns, "text", "lang"]))
-    own = free_names(docs.select(*columns), *OWN)
-    kinds = ["long"] * 5 + ["boolean", "double", "boolean"]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"{n} {k}" for n, k in zip(own, kinds, strict=True)])
+    rows = model.mapInArrow(run, "shard long, hash long, log2 float")
+    return rows.groupBy("shard").applyInArrow(pack, "shard long, hashes binary, log2s binary")
+
+
+def block_hashes(table: pa.Table) -> np.ndarray:
+    """The sorted distinct n-gram hashes of a block of texts."""
+    found, held = [np.zeros(0, np.uint64)], 0
+    for data, offsets, langs, of, i, j in pieces(table):
+        key = grams(data, offsets, i, j) | of[owners(offsets, np.arange(i, j))] << GRAM_BITS
+        key = pc.unique(pa.array(key)).to_numpy()
+        found.append(np.unique(hashed(langs, key >> GRAM_BITS, key & ((1 << GRAM_BITS) - 1))))
+        held += len(key)
+        if held > HELD:
+            found, held = [np.unique(np.concatenate(found))], 0
+    return np.unique(np.concatenate(found))
 
-    def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, bands = shared.value
+
+def pieces(table: pa.Table) -> Iterator[tuple]:
+    """Bytes, offsets, languages, the language of each text, and ranges of positions, for slices of a block."""
+    for b in table.select(["lang_", "text_"]).to_batches():
+        langs = b.column(0).dictionary_encode()
+        of = langs.indices.to_numpy().astype(np.int64)
+        for at, part in batches(b.column(1), BATCH_BYTES):
+            data, offsets = utf8_buffer(part)
+            for i, j in slices(offsets):
+                yield data, offsets, langs.dictionary.to_pylist(), of[at : at + len(part)], i, j
+
+
+def questions(blocks: DataFrame, bits: int) -> DataFrame:
+    """block, shard, hashes: what each block asks of each shard."""
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        h = block_hashes(table)
+        cuts = np.searchsorted(shard_of(h, bits), np.arange((1 << bits) + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        own = [h[cuts[s] : cuts[s + 1]].tobytes() for s in some]
+        return pa.table({"block": pa.array([key[0].as_py()] * len(some), pa.int64()), "shard": pa.array(some.astype(np.int64)), "hashes": pa.array(own, pa.binary())})
+
+    return blocks.select("block", "lang_", "text_").groupBy("block").applyInArrow(ask, "block long, shard long, hashes binary")
+
+
+def answers(asked: DataFrame, arrays: DataFrame) -> DataFrame:
+    """block, shard, log2s: the log2 probabilities of the hashes asked for. Each shard's arrays come before its questions."""
+
+    def look_up(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = values = None
         for b in tables:
-            langs = pc.fill_null(b.column("lang"), "").to_numpy(zero_copy_only=False)
-            for at, part in batches(b.column("text"), BATCH_BYTES):
+            out = []
+            for shard, block, h, v in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "hashes", "log2s")), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                if block is None:
+                    hashes, values = h, np.frombuffer(v, np.float32)
+                else:
+                    out.append((block, shard, values[np.searchsorted(hashes, h)].tobytes()))  # all n-grams of all texts are there
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "shard", "log2s"])
+
+    none = F.lit(None)
+    both = arrays.select("shard", none.cast("long").alias("block"), "hashes", "log2s").unionByName(asked.select("shard", "block", "hashes", none.cast("binary").alias("log2s")))
+    both = both.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+    return both.mapInArrow(look_up, "block long, shard long, log2s binary")
+
+
+def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """The columns asked for, then all of OWN but the verdict, then the language's name."""
+    counts = scratch.table(counted(docs), "counts")
+    size = counts.agg(F.count("*").alias("grams"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size["bytes"] // BLOCK))
+    bits = int(max(SHARDS, size["grams"] // SHARD_HASHES, n_blocks // SHARD_BLOCKS) - 1).bit_length()
+    arrays = scratch.table(sorted_arrays(log_probabilities(counts, scratch), bits), "model")
+    own = free_names(docs.select(*columns), *OWN)
+    block = F.pmod(F.xxhash64(*(c for c in ("doc_id", "lang", "text") if c in docs.columns)), F.lit(n_blocks)).alias("block")
+    renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    blocks = docs.select(block, lang_name(F.col("lang")).alias("lang_"), F.col("text").alias("text_"), *renamed)
+    blocks = blocks.repartition(n_blocks, "block")
+    known = answers(questions(blocks, bits), arrays).repartition(n_blocks, "block")
+    kinds = ["long"] * 5 + ["boolean", "double"]
+    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)] + [f"`{n}` {k}" for n, k in zip(own, kinds, strict=False)] + ["lang_ string"])
+
+    def judge(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        hashes = block_hashes(table)
+        order = np.argsort(found.column("shard").to_numpy())
+        log2s = found.column("log2s").to_pylist()
+        log2s = np.frombuffer(b"".join(log2s[i] for i in order), np.float32)
+        out = []
+        for b in table.to_batches():
+            for at, part in batches(b.column("text_"), BATCH_BYTES):
                 data, offsets = utf8_buffer(part)
+                rest = b.slice(at, len(part))
+                langs = rest.column("lang_").dictionary_encode()
+                of, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist()
+                total = np.zeros(len(part))
+                for i, j in slices(offsets):
+                    text = owners(offsets, np.arange(i, j))
+                    coded = pa.array(grams(data, offsets, i, j) | of[text] << GRAM_BITS).dictionary_encode()
+                    gram = coded.dictionary.to_numpy()
+                    each = log2s[np.searchsorted(hashes, hashed(names, gram >> GRAM_BITS, gram & ((1 << GRAM_BITS) - 1)))]
+                    total += np.bincount(text, weights=each[coded.indices.to_numpy()], minlength=len(part))
                 base = base_columns(data, offsets)
                 failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
-                ids, ends = gram_ids(data, offsets)
-                here = langs[at : at + len(part)]
-                bits, sizes, kept = np.full(len(part), np.nan), np.diff(ends), ~failed
-                for lang in set(here) & models.keys():
-                    mine = here == lang
-                    chosen = ids[np.repeat(mine, sizes)]
-                    seen = np.flatnonzero(np.bincount(chosen, minlength=SYMBOLS**ORDER))
-                    dense = np.zeros(SYMBOLS**ORDER)
-                    dense[seen] = log_probabilities(models[lang], seen)
-                    total = np.concatenate([[0], np.cumsum(dense[chosen])])
-                    stops = np.cumsum(sizes[mine])
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        bits[mine] = -(total[stops] - total[stops - sizes[mine]]) / sizes[mine]
-                if bands is not None:
-                    low, high = np.array([bands.get(x, (-np.inf, np.inf)) for x in here]).reshape(-1, 2).T
-                    kept &= ~((bits < low) | (bits > high))
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(at, len(part)) for c in columns), *(pa.array(base[n].astype(np.int64)) for n in OWN[:5]), pa.array(failed), pa.array(bits, mask=np.isnan(bits)), pa.array(kept)],
-                    [*columns, *own],
-                )
-
-    return docs.mapInArrow(score, schema)
-
-
-def fit(docs: DataFrame, scratch: Scratch) -> list[tuple[dict, dict]]:
-    """Models and bands, some languages at a time. Documents that fail the base rule are counted but set no band."""
-    counts = scratch.table(counted(docs), "counts")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    out = []
-    for i in range(0, len(langs), CHUNK):
-        chunk = langs[i : i + CHUNK]
-        models = {}
-        for lang in chunk:
-            own = counts.where(F.col("lang") == lang).select("gram", "n").toPandas()  # SYMBOLS ** ORDER rows at most
-            models[lang] = kneser_ney(own["gram"].to_numpy(), own["n"].to_numpy())
-        narrow = scored(docs.where(F.coalesce("lang", F.lit("")).isin(chunk)), models, None, ["lang"])
-        quartiles = narrow.where("kept and bits is not null").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000)).alias("q"))
-        bands = {}
-        for r in quartiles.collect():
-            width = max(r.q[1] - r.q[0], LEAST_RANGE)
-            bands[r.lang] = (r.q[0] - BELOW * width, r.q[1] + ABOVE * width)
-        out.append((models, bands))
-    return out
+                sizes = np.diff(offsets)
+                bits = -total / np.maximum(sizes, 1)
+                cols = [*(rest.column(f"c{i}") for i in range(len(columns))), *(pa.array(base[n].astype(np.int64)) for n in OWN[:5]), pa.array(failed), pa.array(bits, mask=sizes == 0), rest.column("lang_")]
+                out.append(pa.RecordBatch.from_arrays(cols, [*(f"c{i}" for i in range(len(columns))), *own[:-1], "lang_"]))
+        return pa.Table.from_batches(out)
+
+    done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, schema)
+    return done.withColumnsRenamed({f"c{i}": c for i, c in enumerate(columns)})
 
 
 def quality_rules(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns asked for with the rules' counts and verdicts, a row for each document of docs(lang, text, ...)."""
-    fitted = fit(docs, Scratch(docs.sparkSession, "quality-rules")) or [({}, {})]
-    if len(fitted) == 1:
-        return scored(docs, *fitted[0], columns)
-    parts = [scored(docs.where(F.coalesce("lang", F.lit("")).isin(list(models))), models, bands, columns) for models, bands in fitted]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    own = free_names(docs.select(*columns), *OWN)
+    failed, bits, kept = own[5:]
+    (lang_,) = free_names(docs.select(*columns), "lang_")
+    done = scored(docs, columns, scratch).withColumnRenamed("lang_", lang_)
+    done = scratch.table(done, "scored")
+    q = F.percentile_approx(bits, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
+    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
+    bands = done.where(~F.col(failed) & F.col(bits).isNotNull()).groupBy(lang_).agg(q.alias("q"))
+    low_, high_ = free_names(done, "low_", "high_")
+    bands = scratch.table(bands.select(lang_, (F.col("q")[0] - BELOW * width).alias(low_), (F.col("q")[1] + ABOVE * width).alias(high_)), "bands")
+    within = F.coalesce(F.col(bits).between(F.col(low_), F.col(high_)), F.lit(True))
+    return done.join(bands, lang_, "left").withColumn(kept, ~F.col(failed) & within).select(*columns, *own)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

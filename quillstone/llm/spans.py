@@ -1,8 +1,15 @@
-"""Words, lines and their hashes over the concatenated UTF-8 bytes of many texts."""
+"""Words, lines and their identities over the concatenated UTF-8 bytes of many texts.
+
+Spans are told apart by their bytes: each distinct span of a batch has a number, and where numbers must mean the same in
+all tasks, a BLAKE2b digest.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 from quillstone.llm.common import mix64
 
@@ -41,8 +48,11 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def per_text(offsets: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """The number of True flags in each text."""
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(flags.view(np.uint8), offsets[full], dtype=np.int64)
+    return out
 
 
 def powers(base: np.uint64, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
@@ -54,18 +64,22 @@ def powers(base: np.uint64, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B00
     return kept[base][:n]
 
 
-class SpanHashes:
-    """64-bit hashes of any byte spans of a buffer."""
+def numbered_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span, the same for the same bytes, and the distinct spans by number. Spans are in order and apart."""
+    sizes = ends - starts
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1  # a span may start where another ends
+    edge[ends] -= 1
+    packed = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * powers(BASE, n + 1)[:n], out=self.prefix[1:])
-        self.inverse = powers(INVERSE, n + 1)
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        own = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
-        return mix64(own + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def digests(distinct: pa.Array) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of each span."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in distinct.to_pylist()), np.uint64)
 
 
 def owners(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -73,17 +87,17 @@ def owners(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, "right") - 1
 
 
-def repeated(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the item's text has its hash elsewhere too; and the same for all but one item of each hash in a text."""
-    n = len(hashes)
-    both = mix64(hashes ^ mix64(text.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(both)
-    ranked = both[order]
-    same = np.zeros(n, bool)
-    same[1:] = ranked[1:] == ranked[:-1]
-    anywhere, further = np.zeros(n, bool), np.zeros(n, bool)
-    further[order] = same
-    twice = same.copy()
-    twice[:-1] |= same[1:]
-    anywhere[order] = twice
+def pair_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, the same for the same pair."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return pa.array(a * (int(b.max()) + 1) + b).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def repeated(text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the item's text has its number elsewhere too; and the same for all but the first item of each number in a text."""
+    both = pair_numbers(text, codes)
+    anywhere = np.bincount(both)[both] > 1 if len(both) else np.zeros(0, bool)
+    further = np.ones(len(both), bool)
+    further[np.unique(both, return_index=True)[1]] = False
     return anywhere, further

@@ -46,38 +46,54 @@ def test_quality_rules(spark, sf, rows, empty_sf):
     assert quality_rules.op2_quality_rules(spark, empty_sf).count() == 0
 
 
-def test_kneser_ney_is_a_distribution_and_matches_a_plain_model():
-    rng = np.random.default_rng(1)
-    text = bytes(rng.choice(list(b"abc d"), 400).tolist())
-    ids, _ = quality_rules.gram_ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    n = np.bincount(ids, minlength=32**4)
-    seen = np.flatnonzero(n)
-    model = quality_rules.kneser_ney(seen, n[seen])
-    for context in (0, int(ids[50]) >> 5, int(ids[99]) >> 5, 31 * 1024 + 5):
-        p = 2 ** quality_rules.log_probabilities(model, context * 32 + np.arange(32))
-        assert abs(p.sum() - 1) < 1e-5
-    assert (np.diff(model[0].astype(float)) >= 0).all()
-
-    def plain(gram):  # interpolated, with the same discounts, from dictionaries
-        grams = [tuple((g >> (5 * k)) & 31 for k in (3, 2, 1, 0)) for g in ids.tolist()]
-        levels = {4: Counter(grams)}
-        for k in (3, 2, 1):
+def plain_perplexities(rows):
+    """bits of each row by a dictionary model of its language: interpolated modified Kneser-Ney over 5 bytes."""
+    out = {}
+    for lang in {r[2] for r in rows}:
+        texts = [(k, (r[1] or "").encode()) for k, r in enumerate(rows) if r[2] == lang]
+        grams = {k: [(bytes(4) + t)[i : i + 5] for i in range(len(t))] for k, t in texts}
+        levels = {5: Counter(g for own in grams.values() for g in own)}
+        for k in (4, 3, 2, 1):
             levels[k] = Counter(g[1:] for g in levels[k + 1])
-        p = 1 / 32
-        for k in (1, 2, 3, 4):
-            c, own = levels[k], gram[4 - k :]
-            n1, n2, n3, n4 = (max(sum(v == j for v in c.values()), 1) for j in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            d = [0, min(max(1 - 2 * y * n2 / n1, 0.05), 0.95), min(max(2 - 3 * y * n3 / n2, 0.05), 1.9), min(max(3 - 4 * y * n4 / n3, 0.05), 2.9)]
-            after = {g: v for g, v in c.items() if g[:-1] == own[:-1]}
-            total = sum(after.values())
-            if total:
-                p = max(c[own] - d[min(c[own], 3)], 0) / total + sum(d[min(v, 3)] for v in after.values()) / total * p
-        return p
-
-    for g in [*ids[:5].tolist(), 12345]:
-        gram = tuple((g >> (5 * k)) & 31 for k in (3, 2, 1, 0))
-        assert abs(2 ** quality_rules.log_probabilities(model, np.array([g]))[0] - plain(gram)) < 1e-5
+        below = None
+        for k in range(1, 6):
+            c = levels[k]
+            n = [max(sum(v == j for v in c.values()), 1) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), (0.95, 1.9, 2.9)[j - 1]) for j in (1, 2, 3)]
+            own = {g: 0 if k >= 3 and v < 3 else max(v - d[min(v, 3) - 1], 0) for g, v in c.items()}
+            total, mass = Counter(), Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                mass[g[:-1]] += own[g]
+            below = {g: own[g] / total[g[:-1]] + (1 - mass[g[:-1]] / total[g[:-1]]) * (below[g[1:]] if below else 1 / 256) for g in c}
+        for k, t in texts:
+            out[k] = -sum(np.log2(below[g]) for g in grams[k]) / len(t) if t else None
+    return out
+
+
+def test_perplexities_and_verdicts_match_a_plain_model(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BLOCK", 3000)  # several blocks, slices and tallies
+    monkeypatch.setattr(quality_rules, "SLICE", 700)
+    monkeypatch.setattr(quality_rules, "HELD", 500)
+    rows = [*rows, (900, "null is not the empty name " * 30, "", "s", 1)]
+    df = docs.unionByName(spark.createDataFrame(rows[-1:], docs.schema))
+    bits = plain_perplexities(rows)
+    base = [plain_base(r[1]) for r in rows]
+    bands = {}
+    for lang in {r[2] for r in rows}:
+        own = sorted(bits[k] for k, r in enumerate(rows) if r[2] == lang and not base[k][-1] and bits[k] is not None)
+        if own:
+            low, high = (own[max(-(-len(own) * q // 4) - 1, 0)] for q in (1, 3))
+            width = max(high - low, quality_rules.LEAST_RANGE)
+            bands[lang] = (low - quality_rules.BELOW * width, high + quality_rules.ABOVE * width)
+    want = Counter()
+    for k, r in enumerate(rows):
+        low, high = bands.get(r[2], (0, 0))
+        kept = not base[k][-1] and (bits[k] is None or low <= bits[k] <= high)
+        want[r[0], r[2], None if bits[k] is None else round(bits[k], 3), kept] += 1
+    got = quality_rules.quality_rules(df, ["doc_id", "lang"]).collect()
+    same([(r.doc_id, r.lang, None if r.bits is None else round(r.bits, 3), r.kept) for r in got], want)
 
 
 def test_bands_reject_noise_and_keep_prose(spark):
