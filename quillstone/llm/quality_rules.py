@@ -7,8 +7,8 @@
   gets no mass of its own but what shorter ones lend it, so that a document isn't judged by what only it says. The log
   probabilities are kept as sorted arrays of n-gram hashes, a row for each shard of the hash range; no task or driver
   holds more than a shard.
-* Scores. Texts are dealt into blocks of about BLOCK bytes. A block asks each shard once for its distinct n-grams, and
-  the answers meet the texts by block, from the same shuffle that the questions came from.
+* Scores. Tasks pack the texts that they read into compressed blocks of about BLOCK bytes. A block asks each shard once
+  for its distinct n-grams, and the answers meet the texts by block, from the same shuffle that the questions came from.
 * Bands. A document is rejected beyond BELOW or ABOVE interquartile ranges of log2 perplexity of its language, taken over
   all documents that pass the base rule.
 
@@ -213,30 +213,67 @@ def sorted_arrays(model: DataFrame, bits: int) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(pack, "shard long, hashes binary, log2s binary")
 
 
+def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """block, pack: the columns, renamed c0, c1, ..., with lang_ and text_, as compressed Arrow tables of about BLOCK bytes of text."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in held:
+                out.write_batch(b)
+        raw = sink.getvalue().to_pybytes()
+        return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw], pa.binary())], ["block", "pack"])
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in tables:
+            for at, part in batches(b.column("text_"), BLOCK):
+                held.append(b.slice(at, len(part)))
+                size += pc.sum(pc.binary_length(part)).as_py() or 0
+                if size >= BLOCK:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
+
+    renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    return docs.select(lang_name(F.col("lang")).alias("lang_"), F.col("text").alias("text_"), *renamed).mapInArrow(run, "block string, pack binary")
+
+
+def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Slices of a block, of about BATCH_BYTES of text."""
+    for raw in table.column("pack"):
+        for b in pa.ipc.open_stream(raw.as_buffer()):
+            for at, part in batches(b.column("text_"), BATCH_BYTES):
+                yield b.slice(at, len(part))
+
+
+def coded(b: pa.RecordBatch) -> Iterator[tuple]:
+    """For slices of a batch's bytes: languages, the n-grams with their language's number, and the text of each."""
+    langs = b.column("lang_").dictionary_encode()
+    of = langs.indices.to_numpy().astype(np.int64)
+    data, offsets = utf8_buffer(b.column("text_"))
+    for i, j in slices(offsets):
+        text = owners(offsets, np.arange(i, j))
+        yield langs.dictionary.to_pylist(), grams(data, offsets, i, j) | of[text] << GRAM_BITS, text
+
+
+def key_hashes(langs: list[str], keys: np.ndarray) -> np.ndarray:
+    return hashed(langs, keys >> GRAM_BITS, keys & ((1 << GRAM_BITS) - 1))
+
+
 def block_hashes(table: pa.Table) -> np.ndarray:
     """The sorted distinct n-gram hashes of a block of texts."""
     found, held = [np.zeros(0, np.uint64)], 0
-    for data, offsets, langs, of, i, j in pieces(table):
-        key = grams(data, offsets, i, j) | of[owners(offsets, np.arange(i, j))] << GRAM_BITS
-        key = pc.unique(pa.array(key)).to_numpy()
-        found.append(np.unique(hashed(langs, key >> GRAM_BITS, key & ((1 << GRAM_BITS) - 1))))
-        held += len(key)
+    for b in unpacked(table):
+        for langs, keys, _ in coded(b):
+            found.append(key_hashes(langs, pc.unique(pa.array(keys)).to_numpy()))
+            held += len(found[-1])
         if held > HELD:
             found, held = [np.unique(np.concatenate(found))], 0
     return np.unique(np.concatenate(found))
 
 
-def pieces(table: pa.Table) -> Iterator[tuple]:
-    """Bytes, offsets, languages, the language of each text, and ranges of positions, for slices of a block."""
-    for b in table.select(["lang_", "text_"]).to_batches():
-        langs = b.column(0).dictionary_encode()
-        of = langs.indices.to_numpy().astype(np.int64)
-        for at, part in batches(b.column(1), BATCH_BYTES):
-            data, offsets = utf8_buffer(part)
-            for i, j in slices(offsets):
-                yield data, offsets, langs.dictionary.to_pylist(), of[at : at + len(part)], i, j
-
-
 def questions(blocks: DataFrame, bits: int) -> DataFrame:
     """block, shard, hashes: what each block asks of each shard."""
 
@@ -245,9 +282,9 @@ def questions(blocks: DataFrame, bits: int) -> DataFrame:
         cuts = np.searchsorted(shard_of(h, bits), np.arange((1 << bits) + 1))
         some = np.flatnonzero(np.diff(cuts))
         own = [h[cuts[s] : cuts[s + 1]].tobytes() for s in some]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(some), pa.int64()), "shard": pa.array(some.astype(np.int64)), "hashes": pa.array(own, pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()] * len(some), pa.string()), "shard": pa.array(some.astype(np.int64)), "hashes": pa.array(own, pa.binary())})
 
-    return blocks.select("block", "lang_", "text_").groupBy("block").applyInArrow(ask, "block long, shard long, hashes binary")
+    return blocks.groupBy("block").applyInArrow(ask, "block string, shard long, hashes binary")
 
 
 def answers(asked: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -264,27 +301,24 @@ def answers(asked: DataFrame, arrays: DataFrame) -> DataFrame:
                 else:
                     out.append((block, shard, values[np.searchsorted(hashes, h)].tobytes()))  # all n-grams of all texts are there
             cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "shard", "log2s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["block", "shard", "log2s"])
 
     none = F.lit(None)
-    both = arrays.select("shard", none.cast("long").alias("block"), "hashes", "log2s").unionByName(asked.select("shard", "block", "hashes", none.cast("binary").alias("log2s")))
+    both = arrays.select("shard", none.cast("string").alias("block"), "hashes", "log2s").unionByName(asked.select("shard", "block", "hashes", none.cast("binary").alias("log2s")))
     both = both.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
-    return both.mapInArrow(look_up, "block long, shard long, log2s binary")
+    return both.mapInArrow(look_up, "block string, shard long, log2s binary")
 
 
 def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
     """The columns asked for, then all of OWN but the verdict, then the language's name."""
     counts = scratch.table(counted(docs), "counts")
     size = counts.agg(F.count("*").alias("grams"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
-    n_blocks = max(1, -(-size["bytes"] // BLOCK))
-    bits = int(max(SHARDS, size["grams"] // SHARD_HASHES, n_blocks // SHARD_BLOCKS) - 1).bit_length()
+    bits = int(max(SHARDS, size["grams"] // SHARD_HASHES, size["bytes"] // (BLOCK * SHARD_BLOCKS)) - 1).bit_length()
     arrays = scratch.table(sorted_arrays(log_probabilities(counts, scratch), bits), "model")
     own = free_names(docs.select(*columns), *OWN)
-    block = F.pmod(F.xxhash64(*(c for c in ("doc_id", "lang", "text") if c in docs.columns)), F.lit(n_blocks)).alias("block")
-    renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    blocks = docs.select(block, lang_name(F.col("lang")).alias("lang_"), F.col("text").alias("text_"), *renamed)
-    blocks = blocks.repartition(n_blocks, "block")
-    known = answers(questions(blocks, bits), arrays).repartition(n_blocks, "block")
+    # Both uses take all columns of this shuffle, so that Spark reuses it.
+    blocks = packed(docs, columns).repartition("block")
+    known = answers(questions(blocks, bits), arrays)
     kinds = ["long"] * 5 + ["boolean", "double"]
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)] + [f"`{n}` {k}" for n, k in zip(own, kinds, strict=False)] + ["lang_ string"])
 
@@ -294,25 +328,19 @@ def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
         log2s = found.column("log2s").to_pylist()
         log2s = np.frombuffer(b"".join(log2s[i] for i in order), np.float32)
         out = []
-        for b in table.to_batches():
-            for at, part in batches(b.column("text_"), BATCH_BYTES):
-                data, offsets = utf8_buffer(part)
-                rest = b.slice(at, len(part))
-                langs = rest.column("lang_").dictionary_encode()
-                of, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist()
-                total = np.zeros(len(part))
-                for i, j in slices(offsets):
-                    text = owners(offsets, np.arange(i, j))
-                    coded = pa.array(grams(data, offsets, i, j) | of[text] << GRAM_BITS).dictionary_encode()
-                    gram = coded.dictionary.to_numpy()
-                    each = log2s[np.searchsorted(hashes, hashed(names, gram >> GRAM_BITS, gram & ((1 << GRAM_BITS) - 1)))]
-                    total += np.bincount(text, weights=each[coded.indices.to_numpy()], minlength=len(part))
-                base = base_columns(data, offsets)
-                failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
-                sizes = np.diff(offsets)
-                bits = -total / np.maximum(sizes, 1)
-                cols = [*(rest.column(f"c{i}") for i in range(len(columns))), *(pa.array(base[n].astype(np.int64)) for n in OWN[:5]), pa.array(failed), pa.array(bits, mask=sizes == 0), rest.column("lang_")]
-                out.append(pa.RecordBatch.from_arrays(cols, [*(f"c{i}" for i in range(len(columns))), *own[:-1], "lang_"]))
+        for b in unpacked(table):
+            total = np.zeros(len(b))
+            for langs, keys, text in coded(b):
+                each = pa.array(keys).dictionary_encode()
+                values = log2s[np.searchsorted(hashes, key_hashes(langs, each.dictionary.to_numpy()))]
+                total += np.bincount(text, weights=values[each.indices.to_numpy()], minlength=len(b))
+            data, offsets = utf8_buffer(b.column("text_"))
+            base = base_columns(data, offsets)
+            failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
+            sizes = np.diff(offsets)
+            kept = [b.column(f"c{i}") for i in range(len(columns))]
+            found_here = [pa.array(base[n].astype(np.int64)) for n in OWN[:5]] + [pa.array(failed), pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)]
+            out.append(pa.RecordBatch.from_arrays([*kept, *found_here, b.column("lang_")], [*(f"c{i}" for i in range(len(columns))), *own[:-1], "lang_"]))
         return pa.Table.from_batches(out)
 
     done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, schema)
