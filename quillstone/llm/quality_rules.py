@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, mix64, read, utf8_buffer
-from quillstone.llm.spans import NOT_WHITE, numbered_spans, owners, pair_numbers, per_text, repeated, runs
+from quillstone.llm.spans import NOT_WHITE, owners, pair_numbers, per_text, repeated, runs, span_numbers
 from quillstone.llm.token_counts import batches
 
 #: Base rule.
@@ -41,9 +41,9 @@ BELOW, ABOVE = 2.5, 2.5
 #: The least interquartile range, in bits a byte, so that very uniform corpora aren't judged on noise.
 LEAST_RANGE = 0.01
 #: Bytes of text in a block, of a slice that is worked on at once, and of texts taken from Arrow together.
-BLOCK, SLICE, BATCH_BYTES = 32_000_000, 4_000_000, 2_000_000
+BLOCK, SLICE, BATCH_BYTES = 32_000_000, 1_000_000, 2_000_000
 #: Distinct n-grams that a task holds before it hands on their counts.
-HELD = 4_000_000
+HELD = 1_000_000
 #: Least number of shards, hashes in a shard, and blocks a shard.
 SHARDS, SHARD_HASHES, SHARD_BLOCKS = 64, 1_000_000, 1024
 
@@ -59,7 +59,7 @@ def base_columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     texts = len(offsets) - 1
     inside = NOT_WHITE[data]
     starts, ends = runs(inside, offsets)
-    text, own = owners(offsets, starts), numbered_spans(data, starts, ends)[0]
+    text, own = owners(offsets, starts), span_numbers(data, starts, ends)
     marked = np.zeros(len(own), bool)
     if len(own) >= 3:
         windows = pair_numbers(pair_numbers(own[:-2], own[1:-1]), own[2:])
@@ -71,7 +71,7 @@ def base_columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     full = np.searchsorted(starts, l_ends) > np.searchsorted(ends, l_starts, "right")
     l_starts, l_ends = l_starts[full], l_ends[full]
     l_text = owners(offsets, l_starts)
-    dup = repeated(l_text, numbered_spans(data, l_starts, l_ends)[0])[1]
+    dup = repeated(l_text, span_numbers(data, l_starts, l_ends))[1]
     return {
         "n_words": np.bincount(text, minlength=texts),
         "word_chars": per_text(offsets, inside & ((data & 0xC0) != 0x80)),
@@ -355,6 +355,7 @@ def quality_rules(docs: DataFrame, columns: list[str]) -> DataFrame:
     (lang_,) = free_names(docs.select(*columns), "lang_")
     done = scored(docs, columns, scratch).withColumnRenamed("lang_", lang_)
     done = scratch.table(done, "scored")
+    scratch.keep("scored")
     q = F.percentile_approx(bits, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
     bands = done.where(~F.col(failed) & F.col(bits).isNotNull()).groupBy(lang_).agg(q.alias("q"))
