@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a local master may do without it and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,18 +25,20 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that nothing lazy reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these: what nothing lazy reads any more."""
+        for name in set(self.names) - set(names):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names = list(names)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Benchmark decontamination with a positional inverted index.
 
-The test items are a stated query set: blocks of at most BLOCK_CHARS of their text are taken to the driver, one after the
-other, and each block's vocabulary goes to the tasks. Training texts are read twice: once to count how often each test
-term occurs, once to store the postings of the terms that windows start from. Each window of WINDOW words starts from its
+The test items are a stated query set: blocks of about BLOCK_CHARS of their text, by a hash of their ids, are taken one
+after the other, and the digests and counts of a block's distinct words, 16 bytes each, go to the driver and the tasks;
+the items themselves stay in tasks. Training texts are read twice: once to count how often each test term occurs, once to
+store the postings of the terms that windows start from. Each window of WINDOW words starts from its
 rarest term; a posting holds the document, the position and the terms of the words around it, so the lists of a window's
 other terms, adjusted by their offsets, are intersected where the rarest one stands. Exact phrases and proximity matches
 (the two rarest terms of a window within REACH words) come from one join of postings and test terms.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, read, utf8_buffer
-from quillstone.llm.spans import byte_table, digests, numbered_spans, owners, runs
+from quillstone.llm.spans import byte_table, owners, runs, span_digests
 from quillstone.llm.token_counts import batches
 
 WINDOW = 13
@@ -33,6 +34,8 @@ SHARE = 20
 #: Characters of test items in a block; their terms and windows are what the driver and the tasks hold.
 BLOCK_CHARS = 20_000_000
 BATCH_BYTES = 2_000_000
+#: Windows of an item that are worked on at once.
+PIECE = 100_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -44,33 +47,60 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8_buffer(texts)
     data = LOWER[data]
     starts, ends = runs(IN_WORD[data], offsets)
-    codes, distinct = numbered_spans(data, starts, ends)
-    return digests(distinct)[codes], np.searchsorted(starts, offsets)
-
-
-class Tests:
-    """A block of test items: their terms, numbered, and the words of each."""
-
-    def __init__(self, ids: list[str], texts: list[str]):
-        hashes, ends = words(pa.array(texts, pa.string()))
-        self.vocabulary = np.unique(hashes)
-        terms = np.searchsorted(self.vocabulary, hashes)
-        self.items = [(i, terms[a:b]) for i, a, b in zip(ids, ends[:-1], ends[1:], strict=True) if b > a]
-
-    def anchors(self, counts: np.ndarray) -> list[tuple[int, str, int, list[int], int]]:
-        """term, item, least run, terms around it, and the other of the two rarest terms (-3 if none): for each place a window starts from."""
-        out = []
-        for item, terms in self.items:
-            size = min(WINDOW, len(terms))
-            places: dict[int, int] = {}
-            for s in range(len(terms) - size + 1):
-                order = np.argsort(counts[terms[s : s + size]], kind="stable")
-                first = s + int(order[0])
-                other = next((int(terms[s + k]) for k in order[1:] if terms[s + k] != terms[first]), -3)
-                places.setdefault(first, other)
-            padded = np.concatenate([np.full(REACH, -2), terms, np.full(REACH, -2)])
-            out += [(int(terms[a]), item, size, padded[a : a + 2 * REACH + 1].tolist(), other) for a, other in places.items()]
-        return out
+    return span_digests(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def vocabulary_of(items: DataFrame) -> np.ndarray:
+    """The sorted digests of the items' distinct words."""
+
+    def distinct(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tables:
+            for _, part in batches(b.column("text"), BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(part)[0]).view(np.int64))], ["word"])
+
+    found = items.select("text").mapInArrow(distinct, "word long").distinct().toPandas()["word"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def anchors(terms: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an item's terms: the words of its windows; the places that windows start from, the rarest term of each window; the
+    terms around each place (-2 outside the item); and the other of its window's two rarest terms (-3 if there is none)."""
+    size = min(WINDOW, len(terms))
+    windows = np.lib.stride_tricks.sliding_window_view(terms, size)
+    order = np.argsort(counts[windows], axis=1, kind="stable")
+    first = np.arange(len(windows)) + order[:, 0]
+    ranked = np.take_along_axis(windows, order, axis=1)
+    differs = ranked != ranked[:, :1]
+    other = np.where(differs.any(axis=1), np.take_along_axis(ranked, differs.argmax(axis=1)[:, None], axis=1)[:, 0], -3)
+    place, at = np.unique(first, return_index=True)
+    padded = np.concatenate([np.full(REACH, -2), terms, np.full(REACH, -2)])
+    return size, place, padded[place[:, None] + np.arange(2 * REACH + 1)], other[at]
+
+
+def test_places(items: DataFrame, vocabulary: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """term, item_id, size, wanted, other: a row for each place that windows of items(item_id, text) start from."""
+    shared = items.sparkSession.sparkContext.broadcast((vocabulary, counts))
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, counts = shared.value
+        for b in tables:
+            for at, part in batches(b.column("text"), BATCH_BYTES):
+                hashes, ends = words(part)
+                terms = np.searchsorted(vocabulary, hashes)
+                for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    # A long item is worked on by pieces that overlap by a window.
+                    for low in range(i, max(j - WINDOW + 1, i + (j > i)), PIECE):
+                        own = terms[max(low - REACH, i) : min(low + PIECE + 2 * REACH, j)]
+                        size, place, wanted, other = anchors(own, counts)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(own[place].astype(np.int32)), pa.array([b.column("item_id")[at + k].as_py()] * len(place), pa.string()), pa.array(np.full(len(place), size, np.int32)),
+                                pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1, dtype=np.int32) * (2 * REACH + 1)), pa.array(wanted.reshape(-1).astype(np.int32))), pa.array(other.astype(np.int32)),
+                            ],
+                            ["term", "item_id", "size", "wanted", "other"],
+                        )
+
+    return items.mapInArrow(run, "term int, item_id string, size int, wanted array<int>, other int")
 
 
 def numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -94,8 +124,8 @@ def term_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[1:][seen])], ["term", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["term"]] = r["n"]
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
 
@@ -147,27 +177,25 @@ def matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Tests]:
+def blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield Tests([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids, near_ids, contaminated for docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found, sizes = None, None
-    for k, tests in enumerate(blocks(benchmark)):
-        counts = term_counts(docs, tests.vocabulary) if len(tests.vocabulary) else np.zeros(0, np.int64)
-        rows = tests.anchors(counts)
-        wanted = np.zeros(len(tests.vocabulary), bool)
-        wanted[np.array([r[0] for r in rows], np.int64)] = True
-        index = scratch.table(postings(docs, tests.vocabulary, wanted), f"index{k}")
-        places = spark.createDataFrame(rows, "term int, item_id string, size int, wanted array<int>, other int")
+    for k, items in enumerate(blocks(benchmark)):
+        vocabulary = vocabulary_of(items)
+        counts = term_counts(docs, vocabulary) if len(vocabulary) else np.zeros(0, np.int64)
+        places = scratch.table(test_places(items, vocabulary, counts), f"places{k}")
+        wanted = np.zeros(len(vocabulary), bool)
+        wanted[places.select("term").distinct().toPandas()["term"].to_numpy(np.int64)] = True
+        index = scratch.table(postings(docs, vocabulary, wanted), f"index{k}")
         own = scratch.table(matches(index, places), f"matches{k}")
         found = own if found is None else found.unionByName(own)
         sizes = index.select("doc_id", "text_hash", "n_words") if sizes is None else sizes

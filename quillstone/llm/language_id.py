@@ -2,7 +2,9 @@
 
 Features are hashed byte trigrams of the whole text (letters lowered, digits alike), square-rooted and normalised. Each
 machine is fitted by one task on a bounded sample: at most PER_CLASS documents of each side, spread evenly over a
-family's languages. Families are told apart the same way, pair by pair. The weights, TRIGRAMS floats a pair, are broadcast.
+family's languages. Families are told apart the same way, pair by pair. Languages of no known family, such as stray values
+of lang, form families of TOGETHER by name, so machines grow with their number and not with its square until there are
+very many. The weights, TRIGRAMS small floats a pair, are broadcast up to MOST_BYTES; more is an error, not a crash.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0; prediction uses text only.
 
@@ -25,9 +27,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, read, utf8_buffer
+from quillstone.llm.spans import SLICE, owners
 from quillstone.llm.token_counts import batches
 
-# Languages of a family. Any other language is a family of its own.
+# Languages of a family.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nl", "nn", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
@@ -41,6 +44,8 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 TRIGRAMS = 4096
+#: Other languages in a family, and bytes of weights that may be broadcast.
+TOGETHER, MOST_BYTES = 16, 400_000_000
 #: Documents that a machine learns each side from.
 PER_CLASS = 1000
 HELD_OUT_FOLDS = 5
@@ -52,8 +57,16 @@ FOLDED[48:58] = 48
 FOLDED[9:14] = 32
 
 
-def family_of(lang: str) -> str:
-    return FAMILY_OF.get(lang, lang)
+def families_of(langs: list[str]) -> dict[str, list[str]]:
+    """The languages of each family."""
+    out = defaultdict(list)
+    for lang in sorted(langs):
+        if lang in FAMILY_OF:
+            out[FAMILY_OF[lang]].append(lang)
+    others = sorted(set(langs) - set(FAMILY_OF))
+    for k in range(0, len(others), TOGETHER):
+        out[f"others from {others[k]}"] = others[k : k + TOGETHER]
+    return dict(sorted(out.items()))
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -62,13 +75,15 @@ def features(texts: pa.Array) -> np.ndarray:
     n = len(offsets) - 1
     if len(data) < 3:
         return np.zeros((n, TRIGRAMS), np.float32)
-    b = FOLDED[data]
-    h = (b[:-2] * 961 + b[1:-1] * 31 * 7 + b[2:] * 40503 + (b[:-2] ^ b[2:]) * 2654435761 % 4294967296 // 65536) % TRIGRAMS
-    sizes = np.maximum(np.diff(offsets) - 2, 0)
-    owner = np.repeat(np.arange(n), sizes)
-    at = np.repeat(offsets[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(owner))
-    counts = np.bincount(owner * TRIGRAMS + h[at], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
-    x = np.sqrt(counts, dtype=np.float32)
+    counts = np.zeros(n * TRIGRAMS, np.int64)
+    for i in range(0, len(data) - 2, SLICE):
+        b = FOLDED[data[i : i + SLICE + 2]]
+        h = (b[:-2] * 961 + b[1:-1] * 31 * 7 + b[2:] * 40503 + (b[:-2] ^ b[2:]) * 2654435761 % 4294967296 // 65536) % TRIGRAMS
+        at = np.arange(i, i + len(h))
+        text = owners(offsets, at)
+        whole = at + 3 <= offsets[text + 1]
+        counts += np.bincount(text[whole] * TRIGRAMS + h[whole], minlength=n * TRIGRAMS)
+    x = np.sqrt(counts.reshape(n, TRIGRAMS), dtype=np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -94,9 +109,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
 
 def pairs_of(langs: list[str]) -> list[tuple[str, str, tuple[str, ...], tuple[str, ...]]]:
     """Machines: their level ('' or a family), a name of each side joined by a line end, and the languages of each side."""
-    of = defaultdict(list)
-    for lang in sorted(langs):
-        of[family_of(lang)].append(lang)
+    of = families_of(langs)
     out = [("", f"{a}\n{b}", tuple(of[a]), tuple(of[b])) for a, b in combinations(sorted(of), 2)]
     return out + [(f, f"{a}\n{b}", (a,), (b,)) for f, own in sorted(of.items()) for a, b in combinations(own, 2)]
 
@@ -109,6 +122,8 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[list[str], dict[tuple[str,
     machines = pairs_of(langs)
     if not machines:
         return langs, {}
+    if len(machines) * TRIGRAMS * 2 > MOST_BYTES:
+        raise ValueError(f"{len(langs)} languages need {len(machines)} machines, more than may be broadcast")
     # About twice the bound by a hash of doc_id, then the bound itself: only the sample is shuffled.
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 2 * PER_CLASS / n))) for x, n in totals.items()])
     order = F.xxhash64(F.col("doc_id").cast("string"))
@@ -130,7 +145,9 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[list[str], dict[tuple[str,
 
     fitted = sample.join(F.broadcast(wanted), "lang").where(F.col("rank") <= F.greatest("most", F.lit(1)))
     fitted = fitted.groupBy("level", "pair").applyInPandas(train, "level string, pair string, w binary")
-    return langs, {(r["level"], r["pair"]): np.frombuffer(r["w"], np.float32) for r in fitted.collect()}
+    machines = {(r["level"], r["pair"]): np.frombuffer(r["w"], np.float32).astype(np.float16) for r in fitted.collect()}
+    scratch.keep()
+    return langs, machines
 
 
 def choose(x: np.ndarray, names: list[str], level: str, machines: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +155,7 @@ def choose(x: np.ndarray, names: list[str], level: str, machines: dict) -> tuple
     votes, margins = np.zeros((len(x), len(names))), np.full((len(x), len(names)), np.inf)
     for (i, a), (j, b) in combinations(enumerate(names), 2):
         w = machines[level, f"{a}\n{b}"]
+        w = w.astype(np.float32)
         m = x @ w[:-1] + w[-1]
         votes[:, i] += (m >= 0) + 1e-3 * np.tanh(m)
         votes[:, j] += (m < 0) - 1e-3 * np.tanh(m)
@@ -156,10 +174,8 @@ def predict(docs: DataFrame, langs: list[str], machines: dict, columns: list[str
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, machines = shared.value
-        of = defaultdict(list)
-        for lang in langs:
-            of[family_of(lang)].append(lang)
-        families = sorted(of)
+        of = families_of(langs)
+        families = list(of)
         for b in tables:
             for at, part in small_batches(b.column("text")):
                 letter = b.column(has_letter).slice(at, len(part)).to_numpy(zero_copy_only=False) & bool(langs)

@@ -13,13 +13,16 @@ table gives no rows; other columns pass through, and n_chars, where there is one
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import free_names, read
 
-#: Stands in for the secret that a deployment passes.
-DEMO_KEY = "quillstone-demonstration-key"
+#: Spark setting with the secret key of a deployment. Without it the registered query and the pipeline use the
+#: demonstration key, which is public: whoever has it can undo their pseudonyms.
+KEY_SETTING, DEMO_KEY = "spark.quillstone.pseudonyms.key", "quillstone-demonstration-key"
 ROUNDS = 8
 
 # Formats.
@@ -42,6 +45,9 @@ PATTERN = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, DATE_ISO, DATE_DAY_FIRST.re
 #: Runs outside of other values.
 RUNS = "|".join([SECRET, EMAIL, ACCESS_KEY, IPV4, IBAN, RUN])
 
+#: What every value has one of; texts without it are passed on as they are.
+GATE = r"[0-9@=:]|AKIA|ASIA"
+
 KINDS = ("secret", "email", "access_key", "ip", "date", "ssn", "phone", "card", "iban")
 #: Days from 1900-01-01 that dates are permuted among: 252 x 290 of them, to 2100-02-01.
 FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 252, 290
@@ -242,18 +248,27 @@ def cards_of(text: Column) -> Column:
     return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), F.transform(ordered, lambda x: x["w"]))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, restore: bool = False) -> DataFrame:
-    """docs with its text pseudonymised, plus pii_kinds (in place of a column of that name): the kinds replaced, one for each occurrence.
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's setting; the demonstration key, with a warning, where there is none."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the public demonstration key", stacklevel=2)
+    return found or DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str, restore: bool = False) -> DataFrame:
+    """docs with its text pseudonymised under the key, plus pii_kinds (in place of a column of that name): the kinds replaced, one for each occurrence.
 
     The text is cut at the cards, and what is between them at the other matches; gaps and new values are joined again, so nothing
     else in it changes. Where groups beside a card happen to make a second valid card with it, restoring may choose the other one.
     """
     pii = free_names(docs, "pii_matches")[0]
-    found = docs.withColumn(pii, cards_of(F.col("text")))
+    gate = F.coalesce(F.col("text").rlike(GATE), F.lit(False))
+    found = docs.withColumn(pii, F.when(gate, cards_of(F.col("text"))))
     either = F.concat(F.lit(r"(?<!\d)(?:"), F.array_join(pii, "|"), F.lit(r")(?!\d)"))
     some = F.size(pii) > 0
     cut = F.struct(F.when(some, F.split("text", either)).otherwise(F.array("text")).alias("parts"), F.when(some, F.regexp_extract_all("text", either, F.lit(0))).otherwise(F.array().cast("array<string>")).alias("cards"))
-    found = found.withColumn(pii, F.when(F.col("text").isNotNull(), cut))
+    found = found.withColumn(pii, F.when(gate, cut))
 
     def replaced(part: Column) -> Column:
         def joined(matches: Column) -> Column:
@@ -267,17 +282,17 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, restore: bool = False) ->
         return let(F.regexp_extract_all(part, F.lit(PATTERN), F.lit(0)), joined)
 
     found = found.withColumn(pii, F.zip_with(F.transform(f"{pii}.parts", replaced), f"{pii}.cards", lambda p, c: F.struct(F.concat(p["text"], F.coalesce(card(c, key, restore), F.lit(""))).alias("text"), F.when(c.isNull(), p["kinds"]).otherwise(F.concat(p["kinds"], F.array(F.lit("card")))).alias("kinds"))))
-    text = F.when(F.col("text").isNotNull(), F.array_join(f"{pii}.text", ""))
+    text = F.when(gate, F.array_join(f"{pii}.text", "")).otherwise(F.col("text"))
     out = found.withColumns({"text": text, "pii_kinds": F.coalesce(F.flatten(f"{pii}.kinds"), F.array().cast("array<string>"))}).drop(pii)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     counts = [(F.size("pii_kinds") - F.size(F.array_remove(F.col("pii_kinds"), kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_pii"), *counts)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its columns, its text pseudonymised and n_chars to match."""
-    return pseudonymise(docs).select(*docs.columns)
+    return pseudonymise(docs, key_of(spark)).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, read, utf8_buffer
 from quillstone.llm.quality_rules import base_columns
-from quillstone.llm.spans import NOT_WHITE, numbered_spans, owners, per_text, runs
+from quillstone.llm.spans import NOT_WHITE, owners, per_text, runs, span_numbers
 from quillstone.llm.token_counts import batches
 
 FEATURES, SEED, PENALTY, BINS, FOLDS = 256, 20240229, 1e-3, 512, 3
@@ -31,6 +31,8 @@ BANDWIDTH = 4.0
 #: Standardised statistics are cut off at so many standard deviations.
 CUT = 4.0
 BATCH_BYTES = 2_000_000
+#: One in so many labelled rows calibrates and is not fitted on.
+CALIBRATE = 3
 STATISTICS = 20
 
 
@@ -43,7 +45,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     some, words = np.maximum(size, 1), np.maximum(base["n_words"], 1)
     share = lambda flags: per_text(offsets, flags) / some
     starts, ends = runs(NOT_WHITE[data], offsets)
-    text, h = owners(offsets, starts), numbered_spans(data, starts, ends)[0]
+    text, h = owners(offsets, starts), span_numbers(data, starts, ends)
     follows = np.zeros(len(h), bool)
     follows[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
     by_word = lambda flags: np.bincount(text[flags], minlength=n) / words
@@ -124,7 +126,11 @@ def pool_adjacent_violators(x: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
 
 
 def fit(train: DataFrame) -> dict:
-    """The model of train(stats, y)."""
+    """The model of train(stats, y, calibrate): scores are fitted on the rows without the mark and calibrated on those with it.
+
+    Without rows to calibrate on, a score is the ridge's own, cut off at 0 and 1; with one label only, or none, it is constant.
+    """
+    rest, train = train.where("calibrate"), train.where("not calibrate")
     moments = train.select(F.posexplode("stats").alias("j", "s"), "y").groupBy("j").agg(F.count("*").alias("n"), F.avg("s").alias("m"), F.stddev_pop("s").alias("d"), F.avg("y").alias("y")).toPandas().sort_values("j")
     if not len(moments) or moments["y"].iloc[0] in (0.0, 1.0):
         return {"constant": float(moments["y"].iloc[0]) if len(moments) else 0.5}
@@ -140,8 +146,8 @@ def fit(train: DataFrame) -> dict:
             own = pd.DataFrame({"bin": np.clip(np.floor((r + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int32), "r": r, "y": b.column("y").to_numpy(), "n": 1}).groupby("bin", as_index=False).sum()
             yield pa.RecordBatch.from_pandas(own[["bin", "r", "y", "n"]], preserve_index=False)
 
-    binned = train.select("stats", "y").mapInArrow(bins, "bin int, r double, y double, n long").groupBy("bin").agg(F.sum("r").alias("r"), F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().sort_values("bin")
-    knots = pool_adjacent_violators(binned["r"] / binned["n"], binned["y"] / binned["n"], binned["n"])
+    binned = rest.select("stats", "y").mapInArrow(bins, "bin int, r double, y double, n long").groupBy("bin").agg(F.sum("r").alias("r"), F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().sort_values("bin")
+    knots = pool_adjacent_violators(binned["r"] / binned["n"], binned["y"] / binned["n"], binned["n"]) if len(binned) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     return {"mean": mean, "spread": spread, "w": w, "knots": knots}
 
 
@@ -163,6 +169,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = scratch.table(with_statistics(read(spark, sf_dir, "documents")), "stats")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     labels = read(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold != 1)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    train = scratch.table(stats.join(labels, "doc_id"), "train")
-    done = scored(stats, fit(train))
+    calibrate = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0
+    train = scratch.table(stats.join(labels, "doc_id").withColumn("calibrate", calibrate), "train")
+    model = fit(train)
+    scratch.keep("stats")
+    done = scored(stats, model)
     return done.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

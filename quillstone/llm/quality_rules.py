@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, free_names, mix64, read, utf8_buffer
-from quillstone.llm.spans import NOT_WHITE, owners, pair_numbers, per_text, repeated, runs, span_numbers
+from quillstone.llm.spans import NOT_WHITE, further, owners, pair_numbers, per_text, repeated, runs, span_numbers
 from quillstone.llm.token_counts import batches
 
 #: Base rule.
@@ -62,16 +62,16 @@ def base_columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     text, own = owners(offsets, starts), span_numbers(data, starts, ends)
     marked = np.zeros(len(own), bool)
     if len(own) >= 3:
-        windows = pair_numbers(pair_numbers(own[:-2], own[1:-1]), own[2:])
         at = np.flatnonzero(text[:-2] == text[2:])
-        twice = at[repeated(text[at], windows[at])[0]]
+        twice = at[repeated(text[at], pair_numbers(pair_numbers(own[at], own[at + 1]), own[at + 2]))]
+        del own, at
         for k in range(3):
             marked[twice + k] = True
     l_starts, l_ends = runs(data != 10, offsets)
     full = np.searchsorted(starts, l_ends) > np.searchsorted(ends, l_starts, "right")
     l_starts, l_ends = l_starts[full], l_ends[full]
     l_text = owners(offsets, l_starts)
-    dup = repeated(l_text, span_numbers(data, l_starts, l_ends))[1]
+    dup = further(l_text, span_numbers(data, l_starts, l_ends))
     return {
         "n_words": np.bincount(text, minlength=texts),
         "word_chars": per_text(offsets, inside & ((data & 0xC0) != 0x80)),

@@ -17,6 +17,7 @@ of its component are null; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,22 +35,30 @@ RADIUS, WORDS, SEED = 2, 3, 42
 BANDS = ((0, 22), (22, 21), (43, 21))
 SHARD = 20_000
 BATCH_BYTES, BATCH_SHINGLES = 8_000_000, 200_000
+SPACE = re.compile(rb"[\x09-\x0d ]")
+#: Texts over so many bytes are worked on by pieces of about that size.
+LONG = 1_000_000
 #: Queries that walk a tree at the same time.
 WALKERS = 50_000
 
 
+def window_hashes(words: list[bytes]) -> list[int]:
+    """Of each WORDS words in a row."""
+    from xxhash import xxh64_intdigest
+
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    return [xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts[: len(words) - WORDS + 1].tolist(), (ends[WORDS - 1 :] - 1).tolist(), strict=True)]
+
+
 def shingle_hashes(text: bytes) -> list[int]:
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, and cut at space and U+0009 to U+000D
     if not words:
         return []
-    joined = b" ".join(words)
-    if len(words) <= WORDS:
-        return [xxh64_intdigest(joined, SEED)]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    return [xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts[: 1 - WORDS].tolist(), (ends[WORDS - 1 :] - 1).tolist(), strict=True)]
+    return window_hashes(words) if len(words) >= WORDS else [xxh64_intdigest(b" ".join(words), SEED)]
 
 
 def majority(hashes: list[list[int]]) -> np.ndarray:
@@ -66,6 +75,21 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
+def long_fingerprint(text: bytes) -> int:
+    """The fingerprint of a long text, a piece at a time: pieces end at white space and begin with the last words before them."""
+    counts, n, at, carried = np.zeros(64, np.int64), 0, 0, []
+    while at < len(text):
+        cut = SPACE.search(text, min(at + LONG, len(text)))
+        to = cut.start() if cut else len(text)
+        words = carried + text[at:to].lower().split()
+        if len(words) >= WORDS:
+            hashes = np.array(window_hashes(words), np.uint64)
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            n += len(hashes)
+        carried, at = words[1 - WORDS :], to
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]) if n else int(majority([shingle_hashes(text)])[0])
+
+
 def row_key() -> tuple[Column, Column]:
     """128 bits of the id and the whole text, which tell rows apart and are never null."""
     return F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1))
@@ -80,6 +104,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for at, part in batches(b.column("text"), BATCH_BYTES):
                 out, held, n = [], [], 0
                 for text in pc.fill_null(part, "").cast(pa.binary()).to_pylist():
+                    if len(text) > LONG:
+                        out += [majority(held), np.array([long_fingerprint(text)], np.uint64)]
+                        held, n = [], 0
+                        continue
                     held.append(shingle_hashes(text))
                     n += len(held[-1])
                     if n >= BATCH_SHINGLES:
@@ -203,7 +231,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     smallest = with_ids.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
     of = fps.join(smallest, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("smallest", "least").alias("component_id"))
     # Written, so that the join's both sides are dealt out for it alone and AQE can split a fingerprint that many rows have.
-    return own.join(scratch.table(of, "components"), "fp", "left")
+    of = scratch.table(of, "components")
+    scratch.keep("fingerprints", "components")
+    return own.join(of, "fp", "left")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

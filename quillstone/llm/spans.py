@@ -7,6 +7,7 @@ all tasks, a BLAKE2b digest.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
+#: Bytes of spans that are told apart at once.
+SLICE = 4_000_000
 #: Bytes of a word: all but space and U+0009 to U+000D.
 NOT_WHITE = ~byte_table((0x20, 0x20), (0x09, 0x0D))
 
@@ -77,6 +80,32 @@ def numbered_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
+def span_slices(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of spans that cover about SLICE bytes, one span at least."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        yield i, j
+        i = j
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The digest of each span; a slice is worked on at a time."""
+    out = np.empty(len(starts), np.uint64)
+    for i, j in span_slices(starts, ends):
+        base = starts[i]
+        codes, distinct = numbered_spans(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
+        out[i:j] = digests(distinct)[codes]
+    return out
+
+
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for the same bytes; those of long buffers by their digests."""
+    if len(data) <= SLICE:
+        return numbered_spans(data, starts, ends)[0]
+    return np.unique(span_digests(data, starts, ends), return_inverse=True)[1]
+
+
 def digests(distinct: pa.Array) -> np.ndarray:
     """64 bits of the BLAKE2b digest of each span."""
     return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in distinct.to_pylist()), np.uint64)
@@ -91,13 +120,21 @@ def pair_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A number for each pair of numbers, the same for the same pair."""
     if not len(a):
         return np.zeros(0, np.int64)
-    return pa.array(a * (int(b.max()) + 1) + b).dictionary_encode().indices.to_numpy().astype(np.int64)
+    key = a * (int(b.max()) + 1)
+    key += b
+    if len(key) > SLICE // 8:  # sorting takes less memory than a hash table
+        return np.unique(key, return_inverse=True)[1]
+    return pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def repeated(text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the item's text has its number elsewhere too; and the same for all but the first item of each number in a text."""
+def repeated(text: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether the item's text has its number elsewhere too."""
     both = pair_numbers(text, codes)
-    anywhere = np.bincount(both)[both] > 1 if len(both) else np.zeros(0, bool)
-    further = np.ones(len(both), bool)
-    further[np.unique(both, return_index=True)[1]] = False
-    return anywhere, further
+    return np.bincount(both)[both] > 1 if len(both) else np.zeros(0, bool)
+
+
+def further(text: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """All but the first item of each number in a text."""
+    out = np.ones(len(codes), bool)
+    out[np.unique(pair_numbers(text, codes), return_index=True)[1]] = False
+    return out

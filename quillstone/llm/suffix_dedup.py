@@ -10,8 +10,10 @@ so a task holds the suffixes of a few buckets and no whole suffix array exists a
   differences are multiples of the period STEP and the cover needs one residue: positions a multiple of STEP from the
   anchor. Samples there are ranked by 1, 2, 4, 8 and 9 blocks of STEP bytes, by doubling. A suffix is ordered by the
   sample rank it reaches first and by the STEP bytes that this sample does not cover.
-* Exact copies of a text are one text with a count. A bucket with more than HOT anchors is not collected: its strings are
-  counted by their digests instead, each in a row of its own.
+* Exact copies of a text, by SHA-256, are one text with a count. A bucket with more than HOT anchors is split: by STEP
+  distances at a time, and by the bytes that all strings of those distances share. Equal contexts of such a bucket are
+  counted before they are shuffled and sorted once, and their spans go back to each place by a join that AQE can split.
+* Texts are read SLICE bytes at a time, with the bytes of a string more; a run of strings that a slice cuts is two runs.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; repeated rows are copies of each other; an
 empty table gives no rows; strings never cross texts; other columns are ignored.
@@ -35,11 +37,13 @@ LENGTH, K, STEP = 200, 40, 20
 #: Greatest distance from a string's start to its anchor; columns of a context, whose anchor is at column FAR.
 FAR = LENGTH - K
 WIDTH = FAR + LENGTH
-HOT = 100_000
+HOT = 10_000
 #: Contexts sorted together.
 CONTEXTS = 4_000
 BATCH_BYTES = 1_000_000
-#: Low bits of an ordering key that hold the position.
+#: Starts of strings that are looked at together.
+SLICE = 4_000_000
+#: Low bits of an ordering key that hold the position in a slice.
 POSITION = np.uint64((1 << 28) - 1)
 
 KEY = ["text_hash", "n_bytes"]
@@ -77,10 +81,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[i], mix64(hashes[chosen[i]]), chosen[i], at[i], at[j]
 
 
+def sliced_anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """anchors() of a batch, slice by slice; positions are the batch's."""
+    if len(data) <= SLICE:
+        yield anchors(data, offsets)
+        return
+    for k, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for i in range(begin, max(end - LENGTH + 1, begin), SLICE):
+            own = data[i : min(i + SLICE + LENGTH - 1, end)]
+            text, anchor, *places = anchors(own, np.array([0, len(own)]))
+            yield (text + k, anchor, *(x + i for x in places))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the key of its text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumns({"text_hash": F.xxhash64("text"), "n_bytes": F.octet_length("text").cast("long")})
+    return docs.select("doc_id", text.alias("text")).withColumns({"text_hash": F.unhex(F.substring(F.sha2("text", 256), 1, 32)), "n_bytes": F.octet_length("text").cast("long")})
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
@@ -89,7 +105,8 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
             for at, part in batches(b.column("text"), BATCH_BYTES):
-                text, anchor, *_ = anchors(*utf8_buffer(part))
+                found = [x[:2] for x in sliced_anchors(*utf8_buffer(part))]
+                text, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
                 pair = np.stack([text.astype(np.uint64), anchor], axis=1)
                 order = np.lexsort((anchor, text))
                 pair = pair[order]
@@ -100,33 +117,47 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 row = pa.array(pair[first, 0].astype(np.int64) + at)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in KEY), pa.array(pair[first, 1].view(np.int64)), pa.array(n)], [*KEY, "anchor", "n"])
 
-    return docs.where(F.col("n_bytes") >= LENGTH).select(*KEY, "text").mapInArrow(run, "text_hash long, n_bytes long, anchor long, n long")
+    return docs.where(F.col("n_bytes") >= LENGTH).select(*KEY, "text").mapInArrow(run, "text_hash binary, n_bytes long, anchor long, n long")
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """Each repeated anchor of texts(KEY, text, copies, repeated array<long>) with the bytes of all strings it is the anchor of."""
+def occurrences(texts: DataFrame, split: bool = False) -> DataFrame:
+    """Each repeated anchor of texts(KEY, text, copies, repeated array<long>) with the bytes of all strings it is the anchor of.
+
+    With split, a row for each STEP distances, and in place of the anchor a hash of it and of the bytes that the strings of
+    those distances share.
+    """
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
             for at, part in batches(b.column("text"), BATCH_BYTES):
                 data, offsets = utf8_buffer(part)
-                text, anchor, place, low, high = anchors(data, offsets)
                 lists = b.column("repeated").slice(at, len(part))
                 wanted = np.unique(lists.flatten().to_numpy(zero_copy_only=False))
-                # A hash that another text of the batch repeats only makes a bucket of one.
-                keep = np.isin(anchor.view(np.int64), wanted)
-                text, anchor, place, low, high = (x[keep] for x in (text, anchor, place, low, high))
-                raw = data.tobytes()
-                row = pa.array(text + at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(b.column(c).take(row) for c in (*KEY, "copies")), pa.array(anchor.view(np.int64)), pa.array(place - offsets[text]),
-                        pa.array((place - low).astype(np.int32)), pa.array((place - high).astype(np.int32)), pa.array([raw[i : j + LENGTH] for i, j in zip(low, high, strict=True)], pa.binary()),
-                    ],
-                    [*KEY, "copies", "anchor", "place", "far", "near", "context"],
-                )
-
-    return texts.select(*KEY, "copies", "text", "repeated").mapInArrow(run, "text_hash long, n_bytes long, copies long, anchor long, place long, far int, near int, context binary")
+                for text, anchor, place, low, high in sliced_anchors(data, offsets):
+                    # A hash that another text of the batch repeats only makes a bucket of one.
+                    keep = np.isin(anchor.view(np.int64), wanted)
+                    text, anchor, place, far, near = (x[keep] for x in (text, anchor, place, place - low, place - high))
+                    if split:
+                        n = far // STEP - near // STEP + 1
+                        step = np.repeat(near // STEP, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        text, anchor, place, far, near = (np.repeat(x, n) for x in (text, anchor, place, far, near))
+                        far, near = np.minimum(far, step * STEP + STEP - 1), np.maximum(near, step * STEP)
+                    low, high = place - far, place - near + LENGTH
+                    raw = [data[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                    if split:
+                        shared = [data[p - STEP * k : p - STEP * k + LENGTH - STEP + 1].tobytes() for p, k in zip(place.tolist(), step.tolist(), strict=True)]
+                        salts = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in shared), np.uint64)
+                        anchor = mix64(anchor ^ mix64(salts + step.astype(np.uint64)))
+                    row = pa.array(text + at)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(b.column(c).take(row) for c in (*KEY, "copies")), pa.array(anchor.view(np.int64)), pa.array(place - offsets[text]),
+                            pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32)), pa.array(raw, pa.binary()),
+                        ],
+                        [*KEY, "copies", "anchor", "place", "far", "near", "context"],
+                    )
+
+    return texts.select(*KEY, "copies", "text", "repeated").mapInArrow(run, "text_hash binary, n_bytes long, copies long, anchor long, place long, far int, near int, context binary")
 
 
 def pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,7 +233,7 @@ def covered(found: DataFrame) -> DataFrame:
         spans = [(np.flatnonzero(e == 1), np.flatnonzero(e == -1) - 1) for e in edges]
         out = [(r[0], r[1], r[4] - j, r[4] - i + LENGTH) for r, k in zip(rows, of, strict=True) for i, j in zip(*(x.tolist() for x in spans[k]), strict=True)]
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*KEY, "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), *(pa.int64(),) * 3), strict=True)], [*KEY, "low", "high"])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -218,23 +249,21 @@ def covered(found: DataFrame) -> DataFrame:
             yield solve(held)
 
     found = found.select(*KEY, "copies", "anchor", "place", "far", "near", "context")
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "text_hash long, n_bytes long, low long, high long")
-
+    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "text_hash binary, n_bytes long, low long, high long")
 
-def covered_by_digest(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for anchors with very many occurrences: a row and a digest for each string. Digests that are there twice
-    are written, so that both sides of the join are dealt out for it alone and AQE can split a string that is very common."""
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tables:
-            for *key, copies, place, far, context in zip(*(b.column(c).to_pylist() for c in (*KEY, "copies", "place", "far", "context")), strict=True):
-                n = len(context) - LENGTH + 1
-                digests = [hashlib.blake2b(context[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n), pa.array([key[1]] * n), pa.array([copies] * n), pa.array(np.arange(n) + place - far), pa.array(digests)], [*KEY, "copies", "low", "digest"])
 
-    strings = found.mapInArrow(run, "text_hash long, n_bytes long, copies long, low long, digest binary")
-    twice = scratch.table(strings.groupBy("digest").agg(F.sum("copies").alias("total")).where("total > 1").select("digest"), "twice")
-    return strings.join(twice, "digest").select(*KEY, "low", (F.col("low") + LENGTH).alias("high"))
+def covered_hot(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for the split buckets of anchors with very many occurrences. Equal contexts are counted first and take part
+    once, as a text of their own with the anchor at 0; what they lose is written, so that both sides of the join that takes it
+    to each place are dealt out for it alone and AQE can split a context that is very common."""
+    place = ["anchor", "far", "near", "digest"]
+    found = scratch.table(found.withColumn("digest", F.sha2("context", 256)), "hot")
+    distinct = found.groupBy(*place).agg(F.sum("copies").alias("copies"), F.first("context").alias("context"))
+    name = F.unhex(F.sha2(F.concat_ws("|", *place), 256))
+    distinct = distinct.select(name.alias("text_hash"), F.lit(0).cast("long").alias("n_bytes"), "copies", "anchor", F.lit(0).cast("long").alias("place"), "far", "near", "context")
+    lost = scratch.table(covered(distinct).select(F.col("text_hash").alias("name"), F.col("low").alias("from_"), F.col("high").alias("to_")), "hot_lost")
+    found = found.select(*KEY, "place", name.alias("name"))
+    return found.join(lost, "name").select(*KEY, (F.col("place") + F.col("from_")).alias("low"), (F.col("place") + F.col("to_")).alias("high"))
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -256,7 +285,7 @@ def cut(texts: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*KEY, "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.select(*KEY, "text", "spans").mapInArrow(run, "text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.select(*KEY, "text", "spans").mapInArrow(run, "text_hash binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -271,8 +300,8 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.table(one.join(touched, KEY), "texts")
     spans = covered(occurrences(texts))
     if len(repeated.where(F.col("total") > HOT).take(1)):
-        hot = scratch.table(occurrences(texts.where(F.size("hot") > 0).withColumn("repeated", F.col("hot"))), "hot")
-        spans = spans.unionByName(scratch.table(covered_by_digest(hot, scratch), "hot_spans"))
+        hot = occurrences(texts.where(F.size("hot") > 0).withColumn("repeated", F.col("hot")), split=True)
+        spans = spans.unionByName(scratch.table(covered_hot(hot, scratch), "hot_spans"))
     spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return cut(texts.join(spans, KEY))
 
@@ -281,6 +310,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark, "suffix-dedup")
     found = scratch.table(deduplicated(docs, scratch).drop("kept"), "found")
+    scratch.keep("found")
     rows = keyed(docs).select("doc_id", *KEY, F.sha2("text", 256).alias("whole_sha256"))
     none = F.lit(0).cast("long")
     done = rows.join(found, KEY, "left")

@@ -134,6 +134,8 @@ def count_with_cache(docs: DataFrame, path: str, cache_path: str) -> DataFrame:
     encode_misses(misses, path, digest).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == digest)
     counts = counts.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have appended the same text
+    # Written, so that the join's both sides are dealt out for it alone and AQE can split a text that very many rows have.
+    counts = Scratch(spark, "token-counts").table(counts, "counts")
     return keyed.drop("text").join(counts, "content_digest", "left").drop("content_digest")
 
 
