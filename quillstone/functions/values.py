@@ -16,7 +16,7 @@ DAY_MS = 86_400_000
 # A month is 30 days and a year 365 in a query's durations.
 UNIT_MS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": DAY_MS, "week": 7 * DAY_MS, "month": 30 * DAY_MS, "year": 365 * DAY_MS}
 UNIT_NAMES = {"ms": "millisecond", "s": "second", "sec": "second", "m": "minute", "min": "minute", "h": "hour", "hr": "hour", "d": "day", "w": "week", "wk": "week", "mo": "month", "y": "year", "yr": "year"}
-#: Order of types in comparisons of mixed values.
+#: Order of types in comparisons of mixed values.
 RANKS = ("null", "boolean", "number", "string", "date", "duration", "link", "array", "object")
 
 
@@ -105,11 +105,12 @@ def first_number(text: Column) -> Column:
 
 
 def _folding() -> tuple[str, str]:
-    pairs = {"đ": "d", "ł": "l", "ø": "o", "ħ": "h", "ŧ": "t"}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        c = chr(code).lower()
-        base = unicodedata.normalize("NFD", c)[0]
-        if len(c) == 1 and base != c and base.isascii():
+    """Letters that are a base letter and marks, with that letter; Hangul syllables stay, as equal ones are equal either way."""
+    pairs = {"đ": "d"}
+    for code in range(0xC0, 0x10000):
+        c = chr(code)
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(unicodedata.category(m).startswith("M") for m in marks):
             pairs[c] = base
     return "".join(pairs), "".join(pairs.values())
 
@@ -118,14 +119,19 @@ ACCENTED, PLAIN = _folding()
 
 
 def fold(s: Column) -> Column:
-    """Small letters without accents; combining marks are dropped."""
-    return F.regexp_replace(F.translate(F.lower(s), ACCENTED, PLAIN), r"[\u0300-\u036f]", "")
+    """Small letters without accents, in every script; combining marks are dropped."""
+    return F.regexp_replace(F.translate(F.lower(s), ACCENTED, PLAIN), r"\p{M}", "")
 
 
 def natural_key(s: Column) -> Column:
-    """A key that sorts text without regard to case and accents, and runs of digits by their number."""
+    """A key that sorts text without regard to case and accents, and runs of digits by their number: its length, then its digits."""
     parts = F.regexp_extract_all(fold(s), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+
+    def numbered(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), numbered(p)).otherwise(p)), "")
 
 
 def contains(hay: Column, needle: Column, kind: str = "string") -> Column:
@@ -172,12 +178,14 @@ def pad_right(s: Column, n: int, fill: str = " ") -> Column:
 
 
 def truncate(s: Column, n: int, suffix: str = "...") -> Column:
-    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.substring(s, 1, max(n - len(suffix), 0)), F.lit(suffix)))
+    """A longer text's first n characters, and the suffix after them."""
+    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.substring(s, 1, n), F.lit(suffix)))
 
 
 def title(s: Column) -> Column:
-    """First letters of words in capitals; the rest stays."""
-    return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+    """First letters of words in capitals; the rest stays, white space of any kind included."""
+    parts = F.regexp_extract_all(s, F.lit(r"(\s|\S+)"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
 # Dates and durations ----------------------------------------------------------------------------------------------
@@ -256,12 +264,12 @@ def view_format(t: Column, pattern: str) -> Column:
 
 
 def relative(t: Column, now: Column) -> Column:
-    """How long ago or ahead, in the largest unit that fits."""
+    """How long ago or ahead, in the largest unit that fits, from minutes to years."""
     ms = between_ms(t, now)
-    size, out = F.abs(ms), F.lit("now")
-    for unit in ("second", "minute", "hour", "day", "month", "year"):
+    size, out = F.abs(ms), F.lit("just now")
+    for unit in ("minute", "hour", "day", "week", "month", "year"):
         n = half_up(size / UNIT_MS[unit]).cast("long")
-        words = F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+        words = F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""))
         out = F.when(size >= UNIT_MS[unit], F.when(ms < 0, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))).otherwise(out)
     return out
 
@@ -275,6 +283,11 @@ def list_sum(l: Column) -> Column:
     return F.when(F.size(full) > 0, F.aggregate(full, F.lit(0.0), lambda a, x: a + x))
 
 
+def view_list_sum(l: Column) -> Column:
+    """0 for no values."""
+    return F.coalesce(list_sum(l), F.lit(0.0))
+
+
 def list_mean(l: Column) -> Column:
     full = F.filter(l, lambda x: x.isNotNull())
     return F.try_divide(list_sum(l), F.size(full))
@@ -342,11 +355,15 @@ def is_empty(c: Column, kind: str) -> Column:
     return c.isNull()
 
 
+LINK_TYPE = "struct<path:string,subpath:string,display:string>"
+
+
 def kind_name(c: Column) -> Column:
-    """null, boolean, number, string, date, array or object, by the type of the column."""
+    """null, boolean, number, string, date, duration (an interval), link (see link()), array or object, by the type of the column."""
     t = F.typeof(c)
     named = F.when(t.isin("tinyint", "smallint", "int", "bigint", "float", "double") | t.startswith("decimal"), "number")
-    named = named.when(t.isin("date", "timestamp", "timestamp_ntz"), "date").when(t.startswith("array"), "array").when(t.startswith("map") | t.startswith("struct"), "object")
+    named = named.when(t.isin("date", "timestamp", "timestamp_ntz"), "date").when(t.startswith("interval"), "duration").when(t == LINK_TYPE, "link")
+    named = named.when(t.startswith("array"), "array").when(t.startswith("map") | t.startswith("struct"), "object")
     return F.when(c.isNull(), "null").otherwise(named.otherwise(t))
 
 
@@ -364,3 +381,40 @@ def link_date(path: Column) -> Column:
 def duration_part(ms: Column, unit: str) -> Column:
     """A duration in a unit, with its fraction."""
     return ms / UNIT_MS[UNIT_NAMES.get(unit, unit.rstrip("s"))]
+
+
+def strip_time(t: Column) -> Column:
+    """The start of the day."""
+    return F.date_trunc("day", t)
+
+
+def extreme(values: list[Column], kinds: list[str], greatest: bool = False) -> Column:
+    """The tagged least or greatest of values of any types, in the order of mixed values; nulls are left out, null if none is left."""
+    full = F.filter(F.array(*[tagged(v, k) for v, k in zip(values, kinds, strict=True)]), lambda x: x["rank"] > 0)
+    return F.array_max(full) if greatest else F.array_min(full)
+
+
+def as_list(c: Column, kind: str) -> Column:
+    """A list stays; anything else becomes a list of it."""
+    return c if kind == "array" else F.array(c)
+
+
+def as_number(c: Column, kind: str) -> Column:
+    """Dates in milliseconds, true as 1, text if it is a number, else null."""
+    if kind == "date":
+        return F.unix_millis(c.cast("timestamp")).cast("double")
+    if kind == "boolean":
+        return c.cast("int").cast("double")
+    return F.trim(c).try_cast("double") if kind == "string" else c.cast("double")
+
+
+def escape_html(s: Column) -> Column:
+    """The five characters that need it."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        s = F.replace(s, F.lit(char), F.lit(name))
+    return s
+
+
+def has_property(fields: Column, name: str) -> Column:
+    """Whether a map of fields has a name; case does not matter."""
+    return F.coalesce(F.exists(F.map_keys(fields), lambda k: F.lower(k) == name.lower()), F.lit(False))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
 import numpy as np
@@ -11,14 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillstone.sources.scratch import written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -1,53 +1,70 @@
 """Full-text search over an inverted index of words.
 
 A text's words are runs of letters and digits that may be joined by . - _ /; a joined word is indexed with its parts and
-its tails, so that any of them finds it from its start. Nothing is capped: terms are range predicates on the sorted word column.
+its tails, so that any of them finds it from its start, and words with accents also without them. The index is written
+once, sorted by word, and terms are range predicates on that column, which file and row-group statistics answer.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import fold
+from quillstone.functions.values import fold, natural_key
+from quillstone.sources.scratch import exists
 
-WORD = r"[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*"
+# What a word is, where a joined one is cut, and the length from which a word is none.
+WORD, JOINT = r"[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*", r"[-._/]"
+MAX_WORD = 48
 
 
-def words(text: Column) -> Column:
-    """Distinct words of a text, with parts and tails of the joined ones."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+def spread(w: Column) -> Column:
+    """A word, its parts and its tails."""
+    parts = F.split(w, JOINT)
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.substr(w, F.length(F.array_join(F.slice(parts, F.lit(1), i - 1), " ")) + 2))
+    return F.when(w.rlike(JOINT), F.array_distinct(F.concat(F.array(w), parts, tails))).otherwise(F.array(w))
 
-    def spread(w: Column) -> Column:
-        parts = F.split(w, r"[-._/]")
-        tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.substr(w, F.length(F.array_join(F.slice(parts, F.lit(1), i - 1), " ")) + 2))
-        return F.concat(parts, tails)
 
-    joined = F.filter(found, lambda w: w.rlike(r"[-._/]"))
-    return F.array_distinct(F.concat(found, F.flatten(F.transform(joined, spread))))
+def postings(notes: DataFrame, *also: str) -> DataFrame:
+    """word, key, exact of notes(key, text): rows for each word of a note and each form of it, not exact those that only folding gives.
 
+    Words are told apart before the few joined or accented ones are taken to pieces; a form of several words of a note has
+    several rows until the index is written.
+    """
+    text = F.concat_ws("\n", "text", *also) if also else F.col("text")
+    found = notes.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("w")).where(F.length("w") <= MAX_WORD)
+    w, folded = F.col("w"), fold(F.col("w"))
+    form = lambda exact: lambda x: F.struct(x.alias("word"), F.lit(exact).alias("exact"))
+    accented = w.rlike(r"[^\x00-\x7F]") & (folded != w)
+    forms = F.when(accented, F.concat(F.transform(spread(w), form(True)), F.transform(spread(folded), form(False)))).when(w.rlike(JOINT), F.transform(spread(w), form(True))).otherwise(F.array(form(True)(w)))
+    return found.select("key", F.explode(forms).alias("f")).select("f.word", "key", "f.exact")
 
-def postings(notes: DataFrame, *also: str) -> DataFrame:
-    """word, key, exact of notes(key, text): a row for each distinct word of a note, and one, not exact, for each that only the folded text has."""
-    own = notes.select("key", F.concat_ws("\n", "text", *also).alias("text"))
-    own = own.select("key", words(F.col("text")).alias("exact"), F.when(F.col("text").rlike(r"[^\x00-\x7F]"), words(fold(F.col("text")))).alias("folded"))
-    only_folded = F.array_except(F.coalesce("folded", F.array().cast("array<string>")), F.col("exact"))
-    exact = own.select("key", F.explode("exact").alias("word"), F.lit(True).alias("exact"))
-    folded = own.select("key", F.explode(only_folded).alias("word"), F.lit(False).alias("exact"))
-    return exact.unionByName(folded).select("word", "key", "exact")
+
+def settled(found: DataFrame) -> DataFrame:
+    """One row for each word of a note: exact if any of its forms is."""
+    return found.groupBy("word", "key").agg(F.max("exact").alias("exact"))
 
 
 def write_postings(found: DataFrame, path: str) -> None:
-    """Sorted by word, so that a term's range is found by file and row-group statistics."""
-    found.repartitionByRange("word").sortWithinPartitions("word", "key").write.mode("overwrite").parquet(path)
+    """Sorted by word, so that a term's range is found by file and row-group statistics. One shuffle, for the ranges."""
+    settled(found.repartitionByRange("word")).sortWithinPartitions("word", "key").write.mode("overwrite").parquet(path)
+
+
+def stored(notes: DataFrame, path: str) -> DataFrame:
+    """The index at the path, written there first if it is not there yet."""
+    spark = notes.sparkSession
+    if not exists(spark, path):
+        write_postings(postings(notes), path)
+    return spark.read.parquet(path)
 
 
 def refreshed(index: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
     """The index without the postings of gone(key), and with those of new(key, text): what an edit, a deletion or an addition changes."""
-    return index.join(gone.select("key").distinct(), "key", "left_anti").select("word", "key", "exact").unionByName(postings(new))
+    return index.join(gone.select("key").distinct(), "key", "left_anti").select("word", "key", "exact").unionByName(settled(postings(new)))
 
 
 @dataclass(frozen=True)
@@ -116,27 +133,29 @@ def search(notes: DataFrame, index: DataFrame, clauses: list[list[Term]], negati
 
 def ranked(found: DataFrame, mark: str, old: Column, name: Column) -> DataFrame:
     """Superseded notes last, those with the mark in their name first, then by name."""
-    from quillstone.functions.values import natural_key
-
     return found.orderBy(F.when(old, 1).otherwise(0), F.when(F.lower(name).contains(mark.lower()), 0).otherwise(1), natural_key(name), "path")
 
 
-def snippet(text: Column, mark: str, before: int = 50, after: int = 110) -> Column:
-    """The text around the first mark, in one line."""
-    flat = F.regexp_replace(text, r"\s+", " ")
-    at = F.instr(F.lower(flat), mark.lower())
+def snippet(text: Column, *marks: str, before: int = 50, after: int = 110) -> Column:
+    """The text around the first of the marks that is in it, with or without accents, cut out and then put in one line; empty without any."""
+    low = F.lower(text)
+    own = [F.nullif(F.instr(low, m.lower()), F.lit(0)) for m in marks]
+    folded = [F.nullif(F.position(fold(F.lit(m)), fold(low)), F.lit(0)) for m in marks]
+    at = F.coalesce(*own, *folded)
     start = F.greatest(at - before, F.lit(1))
-    return F.when(at > 0, F.substr(flat, start, at - start + after))
+    return F.coalesce(F.regexp_replace(F.substr(text, start, at + after - start), r"\s+", " "), F.lit(""))
 
 
 # Names in texts ----------------------------------------------------------------------------------------------------
 
+# What is no plain text of a note.
 FRONT_MATTER, FENCED, INLINE, WIKI, MARKDOWN, URL, TAG = r"(?s)\A---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)", r"(?ms)^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$", r"`[^`\n]+`", r"!?\[\[[^\]\n]*\]\]", r"!?\[[^\]\n]*\]\([^)\n]*\)", r"\bhttps?://\S+", r"(?<![\p{L}\p{N}_])#[\p{L}\p{N}_/-]+"
 
 
 def masked(text: Column) -> Column:
     """The text without front matter, code, links, addresses and tags."""
-    for pattern in (FRONT_MATTER, FENCED, INLINE, WIKI, MARKDOWN, URL, TAG):
+    for pattern in (# Fixed values: what is no plain text of a note.
+FRONT_MATTER, FENCED, INLINE, WIKI, MARKDOWN, URL, TAG):
         text = F.regexp_replace(text, pattern, " ")
     return text
 
@@ -145,40 +164,137 @@ def quoted(name: str) -> str:
     return "\\Q" + name.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def mentions(notes: DataFrame, names: list[str]) -> DataFrame:
-    """key, mentions: whole-word occurrences of any name of three letters or more outside links and code; most first."""
-    names = [n for n in names if len(n) >= 3]
+def mentions(notes: DataFrame, names: list[str], exclude: DataFrame | None = None) -> DataFrame:
+    """key, path, mentions of notes(key, path, text): whole-word occurrences of any name of three letters or more outside links and code.
+
+    Notes of exclude(path), which link there already, are left out. Most first, then by name.
+    """
+    names = [n for n in names if len(n.strip()) >= 3]
+    if exclude is not None:
+        notes = notes.join(exclude.select("path"), "path", "left_anti")
     if not names:
-        return notes.select("key", F.lit(0).alias("mentions")).where(F.lit(False))
+        return notes.select("key", "path", F.lit(0).alias("mentions")).where(F.lit(False))
     pattern = r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(map(quoted, sorted(names, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])"
-    return notes.select("key", F.size(F.regexp_extract_all(masked(F.col("text")), F.lit(pattern), F.lit(0))).alias("mentions")).where("mentions > 0")
+    found = notes.select("key", "path", F.size(F.regexp_extract_all(masked(F.col("text")), F.lit(pattern), F.lit(0))).alias("mentions")).where("mentions > 0")
+    return found.orderBy(F.desc("mentions"), natural_key(stem(F.col("path"))), "path")
+
+
+def stem(path: Column) -> Column:
+    """The name of a note: without folders and extension."""
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
 
 
 def fuzzy_score(name: Column, letters: str) -> Column:
-    """Score of the letters as a subsequence of the name, null if they are none: runs and word starts count more, length less."""
+    """Score of the letters as a subsequence of the name, null if they are none.
+
+    The k-th letter of a run counts 2k, one at the start of a word 5 more, and each character of the name takes 0.05 off.
+    """
     letters = letters.lower()
-    chars = F.split(F.lower(name), "")
-    first = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(False).alias("run"), F.lit(" ").alias("before"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("run"), F.lit(" ").alias("before"))
 
     def step(acc: Column, c: Column) -> Column:
         hit = (acc["at"] < len(letters)) & (c == F.substr(F.lit(letters), acc["at"] + 1, F.lit(1)))
-        gain = F.lit(1.0) + F.when(acc["run"], 2.0).otherwise(0.0) + F.when(acc["before"].rlike(r"[\s/._-]"), 3.0).otherwise(0.0)
-        return F.struct((acc["at"] + hit.cast("int")).alias("at"), (acc["score"] + F.when(hit, gain).otherwise(0.0)).alias("score"), hit.alias("run"), c.alias("before"))
+        run = F.when(hit, acc["run"] + 1).otherwise(F.when(acc["at"] < len(letters), 0).otherwise(acc["run"]))
+        gain = F.when(hit, run * 2.0 + F.when(acc["before"].rlike(r"[\s/_-]"), 5.0).otherwise(0.0)).otherwise(0.0)
+        return F.struct((acc["at"] + hit.cast("int")).alias("at"), (acc["score"] + gain).alias("score"), run.alias("run"), c.alias("before"))
 
-    done = F.aggregate(chars, first, step)
+    done = F.aggregate(F.split(F.lower(name), ""), first, step)
     return F.when(done["at"] == len(letters), done["score"] - F.length(name) * 0.05)
 
 
-def quote_check(text: Column, quote: str) -> Column:
-    """exact, close or not_supported: struct<verdict, coverage, missing array<string>> of a quotation against a text.
+def fuzzy_open(notes: DataFrame, letters: str, old: Column | None = None, most: int = 60) -> DataFrame:
+    """path, score of the best notes(path): by their name, which counts 10 more, else by their whole path; superseded ones last."""
+    asked = letters.strip().lower()
+    score = F.coalesce(fuzzy_score(stem(F.col("path")), asked) + 10, fuzzy_score(F.col("path"), asked))
+    rows = notes.select("path", score.alias("score"), F.coalesce(old if old is not None else F.lit(False), F.lit(False)).alias("old")).where("score is not null")
+    return rows.orderBy("old", F.desc("score"), "path").limit(most).select("path", "score")
+
+
+# Quotations --------------------------------------------------------------------------------------------------------
+
+# What does not count in a line, and what a number is.
+LEADING = r"^\s{0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+(?:\[.\]\s+)?|\d+[.)]\s+)"
+NUMBER = r"\d+(?:[.,:/-]\d+)*%?"
+#: Lines of a source, lines about the one that is named, and the coverage of a quotation that is close.
+SOURCE_LINES, ABOUT, CLOSE = 40, 5, 0.8
+
+
+def flat_line(c: Column) -> Column:
+    """A line without marks of Markdown, with plain quotes and dashes, in small letters."""
+    c = F.translate(c, "‘’“”–—", "''\"\"--")
+    c = F.regexp_replace(F.regexp_replace(c, LEADING, ""), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[*_`|~]|==", " "), r"\s+", " ")))
+
+
+def line_words(c: Column) -> Column:
+    return F.regexp_extract_all(flat_line(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def numbers(c: Column) -> Column:
+    """As written, but for commas between thousands."""
+    return F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), lambda n: F.regexp_replace(n, r",(?=\d{3}\b)", ""))
+
+
+def quote_check(text: Column, quote: str, near: int | None = None) -> Column:
+    """struct<verdict, percent, first, last, source, missing_numbers, missing_words> of a quotation against a text.
 
-    Close: no number is missing and nine in ten of the quotation's words are in the text.
+    The source is at most SOURCE_LINES lines, from 1, within ABOUT lines of the line near, if it is given: those with the
+    words in order (exact), else those with most of the quotation's words, the fewest and first of such. Close needs CLOSE of the words and every
+    number as written. Null without a word in the quotation. Composed characters only: texts are compared as they are.
     """
-    plain = lambda c: F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " ")
-    own, wanted = plain(text), F.trim(plain(F.lit(quote)))
-    needed = F.filter(F.array_distinct(F.split(wanted, " ")), lambda w: w != "")
-    missing = F.array_except(needed, F.split(own, " "))
-    coverage = F.try_divide(F.size(needed) - F.size(missing), F.size(needed))
-    number_missing = F.exists(missing, lambda w: w.rlike(r"\d"))
-    verdict = F.when(F.contains(F.concat(F.lit(" "), own, F.lit(" ")), F.concat(F.lit(" "), wanted, F.lit(" "))), "exact").when(~number_missing & (coverage >= 0.9), "close").otherwise("not_supported")
-    return F.struct(verdict.alias("verdict"), coverage.alias("coverage"), missing.alias("missing"))
+    asked = [w for line in quote.splitlines() for w in re.findall(r"[^\W_]+", plain_line(line))]
+    if not asked:
+        return F.lit(None)
+    asked_set = sorted(set(asked))
+    wanted, sequence = F.array(*map(F.lit, asked_set)), F.lit(f" {' '.join(asked)} ")
+    lines = F.split(text, r"\r?\n")
+    low = max(0, near - 1 - ABOUT) if near else 0
+    high = F.least(F.size(lines), F.lit(near + ABOUT)) if near else F.size(lines)
+    words = F.transform(lines, line_words)
+
+    def joined(i: Column, j: Column) -> Column:
+        """The words of lines i to j in one text, with spaces around each."""
+        return F.concat(F.lit(" "), F.array_join(F.flatten(F.slice(words, i + 1, j - i + 1)), " "), F.lit(" "))
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("have"), F.lit(-1).alias("best"), F.lit(0).alias("most"), F.lit(-1).alias("exact"), F.lit(False).alias("done"))
+
+    def from_line(a: Column) -> Column:
+        """What the lines from a on hold: the fewest with most of the words, and the fewest with all of them in order."""
+
+        def step(acc: Column, b: Column) -> Column:
+            own = F.get(words, b)
+            skip = acc["done"] | (F.size(own) == 0)
+            have = F.array_union(acc["have"], F.array_intersect(own, wanted))
+            n = acc["n"] + F.size(own)
+            exact = F.contains(joined(a, b), sequence)
+            more = ~exact & (F.size(have) > acc["most"])
+            done = exact | (n > len(asked) * 2 + 20) | (F.size(have) == len(asked_set))
+            new = F.struct(n.alias("n"), have.alias("have"), F.when(more, b).otherwise(acc["best"]).alias("best"), F.when(exact, acc["most"]).otherwise(F.size(have)).alias("most"), F.when(exact, b).otherwise(F.lit(-1)).alias("exact"), done.alias("done"))
+            return F.when(skip, acc).otherwise(new)
+
+        reach = F.sequence(a, F.least(high, a + SOURCE_LINES) - 1)
+        return F.aggregate(reach, start, step, lambda r: F.struct(a.alias("a"), r["best"].alias("best"), r["most"].alias("most"), r["exact"].alias("exact")))
+
+    every = F.when(high > low, F.sequence(F.lit(low), high - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(F.filter(every, lambda a: F.size(F.get(words, a)) > 0), from_line)
+    exact = F.get(F.filter(found, lambda r: r["exact"] >= 0), F.lit(0))
+    # The last line from which all of it still follows.
+    first = F.element_at(F.filter(F.sequence(exact["a"], exact["exact"]), lambda a: F.contains(joined(a, exact["exact"]), sequence)), -1)
+    best = F.array_max(F.transform(F.filter(found, lambda r: r["most"] > 0), lambda r: F.struct(r["most"].alias("most"), (r["a"] - r["best"]).alias("short"), (-r["a"]).alias("early"), r["best"].alias("b"))))
+    lower, upper = F.coalesce(first, -best["early"]), F.coalesce(exact["exact"], best["b"])
+    source = F.coalesce(F.array_join(F.slice(lines, lower + 1, upper - lower + 1), "\n"), F.lit(""))
+    have = F.coalesce(F.flatten(F.slice(words, lower + 1, upper - lower + 1)), F.array().cast("array<string>"))
+    missing_numbers = F.array_except(numbers(F.lit(quote)), numbers(source))
+    coverage = F.when(exact.isNotNull(), 1.0).otherwise(F.coalesce(best["most"] / len(asked_set), F.lit(0.0)))
+    verdict = F.when(exact.isNotNull(), "exact").when((coverage >= CLOSE) & (F.size(missing_numbers) == 0), "close").otherwise("not_supported")
+    missing_words = F.when(exact.isNotNull(), F.array().cast("array<string>")).otherwise(F.array_except(F.array(*map(F.lit, dict.fromkeys(asked))), have))
+    return F.struct(
+        verdict.alias("verdict"), F.floor(coverage * 100 + 0.5).cast("double").alias("percent"), (lower + 1).alias("first"), (upper + 1).alias("last"), source.alias("source"), missing_numbers.alias("missing_numbers"), missing_words.alias("missing_words")
+    )
+
+
+def plain_line(line: str) -> str:
+    """flat_line() of a text that is at hand."""
+    line = re.sub(LEADING, "", line.translate(str.maketrans("‘’“”–—", "''\"\"--")))
+    line = re.sub(r"[*_`|~]|==", " ", re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", line))
+    return " ".join(line.split()).lower()

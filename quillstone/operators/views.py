@@ -80,10 +80,10 @@ SUMMARIES: dict[str, Callable[[Column, str], Column]] = {
     "earliest": lambda c, k: F.min(c),
     "latest": lambda c, k: F.max(c),
     "checked": lambda c, k: F.count_if(F.coalesce(c, F.lit(False))),
-    "unchecked": lambda c, k: F.count_if(~F.coalesce(c, F.lit(False))),
+    "unchecked": lambda c, k: F.count_if(~c),
     "empty": lambda c, k: F.count_if(~_filled(c, k)),
     "filled": lambda c, k: F.count_if(_filled(c, k)),
-    "unique": lambda c, k: F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0)),
+    "unique": lambda c, k: F.count_distinct(F.when(_filled(c, k), c)),
 }
 
 

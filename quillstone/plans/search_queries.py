@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import fold
 from quillstone.operators import search as S
 from quillstone.operators.search import Term
-from quillstone.operators.status import status_of
+from quillstone.operators import tools
+from quillstone.operators.status import status_byte, status_of
 from quillstone.plans.registry import query
 from quillstone.sources import projection as P
+from quillstone.sources.scratch import shared_folder
 
-WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+# The words of a text, as the SQL sees them, and what begins in one at a joint or its start, with and without accents.
+PATTERN = r"'[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*'"
+WORDS = f"list_filter(regexp_extract_all(lower(text), {PATTERN}), lambda w: length(w) <= 48)"
 
 
 def start(prefix):
-    return f"len(list_filter({WORDS}, lambda w: starts_with(w, '{prefix}') OR starts_with(strip_accents(w), '{prefix}'))) > 0"
+    return f"len(list_filter({WORDS}, lambda w: regexp_matches(w, '(^|[-._/]){prefix}') OR regexp_matches(strip_accents(w), '(^|[-._/]){prefix}'))) > 0"
+
 
+def forms(documents):
+    """A row for each form of each word: the word, its parts and its tails, also without accents."""
+    return f"""WITH w AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS w FROM {documents}),
+        f AS (SELECT doc_id, w AS f FROM w UNION SELECT doc_id, strip_accents(replace(w, 'đ', 'd')) FROM w),
+        g AS (SELECT doc_id, f AS word FROM f UNION ALL SELECT doc_id, unnest(string_split_regex(f, '[-._/]')) FROM f
+              UNION ALL SELECT doc_id, substr(f, i + 1) FROM (SELECT doc_id, f, CAST(unnest(range(1, length(f))) AS INT) AS i FROM f WHERE regexp_matches(f, '[-._/]')) WHERE regexp_matches(substr(f, i, 1), '[-._/]'))
+        SELECT word, count(DISTINCT doc_id) AS notes FROM g GROUP BY 1"""
 
 
 def indexed(spark, d):
+    """Notes, and their index: written once a session, in the shared folder."""
     notes = P.document_notes(spark, d)
-    return notes, S.postings(notes)
+    path = f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    return notes, S.stored(notes, path)
 
 
-@query(rf"SELECT w AS word, count(*) AS notes FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM documents) WHERE length(w) > 3 AND regexp_full_match(w, '[a-z0-9]+') GROUP BY 1 HAVING count(*) > 25")
+@query(forms("documents"))
 def search_tokens_df(spark, d):
-    notes, index = indexed(spark, d)
-    return index.where(F.col("exact") & (F.length("word") > 3) & F.col("word").rlike("^[a-z0-9]+$")).groupBy("word").agg(F.count("*").alias("notes")).where("notes > 25")
+    """The index built anew, and how many notes have each word of it."""
+    return S.settled(S.postings(P.document_notes(spark, d))).groupBy("word").agg(F.count("*").alias("notes"))
 
 
 @query(f"SELECT doc_id AS key FROM documents WHERE {start('ther')} AND {start('ing')}")
@@ -48,7 +63,7 @@ def search_negative_only(spark, d):
     return S.search(notes, index, [], [Term("th")]).select("key")
 
 
-@query("SELECT doc_id AS key FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[-._/][\\p{L}\\p{N}]+)*'), lambda w: contains(w, 'thnt'))) > 0")
+@query(f"SELECT doc_id AS key FROM documents WHERE len(list_filter({WORDS}, lambda w: contains(w, 'thnt'))) > 0")
 def search_fragment(spark, d):
     notes, index = indexed(spark, d)
     return S.search(notes, index, [[Term("thnt", "fragment")]]).select("key")
@@ -78,45 +93,54 @@ def search_rank_superseded_last(spark, d):
     return S.ranked(found, "7", F.coalesce(F.col("toxic") == 1, F.lit(False)), F.col("key").cast("string")).select("key")
 
 
-@query(r"SELECT doc_id AS key, CASE WHEN pos > 0 THEN substr(flat, greatest(pos - 50, 1), pos - greatest(pos - 50, 1) + 110) END AS snippet FROM (SELECT doc_id, flat, instr(lower(flat), 'then') AS pos FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents))")
+AT = "coalesce(nullif(instr(lower(text), 'then '), 0), nullif(instr(lower(text), 'cion'), 0), nullif(instr(strip_accents(lower(text)), 'then '), 0), nullif(instr(strip_accents(lower(text)), 'cion'), 0))"
+
+
+@query(rf"SELECT doc_id AS key, coalesce(regexp_replace(substr(text, CAST(greatest(pos - 50, 1) AS INT), CAST(pos + 110 - greatest(pos - 50, 1) AS INT)), '\s+', ' ', 'g'), '') AS snippet FROM (SELECT doc_id, text, {AT} AS pos FROM documents)")
 def search_snippet(spark, d):
-    return P.document_notes(spark, d).select("key", S.snippet(F.col("text"), "then").alias("snippet"))
+    return P.document_notes(spark, d).select("key", S.snippet(F.col("text"), "then ", "cion").alias("snippet"))
 
 
-@query()
+MASKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '`[^`\n]+`', ' ', 'g'), '!?\[\[[^\]\n]*\]\]', ' ', 'g'), '!?\[[^\]\n]*\]\([^)\n]*\)', ' ', 'g'), '\bhttps?://\S+', ' ', 'g'), '(^|[^\p{L}\p{N}_])#[\p{L}\p{N}_/-]+', '\1 ', 'g')"""
+
+
+@query(rf"SELECT doc_id AS key, mentions FROM (SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower({MASKED}), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ('then', 'thing', 'reou'))) AS INT) AS mentions FROM documents WHERE source <> 'src3') WHERE mentions > 0")
 def mentions_whole_word(spark, d):
-    return S.mentions(P.document_notes(spark, d), ["then", "Thing", "reou"])
+    notes = P.document_notes(spark, d)
+    return S.mentions(notes, ["then", "Thing", "reou"], exclude=notes.where("source = 'src3'").select("path")).select("key", "mentions")
 
 
 @query()
 def quote_verify(spark, d):
     checked = S.quote_check(F.col("text"), "The and of 12 then")
-    return P.document_notes(spark, d).select("key", checked.alias("c")).select("key", "c.verdict", F.round("c.coverage", 4).alias("coverage"), F.array_join("c.missing", " ").alias("missing"))
+    return P.document_notes(spark, d).select("key", checked.alias("c")).select("key", "c.verdict", "c.percent", "c.first", "c.last", F.array_join("c.missing_numbers", " ").alias("numbers"), F.array_join("c.missing_words", " ").alias("missing"))
 
 
 @query()
 def fuzzy_switcher(spark, d):
-    scored = P.customer_notes(spark, d).select("path", S.fuzzy_score(F.col("name"), "cst12").alias("score"))
-    return scored.where("score is not null").orderBy(F.desc("score"), "path").limit(60)
+    notes = P.customer_notes(spark, d).select("path", "segment").unionByName(P.read(spark, d, "part").select(F.concat(F.lit("parts/"), F.col("p_name"), F.lit(" "), F.col("p_partkey"), F.lit(".md")).alias("path"), F.lit("").alias("segment")))
+    return S.fuzzy_open(notes, "cst12", F.col("segment") == "BUILDING")
 
 
-@query("SELECT p_partkey AS key FROM part WHERE list_bool_and([contains(lower(p_name), 'e'), contains(lower(p_name), 'a')])")
+@query("SELECT p_partkey AS key FROM part WHERE contains(lower(p_name), 'e') AND contains(lower(p_name), 'a')")
 def tool_find_notes(spark, d):
-    return P.read(spark, d, "part").where(fold(F.col("p_name")).contains("e") & fold(F.col("p_name")).contains("a")).select(F.col("p_partkey").alias("key"))
+    return tools.find_notes(P.read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("stem")), "E á").select("key")
 
 
-@query("SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 ELSE 2 END AS state, coalesce(o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-05-20', false) AS overdue, (CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 ELSE 2 END) + CASE WHEN coalesce(o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-05-20', false) THEN 4 ELSE 0 END AS byte FROM orders")
+@query("""SELECT o_orderkey AS key, state, overdue, state + CASE WHEN overdue THEN 4 ELSE 0 END AS byte FROM (SELECT o_orderkey, state, o_orderstatus <> 'F' AND state <> 2 AND o_orderdate < TIMESTAMP '1998-05-20' AS overdue
+    FROM (SELECT *, CASE WHEN o_orderpriority = '5-LOW' THEN 2 WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 3 END AS state FROM orders))""")
 def status_rules(spark, d):
-    word = F.when(F.col("status") == "F", "Superseded by order 1").when(F.col("status") == "O", "In force").otherwise("draft")
-    fields = F.create_map(F.lit("Status"), F.array(word), F.lit("Due"), F.array(F.date_format("date", "yyyy-MM-dd")))
+    """Finished orders are obsolete, open ones approved, others wait for review; those of low priority were replaced."""
+    low = F.when(F.col("priority") == "5-LOW", "[[Other]]").otherwise(" ")
+    word = F.when(F.col("status") == "F", "Obsolete").when(F.col("status") == "O", "Approved").otherwise("for review")
+    fields = F.create_map(F.lit("State"), F.array(word), F.lit("Review_due"), F.array(F.when(F.col("status") != "F", F.date_format("date", "yyyy-MM-dd")).otherwise("soon")), F.lit("replaced_by"), F.array(low))
     found = P.order_notes(spark, d).select("key", status_of(fields, F.lit("1998-05-20").cast("date")).alias("s"))
-    return found.select("key", "s.state", "s.overdue", (F.col("s.state") + F.shiftleft(F.col("s.overdue").cast("int"), 2)).alias("byte"))
+    return found.select("key", "s.state", F.col("s.due").alias("overdue"), status_byte(F.col("s")).alias("byte"))
 
 
-@query(r"SELECT w AS word, count(*) AS notes FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(CASE WHEN lang = 'de' THEN text || ' neuwort' ELSE text END), '[\p{L}\p{N}]+')) AS w FROM documents WHERE lang <> 'es') WHERE length(w) > 3 AND regexp_full_match(w, '[a-z0-9]+') GROUP BY 1")
+@query(forms("(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' neuwort-Ä1' ELSE text END AS text FROM documents WHERE lang <> 'es')"))
 def search_refreshed_index(spark, d):
     """An index after edits of all German documents and the deletion of all Spanish ones, as if built anew."""
     notes, index = indexed(spark, d)
-    edited = notes.where("lang = 'de'").select("key", F.concat("text", F.lit(" neuwort")).alias("text"))
-    found = S.refreshed(index, notes.where("lang in ('de', 'es')"), edited)
-    return found.where(F.col("exact") & (F.length("word") > 3) & F.col("word").rlike("^[a-z0-9]+$")).groupBy("word").agg(F.count("*").alias("notes"))
+    edited = notes.where("lang = 'de'").select("key", F.concat("text", F.lit(" neuwort-Ä1")).alias("text"))
+    return S.refreshed(index, notes.where("lang in ('de', 'es')"), edited).groupBy("word").agg(F.count("*").alias("notes"))

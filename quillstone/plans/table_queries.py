@@ -144,7 +144,7 @@ def dql_regex_family(spark, d):
     )
 
 
-@query("SELECT c_custkey AS key, lower(c_name) AS l, CASE WHEN length(c_mktsegment) >= 9 THEN c_mktsegment ELSE lpad(c_mktsegment, 9, '.') END AS p, CASE WHEN length(c_name) <= 12 THEN c_name ELSE left(c_name, 9) || '...' END AS t, replace(c_name, '#', ' no ') AS r, starts_with(c_name, 'Cust') AS s FROM customer")
+@query("SELECT c_custkey AS key, lower(c_name) AS l, CASE WHEN length(c_mktsegment) >= 9 THEN c_mktsegment ELSE lpad(c_mktsegment, 9, '.') END AS p, CASE WHEN length(c_name) <= 12 THEN c_name ELSE left(c_name, 12) || '...' END AS t, replace(c_name, '#', ' no ') AS r, starts_with(c_name, 'Cust') AS s FROM customer")
 def dql_string_funcs(spark, d):
     return P.customer_notes(spark, d).select("key", F.lower("name").alias("l"), V.pad_left(F.col("segment"), 9, ".").alias("p"), V.truncate(F.col("name"), 12).alias("t"), F.replace(F.col("name"), F.lit("#"), F.lit(" no ")).alias("r"), F.col("name").startswith("Cust").alias("s"))
 
@@ -161,11 +161,11 @@ def dql_list_funcs(spark, d):
     return P.read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.array_join(F.sort_array(words), ",").alias("s"), F.array_join(F.reverse(words), ",").alias("r"), F.size(F.array_distinct(F.split("p_type", " "))).alias("u"), V.item(words, -1).alias("last"))
 
 
-@query("SELECT o_orderkey AS key, strftime(o_orderdate, '%d/%m/%Y') AS f, CAST(o_orderdate >= date_trunc('month', TIMESTAMP '1998-05-20 12:30:00') AND o_orderdate < date_trunc('month', TIMESTAMP '1998-05-20 12:30:00') + INTERVAL 1 MONTH AS BOOLEAN) AS this_month FROM orders WHERE o_orderdate >= TIMESTAMP '1998-04-01'")
+@query("SELECT o_orderkey AS key, strftime(o_orderdate, '%d/%m/%Y') AS f, CAST(o_orderdate >= date_trunc('month', TIMESTAMP '1998-05-20 12:30:00') AND o_orderdate < date_trunc('month', TIMESTAMP '1998-05-20 12:30:00') + INTERVAL 1 MONTH AS BOOLEAN) AS this_month FROM orders")
 def dql_dateformat_words(spark, d):
     t = F.col("date")
     this = (t >= V.date_word("som", now())) & (t <= V.date_word("eom", now()))
-    return P.order_notes(spark, d).where(t >= F.lit("1998-04-01").cast("timestamp")).select("key", V.dateformat(t, "dd/MM/yyyy").alias("f"), this.alias("this_month"))
+    return P.order_notes(spark, d).select("key", V.dateformat(t, "dd/MM/yyyy").alias("f"), this.alias("this_month"))
 
 
 @query("SELECT doc_id AS key FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'text' ELSE CAST(n_chars AS VARCHAR) END AS v, doc_id % 4 AS k, n_chars FROM documents) ORDER BY CASE k WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END, CASE WHEN k > 1 THEN n_chars END, doc_id")
@@ -175,16 +175,16 @@ def dql_sort_mixed_types(spark, d):
     return Rows.of(P.document_notes(spark, d), "key").sort(V.from_text(raw).asc()).table(key=key)
 
 
-@query("SELECT o_orderkey AS key, 'customers/' || o_custkey || '.md' AS path, 'part ' || o_orderpriority AS subpath, o_orderpriority AS display FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey AS key, 'customers/' || o_custkey || '.md' AS path, 'part ' || o_orderpriority AS subpath, o_orderpriority AS display FROM orders")
 def dql_link_meta(spark, d):
-    notes = P.order_notes(spark, d).where("status = 'F'")
+    notes = P.order_notes(spark, d)
     made = V.link(F.concat(F.col("customer"), F.lit("#part "), F.col("priority")), F.col("priority"))
     return notes.select("key", made.alias("l")).select("key", "l.path", "l.subpath", "l.display")
 
 
-@query("SELECT doc_id AS key, CASE WHEN quality IS NULL THEN 'null' ELSE 'number' END AS a, 'string' AS b, 'array' AS c FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id AS key, CASE WHEN quality IS NULL THEN 'null' ELSE 'number' END AS a, 'string' AS b, 'array' AS c, 'link' AS l, 'duration' AS t FROM documents LEFT JOIN labels USING (doc_id)")
 def dql_typeof(spark, d):
-    return P.document_notes(spark, d).select("key", V.kind_name(F.col("quality")).alias("a"), V.kind_name(F.col("lang")).alias("b"), V.kind_name(F.col("tags")).alias("c"))
+    return P.document_notes(spark, d).select("key", V.kind_name(F.col("quality")).alias("a"), V.kind_name(F.col("lang")).alias("b"), V.kind_name(F.col("tags")).alias("c"), V.kind_name(V.link(F.col("path"))).alias("l"), V.kind_name(F.make_dt_interval(F.col("key").cast("int"))).alias("t"))
 
 
 @query("SELECT o_orderkey AS key, CAST(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1992-01-01') AS DOUBLE) / 86400000 / 7 AS weeks, CAST(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1992-01-01') AS DOUBLE) / 3600000 AS hours, strftime(o_orderdate, '%Y-%m-%d') AS named FROM orders")

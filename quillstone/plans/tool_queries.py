@@ -89,10 +89,16 @@ def graph_small_layouts(spark, d):
     return G.small_layouts(members).select("path", "component", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_name || ', rev. ' || c_nationkey ELSE c_name END || ' (customers/' || c_custkey || '.md)' AS cite FROM customer")
+@query("""SELECT c_custkey AS key, '> ' || c_name || chr(10) || '>' || chr(10) || '> is here' || chr(10) || '>' || chr(10) || '> — [[' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '#Part 1|' || c_custkey || ' › Part 1' ELSE '' END || ']] · ' || c_name
+    || CASE WHEN c_custkey % 2 = 0 THEN ' · Rev ' || c_nationkey ELSE ' · Issue ' || c_nationkey END || ' · effective 1998-01-01' || CASE c_mktsegment WHEN 'BUILDING' THEN ' · ⚠ SUPERSEDED' WHEN 'MACHINERY' THEN ' · draft' ELSE '' END || ' · copied 1998-05-20' || chr(10) AS cite FROM customer""")
 def status_citation(spark, d):
-    rev = F.when(F.col("key") % 2 == 0, F.regexp_extract("nation", r"(\d+)", 1)).otherwise("")
-    return P.customer_notes(spark, d).select("key", T.citation(F.col("name"), rev, F.lit(""), F.col("path")).alias("cite"))
+    nation = F.regexp_extract("nation", r"(\d+)", 1)
+    fields = F.create_map(
+        F.lit("Doc_ID"), F.array("name"), F.lit("revision"), F.array(F.when(F.col("key") % 2 == 0, nation).otherwise(F.concat(F.lit("Issue "), nation))), F.lit("effective"), F.array(F.lit("1998-01-01")),
+        F.lit("status"), F.array(F.when(F.col("segment") == "BUILDING", "Withdrawn").when(F.col("segment") == "MACHINERY", "in-review").otherwise("whatever")),
+    )
+    quote, heading = F.concat(F.lit(" "), F.col("name"), F.lit("\r\n\nis here\n")), F.when(F.col("key") % 3 == 0, "[Part] 1")
+    return P.customer_notes(spark, d).select("key", T.citation(quote, F.col("path"), heading, fields, F.lit("1998-05-20").cast("date")).alias("cite"))
 
 
 @query("SELECT folder, n, CAST(row_number() OVER (ORDER BY n DESC, folder) AS INT) AS rank FROM (SELECT 'orders' AS folder, count(*) AS n FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'nations', count(*) FROM nation UNION ALL SELECT 'regions', count(*) FROM region UNION ALL SELECT 'suppliers', count(*) FROM supplier UNION ALL SELECT 'parts', count(*) FROM part)")

@@ -52,7 +52,7 @@ def view_summaries_numeric(spark, d):
     return out.withColumns({k: F.round(k, n) for k, n in digits.items()} | {k: F.date_format(k, "yyyy-MM-dd") for k in ("earliest", "latest")})
 
 
-@query("SELECT count(*) FILTER (toxic = 1) AS checked, count(*) FILTER (toxic IS DISTINCT FROM 1) AS unchecked, count(*) FILTER (quality IS NULL) AS empty, count(quality) AS filled, count(DISTINCT quality) + 1 AS uniq FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT count(*) FILTER (toxic = 1) AS checked, count(*) FILTER (toxic <> 1) AS unchecked, count(*) FILTER (quality IS NULL) AS empty, count(quality) AS filled, count(DISTINCT quality) AS uniq FROM documents LEFT JOIN labels USING (doc_id)")
 def view_summaries_counts(spark, d):
     notes = P.document_notes(spark, d)
     toxic = F.col("toxic") == 1

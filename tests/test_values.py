@@ -34,7 +34,19 @@ ts = lambda s: F.lit(s).cast("timestamp")
         (lambda: V.regextest("(", F.lit("a")), False),
         (lambda: V.pad_left(F.lit("abc"), 2), "abc"),
         (lambda: V.pad_right(F.lit("a"), 3, "-"), "a--"),
-        (lambda: V.truncate(F.lit("abcdefgh"), 5), "ab..."),
+        (lambda: V.truncate(F.lit("abcdefgh"), 5), "abcde..."),
+        (lambda: V.title(F.lit("a\tbig\nword")), "A\tBig\nWord"),
+        (lambda: V.fold(F.lit("Łódź й Ά")), "łodz и α"),
+        (lambda: V.relative(ts("2026-11-25"), ts("2026-11-09")), "in 2 weeks"),
+        (lambda: V.relative(ts("2026-11-09 00:00:20"), ts("2026-11-09")), "just now"),
+        (lambda: V.kind_name(V.link(F.lit("a"))), "link"),
+        (lambda: V.view_list_sum(F.array().cast("array<double>")), 0.0),
+        (lambda: V.extreme([F.lit(3), F.lit("a"), F.lit(None).cast("string")], ["number", "string", "string"])["n"], 3.0),
+        (lambda: V.extreme([F.lit(3), F.lit("a")], ["number", "string"], greatest=True)["s"], "a"),
+        (lambda: V.as_number(F.lit(" 2.5 "), "string"), 2.5),
+        (lambda: V.escape_html(F.lit("<a & 'b'>")), "&lt;a &amp; &#39;b&#39;&gt;"),
+        (lambda: V.has_property(F.create_map(F.lit("Due"), F.lit("x")), "due"), True),
+        (lambda: V.natural_key(F.lit("a" + "1" * 21)) < V.natural_key(F.lit("a" + "1" * 20 + "2")), True),
         (lambda: V.title(F.lit("some BIG word")), "Some BIG Word"),
         (lambda: F.date_format(V.view_plus(ts("2026-01-31 10:00:00"), months=1), "yyyy-MM-dd HH:mm"), "2026-02-28 10:00"),
         (lambda: F.date_format(V.date_word("sow", ts("2026-11-12 10:00:00")), "yyyy-MM-dd"), "2026-11-09"),
