@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstone.sources.markdown import FRONT_MATTER, front_matter
 
 
-def replaced_once(text: Column, old: str, new: str) -> Column:
-    """Null unless the old text is there exactly once."""
+def replaced_once(text: Column, old: str, new: str, every: bool = False) -> Column:
+    """Null unless the old text is there exactly once, or, with every, at least once."""
     n = (F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)
-    return F.when(n == 1, F.replace(text, F.lit(old), F.lit(new)))
+    return F.when((n >= 1) if every else (n == 1), F.replace(text, F.lit(old), F.lit(new)))
 
 
 def appended(text: Column, more: str) -> Column:
@@ -30,7 +32,7 @@ def task_set(text: Column, line: int, task: str, status: str) -> Column:
 def property_set(text: Column, key: str, value: str | None) -> Column:
     """A front-matter property put in, changed, or (None) taken out."""
     had = text.rlike(FRONT_MATTER)
-    own = rf"(?m)^{key}\s*:.*(?:\r?\n\s*-\s.*)*"
+    own = rf"(?m)^{re.escape(key)}\s*:.*(?:\r?\n\s*-\s.*)*"
     front = front_matter(text)
     if value is None:
         changed = F.regexp_replace(front, own + r"\r?\n?", "")
@@ -47,6 +49,55 @@ def links_renamed(text: Column, old: str, new: str) -> Column:
     return F.regexp_replace(text, r"(?i)(\[\[)\Q" + old + r"\E(?=[\]|#])", "$1" + new.replace("\\", "\\\\").replace("$", "\\$"))
 
 
+def encoded(path: Column) -> Column:
+    """A path as a Markdown link has it: percent-encoded but for slashes and a few marks."""
+    out = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    for code, char in (("%2F", "/"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def relative_path(folder: Column, path: Column) -> Column:
+    """The path as seen from a folder (empty: the root)."""
+    a = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
+    b = F.split(path, "/")
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("same"))
+    shared = F.aggregate(
+        F.slice(a, F.lit(1), F.size(b) - 1), start,
+        lambda acc, x: F.when(acc["same"] & (x == F.get(b, acc["n"])), F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("same"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("same"))),
+    )["n"]
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
+
+
+def moved_links(text: Column, source: Column, old: Column, new: Column, name: Column | None = None) -> Column:
+    """The text of a note whose links to a moved note follow it: wiki links, which keep headings and aliases, and relative Markdown links.
+
+    A link leads to the old note by its name, its path, or its path from the note's folder. name is what wiki links then
+    say: the new note's name, or its path without extension where the name alone would lead elsewhere.
+    """
+    bare = lambda c: F.regexp_replace(c, r"(?i)\.(md|markdown)$", "")
+    stem = lambda c: bare(F.substring_index(c, "/", -1))
+    folder = F.when(F.contains(source, F.lit("/")), F.regexp_replace(source, "/[^/]*$", "")).otherwise("")
+    ways = F.transform(F.array(old, relative_path(folder, old)), F.lower)
+    leads = lambda c: F.exists(ways, lambda w: (F.lower(c) == w) | (F.lower(c) == bare(w)))
+    written = F.coalesce(name, stem(new)) if name is not None else stem(new)
+
+    def follow(one: Column) -> Column:
+        inner = F.regexp_extract(one, r"^!?\[\[([^\[\]\n]+?)\]\]$", 1)
+        target = F.trim(F.regexp_extract(inner, r"^([^#|]*)", 1))
+        wiki = F.concat(F.when(one.startswith("!"), "!").otherwise(""), F.lit("[["), written, F.regexp_extract(inner, r"^[^#|]*(.*)$", 1), F.lit("]]"))
+        href = F.regexp_extract(one, r"^\[[^\]\n]*\]\(([^)\s]+)", 1)
+        path, sub = F.substring_index(href, "#", 1), F.regexp_extract(href, "(#.*)$", 1)
+        plain = ~href.rlike(r"(?i)^([a-z][a-z0-9+.-]*:|#)")
+        marked = F.concat(F.regexp_extract(one, r"^(\[[^\]\n]*\]\()", 1), encoded(relative_path(folder, new)), sub, F.regexp_extract(one, r"((?:\s+\"[^\"]*\")?\))$", 1))
+        is_wiki = (inner != "") & (leads(target) | (F.lower(target) == F.lower(stem(old))))
+        return F.when(is_wiki, wiki).when((href != "") & plain & leads(F.try_url_decode(path)), marked).otherwise(one)
+
+    pattern = r"!?\[\[[^\[\]\n]+?\]\]|\[[^\]\n]*\]\([^)\s]+(?:\s+\"[^\"]*\")?\)"
+    gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(gaps, F.concat(F.transform(found, follow), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+
+
 def expanded(template: Column, title: Column, now: Column) -> Column:
     """{{title}}, {{date}}, {{time}} filled in; what is not known stays."""
     out = F.replace(template, F.lit("{{title}}"), title)

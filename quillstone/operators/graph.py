@@ -22,6 +22,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("path")).groupBy("path").agg(F.count("*").alias("degree"))
 
 
+def labelled(edges: DataFrame, most: int = 5000) -> DataFrame:
+    """path, degree of the best-linked notes, which get labels first."""
+    return degrees(edges).orderBy(F.desc("degree"), "path").limit(most)
+
+
+def found(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose name contains the text; none for a blank one."""
+    asked = text.strip().lower()
+    name = F.lower(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1))
+    return nodes.where(F.contains(name, F.lit(asked)) if asked else F.lit(False))
+
+
 def without_hubs(edges: DataFrame, cap: int = 1000) -> DataFrame:
     """Edges that touch no node of more links than the cap."""
     hubs = degrees(edges).where(F.col("degree") > cap).select("path")

@@ -46,6 +46,12 @@ def naming_line(text: Column, name: str, longest: int = 160) -> Column:
     return F.substring(F.trim(hit), 1, longest)
 
 
+def cards_by_due(cards: DataFrame) -> DataFrame:
+    """cards(lane, pos, text) of each lane by the date in their text, those without one last, else as they stand."""
+    due = F.nullif(F.regexp_extract("text", r"(?:📅\uFE0F?\s*|@\{)(\d{4}-\d\d-\d\d)", 1), F.lit(""))
+    return cards.withColumn("due", due).orderBy("lane", F.col("due").asc_nulls_last(), "pos")
+
+
 def card_counts(cards: DataFrame) -> DataFrame:
     """lane, cards, done of cards(lane, done, status); a card is done in a finished lane or when ticked."""
     return cards.groupBy("lane").agg(F.count("*").alias("cards"), F.count_if(F.col("done") | (F.lower("status") == "x")).alias("done"))

@@ -97,3 +97,13 @@ def ext_events_tumbling(spark, d):
 def ext_events_session(spark, d):
     e = P.day_notes(spark, d)
     return e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n")).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT path, degree FROM (SELECT path, count(*) AS degree FROM (SELECT 'orders/' || o_orderkey || '.md' AS path FROM orders UNION ALL SELECT 'customers/' || o_custkey || '.md' FROM orders UNION ALL SELECT 'customers/' || c_custkey || '.md' FROM customer UNION ALL SELECT 'nations/' || c_nationkey || '.md' FROM customer UNION ALL SELECT 'nations/' || n_nationkey || '.md' FROM nation UNION ALL SELECT 'regions/' || n_regionkey || '.md' FROM nation UNION ALL SELECT 'suppliers/' || s_suppkey || '.md' FROM supplier UNION ALL SELECT 'nations/' || s_nationkey || '.md' FROM supplier) GROUP BY 1) ORDER BY degree DESC, path LIMIT 200")
+def graph_labels(spark, d):
+    return G.labelled(P.edges(spark, d), 200)
+
+
+@query("SELECT 'customers/' || c_custkey || '.md' AS path FROM customer WHERE contains(CAST(c_custkey AS VARCHAR), '12') UNION ALL SELECT 'orders/' || o_orderkey || '.md' FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '12') UNION ALL SELECT 'parts/' || p_partkey || '.md' FROM part WHERE contains(CAST(p_partkey AS VARCHAR), '12') UNION ALL SELECT 'suppliers/' || s_suppkey || '.md' FROM supplier WHERE contains(CAST(s_suppkey AS VARCHAR), '12') UNION ALL SELECT 'nations/' || n_nationkey || '.md' FROM nation WHERE contains(CAST(n_nationkey AS VARCHAR), '12') UNION ALL SELECT 'regions/' || r_regionkey || '.md' FROM region WHERE contains(CAST(r_regionkey AS VARCHAR), '12')")
+def graph_find(spark, d):
+    return G.found(P.nodes(spark, d), " 12").select("path")

@@ -192,3 +192,12 @@ def dql_duration_parts(spark, d):
     since = V.between_ms(F.col("date"), F.lit("1992-01-01").cast("timestamp"))
     named = F.concat(F.lit("log/"), F.date_format("date", "yyyy-MM-dd"), F.lit(".md"))
     return P.order_notes(spark, d).select("key", V.duration_part(since, "weeks").alias("weeks"), V.duration_part(since, "hours").alias("hours"), day(V.link_date(named)).alias("named"))
+
+
+@query("SELECT 'orders/' || o_orderkey || '.md' AS path FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 2 = 1 AND o_custkey IN (SELECT c_custkey FROM customer)")
+def dql_from_and(spark, d):
+    """Notes with a tag that also link to a customer of an odd number; tags are a table of their own."""
+    notes, edges = P.order_notes(spark, d), P.edges(spark, d)
+    tags = notes.select("path", F.explode("tags").alias("tag_lc"))
+    odd = P.customer_notes(spark, d).where("key % 2 = 1").select(F.col("path").alias("dst"))
+    return R.both(R.tagged_notes(notes, tags, "#priority/1-URGENT"), edges.join(odd, "dst").select(F.col("src").alias("path"))).select("path")

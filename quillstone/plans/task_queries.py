@@ -74,3 +74,18 @@ def dash_tags(spark, d):
 @query("SELECT 'notes' AS what, '' AS name, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'folder', 'customers', count(*) FROM customer UNION ALL SELECT * FROM (SELECT 'tag', 'segment/' || lower(c_mktsegment), count(*) FROM customer GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 30)")
 def tool_vault_info(spark, d):
     return D.vault_info(P.customer_notes(spark, d))
+
+
+@query("SELECT 'orders/' || l_orderkey || '.md' AS path, count(*) AS n, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_linenumber) AS texts FROM lineitem GROUP BY 1")
+def task_nested_by_note(spark, d):
+    nested = Rows.of(P.tasks(spark, d), "path", "line").tasks_by("path")
+    return nested.select("path", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: F.concat(r["text"], r["line"].cast("string"))), ",").alias("texts"))
+
+
+@query("SELECT l_returnflag AS lane, l_orderkey * 8 + l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS due FROM lineitem ORDER BY lane, due NULLS LAST, pos")
+def board_cards_by_due(spark, d):
+    from quillstone.operators.tools import cards_by_due
+
+    tasks = P.tasks(spark, d)
+    text = F.concat(F.lit("ship "), F.when(F.col("line") % 2 == 0, F.concat(F.lit("📅 "), F.date_format("due", "yyyy-MM-dd"))).otherwise(""))
+    return cards_by_due(tasks.select(F.col("text").alias("lane"), (F.col("key") * 8 + F.col("line")).cast("long").alias("pos"), text.alias("text"))).select("lane", "pos", "due")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.values import link, link_date
+
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 TAG = r"[\p{L}\p{N}_/-]*[\p{L}_/-][\p{L}\p{N}_/-]*"
 # Marks of dates in a task.
@@ -97,7 +99,7 @@ def links(text: Column) -> Column:
     plain = without_code(text)
     wiki = F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\n|#]+)(?:#[^\]\n|]*)?(?:\|[^\]\n]*)?\]\]"), F.lit(1))
     mark = F.regexp_extract_all(plain, F.lit(r"\]\((?![a-zA-Z][a-zA-Z0-9+.-]*:|#)<?([^)\s>#]+)[^)]*\)"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(wiki, F.transform(mark, F.url_decode)), F.trim))
+    return F.array_distinct(F.transform(F.concat(wiki, F.transform(mark, F.url_decode)), lambda x: F.trim(x)))
 
 
 def tags(text: Column) -> Column:
@@ -140,8 +142,21 @@ def note_table(files: DataFrame) -> DataFrame:
     return files.where("is_note").select("path", "folder", "stem", "mtime", "size", links(t).alias("links"), tags(t).alias("tags"), fields(t).alias("fields"), tasks(t).alias("tasks"))
 
 
+def file_fields(notes: DataFrame) -> DataFrame:
+    """name, path, folder, ext, link, mtime, ctime, mday, cday, size, tags, etags, day, frontmatter of a table of notes: what a query sees of a file.
+
+    A table without ctime has mtime in its place. day is the first ISO date of the name.
+    """
+    ctime = F.col("ctime") if "ctime" in notes.columns else F.col("mtime")
+    marked = F.transform("tags", lambda t: F.concat(F.lit("#"), t))
+    return notes.select(
+        F.col("stem").alias("name"), "path", "folder", F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext"), link(F.col("path"), F.col("stem")).alias("link"), "mtime", ctime.alias("ctime"), F.date_trunc("day", "mtime").alias("mday"),
+        F.date_trunc("day", ctime).alias("cday"), "size", marked.alias("tags"), marked.alias("etags"), link_date(F.col("stem")).alias("day"), F.col("fields").alias("frontmatter"),
+    )
+
+
 def task_table(notes: DataFrame) -> DataFrame:
-    """path, k, line, status, text, indent, completed, fully_completed (with all below it), dates and parent_k of every task.
+    """path, k, line, status, text, indent, completed, checked, fully_completed (with all below it), dates, parent_k, children (their k), tags and outlinks of every task.
 
     The tasks of a note are one array, so nothing is shuffled.
     """
@@ -153,9 +168,15 @@ def task_table(notes: DataFrame) -> DataFrame:
     # Those below it are the deeper ones up to the first that is not.
     start = F.struct(F.lit(True).alias("inside"), F.lit(True).alias("done"))
     step = lambda acc, t: F.struct((acc["inside"] & (t["indent"] > F.col("indent"))).alias("inside"), (acc["done"] & (~(acc["inside"] & (t["indent"] > F.col("indent"))) | (F.lower(t["status"]) == "x"))).alias("done"))
+    # Children are those below it that are no deeper than the first of them.
+    level = F.get(after, F.lit(0))["indent"]
+    kin = lambda acc, t: F.struct((acc["inside"] & (t["indent"] > F.col("indent"))).alias("inside"), (acc["k"] + 1).alias("k"), F.when(acc["inside"] & (t["indent"] > F.col("indent")) & (t["indent"] <= level), F.concat(acc["found"], F.array(acc["k"]))).otherwise(acc["found"]).alias("found"))
+    children = F.aggregate(after, F.struct(F.lit(True).alias("inside"), (F.col("k") + 1).alias("k"), F.array().cast("array<int>").alias("found")), kin)["found"]
+    own_tags = F.transform(F.regexp_extract_all("text", F.lit(rf"(?:^|(?<=[\s(,;]))#({TAG})"), F.lit(1)), lambda t: F.concat(F.lit("#"), t))
+    out = F.regexp_extract_all("text", F.lit(r"\[\[([^\[\]\n|#]+)[^\[\]\n]*\]\]"), F.lit(1))
     completed = F.lower("status") == "x"
     below = F.aggregate(after, start, step)["done"]
-    return rows.withColumns({"parent_k": parent, "completed": completed, "fully_completed": completed & below, **{k: task_date(F.col("text"), k) for k in TASK_DATES}}).drop("tasks")
+    return rows.withColumns({"parent_k": parent, "completed": completed, "checked": F.col("status") != " ", "children": children, "tags": own_tags, "outlinks": out, "fully_completed": completed & below, **{k: task_date(F.col("text"), k) for k in TASK_DATES}}).drop("tasks")
 
 
 def resolved(notes: DataFrame, files: DataFrame) -> DataFrame:
