@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,14 +162,15 @@ def log_probabilities(counts: DataFrame, scratch: Scratch) -> DataFrame:
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = scratch.table(levels[k + 1].groupBy("lang", low_bytes(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), f"level{k}")
+    m = [F.greatest(F.count_if(F.col("n") == i), F.lit(1)).cast("double") for i in (1, 2, 3, 4)]
+    y = m[0] / (m[0] + 2 * m[1])
+    each = [F.least(F.greatest(i - (i + 1) * y * m[i] / m[i - 1], F.lit(0.05)), F.lit(i - 0.05 if i == 1 else i - 0.1)).alias(f"d{i}") for i in (1, 2, 3)]
+    every = reduce(DataFrame.unionByName, [levels[k].select(F.lit(k).alias("k"), "lang", "n") for k in levels])
+    # Written, so that Spark knows how small it is, and can split a language that most n-grams are of where it isn't.
+    discounts = scratch.table(every.groupBy("k", "lang").agg(*each), "discounts")
     lower = None
     for k in range(1, ORDER + 1):
-        m = [F.greatest(F.count_if(F.col("n") == i), F.lit(1)).cast("double") for i in (1, 2, 3, 4)]
-        y = m[0] / (m[0] + 2 * m[1])
-        discounts = levels[k].groupBy("lang").agg(*[
-            F.least(F.greatest(i - (i + 1) * y * m[i] / m[i - 1], F.lit(0.05)), F.lit(i - 0.05 if i == 1 else i - 0.1)).alias(f"d{i}") for i in (1, 2, 3)
-        ])
-        rows = levels[k].join(discounts, "lang").withColumn("context", F.shiftright("gram", 8))
+        rows = levels[k].join(discounts.where(F.col("k") == k).drop("k"), "lang").withColumn("context", F.shiftright("gram", 8))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own = F.greatest(F.col("n") - cut, F.lit(0.0))
         rows = rows.withColumn("own", F.when(F.col("n") >= SEEN, own).otherwise(0.0) if k >= MIDDLE else own)
@@ -317,7 +319,7 @@ def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
     arrays = scratch.table(sorted_arrays(log_probabilities(counts, scratch), bits), "model")
     own = free_names(docs.select(*columns), *OWN)
     # Both uses take all columns of this shuffle, so that Spark reuses it.
-    blocks = packed(docs, columns).repartition("block")
+    blocks = packed(docs, columns).repartition(max(1, 2 * size["bytes"] // BLOCK), "block")
     known = answers(questions(blocks, bits), arrays)
     kinds = ["long"] * 5 + ["boolean", "double"]
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)] + [f"`{n}` {k}" for n, k in zip(own, kinds, strict=False)] + ["lang_ string"])
