@@ -10,7 +10,7 @@ so a task holds the suffixes of a few buckets and no whole suffix array exists a
   differences are multiples of the period STEP and the cover needs one residue: positions a multiple of STEP from the
   anchor. Samples there are ranked by 1, 2, 4, 8 and 9 blocks of STEP bytes, by doubling. A suffix is ordered by the
   sample rank it reaches first and by the STEP bytes that this sample does not cover.
-* Exact copies of a text, by SHA-256, are one text with a count. A bucket with more than HOT anchors is split: by STEP
+* Exact copies of a text, by SHA-256, are one text with a count. A bucket with more than HOT anchors is split: by SPLIT
   distances at a time, and by the bytes that all strings of those distances share. Equal contexts of such a bucket are
   counted before they are shuffled and sorted once, and their spans go back to each place by a join that AQE can split.
 * Texts are read SLICE bytes at a time, with the bytes of a string more; a run of strings that a slice cuts is two runs.
@@ -37,7 +37,9 @@ LENGTH, K, STEP = 200, 40, 20
 #: Greatest distance from a string's start to its anchor; columns of a context, whose anchor is at column FAR.
 FAR = LENGTH - K
 WIDTH = FAR + LENGTH
-HOT = 10_000
+HOT = 2_000
+#: Distances in a part of a split bucket; all its strings share LENGTH - SPLIT + 1 bytes.
+SPLIT = 81
 #: Contexts sorted together.
 CONTEXTS = 4_000
 BATCH_BYTES = 1_000_000
@@ -123,7 +125,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 def occurrences(texts: DataFrame, split: bool = False) -> DataFrame:
     """Each repeated anchor of texts(KEY, text, copies, repeated array<long>) with the bytes of all strings it is the anchor of.
 
-    With split, a row for each STEP distances, and in place of the anchor a hash of it and of the bytes that the strings of
+    With split, a row for each SPLIT distances, and in place of the anchor a hash of it and of the bytes that the strings of
     those distances share.
     """
 
@@ -138,14 +140,14 @@ def occurrences(texts: DataFrame, split: bool = False) -> DataFrame:
                     keep = np.isin(anchor.view(np.int64), wanted)
                     text, anchor, place, far, near = (x[keep] for x in (text, anchor, place, place - low, place - high))
                     if split:
-                        n = far // STEP - near // STEP + 1
-                        step = np.repeat(near // STEP, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        n = far // SPLIT - near // SPLIT + 1
+                        step = np.repeat(near // SPLIT, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                         text, anchor, place, far, near = (np.repeat(x, n) for x in (text, anchor, place, far, near))
-                        far, near = np.minimum(far, step * STEP + STEP - 1), np.maximum(near, step * STEP)
+                        far, near = np.minimum(far, step * SPLIT + SPLIT - 1), np.maximum(near, step * SPLIT)
                     low, high = place - far, place - near + LENGTH
                     raw = [data[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
                     if split:
-                        shared = [data[p - STEP * k : p - STEP * k + LENGTH - STEP + 1].tobytes() for p, k in zip(place.tolist(), step.tolist(), strict=True)]
+                        shared = [data[p - SPLIT * k : p - SPLIT * k + LENGTH - SPLIT + 1].tobytes() for p, k in zip(place.tolist(), step.tolist(), strict=True)]
                         salts = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in shared), np.uint64)
                         anchor = mix64(anchor ^ mix64(salts + step.astype(np.uint64)))
                     row = pa.array(text + at)
