@@ -69,6 +69,12 @@ def relative_path(folder: Column, path: Column) -> Column:
     return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
 
 
+def normal_path(path: Column) -> Column:
+    """Without `.` and `..`."""
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.isin("", "."), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def moved_links(text: Column, source: Column, old: Column, new: Column, name: Column | None = None) -> Column:
     """The text of a note whose links to a moved note follow it: wiki links, which keep headings and aliases, and relative Markdown links.
 
@@ -78,8 +84,8 @@ def moved_links(text: Column, source: Column, old: Column, new: Column, name: Co
     bare = lambda c: F.regexp_replace(c, r"(?i)\.(md|markdown)$", "")
     stem = lambda c: bare(F.substring_index(c, "/", -1))
     folder = F.when(F.contains(source, F.lit("/")), F.regexp_replace(source, "/[^/]*$", "")).otherwise("")
-    ways = F.transform(F.array(old, relative_path(folder, old)), F.lower)
-    leads = lambda c: F.exists(ways, lambda w: (F.lower(c) == w) | (F.lower(c) == bare(w)))
+    is_old = lambda c: F.lower(c).isin(F.lower(old), F.lower(bare(old)))
+    leads = lambda c: is_old(c) | is_old(normal_path(F.concat_ws("/", folder, c)))
     written = F.coalesce(name, stem(new)) if name is not None else stem(new)
 
     def follow(one: Column) -> Column:

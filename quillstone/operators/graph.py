@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.operators.components import star_forest
+from quillstone.operators.ranks import exact_median
 from quillstone.sources.scratch import written
 
 
@@ -58,19 +60,11 @@ def neighbourhood(edges: DataFrame, start: str, hops: int | None) -> DataFrame:
     return reached
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """path, component (the least path in it) of every node with a link. Least labels spread and are followed to their own label."""
-    links = written(both_ways(edges).where("src <> dst").distinct(), "links")
-    labels = written(links.groupBy(F.col("src").alias("path")).agg(F.min("dst").alias("m")).select("path", F.least("path", "m").alias("component")), "labels0")
-    for k in range(1, most_rounds + 1):
-        near = links.join(labels, links["dst"] == labels["path"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["path"] == near["src"], "left").select("path", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        up = step.select(F.col("path").alias("p"), F.col("component").alias("c"))
-        new = written(step.join(up, step["component"] == up["p"], "left").select("path", F.least("component", "c").alias("component"), "was"), f"labels{k}")
-        labels = new.select("path", "component")
-        if not len(new.where("component <> was").take(1)):
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """path, component (the least path in it) of every node with a link to another."""
+    forest = star_forest(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), written)
+    roots = forest.select(F.col("root").alias("path")).distinct()
+    return forest.select(F.col("node").alias("path"), F.col("root").alias("component")).unionByName(roots.select("path", F.col("path").alias("component")))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -118,7 +112,8 @@ def median_link_length(edges: DataFrame, positions: DataFrame) -> DataFrame:
     a = positions.select(F.col("path").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = positions.select(F.col("path").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     length = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
-    return edges.join(a, "src").join(b, "dst").agg(F.median(length).alias("median"), F.count("*").alias("links"))
+    lengths = written(edges.join(a, "src").join(b, "dst").select(length.alias("length")), "lengths")
+    return lengths.agg(F.lit(exact_median(lengths, F.col("length"))).cast("double").alias("median"), F.count("*").alias("links"))
 
 
 def pivot_layout(edges: DataFrame, pivots: int = 8, hops: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.values import list_mean, list_sum, natural_key
+from quillstone.operators.ranks import exact_median
 
 Filter = Column | list | dict | None
 
@@ -133,7 +134,10 @@ class View:
         return self.shown(files).groupBy(name).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in totals.items()])
 
     def totals(self, files: DataFrame) -> DataFrame:
-        return self.shown(files).agg(*[summary(s, F.col(c), k).alias(n) for n, (s, c, k) in self.summaries.items()])
+        """One row of summaries. A median over all rows is worked out by exact_median(), as an aggregate would sort them in one task."""
+        rows = self.shown(files) if self.limit > 0 else self.source(files)
+        own = lambda s, c, k: F.lit(exact_median(rows, F.col(c))).cast("double") if s.lower() == "median" else summary(s, F.col(c), k)
+        return rows.agg(*[own(*x).alias(n) for n, x in self.summaries.items()])
 
 
 def related(edges: DataFrame, path: str, least: int = 1) -> DataFrame:

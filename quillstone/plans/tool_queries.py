@@ -82,7 +82,15 @@ def graph_galaxy(spark, d):
     return stars.select("path", "arm", *[F.round(c, 6).alias(c) for c in ("x", "y", "size", "alpha")])
 
 
-@query()
+MEMBERS = """WITH n AS (SELECT n_nationkey, 'nations/' || n_nationkey || '.md' AS p, 'regions/' || n_regionkey || '.md' AS r FROM nation), l AS (SELECT 'orders/' || o_orderkey || '.md' AS s, 'customers/' || o_custkey || '.md' AS t FROM orders
+    UNION ALL SELECT 'customers/' || c_custkey || '.md', 'nations/' || c_nationkey || '.md' FROM customer UNION ALL SELECT p, r FROM n UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', 'nations/' || s_nationkey || '.md' FROM supplier),
+    g AS (SELECT path, count(*) AS degree FROM (SELECT s AS path FROM l UNION ALL SELECT t FROM l) GROUP BY 1),
+    m AS (SELECT p AS path, r FROM n UNION ALL SELECT DISTINCT r, r FROM n UNION ALL SELECT 'customers/' || c_custkey || '.md', r FROM customer JOIN n ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', r FROM supplier JOIN n ON s_nationkey = n_nationkey UNION ALL SELECT 'orders/' || o_orderkey || '.md', r FROM orders JOIN customer ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey)"""
+
+
+@query(MEMBERS + """ SELECT path, component, round(sqrt(k) * cos(k * (pi() * (3 - sqrt(5)))), 6) AS x, round(sqrt(k) * sin(k * (pi() * (3 - sqrt(5)))), 6) AS y
+    FROM (SELECT path, component, CAST(row_number() OVER (PARTITION BY component ORDER BY degree DESC, path) - 1 AS DOUBLE) AS k FROM (SELECT m.path, min(m.path) OVER (PARTITION BY r) AS component, degree FROM m JOIN g ON m.path = g.path))""")
 def graph_small_layouts(spark, d):
     edges = P.edges(spark, d)
     members = G.components(edges).join(G.degrees(edges), "path")

@@ -242,3 +242,27 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.s) for r in spark.table("w").collect()) == [(1, 5.0), (2, 3.0)]
+
+
+def test_exact_median_by_brackets(spark, monkeypatch):
+    from quillstone.operators import ranks
+
+    monkeypatch.setattr(ranks, "SORTED", 20)
+    rng = random.Random(7)
+    for values in ([rng.gauss(0, 5) for _ in range(3001)], [1.0] * 900 + [2.0] * 100, [float(i % 4) for i in range(1000)], [3.0, 1.0], [], [None, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        full = sorted(v for v in values if v is not None)
+        want = None if not full else (full[(len(full) - 1) // 2] + full[len(full) // 2]) / 2
+        assert ranks.exact_median(df, F.col("v")) == want
+
+
+def test_links_follow_a_moved_note(spark):
+    from quillstone.operators import edits
+
+    text = 'See [[Plan]], ![[plan#Goal|the goal]], [[Work/Plan.md]], [a](Plan.md#x "t"), [b](../Work/Plan.md), [c](https://x.org/Plan.md), [[Planet]] and [d](other.md).'
+    df = spark.range(1).select(edits.moved_links(F.lit(text), F.lit("Work/Note.md"), F.lit("Work/Plan.md"), F.lit("Old work/Plan (2).md")).alias("t"))
+    assert df.first().t == 'See [[Plan (2)]], ![[Plan (2)#Goal|the goal]], [[Plan (2)]], [a](../Old%20work/Plan%20(2).md#x "t"), [b](../Old%20work/Plan%20(2).md), [c](https://x.org/Plan.md), [[Planet]] and [d](other.md).'
+    one = lambda e: spark.range(1).select(e.alias("v")).first().v
+    assert one(edits.relative_path(F.lit("a/b"), F.lit("a/c/d.md"))) == "../c/d.md" and one(edits.relative_path(F.lit(""), F.lit("a/d.md"))) == "a/d.md" and one(edits.relative_path(F.lit("a"), F.lit("a/d.md"))) == "d.md"
+    assert one(edits.replaced_once(F.lit("a b a"), "a", "c", every=True)) == "c b c" and one(edits.replaced_once(F.lit("a b a"), "a", "c")) is None
+    assert one(edits.property_set(F.lit("---\na.b: 1\naxb: 2\n---\nx"), "a.b", "3")) == "---\na.b: 3\naxb: 2\n---\nx"
