@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch
+from quillstone.operators import components
 
 
 def local_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,29 +27,6 @@ def local_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             roots = up
 
 
-def star_forest(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """node, root for each node of links(a, b) that is not the smallest of its component.
-
-    Large-star and small-star rounds (Kiveris et al., 2014): every node hands its neighbours its smallest one. Minima
-    are taken before rows meet, so a node with very many links is no large group. Each round is a written table.
-    """
-    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "round0")
-    sign = lambda t: t.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    seen = sign(edges)
-    for k in range(1, most_rounds + 1):
-        if not seen["n"]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = scratch.table(small, f"round{k}")
-        now = sign(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+def star_forest(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root for each node of links(a, b) that is not the smallest of its component; each round is a table of the scratch folder."""
+    return components.star_forest(links, scratch.table)
