@@ -1,0 +1,259 @@
+"""Operators that SQL can't express, against small plain versions; long texts, ties and clashing names."""
+
+import hashlib
+import re
+import subprocess
+import sys
+from collections import Counter
+from datetime import date, timedelta
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from test_documents import KEY, lower, plain_base, plain_dedup, plain_fingerprint, same
+
+from quillstone.llm import decontaminate, language_id, pieces, pseudonyms, quality_classifier, quality_rules, simhash, spans, suffix_dedup
+from quillstone.llm.common import Scratch, utf8_buffer
+
+# 1
+
+
+def test_votes_match_a_plain_count_and_ties_go_to_the_first_name():
+    rng = np.random.default_rng(5)
+    names = ["a", "b", "c", "d"]
+    machines = {("", f"{x}\n{y}"): rng.normal(size=9).astype(np.float16) for x, y in combinations(names, 2)}
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    x[0] = 0
+    for k in machines:
+        machines[k][-1] = 0 if k[1].startswith("c") else machines[k][-1]
+    best, margin = language_id.choose(x, names, "", machines)
+    for row, b, m in zip(x, best, margin, strict=True):
+        votes, least = Counter(), {n: np.inf for n in names}
+        for p, q in combinations(names, 2):
+            w = machines["", f"{p}\n{q}"].astype(np.float32)
+            s = float(row @ w[:-1] + w[-1])
+            votes[p] += (s >= 0) + 1e-3 * np.tanh(s)
+            votes[q] += (s < 0) - 1e-3 * np.tanh(s)
+            least[p], least[q] = min(least[p], s), min(least[q], -s)
+        want = max(names, key=lambda n: round(votes[n], 9))
+        assert names[b] == want and m == pytest.approx(least[want], abs=1e-5)
+    equal = {k: np.zeros(9, np.float16) for k in machines}
+    assert language_id.choose(x[:1], names, "", equal)[0][0] == 0
+
+
+def test_predictions_are_those_of_the_learned_machines(spark, docs):
+    langs, machines = language_id.learn(docs.where("lang is not null and text is not null"), Scratch(spark, "t"))
+    assert langs == ["en", "fr"] and set(machines) == {("", "germanic\nromance")}
+    w = machines["", "germanic\nromance"].astype(np.float32)
+    for r in language_id.predict(docs, langs, machines, ["doc_id", "text"]).collect():
+        if r.text is None or not re.search(r"[^\W\d_]", r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        t = r.text.encode()
+        folded = [32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in t]
+        x = np.zeros(language_id.TRIGRAMS)
+        for a, b, c in zip(folded, folded[1:], folded[2:], strict=False):
+            x[(a * 961 + b * 31 * 7 + c * 40503 + (a ^ c) * 2654435761 % 4294967296 // 65536) % language_id.TRIGRAMS] += 1
+        x = np.sqrt(x) / max(np.linalg.norm(np.sqrt(x)), 1e-9)
+        s = float(x @ w[:-1] + w[-1])
+        assert r.lang_pred == ("en" if s >= 0 else "fr") and r.score == pytest.approx(1 / (1 + np.exp(-4 * abs(s))), abs=1e-4)
+
+
+def test_stray_languages_share_families():
+    langs = ["en", "de", *[f"x{i:03}" for i in range(40)]]
+    of = language_id.families_of(langs)
+    assert sorted(sum(of.values(), [])) == sorted(langs) and max(map(len, of.values())) <= language_id.TOGETHER
+    assert len(language_id.pairs_of(langs)) < 300
+
+
+# 3
+
+
+def test_proximity_matches(spark, sf, rows):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.item_id]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = [word.findall(lower(t)) for _, t, *_ in rows]
+    n = Counter(w for own in words for w in own)
+    digest = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+    wanted = set()
+    for i, t in items:
+        w = word.findall(lower(t))
+        size, places = min(13, len(w)), {}
+        for s in range(len(w) - size + 1 if w else 0):
+            order = sorted(range(size), key=lambda k: (n[w[s + k]], k))
+            other = next((w[s + k] for k in order if w[s + k] != w[s + order[0]]), None)
+            places.setdefault(s + order[0], other)
+        wanted |= {(i, w[p], o) for p, o in places.items() if o}
+    assert len({digest(w) for own in words for w in own}) == len(n)
+    want = Counter()
+    for (i, *_), own in zip(rows, words, strict=True):
+        at = {}
+        for p, w in enumerate(own):
+            at.setdefault(w, []).append(p)
+        near = {item for item, a, o in wanted if any(abs(p - q) <= decontaminate.REACH for p in at.get(a, []) for q in at.get(o, []))}
+        want[i, len(near)] += 1
+    same([(r.doc_id, r.n_near_items) for r in decontaminate.op3_decontaminate(spark, sf).collect()], want)
+
+
+# 5
+
+
+def test_scores_match_a_plain_fit(spark, tmp_path):
+    from conftest import sentence
+
+    import random
+
+    rng = random.Random(21)
+    texts = [(i, sentence(rng, rng.randint(5, 40)).upper() if i % 3 == 0 and rng.random() < 0.8 else sentence(rng, rng.randint(5, 40))) for i in range(150)] + [(150, None), (151, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 > 0), 0) for i in range(140)] + [(7, 0, 0), (141, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in quality_classifier.op5_quality_classifier(spark, str(tmp_path)).collect()}
+    q = quality_classifier
+    stats = q.statistics(pa.array([t for _, t in texts])).astype(float)
+    held = lambda i: __import__("zlib").crc32(str(i).encode()) % 3 == 1
+    marks = {r.i: r.c for r in spark.range(200).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(q.CALIBRATE)) == 0).alias("c")).collect()}
+    learn = [(i, y) for i, y, _ in labels if y is not None and not held(i)]
+    fit, rest = [x for x in learn if not marks[x[0]]], [x for x in learn if marks[x[0]]]
+    s, y = stats[[i for i, _ in fit]], np.array([y for _, y in fit], float)
+    mean, spread = s.mean(0), np.maximum(s.std(0), 1e-6)
+    z = q.fourier(s, mean, spread)
+    penalty = q.PENALTY * len(z) * np.eye(q.FEATURES + 1) / q.FEATURES
+    penalty[-1, -1] = 0
+    w = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    raw = q.fourier(stats, mean, spread) @ w
+    bins = {}
+    for i, label in rest:
+        b = int(np.clip(np.floor((raw[i] + 0.5) / 2 * q.BINS), 0, q.BINS - 1))
+        bins.setdefault(b, []).append((raw[i], label))
+    x, v, n = (np.array(c, float) for c in zip(*[(np.mean([r for r, _ in own]), np.mean([t for _, t in own]), len(own)) for _, own in sorted(bins.items())], strict=True))
+    # The least of the greatest means to the left and right of each bin is the isotonic fit.
+    mean_of = lambda a, b: (v[a : b + 1] * n[a : b + 1]).sum() / n[a : b + 1].sum()
+    iso = np.array([max(min(mean_of(a, b) for b in range(k, len(v))) for a in range(k + 1)) for k in range(len(v))])
+    pools = np.concatenate([[0], np.cumsum(np.abs(np.diff(iso)) > 1e-9)])
+    px = np.array([(x[pools == p] * n[pools == p]).sum() / n[pools == p].sum() for p in range(pools[-1] + 1)])
+    py = np.array([iso[pools == p][0] for p in range(pools[-1] + 1)])
+    for k, (i, _) in enumerate(texts):
+        assert got[i].score == pytest.approx(np.clip(np.interp(raw[k], px, py), 0, 1), abs=1e-4) and got[i].held_out == held(i)
+
+
+# 6
+
+
+def plain_feistel(high, low, n_high, n_low, kind):
+    def noise(x, i, n):
+        return int(hashlib.sha256(f"{KEY}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16) % n
+
+    for i in range(pseudonyms.ROUNDS):
+        if i % 2 == 0:
+            high = (high + noise(low, i, n_high)) % n_high
+        else:
+            low = (low + noise(high, i, n_low)) % n_low
+    return high, low
+
+
+def plain_pseudonym(m):
+    s = m[0]
+    if "." in s and s.count(".") == 3:
+        o = list(map(int, s.split(".")))
+        h, l = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{h // 256}.{h % 256}.{l // 256}.{l % 256}"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", s):
+        day = (date.fromisoformat(s) - date(1900, 1, 1)).days
+        h, l = plain_feistel(day // 290, day % 290, 252, 290, "date")
+        return (date(1900, 1, 1) + timedelta(h * 290 + l)).isoformat()
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", s):
+        a, g, n = map(int, s.split("-"))
+        h, l = plain_feistel(a - 1, (g - 1) * 9999 + n - 1, 665, 99 * 9999, "ssn")
+        return f"{h + 1:03}-{l // 9999 + 1:02}-{l % 9999 + 1:04}"
+    body = s[1:-1]
+    half = len(body) // 2
+    h, l = plain_feistel(int(body[:half]), int(body[half:]), 10**half, 10 ** (len(body) - half), "card")
+    digits = s[0] + str(h).zfill(half) + str(l).zfill(len(body) - half)
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def test_pseudonyms_match_a_plain_permutation(spark):
+    rng = np.random.default_rng(3)
+    values = [f"{a}.{b}.{c}.{d}" for a, b, c, d in rng.integers(0, 256, (20, 4))] + [(date(1900, 1, 1) + timedelta(int(k))).isoformat() for k in rng.integers(0, 73079, 20)]
+    values += [f"{a:03}-{b:02}-{c:04}" for a, b, c in zip(rng.integers(1, 666, 20), rng.integers(1, 100, 20), rng.integers(1, 10000, 20), strict=True)]
+    values += ["4111111111111111", "5500000000000004", "378282246310005"]
+    texts = [(k, f"at {v} or {values[-k]} and no {k}") for k, v in enumerate(values)]
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(texts, "doc_id long, text string"), KEY).collect()}
+    pattern = re.compile("|".join(map(re.escape, sorted(values, key=len, reverse=True))))
+    assert got == {k: pattern.sub(plain_pseudonym, t) for k, t in texts}
+
+
+# Long texts, and what is worked on by slices
+
+
+def test_slices_change_nothing(spark, sf, rows, monkeypatch):
+    texts = [r[1] for r in rows]
+    x = language_id.features(pa.array(texts))
+    monkeypatch.setattr(spans, "SLICE", 500)
+    monkeypatch.setattr(language_id, "SLICE", 500)
+    monkeypatch.setattr(simhash, "LONG", 50)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
+    monkeypatch.setattr(decontaminate, "PIECE", 5)
+    base = quality_rules.base_columns(*utf8_buffer(pa.array(texts)))
+    assert [tuple(int(base[n][i]) for n in quality_rules.OWN[:5]) for i in range(len(texts))] == [plain_base(t)[:5] for t in texts]
+    assert [simhash.long_fingerprint((t or "").encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
+    assert np.allclose(language_id.features(pa.array(texts)), x)
+    items = spark.createDataFrame([("i", texts[6]), ("j", "one two"), ("k", ""), ("l", texts[7])], "item_id string, text string")
+    vocabulary = decontaminate.vocabulary_of(items)
+    found = decontaminate.test_places(items, vocabulary, np.arange(len(vocabulary))).distinct().collect()
+    monkeypatch.setattr(decontaminate, "PIECE", 10**6)
+    whole = decontaminate.test_places(items, vocabulary, np.arange(len(vocabulary))).collect()
+    full = lambda r: (r.item_id, r.term, tuple(r.wanted))
+    assert {full(r) for r in whole} <= {full(r) for r in found}
+    same(suffix_dedup.op9_suffix_dedup(spark, sf).collect(), [(i, *d) for (i, *_), d in zip(rows, plain_dedup(texts), strict=True)])
+
+
+LONG_TEXT = """
+import random, resource, sys
+import pyarrow as pa
+from quillstone.llm import decontaminate, language_id, quality_classifier, quality_rules, simhash, suffix_dedup
+from quillstone.llm.common import utf8_buffer
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 10))) for _ in range(200_000)]
+text = pa.array([" ".join(rng.choices(words, k=4_400_000))[:30_000_000]])
+{
+    "1": lambda: language_id.features(text), "2": lambda: quality_rules.base_columns(*utf8_buffer(text)), "3": lambda: decontaminate.words(text),
+    "4": lambda: simhash.long_fingerprint(text[0].as_py().encode()), "5": lambda: quality_classifier.statistics(text), "9": lambda: sum(len(x[0]) for x in suffix_dedup.sliced_anchors(*utf8_buffer(text))),
+}[sys.argv[1]]()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+@pytest.mark.parametrize("op", ["1", "2", "3", "4", "5", "9"])
+def test_a_text_of_30_mb_takes_bounded_memory(op):
+    out = subprocess.run([sys.executable, "-c", LONG_TEXT, op], capture_output=True, text=True, timeout=300, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(out.stdout.split()[-1]) < 1200
+
+
+def test_clashing_columns_of_the_other_stages_and_queries(spark, docs, sf, tmp_path):
+    wide = docs.withColumns({c: F.lit("mine") for c in ("ids", "decoded", "n_tokens", "n_words", "n_hit", "contaminated", "fp", "score", "stats", "rank", "copies", "anchor", "content_digest", "n_bytes")})
+    done = decontaminate.stage(spark, wide, sf)
+    assert done.columns == wide.columns and {r.n_hit for r in done.select("n_hit").collect()} == {"mine"}
+    assert pieces.stage(spark, wide, sf).count() == docs.count()
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    from quillstone.llm import token_counts
+
+    for query in (language_id.op1_language_id, quality_classifier.op5_quality_classifier, token_counts.op8_token_counts, suffix_dedup.op9_suffix_dedup, simhash.op4_simhash, pieces.op10_pieces):
+        same(query(spark, str(tmp_path)).collect(), list(map(tuple, query(spark, sf).collect())))
+
+
+def test_words_of_the_common_table_are_segmented_alike(spark, docs, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(pieces, "COMMON", 5)
+    monkeypatch.setattr(pieces, "HELD", 3)
+    table = pieces.common_words(docs, path)
+    texts = pa.array([r.text for r in docs.collect()])
+    codec = pieces.Codec(path, table)
+    assert len(table[0]) == 5 and codec.encode(texts).to_pylist() == pieces.Codec(path).encode(texts).to_pylist()
