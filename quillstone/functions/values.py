@@ -395,8 +395,21 @@ def extreme(values: list[Column], kinds: list[str], greatest: bool = False) -> C
 
 
 def as_list(c: Column, kind: str) -> Column:
-    """A list stays; anything else becomes a list of it."""
-    return c if kind == "array" else F.array(c)
+    """A list stays; anything else becomes a list of it, null an empty one."""
+    return F.coalesce(c, F.array()) if kind == "array" else F.filter(F.array(c), lambda x: x.isNotNull())
+
+
+def is_type(c: Column, name: str) -> Column:
+    return kind_name(c) == name.strip().lower()
+
+
+def view_least(*numbers: Column) -> Column:
+    """The least number; nulls are left out."""
+    return F.least(*numbers) if len(numbers) > 1 else numbers[0]
+
+
+def view_greatest(*numbers: Column) -> Column:
+    return F.greatest(*numbers) if len(numbers) > 1 else numbers[0]
 
 
 def as_number(c: Column, kind: str) -> Column:
@@ -418,3 +431,9 @@ def escape_html(s: Column) -> Column:
 def has_property(fields: Column, name: str) -> Column:
     """Whether a map of fields has a name; case does not matter."""
     return F.coalesce(F.exists(F.map_keys(fields), lambda k: F.lower(k) == name.lower()), F.lit(False))
+
+
+def normal_path(path: Column) -> Column:
+    """Without `.` and `..`."""
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.isin("", "."), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.values import normal_path
 from quillstone.sources.markdown import FRONT_MATTER, front_matter
 
 
@@ -69,12 +70,6 @@ def relative_path(folder: Column, path: Column) -> Column:
     return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
 
 
-def normal_path(path: Column) -> Column:
-    """Without `.` and `..`."""
-    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.isin("", "."), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-
-
 def moved_links(text: Column, source: Column, old: Column, new: Column, name: Column | None = None) -> Column:
     """The text of a note whose links to a moved note follow it: wiki links, which keep headings and aliases, and relative Markdown links.
 

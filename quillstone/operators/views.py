@@ -99,7 +99,7 @@ def custom_summary(f: Callable[[Column], Column], c: Column) -> Column:
 
 @dataclass
 class View:
-    """filters apply to the source, own_filters to this view; sort and group are (column, kind, descending)."""
+    """filters apply to the source, own_filters to this view; sort and group are (column, kind, descending); names are shown in place of columns'."""
 
     columns: list[str]
     filters: Filter = None
@@ -110,6 +110,7 @@ class View:
     group_order: list[str] | None = None
     limit: int = 0
     summaries: dict[str, tuple[str, str, str]] = field(default_factory=dict)
+    names: dict[str, str] = field(default_factory=dict)
 
     def source(self, files: DataFrame) -> DataFrame:
         df = files.where(condition(self.filters))
@@ -126,7 +127,11 @@ class View:
         return df
 
     def rows(self, files: DataFrame) -> DataFrame:
-        return self.shown(files).select(*self.columns)
+        return self.shown(files).select(*[F.col(c).alias(self.names.get(c, c)) for c in self.columns])
+
+    def total(self, files: DataFrame) -> DataFrame:
+        """total: the rows before the limit."""
+        return self.source(files).agg(F.count("*").alias("total"))
 
     def groups(self, files: DataFrame, **more: Column) -> DataFrame:
         name = self.group[0]

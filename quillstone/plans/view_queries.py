@@ -108,3 +108,24 @@ def view_list_methods(spark, d):
         F.col("p_partkey").alias("key"), F.array_join(F.reverse(words), " ").alias("turned"), V.item(words, -1).alias("last"), V.index_of(words, F.lit("STEEL")).alias("at"),
         V.is_empty(F.filter(words, lambda w: w == "TIN"), "array").alias("none"),
     )
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS total, key AS \"Key\", c_acctbal AS \"Balance of account\" FROM (SELECT c_custkey AS key, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, 'customers/' || c_custkey || '.md' LIMIT 15)")
+def view_limit_total(spark, d):
+    """The first rows under their display names, beside the number of all."""
+    view = View(["key", "balance"], filters=F.col("balance") > 0, sort=[("balance", "number", True)], limit=15, names={"key": "Key", "balance": "Balance of account"})
+    notes = P.customer_notes(spark, d)
+    return view.rows(notes).withColumn("total", F.lit(view.total(notes).first()["total"]))
+
+
+@query("SELECT c_custkey AS key, least(c_acctbal, c_nationkey) AS lo, greatest(c_acctbal, c_nationkey) AS hi, CAST(c_nationkey AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS no, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS len, true AS ok, c_custkey % 3 = 0 AS has, '&lt;b&gt;' || c_mktsegment || '&amp;' AS html FROM customer")
+def view_globals(spark, d):
+    c = P.read(spark, d, "customer")
+    nation = F.col("c_nationkey").cast("string")
+    some = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))
+    fields = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("Due"), F.lit("x"))).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    return c.select(
+        F.col("c_custkey").alias("key"), V.view_least(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("lo"), V.view_greatest(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("hi"), V.as_number(nation, "string").alias("n"),
+        V.as_number(F.col("c_name"), "string").alias("no"), F.size(V.as_list(some, "string")).alias("len"), V.is_type(F.col("c_acctbal"), "Number").alias("ok"), V.has_property(fields, "due").alias("has"),
+        V.escape_html(F.concat(F.lit("<b>"), "c_mktsegment", F.lit("&"))).alias("html"),
+    )

@@ -5,10 +5,12 @@ Everything is a Column expression over the text of a note, so reading a folder i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import link, link_date
+from quillstone.functions.values import link, link_date, normal_path
 
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 TAG = r"[\p{L}\p{N}_/-]*[\p{L}_/-][\p{L}\p{N}_/-]*"
@@ -188,7 +190,7 @@ def resolved(notes: DataFrame, files: DataFrame) -> DataFrame:
     own = raw.select("folder", "raw").distinct()
     clean = F.regexp_replace(F.lower("raw"), r"^\./", "")
     inside = F.when(F.col("folder") == "", clean).otherwise(F.concat(F.lower("folder"), F.lit("/"), clean))
-    up = F.regexp_replace(inside, r"[^/]+/\.\./", "")
+    up = normal_path(inside)
     tries = F.array(*[F.struct(F.lit(i).alias("prio"), c.alias("at")) for i, c in enumerate((up, F.concat(up, F.lit(".md")), clean, F.concat(clean, F.lit(".md"))))])
     known = files.select(F.col("path").alias("dst"), F.lower("path").alias("at"))
     exact = own.select("folder", "raw", F.explode(tries).alias("t")).select("folder", "raw", "t.prio", "t.at").join(known, "at").select("folder", "raw", "prio", "dst")
@@ -216,7 +218,11 @@ def headings(text: Column) -> Column:
 
 
 def section(text: Column, title: str) -> Column:
-    """From a heading to the next of the same or a higher level; null without it."""
+    """From a heading to the next of the same or a higher level, null without it; of `^id` the line with that mark, without it, else the whole text."""
+    if title.startswith("^"):
+        mark = r"\s\^" + re.escape(title[1:]) + r"\s*$"
+        line = F.get(F.filter(F.split(text, "\n"), lambda x: x.rlike(mark)), F.lit(0))
+        return F.coalesce(F.regexp_replace(line, r"\s\^[\w-]+\s*$", ""), text)
     all_ = headings(text)
     own = F.get(F.filter(all_, lambda h: F.lower(h["title"]) == title.lower()), F.lit(0))
     after = F.get(F.filter(all_, lambda h: (h["line"] > own["line"]) & (h["level"] <= own["level"])), F.lit(0))

@@ -97,3 +97,11 @@ def test_catalog_refresh_equals_fresh_read(spark, tmp_path):
     key = lambda df: sorted((r.path, tuple(r.links), tuple(r.tags)) for r in df.collect())
     assert key(catalog.notes()) == key(fresh)
     assert {(r.kind, r.n) for r in by_kind(M.read_folder(spark, path)).collect()} == {("note", 4), ("image", 1)}
+
+
+def test_block_references_and_paths_up(spark):
+    text = "# A\nfirst line ^one\nsecond ^two-x \n"
+    got = spark.range(1).select(M.section(F.lit(text), "^two-x").alias("a"), M.section(F.lit(text), "^none").alias("b")).first()
+    assert got.a == "second" and got.b == text
+    files = spark.createDataFrame([("a/b/c/n.md", "a/b/c", ["../../x.md", "./y"]), ("a/x.md", "a", []), ("a/b/c/y.md", "a/b/c", []), ("x.md", "", [])], "path string, folder string, links array<string>")
+    assert sorted((r.src, r.dst) for r in M.resolved(files, files).collect()) == [("a/b/c/n.md", "a/b/c/y.md"), ("a/b/c/n.md", "a/x.md")]
