@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +71,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give back to the system what a task has freed, so that a Python worker that waits for the next one stays small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that the frame does not have yet."""
     taken, out = {c.lower() for c in df.columns}, []

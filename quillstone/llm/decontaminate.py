@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, free_names, read, utf8_buffer
+from quillstone.llm.common import Scratch, free_names, read, release, utf8_buffer
 from quillstone.llm.spans import byte_table, owners, runs, span_digests
 from quillstone.llm.token_counts import batches
 
@@ -156,6 +156,7 @@ def postings(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarray) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(here, ends).astype(np.int32)), rows)
                 own = [b.column(c).slice(at, len(part)) for c in ("doc_id", "text_hash")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends).astype(np.int64)), lists], ["doc_id", "text_hash", "n_words", "postings"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, n_words long, postings array<struct<term:int,pos:int,around:array<int>>>"

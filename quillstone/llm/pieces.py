@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillstone.llm.common import free_names, read
+from quillstone.llm.common import free_names, read, release
 from quillstone.llm.token_counts import batches
 
 MARK = "▁"
@@ -135,6 +135,7 @@ def common_words(docs: DataFrame, path: str) -> tuple[pa.Array, pa.Array] | None
                     yield from known()
                     held = held.slice(0, 0)
         yield from known()
+        release()
 
     def segment(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
@@ -159,6 +160,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids = codec.encode(part)
                 rest = b.slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([*rest.columns, ids, pa.array(codec.decode(ids), pa.string())], [*b.schema.names, *own])
+        del codec
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -182,6 +185,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        del codec
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

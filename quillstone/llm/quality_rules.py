@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, free_names, mix64, read, utf8_buffer
-from quillstone.llm.spans import NOT_WHITE, further, owners, pair_numbers, per_text, repeated, runs, span_numbers
+from quillstone.llm.common import Scratch, free_names, mix64, read, release, utf8_buffer
+from quillstone.llm.spans import NOT_WHITE, further, owners, per_text, repeated, runs, span_numbers, windows
 from quillstone.llm.token_counts import batches
 
 #: Base rule.
@@ -42,9 +42,9 @@ BELOW, ABOVE = 2.5, 2.5
 #: The least interquartile range, in bits a byte, so that very uniform corpora aren't judged on noise.
 LEAST_RANGE = 0.01
 #: Bytes of text in a block, of a slice that is worked on at once, and of texts taken from Arrow together.
-BLOCK, SLICE, BATCH_BYTES = 32_000_000, 1_000_000, 2_000_000
-#: Distinct n-grams that a task holds before it hands on their counts.
-HELD = 1_000_000
+BLOCK, SLICE, BATCH_BYTES = 20_000_000, 1_000_000, 1_000_000
+#: Distinct n-grams that a task holds before it hands on their counts, those that wait to be added up, and rows of a batch that it hands on.
+HELD, WAITING, ROWS = 1_000_000, 250_000, 100_000
 #: Least number of shards, hashes in a shard, and blocks a shard.
 SHARDS, SHARD_HASHES, SHARD_BLOCKS = 64, 1_000_000, 1024
 
@@ -64,7 +64,7 @@ def base_columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     marked = np.zeros(len(own), bool)
     if len(own) >= 3:
         at = np.flatnonzero(text[:-2] == text[2:])
-        twice = at[repeated(text[at], pair_numbers(pair_numbers(own[at], own[at + 1]), own[at + 2]))]
+        twice = at[repeated(text[at], windows(own, at))]
         del own, at
         for k in range(3):
             marked[twice + k] = True
@@ -116,7 +116,7 @@ class Tally:
         found = pc.value_counts(pa.array(values))
         self.open.append((found.field("values").to_numpy(), found.field("counts").to_numpy()))
         self.held += len(found)
-        if self.held > HELD:
+        if self.held > WAITING:
             self.settle()
 
     def settle(self) -> None:
@@ -133,10 +133,12 @@ def counted(docs: DataFrame) -> DataFrame:
         codes: dict[str, int] = {}
         tally = Tally()
 
-        def hand_on() -> pa.RecordBatch:
+        def hand_on() -> Iterator[pa.RecordBatch]:
             tally.settle()
-            names = pa.array(list(codes), pa.string()).take(pa.array(tally.keys >> GRAM_BITS))
-            return pa.RecordBatch.from_arrays([names, pa.array(tally.keys & ((1 << GRAM_BITS) - 1)), pa.array(tally.n)], ["lang", "gram", "n"])
+            langs = pa.array(list(codes), pa.string())
+            for i in range(0, len(tally.keys), ROWS):
+                keys = tally.keys[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(keys >> GRAM_BITS)), pa.array(keys & ((1 << GRAM_BITS) - 1)), pa.array(tally.n[i : i + ROWS])], ["lang", "gram", "n"])
 
         for b in tables:
             of = np.array([codes.setdefault(x, len(codes)) for x in b.column("lang").to_pylist()], np.int64)
@@ -145,9 +147,10 @@ def counted(docs: DataFrame) -> DataFrame:
                 for i, j in slices(offsets):
                     tally.add(grams(data, offsets, i, j) | of[at + owners(offsets, np.arange(i, j))] << GRAM_BITS)
                 if len(tally.keys) > HELD:
-                    yield hand_on()
+                    yield from hand_on()
                     tally = Tally()
-        yield hand_on()
+        yield from hand_on()
+        release()
 
     rows = docs.select(lang_name(F.col("lang")).alias("lang"), "text")
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -237,6 +240,7 @@ def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
                     held, size = [], 0
         if held:
             yield pack(held)
+        release()
 
     renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
     return docs.select(lang_name(F.col("lang")).alias("lang_"), F.col("text").alias("text_"), *renamed).mapInArrow(run, "block string, pack binary")
@@ -271,7 +275,7 @@ def block_hashes(table: pa.Table) -> np.ndarray:
         for langs, keys, _ in coded(b):
             found.append(key_hashes(langs, pc.unique(pa.array(keys)).to_numpy()))
             held += len(found[-1])
-        if held > HELD:
+        if held > WAITING:
             found, held = [np.unique(np.concatenate(found))], 0
     return np.unique(np.concatenate(found))
 
@@ -284,6 +288,7 @@ def questions(blocks: DataFrame, bits: int) -> DataFrame:
         cuts = np.searchsorted(shard_of(h, bits), np.arange((1 << bits) + 1))
         some = np.flatnonzero(np.diff(cuts))
         own = [h[cuts[s] : cuts[s + 1]].tobytes() for s in some]
+        release()
         return pa.table({"block": pa.array([key[0].as_py()] * len(some), pa.string()), "shard": pa.array(some.astype(np.int64)), "hashes": pa.array(own, pa.binary())})
 
     return blocks.groupBy("block").applyInArrow(ask, "block string, shard long, hashes binary")
@@ -343,6 +348,7 @@ def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
             kept = [b.column(f"c{i}") for i in range(len(columns))]
             found_here = [pa.array(base[n].astype(np.int64)) for n in OWN[:5]] + [pa.array(failed), pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)]
             out.append(pa.RecordBatch.from_arrays([*kept, *found_here, b.column("lang_")], [*(f"c{i}" for i in range(len(columns))), *own[:-1], "lang_"]))
+        release()
         return pa.Table.from_batches(out)
 
     done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, schema)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, free_names, read
+from quillstone.llm.common import Scratch, free_names, read, release
 from quillstone.llm.components import local_roots, star_forest
 from quillstone.llm.token_counts import batches
 
@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         held, n = [], 0
                 out.append(majority(held))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in ("doc_id", "key_a", "key_b")), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "key_a", "key_b", "fp"])
+        release()
 
     rows = docs.select("doc_id", "text", key_a.alias("key_a"), key_b.alias("key_b"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key_a long, key_b long, fp long")

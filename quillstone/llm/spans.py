@@ -127,10 +127,23 @@ def pair_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
+def windows(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for the three in a row at each of the places, the same for the same three."""
+    a, b, c = numbers[at], numbers[at + 1], numbers[at + 2]
+    if len(numbers) and int(numbers.max()) < 1 << 21:
+        return (a << 42) | (b << 21) | c
+    return pair_numbers(pair_numbers(a, b), c)
+
+
 def repeated(text: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Whether the item's text has its number elsewhere too."""
-    both = pair_numbers(text, codes)
-    return np.bincount(both)[both] > 1 if len(both) else np.zeros(0, bool)
+    order = np.lexsort((codes, text))
+    codes, text = codes[order], text[order]
+    same = np.zeros(len(codes) + 1, bool)
+    same[1:-1] = (codes[1:] == codes[:-1]) & (text[1:] == text[:-1])
+    out = np.empty(len(codes), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
 
 
 def further(text: np.ndarray, codes: np.ndarray) -> np.ndarray:
