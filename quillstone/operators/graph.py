@@ -230,7 +230,7 @@ def galaxy(notes: DataFrame, links: DataFrame, now: Column, arms: int = 6) -> Da
     """path, arm, x, y, size, alpha of notes(path, folder, mtime): arms by the largest folders, places by hash, size by links, fading with age."""
     big = [r["folder"] for r in notes.groupBy("folder").count().orderBy(F.desc("count"), "folder").limit(arms).collect()]
     arm = F.coalesce(*[F.when(F.col("folder") == f, F.lit(i)) for i, f in enumerate(big)], F.lit(len(big)))
-    part = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(10_000)) / 10_000.0
+    part = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", "path", F.lit(k))), 1, 8), 16, 10).cast("double") / 2.0**32
     radius = F.sqrt(part(1))
     angle = arm * float(2 * np.pi / max(len(big), 1)) + radius * 2.0 + (part(2) - 0.5) * 0.6
     age = F.greatest(F.datediff(now, "mtime"), F.lit(0))

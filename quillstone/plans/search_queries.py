@@ -116,10 +116,15 @@ def quote_verify(spark, d):
     return P.document_notes(spark, d).select("key", checked.alias("c")).select("key", "c.verdict", "c.percent", "c.first", "c.last", F.array_join("c.missing_numbers", " ").alias("numbers"), F.array_join("c.missing_words", " ").alias("missing"))
 
 
-@query()
+@query(r"""WITH RECURSIVE notes AS (SELECT 'customers/' || c_custkey || '.md' AS path, c_mktsegment = 'BUILDING' AS old FROM customer UNION ALL SELECT 'parts/' || p_name || ' ' || p_partkey || '.md', false FROM part),
+    names AS (SELECT path, old, lower(regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1)) AS s, 10 AS more FROM notes UNION ALL SELECT path, old, lower(path), 0 FROM notes),
+    w AS (SELECT path, old, s, more, 0 AS i, 0 AS got, CAST(0 AS DOUBLE) AS score, 0 AS run FROM names UNION ALL
+        SELECT path, old, s, more, i + 1, CASE WHEN hit THEN got + 1 ELSE got END, score + CASE WHEN hit THEN (run + 1) * 2 + CASE WHEN i = 0 OR regexp_matches(substr(s, i, 1), '[\s/_-]') THEN 5 ELSE 0 END ELSE 0 END,
+            CASE WHEN hit THEN run + 1 WHEN got < 4 THEN 0 ELSE run END FROM (SELECT *, got < 4 AND substr(s, i + 1, 1) = substr('st12', got + 1, 1) AS hit FROM w WHERE i < length(s)))
+    SELECT path, round(score, 6) AS score FROM (SELECT path, old, max_by(score - CAST(0.05 AS DOUBLE) * length(s) + more, more) AS score FROM w WHERE i = length(s) AND got = 4 GROUP BY 1, 2) ORDER BY old, 2 DESC, path LIMIT 60""")
 def fuzzy_switcher(spark, d):
     notes = P.customer_notes(spark, d).select("path", "segment").unionByName(P.read(spark, d, "part").select(F.concat(F.lit("parts/"), F.col("p_name"), F.lit(" "), F.col("p_partkey"), F.lit(".md")).alias("path"), F.lit("").alias("segment")))
-    return S.fuzzy_open(notes, "cst12", F.col("segment") == "BUILDING")
+    return S.fuzzy_open(notes, "st12", F.col("segment") == "BUILDING").select("path", F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey AS key FROM part WHERE contains(lower(p_name), 'e') AND contains(lower(p_name), 'a')")

@@ -75,7 +75,11 @@ def graph_line_raster(spark, d):
     return G.line_raster(lines, 16)
 
 
-@query()
+@query("""WITH o AS (SELECT 'orders/' || o_orderkey || '.md' AS path, o_orderpriority AS folder, o_orderdate AS t FROM orders),
+    f AS (SELECT folder, CAST(row_number() OVER (ORDER BY count(*) DESC, folder) - 1 AS INT) AS arm, count(*) OVER () AS arms FROM o GROUP BY 1),
+    p AS (SELECT path, arm, arms, t, CAST(CAST('0x' || substr(md5(path || '|1'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS p1, CAST(CAST('0x' || substr(md5(path || '|2'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS p2 FROM o JOIN f USING (folder)),
+    a AS (SELECT *, sqrt(p1) AS r, arm * (2 * pi() / arms) + sqrt(p1) * 2 + (p2 - 0.5) * 0.6 AS angle FROM p)
+    SELECT path, arm, round(r * cos(angle), 6) AS x, round(r * sin(angle), 6) AS y, round(1 + ln(2), 6) AS size, round(greatest(1 - CAST(greatest(date_diff('day', CAST(t AS DATE), DATE '1998-08-02'), 0) AS DOUBLE) / 365, 0.15), 6) AS alpha FROM a""")
 def graph_galaxy(spark, d):
     notes = P.order_notes(spark, d).select("path", F.col("priority").alias("folder"), F.col("date").alias("mtime"))
     stars = G.galaxy(notes, P.edges(spark, d), F.lit("1998-08-02").cast("timestamp"))

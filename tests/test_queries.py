@@ -70,3 +70,43 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plain_quote(text, quote):
+    """Verdict, percent and lines of a quotation, by trying every range of lines."""
+    import re
+
+    flat = lambda s: " ".join(re.sub(r"[*_`|~]|==", " ", re.sub(r"^\s{0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+(?:\[.\]\s+)?|\d+[.)]\s+)", "", s)).split()).lower()
+    words = [re.findall(r"[^\W_]+", flat(line)) for line in re.split(r"\r?\n", text)]
+    asked = re.findall(r"[^\W_]+", flat(quote))
+    wanted, sequence = set(asked), f" {' '.join(asked)} "
+    holds = lambda a, b: sequence in f" {' '.join(w for own in words[a : b + 1] for w in own)} "
+    best = None
+    for a in range(len(words)):
+        if not words[a]:
+            continue
+        n, have = 0, set()
+        for b in range(a, min(len(words), a + 40)):
+            if not words[b]:
+                continue
+            if holds(a, b):
+                while a < b and holds(a + 1, b):
+                    a += 1
+                return "exact", 100.0, a + 1, b + 1
+            n, have = n + len(words[b]), have | (wanted & set(words[b]))
+            if have and (best is None or (len(have), a - b) > best[:2]):
+                best = (len(have), a - b, a, b)
+            if n > len(asked) * 2 + 20 or have == wanted:
+                break
+    if best is None:
+        return "not_supported", 0.0, None, None
+    source = "\n".join(re.split(r"\r?\n", text)[best[2] : best[3] + 1])
+    missing = set(re.findall(r"\d+", quote)) - set(re.findall(r"\d+(?:[.,:/-]\d+)*%?", source))
+    percent = float(int(100 * best[0] / len(wanted) + 0.5))
+    return "close" if best[0] / len(wanted) >= 0.8 and not missing else "not_supported", percent, best[2] + 1, best[3] + 1
+
+
+def test_quotations_match_a_plain_search(spark, duck):
+    texts = dict(duck.execute("select doc_id, text from documents").fetchall())
+    got = {r.key: (r.verdict, r.percent, r["first"], r["last"]) for r in QUERIES["quote_verify"](spark, SF).collect()}
+    assert got == {k: plain_quote(t, "The and of 12 then") for k, t in texts.items()}
