@@ -219,7 +219,7 @@ def sorted_arrays(model: DataFrame, bits: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """block, pack: the columns, renamed c0, c1, ..., with lang_ and text_, as compressed Arrow tables of about BLOCK bytes of text."""
+    """block, pack: the columns but text, renamed c0, c1, ..., with lang_ and text_, as compressed Arrow tables of about BLOCK bytes of text."""
 
     def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
@@ -242,7 +242,7 @@ def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
             yield pack(held)
         release()
 
-    renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c.lower() != "text"]
     return docs.select(lang_name(F.col("lang")).alias("lang_"), F.col("text").alias("text_"), *renamed).mapInArrow(run, "block string, pack binary")
 
 
@@ -317,7 +317,7 @@ def answers(asked: DataFrame, arrays: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
-    """The columns asked for, then all of OWN but the verdict, then the language's name."""
+    """The columns asked for, then all of OWN but the verdict, then the language's name, under a name that is free."""
     counts = scratch.table(counted(docs), "counts")
     size = counts.agg(F.count("*").alias("grams"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
     bits = int(max(SHARDS, size["grams"] // SHARD_HASHES, size["bytes"] // (BLOCK * SHARD_BLOCKS)) - 1).bit_length()
@@ -345,14 +345,14 @@ def scored(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
             base = base_columns(data, offsets)
             failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
             sizes = np.diff(offsets)
-            kept = [b.column(f"c{i}") for i in range(len(columns))]
+            kept = [b.column("text_" if c.lower() == "text" else f"c{i}") for i, c in enumerate(columns)]
             found_here = [pa.array(base[n].astype(np.int64)) for n in OWN[:5]] + [pa.array(failed), pa.array(-total / np.maximum(sizes, 1), mask=sizes == 0)]
             out.append(pa.RecordBatch.from_arrays([*kept, *found_here, b.column("lang_")], [*(f"c{i}" for i in range(len(columns))), *own[:-1], "lang_"]))
         release()
         return pa.Table.from_batches(out)
 
     done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, schema)
-    return done.withColumnsRenamed({f"c{i}": c for i, c in enumerate(columns)})
+    return done.toDF(*columns, *own[:-1], *free_names(docs.select(*columns), "lang_"))
 
 
 def quality_rules(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -361,8 +361,7 @@ def quality_rules(docs: DataFrame, columns: list[str]) -> DataFrame:
     own = free_names(docs.select(*columns), *OWN)
     failed, bits, kept = own[5:]
     (lang_,) = free_names(docs.select(*columns), "lang_")
-    done = scored(docs, columns, scratch).withColumnRenamed("lang_", lang_)
-    done = scratch.table(done, "scored")
+    done = scratch.table(scored(docs, columns, scratch), "scored")
     scratch.keep("scored")
     q = F.percentile_approx(bits, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))

@@ -394,7 +394,7 @@ def test_feistel_is_one_to_one(spark):
 
 def test_clashing_columns(spark, docs):
     """Columns named as an operator's own pass through the stages unharmed."""
-    wide = docs.withColumns({c: F.lit("mine") for c in ("kept", "bits", "n_words", "fp", "component_id", "text_hash", "gone_id", "kept_id", "pii_matches", "ids", "low", "rank", "score")})
+    wide = docs.withColumns({c: F.lit("mine") for c in ("kept", "bits", "n_words", "fp", "component_id", "text_hash", "gone_id", "kept_id", "pii_matches", "ids", "low", "rank", "score", "lang_", "text_", "c1", "block")})
     for stage in (quality_rules.stage, simhash.stage, pseudonyms.stage):
         out = stage(spark, wide, "")
         assert out.columns == wide.columns
