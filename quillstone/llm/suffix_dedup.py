@@ -10,9 +10,9 @@ so a task holds the suffixes of a few buckets and no whole suffix array exists a
   differences are multiples of the period STEP and the cover needs one residue: positions a multiple of STEP from the
   anchor. Samples there are ranked by 1, 2, 4, 8 and 9 blocks of STEP bytes, by doubling. A suffix is ordered by the
   sample rank it reaches first and by the STEP bytes that this sample does not cover.
-* Exact copies of a text, by SHA-256, are one text with a count. A bucket with more than HOT anchors is split: by SPLIT
-  distances at a time, and by the bytes that all strings of those distances share. Equal contexts of such a bucket are
-  counted before they are shuffled and sorted once, and their spans go back to each place by a join that AQE can split.
+* Exact copies of a text, by SHA-256, are one text with a count. Of a bucket with more than HOT anchors, equal
+  contexts are counted before they are shuffled; distinct ones are split, by SPLIT distances at a time and by the bytes that
+  all strings of those distances share, and sorted once. Their spans go back to each place by a join that AQE can split.
 * Texts are read SLICE bytes at a time, with the bytes of a string more; a run of strings that a slice cuts is two runs.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; repeated rows are copies of each other; an
@@ -37,7 +37,7 @@ LENGTH, K, STEP = 200, 40, 20
 #: Greatest distance from a string's start to its anchor; columns of a context, whose anchor is at column FAR.
 FAR = LENGTH - K
 WIDTH = FAR + LENGTH
-HOT = 2_000
+HOT = 10_000
 #: Distances in a part of a split bucket; all its strings share LENGTH - SPLIT + 1 bytes.
 SPLIT = 81
 #: Contexts sorted together.
@@ -49,6 +49,7 @@ SLICE = 4_000_000
 POSITION = np.uint64((1 << 28) - 1)
 
 KEY = ["text_hash", "n_bytes"]
+OCCURRENCE = "text_hash binary, n_bytes long, copies long, anchor long, place long, far int, near int, context binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -122,12 +123,8 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("n_bytes") >= LENGTH).select(*KEY, "text").mapInArrow(run, "text_hash binary, n_bytes long, anchor long, n long")
 
 
-def occurrences(texts: DataFrame, split: bool = False) -> DataFrame:
-    """Each repeated anchor of texts(KEY, text, copies, repeated array<long>) with the bytes of all strings it is the anchor of.
-
-    With split, a row for each SPLIT distances, and in place of the anchor a hash of it and of the bytes that the strings of
-    those distances share.
-    """
+def occurrences(texts: DataFrame) -> DataFrame:
+    """Each repeated anchor of texts(KEY, text, copies, repeated array<long>) with the bytes of all strings it is the anchor of."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
@@ -138,28 +135,36 @@ def occurrences(texts: DataFrame, split: bool = False) -> DataFrame:
                 for text, anchor, place, low, high in sliced_anchors(data, offsets):
                     # A hash that another text of the batch repeats only makes a bucket of one.
                     keep = np.isin(anchor.view(np.int64), wanted)
-                    text, anchor, place, far, near = (x[keep] for x in (text, anchor, place, place - low, place - high))
-                    if split:
-                        n = far // SPLIT - near // SPLIT + 1
-                        step = np.repeat(near // SPLIT, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                        text, anchor, place, far, near = (np.repeat(x, n) for x in (text, anchor, place, far, near))
-                        far, near = np.minimum(far, step * SPLIT + SPLIT - 1), np.maximum(near, step * SPLIT)
-                    low, high = place - far, place - near + LENGTH
-                    raw = [data[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-                    if split:
-                        shared = [data[p - SPLIT * k : p - SPLIT * k + LENGTH - SPLIT + 1].tobytes() for p, k in zip(place.tolist(), step.tolist(), strict=True)]
-                        salts = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in shared), np.uint64)
-                        anchor = mix64(anchor ^ mix64(salts + step.astype(np.uint64)))
+                    text, anchor, place, low, high = (x[keep] for x in (text, anchor, place, low, high))
+                    raw = [data[i : j + LENGTH].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
                     row = pa.array(text + at)
                     yield pa.RecordBatch.from_arrays(
                         [
                             *(b.column(c).take(row) for c in (*KEY, "copies")), pa.array(anchor.view(np.int64)), pa.array(place - offsets[text]),
-                            pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32)), pa.array(raw, pa.binary()),
+                            pa.array((place - low).astype(np.int32)), pa.array((place - high).astype(np.int32)), pa.array(raw, pa.binary()),
                         ],
                         [*KEY, "copies", "anchor", "place", "far", "near", "context"],
                     )
 
-    return texts.select(*KEY, "copies", "text", "repeated").mapInArrow(run, "text_hash binary, n_bytes long, copies long, anchor long, place long, far int, near int, context binary")
+    return texts.select(*KEY, "copies", "text", "repeated").mapInArrow(run, OCCURRENCE)
+
+
+def split(found: DataFrame) -> DataFrame:
+    """occurrences() with a row for each SPLIT distances, and in place of the anchor a hash of it and of the bytes that the strings of those distances share."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tables:
+            rows = []
+            for *key, anchor, place, far, near, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k in range(near // SPLIT, far // SPLIT + 1):
+                    to, from_ = min(far, k * SPLIT + SPLIT - 1), max(near, k * SPLIT)
+                    shared = context[far - k * SPLIT : far - k * SPLIT + LENGTH - SPLIT + 1]
+                    part = hashlib.blake2b(anchor.to_bytes(8, "little", signed=True) + bytes([k]) + shared, digest_size=8).digest()
+                    rows.append((*key, int.from_bytes(part, "little", signed=True), place, to, from_, context[far - to : far - from_ + LENGTH]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, b.schema.types, strict=True)], b.schema.names)
+
+    return found.select(*KEY, "copies", "anchor", "place", "far", "near", "context").mapInArrow(run, OCCURRENCE)
 
 
 def pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,17 +260,19 @@ def covered(found: DataFrame) -> DataFrame:
 
 
 def covered_hot(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for the split buckets of anchors with very many occurrences. Equal contexts are counted first and take part
-    once, as a text of their own with the anchor at 0; what they lose is written, so that both sides of the join that takes it
-    to each place are dealt out for it alone and AQE can split a context that is very common."""
+    """KEY, spans: the same for anchors with very many occurrences. Equal contexts are counted first and take part once, as a
+    text of their own with the anchor at 0; what they lose is written, so that both sides of the join that takes it to each
+    place are dealt out for it alone and AQE can split a context that is very common."""
     place = ["anchor", "far", "near", "digest"]
     found = scratch.table(found.withColumn("digest", F.sha2("context", 256)), "hot")
     distinct = found.groupBy(*place).agg(F.sum("copies").alias("copies"), F.first("context").alias("context"))
     name = F.unhex(F.sha2(F.concat_ws("|", *place), 256))
-    distinct = distinct.select(name.alias("text_hash"), F.lit(0).cast("long").alias("n_bytes"), "copies", "anchor", F.lit(0).cast("long").alias("place"), "far", "near", "context")
-    lost = scratch.table(covered(distinct).select(F.col("text_hash").alias("name"), F.col("low").alias("from_"), F.col("high").alias("to_")), "hot_lost")
-    found = found.select(*KEY, "place", name.alias("name"))
-    return found.join(lost, "name").select(*KEY, (F.col("place") + F.col("from_")).alias("low"), (F.col("place") + F.col("to_")).alias("high"))
+    zero = F.lit(0).cast("long")
+    distinct = distinct.select(name.alias("text_hash"), zero.alias("n_bytes"), "copies", "anchor", zero.alias("place"), "far", "near", "context")
+    lost = covered(split(distinct)).groupBy(F.col("text_hash").alias("name")).agg(F.collect_list(F.struct("low", "high")).alias("lost"))
+    lost = scratch.table(lost, "hot_lost")
+    moved = F.transform("lost", lambda s: F.struct((F.col("place") + s["low"]).alias("low"), (F.col("place") + s["high"]).alias("high")))
+    return found.select(*KEY, "place", name.alias("name")).join(lost, "name").select(*KEY, moved.alias("spans"))
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -300,11 +307,11 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     one = rows.where(F.col("n_bytes") >= LENGTH).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = scratch.table(one.join(touched, KEY), "texts")
-    spans = covered(occurrences(texts))
+    spans = covered(occurrences(texts)).select(*KEY, F.array(F.struct("low", "high")).alias("spans"))
     if len(repeated.where(F.col("total") > HOT).take(1)):
-        hot = occurrences(texts.where(F.size("hot") > 0).withColumn("repeated", F.col("hot")), split=True)
+        hot = occurrences(texts.where(F.size("hot") > 0).withColumn("repeated", F.col("hot")))
         spans = spans.unionByName(scratch.table(covered_hot(hot, scratch), "hot_spans"))
-    spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return cut(texts.join(spans, KEY))
 
 
