@@ -335,6 +335,11 @@ def index_of(l: Column, value: Column) -> Column:
     return F.coalesce(F.array_position(l, value) - 1, F.lit(-1).cast("long"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
 # Texts, kinds and links -------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import fold, natural_key
+from quillstone.functions.values import fold, let, natural_key
 from quillstone.sources.scratch import exists
 
 # What a word is, where a joined one is cut, and the length from which a word is none.
@@ -239,58 +239,68 @@ def quote_check(text: Column, quote: str, near: int | None = None) -> Column:
     """struct<verdict, percent, first, last, source, missing_numbers, missing_words> of a quotation against a text.
 
     The source is at most SOURCE_LINES lines, from 1, within ABOUT lines of the line near, if it is given: those with the
-    words in order (exact), else those with most of the quotation's words, the fewest and first of such. Close needs CLOSE of the words and every
-    number as written. Null without a word in the quotation. Composed characters only: texts are compared as they are.
+    words in order (exact), else those with most of the quotation's words, the fewest and first of such. Close needs CLOSE
+    of the words and every number as written. Null without a word in the quotation. Texts are compared as they are composed.
     """
     asked = [w for line in quote.splitlines() for w in re.findall(r"[^\W_]+", plain_line(line))]
     if not asked:
         return F.lit(None)
     asked_set = sorted(set(asked))
     wanted, sequence = F.array(*map(F.lit, asked_set)), F.lit(f" {' '.join(asked)} ")
-    lines = F.split(text, r"\r?\n")
     low = max(0, near - 1 - ABOUT) if near else 0
-    high = F.least(F.size(lines), F.lit(near + ABOUT)) if near else F.size(lines)
-    words = F.transform(lines, line_words)
-
-    def joined(i: Column, j: Column) -> Column:
-        """The words of lines i to j in one text, with spaces around each."""
-        return F.concat(F.lit(" "), F.array_join(F.flatten(F.slice(words, i + 1, j - i + 1)), " "), F.lit(" "))
-
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("have"), F.lit(-1).alias("best"), F.lit(0).alias("most"), F.lit(-1).alias("exact"), F.lit(False).alias("done"))
-
-    def from_line(a: Column) -> Column:
-        """What the lines from a on hold: the fewest with most of the words, and the fewest with all of them in order."""
-
-        def step(acc: Column, b: Column) -> Column:
-            own = F.get(words, b)
-            skip = acc["done"] | (F.size(own) == 0)
-            have = F.array_union(acc["have"], F.array_intersect(own, wanted))
-            n = acc["n"] + F.size(own)
-            exact = F.contains(joined(a, b), sequence)
-            more = ~exact & (F.size(have) > acc["most"])
-            done = exact | (n > len(asked) * 2 + 20) | (F.size(have) == len(asked_set))
-            new = F.struct(n.alias("n"), have.alias("have"), F.when(more, b).otherwise(acc["best"]).alias("best"), F.when(exact, acc["most"]).otherwise(F.size(have)).alias("most"), F.when(exact, b).otherwise(F.lit(-1)).alias("exact"), done.alias("done"))
-            return F.when(skip, acc).otherwise(new)
-
-        reach = F.sequence(a, F.least(high, a + SOURCE_LINES) - 1)
-        return F.aggregate(reach, start, step, lambda r: F.struct(a.alias("a"), r["best"].alias("best"), r["most"].alias("most"), r["exact"].alias("exact")))
-
-    every = F.when(high > low, F.sequence(F.lit(low), high - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.transform(F.filter(every, lambda a: F.size(F.get(words, a)) > 0), from_line)
-    exact = F.get(F.filter(found, lambda r: r["exact"] >= 0), F.lit(0))
-    # The last line from which all of it still follows.
-    first = F.element_at(F.filter(F.sequence(exact["a"], exact["exact"]), lambda a: F.contains(joined(a, exact["exact"]), sequence)), -1)
-    best = F.array_max(F.transform(F.filter(found, lambda r: r["most"] > 0), lambda r: F.struct(r["most"].alias("most"), (r["a"] - r["best"]).alias("short"), (-r["a"]).alias("early"), r["best"].alias("b"))))
-    lower, upper = F.coalesce(first, -best["early"]), F.coalesce(exact["exact"], best["b"])
-    source = F.coalesce(F.array_join(F.slice(lines, lower + 1, upper - lower + 1), "\n"), F.lit(""))
-    have = F.coalesce(F.flatten(F.slice(words, lower + 1, upper - lower + 1)), F.array().cast("array<string>"))
-    missing_numbers = F.array_except(numbers(F.lit(quote)), numbers(source))
-    coverage = F.when(exact.isNotNull(), 1.0).otherwise(F.coalesce(best["most"] / len(asked_set), F.lit(0.0)))
-    verdict = F.when(exact.isNotNull(), "exact").when((coverage >= CLOSE) & (F.size(missing_numbers) == 0), "close").otherwise("not_supported")
-    missing_words = F.when(exact.isNotNull(), F.array().cast("array<string>")).otherwise(F.array_except(F.array(*map(F.lit, dict.fromkeys(asked))), have))
-    return F.struct(
-        verdict.alias("verdict"), F.floor(coverage * 100 + 0.5).cast("double").alias("percent"), (lower + 1).alias("first"), (upper + 1).alias("last"), source.alias("source"), missing_numbers.alias("missing_numbers"), missing_words.alias("missing_words")
-    )
+    most = len(asked) * 2 + 20
+    state = "struct<n:int,have:array<string>,acc:string,best:int,most:int,exact:int,done:boolean>"
+    start = F.from_json(F.lit('{"n":0,"have":[],"acc":" ","best":-1,"most":0,"exact":-1,"done":false}'), state)
+
+    def check(lines: Column, words: Column) -> Column:
+        high = F.least(F.size(lines), F.lit(near + ABOUT)) if near else F.size(lines)
+
+        def joined(i: Column, j: Column) -> Column:
+            return F.concat(F.lit(" "), F.array_join(F.flatten(F.slice(words, i + 1, j - i + 1)), " "), F.lit(" "))
+
+        def from_line(a: Column) -> Column:
+            """What the lines from a on hold: the fewest with most of the words, and the fewest with all of them in order."""
+
+            def step(acc: Column, b: Column) -> Column:
+                def grown(own: Column) -> Column:
+                    new = F.struct((acc["n"] + F.size(own)).alias("n"), F.array_union(acc["have"], F.array_intersect(own, wanted)).alias("have"), F.concat(acc["acc"], F.array_join(own, " "), F.lit(" ")).alias("acc"))
+                    return let(new, judged)
+
+                def judged(new: Column) -> Column:
+                    exact, more = F.contains(new["acc"], sequence), F.size(new["have"]) > acc["most"]
+                    return F.struct(
+                        new["n"].alias("n"), new["have"].alias("have"), new["acc"].alias("acc"), F.when(more & ~exact, b).otherwise(acc["best"]).alias("best"), F.when(exact, acc["most"]).otherwise(F.size(new["have"])).alias("most"),
+                        F.when(exact, b).otherwise(F.lit(-1)).alias("exact"), (exact | (new["n"] > most) | (F.size(new["have"]) == len(asked_set))).alias("done"),
+                    )
+
+                own = F.get(words, b)
+                return F.when(acc["done"] | (F.size(own) == 0), acc).otherwise(let(own, grown))
+
+            reach = F.sequence(a, F.least(high, a + SOURCE_LINES) - 1)
+            return F.aggregate(reach, start, step, lambda r: F.struct(a.alias("a"), r["best"].alias("best"), r["most"].alias("most"), r["exact"].alias("exact")))
+
+        def chosen(found: Column) -> Column:
+            exact = F.get(F.filter(found, lambda r: r["exact"] >= 0), F.lit(0))
+            best = F.array_max(F.transform(F.filter(found, lambda r: r["most"] > 0), lambda r: F.struct(r["most"].alias("most"), (r["a"] - r["best"]).alias("short"), (-r["a"]).alias("early"), r["best"].alias("b"))))
+            # The last line from which all of it still follows.
+            first = F.element_at(F.filter(F.sequence(exact["a"], exact["exact"]), lambda a: F.contains(joined(a, exact["exact"]), sequence)), -1)
+            picked = F.struct(exact.isNotNull().alias("exact"), F.coalesce(first, -best["early"]).alias("low"), F.coalesce(exact["exact"], best["b"]).alias("high"), best["most"].alias("most"))
+            return let(picked, told)
+
+        def told(x: Column) -> Column:
+            size = x["high"] - x["low"] + 1
+            source = F.coalesce(F.array_join(F.slice(lines, x["low"] + 1, size), "\n"), F.lit(""))
+            have = F.coalesce(F.flatten(F.slice(words, x["low"] + 1, size)), F.array().cast("array<string>"))
+            missing = F.array_except(numbers(F.lit(quote)), numbers(source))
+            share = F.when(x["exact"], 1.0).otherwise(F.coalesce(x["most"] / len(asked_set), F.lit(0.0)))
+            verdict = F.when(x["exact"], "exact").when((share >= CLOSE) & (F.size(missing) == 0), "close").otherwise("not_supported")
+            lost = F.when(x["exact"], F.array().cast("array<string>")).otherwise(F.array_except(F.array(*map(F.lit, dict.fromkeys(asked))), have))
+            return F.struct(verdict.alias("verdict"), F.floor(share * 100 + 0.5).cast("double").alias("percent"), (x["low"] + 1).alias("first"), (x["high"] + 1).alias("last"), source.alias("source"), missing.alias("missing_numbers"), lost.alias("missing_words"))
+
+        every = F.when(high > low, F.sequence(F.lit(low), high - 1)).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(F.filter(every, lambda a: F.size(F.get(words, a)) > 0), from_line), chosen)
+
+    return let(F.split(text, r"\r?\n"), lambda lines: let(F.transform(lines, line_words), lambda words: check(lines, words)))
 
 
 def plain_line(line: str) -> str:
