@@ -121,7 +121,9 @@ def test_fuzzy(spark):
     assert all(got[n] == (None if (w := plain_fuzzy("moc", n.lower())) is None else pytest.approx(w)) for n in names)
     assert got["moc"] == pytest.approx(2 + 5 + 4 + 6 - 0.15) and got["m.oc"] == pytest.approx(2 + 5 + 2 + 4 - 0.2)
     ranked = [r.path for r in S.fuzzy_open(df, "MOC", F.col("path") == "a/moc.md").collect()]
-    assert ranked[:2] == ["a/my own cat.md", "a/mo-c.md"] and ranked[-1] == "a/moc.md" and "moc/x.md" in ranked
+    score = lambda p: plain_fuzzy("moc", stem) + 10 if (stem := p.split("/")[-1][:-3].lower()) and plain_fuzzy("moc", stem) is not None else plain_fuzzy("moc", p.lower())
+    paths = [p for p in [f"a/{n}.md" for n in names] + ["moc/x.md"] if score(p) is not None]
+    assert ranked == sorted(paths, key=lambda p: (p == "a/moc.md", -score(p), p)) and ranked[-1] == "a/moc.md" and "moc/x.md" in ranked
 
 
 @pytest.mark.parametrize(
