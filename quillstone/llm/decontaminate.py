@@ -4,9 +4,11 @@ The test items are a stated query set: blocks of about BLOCK_CHARS of their text
 after the other, and the digests and counts of a block's distinct words, 16 bytes each, go to the driver and the tasks;
 the items themselves stay in tasks. Training texts are read twice: once to count how often each test term occurs, once to
 store the postings of the terms that windows start from. Each window of WINDOW words starts from its
-rarest term; a posting holds the document, the position and the terms of the words around it, so the lists of a window's
-other terms, adjusted by their offsets, are intersected where the rarest one stands. Exact phrases and proximity matches
-(the two rarest terms of a window within REACH words) come from one join of postings and test terms.
+rarest term; a posting is a row of the document, the position and the terms of the words around it, so the lists of a
+window's other terms, adjusted by their offsets, are intersected where the rarest one stands. Exact phrases and proximity
+matches (the two rarest terms of a window within REACH words) come from one join of postings and distinct test places.
+Hit words are counted by blocks of HIT_BLOCK words, in each of which the matches' intervals are merged, so no row and no
+task holds all matches of a text.
 
 Defined results: a null or empty text has no words, and an item without words no window; an item of fewer than WINDOW
 words is one window; items of equal text each count; null item_ids are left out; rows of equal doc_id and text have
@@ -34,8 +36,10 @@ SHARE = 20
 #: Characters of test items in a block; their terms and windows are what the driver and the tasks hold.
 BLOCK_CHARS = 20_000_000
 BATCH_BYTES = 2_000_000
-#: Windows of an item that are worked on at once.
-PIECE = 100_000
+#: Windows of an item that are worked on at once, and postings that are handed on together.
+PIECE, POSTINGS = 100_000, 20_000
+#: Words in a block whose hits are counted together; a power of two, longer than any match.
+HIT_BLOCK = 1024
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -105,10 +109,12 @@ def test_places(items: DataFrame, vocabulary: np.ndarray, counts: np.ndarray) ->
 
 def numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """The number of each word in the vocabulary, -1 if it is not there."""
-    if not len(vocabulary):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, -1)
+    out = np.full(len(hashes), -1, np.int32)
+    for i in range(0, len(hashes) if len(vocabulary) else 0, PIECE):
+        some = hashes[i : i + PIECE]
+        at = np.minimum(np.searchsorted(vocabulary, some), len(vocabulary) - 1)
+        out[i : i + PIECE] = np.where(vocabulary[at] == some, at, -1)
+    return out
 
 
 def term_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -130,43 +136,42 @@ def term_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, vocabulary: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n_words, postings array<struct<term, pos, around>> of the wanted terms: a row for each of docs(doc_id, text_hash, text)."""
+    """doc_id, text_hash, n_words, term, pos, around array<int> of docs(doc_id, text_hash, text): a row with n_words for each document, and
+    rows with the others for each occurrence of a wanted term."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, wanted))
     span = np.arange(-REACH, REACH + 1)
 
     def index(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, wanted = shared.value
+        names = ["doc_id", "text_hash", "n_words", "term", "pos", "around"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
         for b in tables:
             for at, part in batches(b.column("text"), BATCH_BYTES):
                 hashes, ends = words(part)
                 terms = numbered(hashes, vocabulary)
-                here = np.flatnonzero((terms >= 0) & wanted[terms]) if len(wanted) else np.zeros(0, np.int64)
-                text = owners(ends, here)
-                near = here[:, None] + span
-                inside = (near >= ends[text][:, None]) & (near < ends[text + 1][:, None])
-                around = np.where(inside, terms[np.clip(near, 0, max(len(terms) - 1, 0))], -1) if len(terms) else np.zeros((0, len(span)), np.int64)
-                rows = pa.StructArray.from_arrays(
-                    [
-                        pa.array(terms[here].astype(np.int32)),
-                        pa.array((here - ends[text]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * len(span)), pa.array(around.reshape(-1).astype(np.int32))),
-                    ],
-                    ["term", "pos", "around"],
-                )
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(here, ends).astype(np.int32)), rows)
-                own = [b.column(c).slice(at, len(part)) for c in ("doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends).astype(np.int64)), lists], ["doc_id", "text_hash", "n_words", "postings"])
+                del hashes
+                own = [b.column(c).slice(at, len(part)) for c in names[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends).astype(np.int64)), *(pa.nulls(len(part), k) for k in kinds[1:])], names)
+                every = np.flatnonzero((terms >= 0) & wanted[terms]) if len(wanted) else np.zeros(0, np.int64)
+                for i in range(0, len(every), POSTINGS):
+                    here = every[i : i + POSTINGS]
+                    text = owners(ends, here)
+                    near = here[:, None] + span
+                    inside = (near >= ends[text][:, None]) & (near < ends[text + 1][:, None])
+                    around = np.where(inside, terms[np.clip(near, 0, len(terms) - 1)], np.int32(-1))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * len(span)), pa.array(around.reshape(-1)))
+                    row = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in own), pa.nulls(len(here), kinds[0]), pa.array(terms[here]), pa.array((here - ends[text]).astype(np.int32)), lists], names)
         release()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, n_words long, postings array<struct<term:int,pos:int,around:array<int>>>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_words long, term int, pos int, around array<int>"
     return docs.select("doc_id", "text_hash", "text").mapInArrow(index, schema)
 
 
-def matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_id, low, high (positions of an exact match, null if none), near: a row for each meeting of a posting and a test place."""
-    rows = index.where(F.size("postings") > 0).select("doc_id", "text_hash", F.explode("postings").alias("p")).select("doc_id", "text_hash", "p.*")
-    met = rows.join(anchors, "term")
+def matches(index: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, text_hash, place, low, high (positions of an exact match, null if none), near: a row for each meeting of a posting and one of
+    places(term, size, wanted, other, place) that matches."""
+    met = index.where("term is not null").drop("n_words").join(places, "term")
     same = F.array_join(F.zip_with("around", "wanted", lambda a, b: F.when(a == b, "1").otherwise("0")), "")
     met = met.withColumn("same", same)
     left = F.length(F.regexp_extract(F.reverse(F.substring("same", 1, REACH)), "^1*", 0))
@@ -174,8 +179,22 @@ def matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
     met = met.withColumns({"left": left, "right": right, "near": F.array_contains("around", F.col("other"))})
     exact = F.col("left") + F.col("right") + 1 >= F.col("size")
     return met.where(exact | F.col("near")).select(
-        "doc_id", "text_hash", "item_id", F.when(exact, F.col("pos") - F.col("left")).alias("low"), F.when(exact, F.col("pos") + F.col("right")).alias("high"), "near"
+        "doc_id", "text_hash", "place", F.when(exact, F.col("pos") - F.col("left")).alias("low"), F.when(exact, F.col("pos") + F.col("right")).alias("high"), "near"
+    )
+
+
+def hit_words(found: DataFrame) -> DataFrame:
+    """h_doc_id, h_text_hash, n_hit: the words inside the intervals of matches(), each counted once."""
+    block = lambda c: F.floor(F.col(c) / HIT_BLOCK)
+    runs = found.where("low is not null").select("doc_id", "text_hash", F.explode(F.array_distinct(F.array(block("low"), block("high")))).alias("block"), "low", "high")
+    own = F.struct(F.greatest("low", F.col("block") * HIT_BLOCK).alias("low"), F.least("high", F.col("block") * HIT_BLOCK + HIT_BLOCK - 1).alias("high"))
+    merged = F.aggregate(
+        F.array_sort(F.collect_set(own)),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")),
+        lambda acc, r: F.struct((acc["n"] + F.greatest(r["high"] - F.greatest(acc["end"], r["low"] - 1), F.lit(0))).alias("n"), F.greatest(acc["end"], r["high"]).alias("end")),
     )
+    blocks = runs.groupBy("doc_id", "text_hash", "block").agg(merged["n"].alias("n"))
+    return blocks.groupBy(F.col("doc_id").alias("h_doc_id"), F.col("text_hash").alias("h_text_hash")).agg(F.sum("n").alias("n_hit"))
 
 
 def blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
@@ -189,26 +208,28 @@ def blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
 def judged(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids, near_ids, contaminated for docs(doc_id, text)."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found, sizes = None, None
+    key, own = ["doc_id", "text_hash"], ["term", "size", "wanted", "other"]
+    found, pairs, sizes = None, None, None
     for k, items in enumerate(blocks(benchmark)):
         vocabulary = vocabulary_of(items)
         counts = term_counts(docs, vocabulary) if len(vocabulary) else np.zeros(0, np.int64)
-        places = scratch.table(test_places(items, vocabulary, counts), f"places{k}")
+        places = test_places(items, vocabulary, counts).withColumn("place", F.sha2(F.concat_ws(" ", F.lit(k), "term", "size", F.concat_ws(",", F.col("wanted").cast("array<string>")), "other"), 256))
+        places = scratch.table(places, f"places{k}")
+        distinct = scratch.table(places.select("place", *own).dropDuplicates(["place"]), f"distinct{k}")
         wanted = np.zeros(len(vocabulary), bool)
-        wanted[places.select("term").distinct().toPandas()["term"].to_numpy(np.int64)] = True
+        wanted[distinct.select("term").distinct().toPandas()["term"].to_numpy(np.int64)] = True
         index = scratch.table(postings(docs, vocabulary, wanted), f"index{k}")
-        own = scratch.table(matches(index, places), f"matches{k}")
-        found = own if found is None else found.unionByName(own)
-        sizes = index.select("doc_id", "text_hash", "n_words") if sizes is None else sizes
-    key = ["doc_id", "text_hash"]
-    hit = found.where("low is not null").select(*key, F.struct("low", "high").alias("run"), "item_id")
-    spread = F.flatten(F.transform(F.collect_set("run"), lambda r: F.sequence(r["low"], r["high"])))
-    hit = hit.groupBy(*key).agg(F.size(F.array_distinct(spread)).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    near = found.where("near").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("near_ids"))
-    result = hit.withColumnsRenamed({c: f"h_{c}" for c in key}).join(near.withColumnsRenamed({c: f"n_{c}" for c in key}), F.col("h_doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("h_text_hash") == F.col("n_text_hash")), "full")
-    result = result.select(F.coalesce("h_doc_id", "n_doc_id").alias("r_doc_id"), F.coalesce("h_text_hash", "n_text_hash").alias("r_text_hash"), "n_hit", "item_ids", "near_ids")
+        met = scratch.table(matches(index, distinct), f"matches{k}")
+        each = met.groupBy(*key, "place").agg(F.bool_or(F.col("low").isNotNull()).alias("exact"), F.bool_or("near").alias("near"))
+        each = each.join(places.select("place", "item_id").distinct(), "place").drop("place")
+        found = met if found is None else found.unionByName(met)
+        pairs = each if pairs is None else pairs.unionByName(each)
+        sizes = index.where("n_words is not null").select(*key, "n_words") if sizes is None else sizes
+    ids = [F.array_sort(F.collect_set(F.when(F.col(c), F.col("item_id")))).alias(name) for c, name in (("exact", "item_ids"), ("near", "near_ids"))]
+    items = pairs.groupBy(*key).agg(*ids).withColumnsRenamed({c: f"i_{c}" for c in key})
+    null_safe = lambda p: F.col("doc_id").eqNullSafe(F.col(f"{p}_doc_id")) & (F.col("text_hash") == F.col(f"{p}_text_hash"))
+    out = sizes.join(hit_words(found), null_safe("h"), "left").join(items, null_safe("i"), "left")
     none = F.array().cast("array<string>")
-    out = sizes.join(result, F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("text_hash") == F.col("r_text_hash")), "left")
     out = out.select(*key, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 

@@ -4,7 +4,8 @@
   they read before anything is shuffled; the table of counts holds every n-gram of every whole text and grows with them.
 * Model. Modified Kneser-Ney, as joins and aggregates of the count table: lower orders count distinct left neighbours,
   discounts follow each language's counts of counts. An n-gram of MIDDLE bytes or more that is there fewer than SEEN times
-  gets no mass of its own but what shorter ones lend it, so that a document isn't judged by what only it says. The log
+  gets no mass of its own but what shorter ones lend it, so that a document isn't judged by what only it says; of their
+  three discounts, those for counts of 1 and 2 therefore act at the shorter orders only. The log
   probabilities are kept as sorted arrays of n-gram hashes, a row for each shard of the hash range; no task or driver
   holds more than a shard.
 * Scores. Tasks pack the texts that they read into compressed blocks of about BLOCK bytes. A block asks each shard once
@@ -94,7 +95,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> np.ndarray:
     for k in range(1, ORDER):
         before = np.zeros(j - i, np.int64)
         low = max(i - k, 0)
-        before[low + k - i :] = data[low : j - k]
+        before[low + k - i :] = data[low : max(j - k, 0)]
         crossing = (starts[:, None] + np.arange(k)).reshape(-1) - i
         before[crossing[(crossing >= 0) & (crossing < j - i)]] = 0
         out += before << (8 * k)
