@@ -1,8 +1,8 @@
 """PII: format-preserving Feistel pseudonyms. Native: DataFrame functions only.
 
 Validated numbers (payment cards by their check digit, IPv4 addresses by octet range, North American and international
-telephone numbers, US social security numbers by allotted ranges, IBAN by mod 97) and dates (ISO and day-first, real
-calendar days of 1900 to 2099) are permuted within their own format under a key. A permutation is one-to-one, so equal
+telephone numbers, US social security numbers of all areas that can be assigned, IBAN by mod 97) and dates (ISO, day-first,
+and month-first where the day is over 12 and so can't be a month; real calendar days of 1900 to 2099) are permuted within their own format under a key. A permutation is one-to-one, so equal
 values stay linked across documents and different ones stay apart, and who has the key can undo it (`restore=True`).
 Mail addresses and secrets are not numbers: a keyed digest in the same shape replaces them and keeps equal values linked.
 Lookalikes that fail validation stay as they are.
@@ -18,10 +18,11 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.values import let
 from quillstone.llm.common import free_names, read
 
-#: Spark setting with the secret key of a deployment. Without it the registered query and the pipeline use the
-#: demonstration key, which is public: whoever has it can undo their pseudonyms.
+#: Spark setting with the secret key of a deployment. On a local master the registered query and the pipeline do without it
+#: and use the demonstration key, which is public: whoever has it can undo their pseudonyms.
 KEY_SETTING, DEMO_KEY = "spark.quillstone.pseudonyms.key", "quillstone-demonstration-key"
 ROUNDS = 8
 
@@ -51,6 +52,10 @@ GATE = r"[0-9@=:]|AKIA|ASIA"
 KINDS = ("secret", "email", "access_key", "ip", "date", "ssn", "phone", "card", "iban")
 #: Days from 1900-01-01 that dates are permuted among: 252 x 290 of them, to 2100-02-01.
 FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 252, 290
+#: Days over the 12th among them, 12 a month less: 204 x 217.
+LATE_HIGH, LATE_LOW = 204, 217
+#: Areas of social security numbers: 001 to 665 and 667 to 899.
+AREAS = 898
 
 
 def is_full(s: Column, pattern: str) -> Column:
@@ -93,11 +98,6 @@ def feistel(high: Column, low: Column, n_high: Column, n_low: Column, key: str,
     return F.aggregate(order, F.struct(high.cast("long").alias("high"), low.cast("long").alias("low")), step)
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def power_of_ten(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
@@ -153,24 +153,53 @@ def phone(s: Column, key: str, restore: bool) -> Column:
 
 
 def as_day(s: Column) -> Column:
-    """The day of a date in either format; null if there is none."""
-    iso = F.when(s.rlike(r"^\d{4}-"), s).otherwise(F.concat(F.substr(s, F.lit(7), F.lit(4)), F.lit("-"), F.substr(s, F.lit(4), F.lit(2)), F.lit("-"), F.substr(s, F.lit(1), F.lit(2))))
+    """The day of a date in any of the formats; null if there is none."""
+    part = lambda i, n: F.substr(s, F.lit(i), F.lit(n))
+    month, day = (F.when(month_first(s), part(i, 2)).otherwise(part(j, 2)) for i, j in ((1, 4), (4, 1)))
+    iso = F.when(s.rlike(r"^\d{4}-"), s).otherwise(F.concat_ws("-", part(7, 4), month, day))
     return F.try_to_date(iso, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")))
 
 
+def month_first(s: Column) -> Column:
+    """Whether a date's second number is over 12, so that it can only be a day."""
+    return s.rlike(r"^\d\d[./](?:1[3-9]|[23]\d)")
+
+
+def late_day(s: Column, key: str, restore: bool) -> Column:
+    """A month-first date permuted among the days over the 12th, so that it stays one that can only be read month-first."""
+    first = lambda months: F.add_months(F.lit(FIRST_DAY).cast("date"), months.cast("int"))
+    months = (F.substr(s, F.lit(7), F.lit(4)).cast("long") - int(FIRST_DAY[:4])) * 12 + F.substr(s, F.lit(1), F.lit(2)).cast("long") - 1
+    days_before = lambda m: F.datediff(first(m), F.lit(FIRST_DAY).cast("date")).cast("long") - 12 * m
+    rank = days_before(months) + F.substr(s, F.lit(4), F.lit(2)).cast("long") - 13
+    out = feistel(F.floor(rank / LATE_LOW), rank % LATE_LOW, F.lit(LATE_HIGH), F.lit(LATE_LOW), key, F.lit("late"), restore)
+
+    def at(new: Column) -> Column:
+        # A month has 18.44 such days on average, and no month begins two or more away from that.
+        guess = F.floor(new * 2401 / (LATE_HIGH * LATE_LOW))
+        month = F.array_max(F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), guess + 2), lambda m: days_before(m) <= new))
+        return let(month, lambda m: F.date_add(first(m), (new - days_before(m) + 12).cast("int")))
+
+    new = let(let(out, lambda o: o["high"] * LATE_LOW + o["low"]), at)
+    sep = F.substr(s, F.lit(3), F.lit(1))
+    return let(new, lambda d: F.concat_ws("", F.date_format(d, "MM"), sep, F.date_format(d, "dd"), sep, F.date_format(d, "yyyy")))
+
+
 def date(s: Column, key: str, restore: bool) -> Column:
     day = F.datediff(as_day(s), F.lit(FIRST_DAY).cast("date"))
     out = feistel(F.floor(day / DAY_LOW), day % DAY_LOW, F.lit(DAY_HIGH), F.lit(DAY_LOW), key, F.lit("date"), restore)
     new = let(out, lambda o: F.date_add(F.lit(FIRST_DAY).cast("date"), (o["high"] * DAY_LOW + o["low"]).cast("int")))
     sep = F.substr(s, F.lit(3), F.lit(1))
-    return F.when(s.rlike(r"^\d{4}-"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy")))
+    early = F.when(s.rlike(r"^\d{4}-"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy")))
+    return F.when(month_first(s), late_day(s, key, restore)).otherwise(early)
 
 
 def ssn(s: Column, key: str, restore: bool) -> Column:
-    """Area 001 to 665, group 01 to 99, serial 0001 to 9999."""
+    """Area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
     serial = (F.substr(s, F.lit(5), F.lit(2)).cast("long") - 1) * 9999 + F.substr(s, F.lit(8), F.lit(4)).cast("long") - 1
-    out = feistel(F.substr(s, F.lit(1), F.lit(3)).cast("long") - 1, serial, F.lit(665), F.lit(99 * 9999), key, F.lit("ssn"), restore)
-    return let(out, lambda o: F.format_string("%03d-%02d-%04d", o["high"] + 1, F.floor(o["low"] / 9999) + 1, o["low"] % 9999 + 1))
+    area = F.substr(s, F.lit(1), F.lit(3)).cast("long") - 1
+    out = feistel(area - F.when(area >= 665, 1).otherwise(0), serial, F.lit(AREAS), F.lit(99 * 9999), key, F.lit("ssn"), restore)
+    new_area = lambda a: a + 1 + F.when(a >= 665, 1).otherwise(0)
+    return let(out, lambda o: F.format_string("%03d-%02d-%04d", new_area(o["high"]), F.floor(o["low"] / 9999) + 1, o["low"] % 9999 + 1))
 
 
 def iban(s: Column, key: str, restore: bool) -> Column:
@@ -211,7 +240,7 @@ def kind_of(s: Column) -> Column:
         .when(is_full(s, "(?:AKIA|ASIA)[A-Z0-9]{16}"), "access_key")
         .when(is_full(s, r"\d{1,3}(?:\.\d{1,3}){3}"), F.when(octets_fit, "ip"))
         .when(is_full(s, r"\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}"), F.when(real_day, "date"))
-        .when(is_full(s, r"\d{3}-\d\d-\d{4}"), F.when(~s.rlike("^(?:000|66[6-9]|6[7-9]|[7-9])|-00-|-0000$"), "ssn"))
+        .when(is_full(s, r"\d{3}-\d\d-\d{4}"), F.when(~s.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
         .when(s.startswith("+") & F.length(digits).between(8, 15), "phone")
         .when(is_full(s, PHONE_US), "phone")
         .when(is_full(s, r"[A-Z]{2}\d\d[A-Z0-9 ]+") & (iban_rest(s) == 1) & F.length(digits_of(F.substr(s, F.lit(5)))).between(2, 34), "iban")
@@ -249,8 +278,10 @@ def cards_of(text: Column) -> Column:
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key of the session's setting; the demonstration key, with a warning, where there is none."""
+    """The key of the session's setting. Without one, a local master gets the public demonstration key and a warning, any other an error."""
     found = spark.conf.get(KEY_SETTING, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY_SETTING}: pseudonyms under the public demonstration key can be undone by anyone")
     if not found:
         warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the public demonstration key", stacklevel=2)
     return found or DEMO_KEY
