@@ -1,8 +1,8 @@
 """Full-text search over an inverted index of words.
 
 A text's words are runs of letters and digits that may be joined by . - _ /; a joined word is indexed with its parts and
-its tails, so that any of them finds it from its start, and words with accents also without them. The index is written
-once, sorted by word, and terms are range predicates on that column, which file and row-group statistics answer.
+its tails, so that any of them finds it from its start, and words with accents also without them. segments.py stores the
+index; here are its words, its terms, and what is asked of texts.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.values import fold, let, natural_key
-from quillstone.sources.scratch import exists
 
 # What a word is, where a joined one is cut, and the length from which a word is none.
 WORD, JOINT = r"[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*", r"[-._/]"
 MAX_WORD = 48
+#: The word that notes with a longer one have in the index; no term begins with it or contains it.
+LONG_MARK = ""
 
 
 def spread(w: Column) -> Column:
@@ -36,7 +37,8 @@ def postings(notes: DataFrame, *also: str) -> DataFrame:
     several rows until the index is written.
     """
     text = F.concat_ws("\n", "text", *also) if also else F.col("text")
-    found = notes.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("w")).where(F.length("w") <= MAX_WORD)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    found = notes.select("key", words.alias("w")).select("key", F.explode(F.when(F.exists("w", lambda w: F.length(w) > MAX_WORD), F.concat(F.filter("w", lambda w: F.length(w) <= MAX_WORD), F.array(F.lit(LONG_MARK)))).otherwise(F.col("w"))).alias("w"))
     w, folded = F.col("w"), fold(F.col("w"))
     form = lambda exact: lambda x: F.struct(x.alias("word"), F.lit(exact).alias("exact"))
     accented = w.rlike(r"[^\x00-\x7F]") & (folded != w)
@@ -49,24 +51,6 @@ def settled(found: DataFrame) -> DataFrame:
     return found.groupBy("word", "key").agg(F.max("exact").alias("exact"))
 
 
-def write_postings(found: DataFrame, path: str) -> None:
-    """Sorted by word, so that a term's range is found by file and row-group statistics. One shuffle, for the ranges."""
-    settled(found.repartitionByRange("word")).sortWithinPartitions("word", "key").write.mode("overwrite").parquet(path)
-
-
-def stored(notes: DataFrame, path: str) -> DataFrame:
-    """The index at the path, written there first if it is not there yet."""
-    spark = notes.sparkSession
-    if not exists(spark, path):
-        write_postings(postings(notes), path)
-    return spark.read.parquet(path)
-
-
-def refreshed(index: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """The index without the postings of gone(key), and with those of new(key, text): what an edit, a deletion or an addition changes."""
-    return index.join(gone.select("key").distinct(), "key", "left_anti").select("word", "key", "exact").unionByName(settled(postings(new)))
-
-
 @dataclass(frozen=True)
 class Term:
     """A word start, a phrase, a fragment inside words (3 letters or more), or a field (path, title, tag)."""
@@ -89,7 +73,7 @@ def of_word(c: Column, t: Term) -> Column:
 def phrase_in(text: Column, phrase: str, folded: bool = False) -> Column:
     """White space counts as one space."""
     flat = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.contains(fold(flat), F.lit(phrase.lower())) if folded else F.contains(flat, F.lit(" ".join(phrase.lower().split())))
+    return F.contains(fold(flat) if folded else flat, F.lit(" ".join(phrase.lower().split())))
 
 
 def field_has(t: Term) -> Column:
@@ -101,10 +85,17 @@ def field_has(t: Term) -> Column:
     return F.exists("tags", lambda x: (F.lower(x) == tag) | F.lower(x).startswith(f"{tag}/"))
 
 
-def search(notes: DataFrame, index: DataFrame, clauses: list[list[Term]], negatives: list[Term] = ()) -> DataFrame:
+def flagged(index: DataFrame, terms: list[Term]) -> DataFrame:
+    """__key, __t0, __t1, ... of a table of postings, read once: whether a note has a word of each term."""
+    wanted = reduce(lambda a, b: a | b, [of_word(F.col("word"), t) for t in terms])
+    return index.where(wanted).groupBy(F.col("key").alias("__key")).agg(*[F.bool_or(of_word(F.col("word"), t)).alias(f"__t{i}") for i, t in enumerate(terms)])
+
+
+def search(notes: DataFrame, index, clauses: list[list[Term]], negatives: list[Term] = ()) -> DataFrame:
     """Notes that have a term of every clause and none of the negatives.
 
-    All word terms are answered by one pass over the index; texts are read only for phrases, of what the words left over.
+    index is a SearchIndex, or a table of postings; its flags() answer all word terms at once. Texts are read only for
+    phrases, of what the words left over; a phrase without accents also matches a text without its accents.
     """
     terms = [t for c in clauses for t in c] + list(negatives)
     if not terms:
@@ -112,8 +103,7 @@ def search(notes: DataFrame, index: DataFrame, clauses: list[list[Term]], negati
     worded = [t for t in terms if t.kind in ("word", "fragment") and not t.field]
     out = notes
     if worded:
-        wanted = reduce(lambda a, b: a | b, [of_word(F.col("word"), t) for t in worded])
-        flags = index.where(wanted).groupBy(F.col("key").alias("__key")).agg(*[F.bool_or(of_word(F.col("word"), t)).alias(f"__t{i}") for i, t in enumerate(worded)])
+        flags = flagged(index, worded) if isinstance(index, DataFrame) else index.flags(worded)
         only_words = any(all(t in worded for t in c) for c in clauses)
         out = notes.join(flags, notes["key"] == F.col("__key"), "inner" if only_words else "left")
 
@@ -121,7 +111,8 @@ def search(notes: DataFrame, index: DataFrame, clauses: list[list[Term]], negati
         if t.field:
             return F.coalesce(field_has(t), F.lit(False))
         if t.kind == "phrase":
-            return F.coalesce(phrase_in(F.col("text"), t.text), F.lit(False))
+            plain = phrase_in(F.col("text"), t.text)
+            return F.coalesce(plain | phrase_in(F.col("text"), t.text, folded=True) if t.text.isascii() else plain, F.lit(False))
         return F.coalesce(F.col(f"__t{worded.index(t)}"), F.lit(False))
 
     for clause in clauses:
@@ -154,8 +145,7 @@ FRONT_MATTER, FENCED, INLINE, WIKI, MARKDOWN, URL, TAG = r"(?s)\A---\r?\n.*?\r?\
 
 def masked(text: Column) -> Column:
     """The text without front matter, code, links, addresses and tags."""
-    for pattern in (# Fixed values: what is no plain text of a note.
-FRONT_MATTER, FENCED, INLINE, WIKI, MARKDOWN, URL, TAG):
+    for pattern in (FRONT_MATTER, FENCED, INLINE, WIKI, MARKDOWN, URL, TAG):
         text = F.regexp_replace(text, pattern, " ")
     return text
 
@@ -303,6 +293,19 @@ def quote_check(text: Column, quote: str, near: int | None = None) -> Column:
     return let(F.split(text, r"\r?\n"), lambda lines: let(F.transform(lines, line_words), lambda words: check(lines, words)))
 
 
+def quote_lookup(text: Column, quote: str, near: int | None = None) -> Column:
+    """struct<check, found_elsewhere struct<verdict, first, last>>: quote_check(), and where else a quotation is that isn't near the line named."""
+    check, kind = quote_check(text, quote, near), "struct<verdict:string,first:int,last:int>"
+    if not near:
+        return F.struct(check.alias("check"), F.lit(None).cast(kind).alias("found_elsewhere"))
+
+    def both(own: Column) -> Column:
+        other = let(quote_check(text, quote), lambda c: F.when(c["verdict"] != "not_supported", F.struct(c["verdict"].alias("verdict"), c["first"].alias("first"), c["last"].alias("last")).cast(kind)))
+        return F.struct(own.alias("check"), F.when(own["verdict"] == "not_supported", other).alias("found_elsewhere"))
+
+    return let(check, both)
+
+
 def plain_line(line: str) -> str:
     """flat_line() of a text that is at hand."""
     line = re.sub(LEADING, "", line.translate(str.maketrans("‘’“”–—", "''\"\"--")))

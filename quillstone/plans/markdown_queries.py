@@ -51,6 +51,21 @@ def md_resolved_links(spark, d):
     return M.resolved(notes.where("folder = 'customers'"), all_.where("folder = 'nations'"))
 
 
+@query("""WITH files AS (SELECT 'd' || (o_orderkey % 13) || '/' || lower(o_orderpriority[3:]) || '/' || CASE WHEN o_orderkey % 3 = 0 THEN 'x/' ELSE '' END || (o_custkey % 100) || '.md' AS path FROM orders),
+    links AS (SELECT c_custkey, 0 AS ord, CAST(c_custkey % 120 AS VARCHAR) AS raw FROM customer UNION ALL SELECT c_custkey, 1, 'HIGH/' || c_custkey % 120 FROM customer UNION ALL SELECT c_custkey, 2, 'x/' || c_custkey % 120 || '.md' FROM customer),
+    ends AS (SELECT DISTINCT raw, path FROM (SELECT DISTINCT raw FROM links), (SELECT DISTINCT path FROM files) WHERE ends_with('/' || path, '/' || lower(raw)) OR ends_with('/' || path, '/' || lower(raw) || '.md')),
+    best AS (SELECT raw, arg_min(path, (length(path), path)) AS dst FROM ends GROUP BY raw)
+    SELECT 'customers/' || c_custkey || '.md' AS src, dst, min(ord) AS ord FROM links JOIN best USING (raw) GROUP BY ALL""")
+def md_suffix_links(spark, d):
+    """Links by name, by folder and name, and by a name with its extension, among files of the orders' making that share few names."""
+    o = P.read(spark, d, "orders")
+    path = F.concat(F.lit("d"), F.col("o_orderkey") % 13, F.lit("/"), F.lower(F.substr("o_orderpriority", F.lit(3))), F.lit("/"), F.when(F.col("o_orderkey") % 3 == 0, "x/").otherwise(""), F.col("o_custkey") % 100, F.lit(".md"))
+    key = F.col("c_custkey") % 120
+    links = F.array(key.cast("string"), F.concat(F.lit("HIGH/"), key), F.concat(F.lit("x/"), key, F.lit(".md")))
+    notes = P.read(spark, d, "customer").select(P.path_of("customers", F.col("c_custkey")).alias("path"), F.lit("customers").alias("folder"), links.alias("links"))
+    return M.resolved(notes, o.select(path.alias("path")).distinct())
+
+
 @query("""SELECT c_custkey AS key, k, status, text, parent_k, due, completed, fully FROM customer, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3), LATERAL (SELECT '2024-01-0' || (c_custkey % 9 + 1) AS d),
     LATERAL (SELECT CASE k WHEN 0 THEN ' ' WHEN 1 THEN 'x' WHEN 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE ' ' END ELSE '/' END AS status, CASE k WHEN 0 THEN 'call 📅 ' || d WHEN 1 THEN 'dial' WHEN 2 THEN 'talk [due:: ' || d || ']' ELSE 'write' END AS text,
         CASE WHEN k IN (1, 2) THEN 0 END AS parent_k, CASE WHEN k IN (0, 2) THEN d END AS due), LATERAL (SELECT status = 'x' AS completed, status = 'x' AS fully)""")

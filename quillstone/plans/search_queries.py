@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from quillstone.operators import search as S
 from quillstone.operators.search import Term
 from quillstone.operators import tools
+from quillstone.operators.segments import SearchIndex, find_quote
 from quillstone.operators.status import status_byte, status_of
 from quillstone.plans.registry import query
 from quillstone.sources import projection as P
-from quillstone.sources.scratch import shared_folder
+from quillstone.sources.scratch import fingerprint, listed, removed, shared_folder, widened
 
 # The words of a text, as the SQL sees them, and what begins in one at a joint or its start, with and without accents.
 PATTERN = r"'[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*'"
@@ -33,16 +35,22 @@ def forms(documents):
 
 
 def indexed(spark, d):
-    """Notes, and their index: written once a session, in the shared folder."""
+    """Notes, and their index: written once a session for these very files, in the shared folder. That of files no longer there goes."""
     notes = P.document_notes(spark, d)
-    path = f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
-    return notes, S.stored(notes, path)
+    base = f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    now = fingerprint(spark, f"{d}/documents.parquet")
+    index = SearchIndex(spark, f"{base}/{now}")
+    if index.generation() < 0:
+        for old in listed(spark, base):
+            removed(notes, folder=f"{base}/{old}")
+        index.build(notes)
+    return notes, index
 
 
 @query(forms("documents"))
 def search_tokens_df(spark, d):
     """The index built anew, and how many notes have each word of it."""
-    return S.settled(S.postings(P.document_notes(spark, d))).groupBy("word").agg(F.count("*").alias("notes"))
+    return S.settled(S.postings(widened(P.document_notes(spark, d)))).where(F.col("word") != S.LONG_MARK).groupBy("word").agg(F.count("*").alias("notes"))
 
 
 @query(f"SELECT doc_id AS key FROM documents WHERE {start('ther')} AND {start('ing')}")
@@ -143,9 +151,42 @@ def status_rules(spark, d):
     return found.select("key", "s.state", F.col("s.due").alias("overdue"), status_byte(F.col("s")).alias("byte"))
 
 
-@query(forms("(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' neuwort-Ä1' ELSE text END AS text FROM documents WHERE lang <> 'es')"))
+@query(forms("(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' neuwort-Ä1' WHEN lang = 'fr' THEN 'kurz' ELSE text END AS text FROM documents WHERE lang <> 'es')"))
 def search_refreshed_index(spark, d):
-    """An index after edits of all German documents and the deletion of all Spanish ones, as if built anew."""
+    """An index after three generations of edits, as if built anew: Spanish documents go, German ones are edited twice, French ones come again as another text."""
     notes, index = indexed(spark, d)
-    edited = notes.where("lang = 'de'").select("key", F.concat("text", F.lit(" neuwort-Ä1")).alias("text"))
-    return S.refreshed(index, notes.where("lang in ('de', 'es')"), edited).groupBy("word").agg(F.count("*").alias("notes"))
+    own = index.fork(f"{shared_folder(spark)}/search-fork-{uuid.uuid4().hex}")
+    new = lambda lang, text: notes.where(F.col("lang") == lang).select("key", text.alias("text"))
+    own.update(notes.where("lang in ('es', 'fr')"), new("de", F.lit("first edit")), merge=False)
+    own.update(notes.where("lang = 'none'"), new("de", F.concat("text", F.lit(" neuwort-Ä1"))), merge=False)
+    own.update(notes.where("lang = 'es'"), new("fr", F.lit("kurz")), merge=False)
+    return own.postings().where(F.col("word") != S.LONG_MARK).groupBy("word").agg(F.count("*").alias("notes"))
+
+
+@query(forms("(SELECT doc_id, CASE WHEN lang = 'de' THEN 'merged' ELSE text END AS text FROM documents)"))
+def search_merged_index(spark, d):
+    """The dictionary of an index whose segments were merged after an edit."""
+    notes, index = indexed(spark, d)
+    own = index.fork(f"{shared_folder(spark)}/search-fork-{uuid.uuid4().hex}")
+    own.update(notes.where("lang = 'none'"), notes.where("lang = 'de'").select("key", F.lit("merged").alias("text")), merge=False).merge()
+    (one,) = own.segments()
+    return spark.read.parquet(f"{one.path}/words").where(F.col("word") != S.LONG_MARK).select("word", "notes")
+
+
+#: A line that many documents share.
+QUOTE = "Erreth was ofretihaou the that edouhe"
+
+
+@query()
+def quote_find(spark, d):
+    """Where a quotation is supported, by the index; the same notes as by reading all of them."""
+    notes, index = indexed(spark, d)
+    return find_quote(notes, index, QUOTE).select("key", "check.verdict", "check.percent", "check.first", "check.last")
+
+
+@query()
+def quote_elsewhere(spark, d):
+    """What isn't near the second line but elsewhere."""
+    notes, index = indexed(spark, d)
+    found = find_quote(notes, index, QUOTE, near=2)
+    return found.select("key", "check.verdict", F.col("found_elsewhere.verdict").alias("elsewhere"), F.col("found_elsewhere.first").alias("first"), F.col("found_elsewhere.last").alias("last"))

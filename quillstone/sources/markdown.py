@@ -181,25 +181,37 @@ def task_table(notes: DataFrame) -> DataFrame:
     return rows.withColumns({"parent_k": parent, "completed": completed, "checked": F.col("status") != " ", "children": children, "tags": own_tags, "outlinks": out, "fully_completed": completed & below, **{k: task_date(F.col("text"), k) for k in TASK_DATES}}).drop("tasks")
 
 
-def resolved(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst, ord: where raw links lead. As written from the note's folder, then from the root, each also with .md; else the shortest path of that name.
+def suffix_index(files: DataFrame) -> DataFrame:
+    """at, dst: every ending of a lower-case path that begins at a folder, with the one file that a link of that ending leads to: the shortest path, the first of equals.
 
-    Each (folder, link) is resolved once, by equality joins only, and joined back.
+    Of a name that very many folders hold one row is left, before any link meets it: files are compared where they are read, ahead of the shuffle.
+    """
+    steps = F.split(F.lower("path"), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"))
+    return files.select("path", F.explode(ends).alias("at")).groupBy("at").agg(F.min_by("path", F.struct(F.length("path"), F.col("path"))).alias("dst"))
+
+
+def resolved(notes: DataFrame, files: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """src, dst, ord: where raw links lead. As written from the note's folder, then from the root, each also with .md; else the shortest path
+    that ends in the link, in any case, or in the link with .md. Of equal ones the ending as written counts first, then the path's order.
+
+    Each (folder, link) is resolved once and joined back. All joins are equality joins with distinct paths or with suffix_index(files), which
+    may be handed in where it is stored: a link meets one file by each of its ways, however many files share its name.
     """
     raw = notes.select(F.col("path").alias("src"), "folder", F.posexplode("links").alias("ord", "raw"))
-    own = raw.select("folder", "raw").distinct()
-    clean = F.regexp_replace(F.lower("raw"), r"^\./", "")
-    inside = F.when(F.col("folder") == "", clean).otherwise(F.concat(F.lower("folder"), F.lit("/"), clean))
-    up = normal_path(inside)
-    tries = F.array(*[F.struct(F.lit(i).alias("prio"), c.alias("at")) for i, c in enumerate((up, F.concat(up, F.lit(".md")), clean, F.concat(clean, F.lit(".md"))))])
-    known = files.select(F.col("path").alias("dst"), F.lower("path").alias("at"))
-    exact = own.select("folder", "raw", F.explode(tries).alias("t")).select("folder", "raw", "t.prio", "t.at").join(known, "at").select("folder", "raw", "prio", "dst")
-    base = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"\.md$", "")
-    named = own.withColumn("clean", clean).withColumn("base", base(F.col("clean"))).join(known.withColumn("base", base(F.col("at"))), "base")
-    ends = F.concat(F.lit("/"), F.regexp_replace("at", r"\.md$", "")).endswith(F.concat(F.lit("/"), F.regexp_replace("clean", r"\.md$", "")))
-    named = named.where(ends).select("folder", "raw", F.lit(9).alias("prio"), "dst")
-    best = exact.unionByName(named).groupBy("folder", "raw").agg(F.min_by("dst", F.struct("prio", F.length("dst"), "dst")).alias("dst"))
-    found = raw.join(best, (raw["raw"] == best["raw"]) & (raw["folder"] == best["folder"])).select("src", "dst", "ord")
+    decoded = F.coalesce(F.try_url_decode(F.regexp_replace("raw", r"\+", "%2B")), F.col("raw"))
+    name = F.trim(F.translate(decoded, "\\", "/"))
+    own = raw.select("folder", "raw").distinct().withColumn("clean", normal_path(name)).where("clean <> ''")
+    near = normal_path(F.concat_ws("/", F.col("folder"), name))
+    tries = F.array(*[F.struct(F.lit(i).alias("prio"), c.alias("at")) for i, c in enumerate((near, F.concat(near, F.lit(".md")), F.col("clean"), F.concat("clean", F.lit(".md"))))])
+    known = files.select(F.col("path").alias("dst"), F.col("path").alias("at"))
+    exact = own.select("folder", "raw", F.explode(tries).alias("t")).select("folder", "raw", "t.prio", "t.at").join(known, "at").groupBy("folder", "raw").agg(F.min_by("dst", "prio").alias("dst"))
+    left = own.join(exact, ["folder", "raw"], "left_anti")
+    endings = F.array(*[F.struct(F.lit(i).alias("prio"), c.alias("at")) for i, c in enumerate((F.lower("clean"), F.concat(F.lower("clean"), F.lit(".md"))))])
+    wanted = left.select("clean").distinct().select("clean", F.explode(endings).alias("t")).select("clean", "t.prio", "t.at")
+    named = wanted.join(suffixes if suffixes is not None else suffix_index(files), "at").groupBy("clean").agg(F.min_by("dst", F.struct(F.length("dst"), F.col("prio"))).alias("dst"))
+    best = exact.unionByName(left.join(named, "clean").select("folder", "raw", "dst"))
+    found = raw.join(best, ["folder", "raw"]).select("src", "dst", "ord")
     return found.where(F.col("src") != F.col("dst")).where(F.lower("dst").rlike(r"\.(md|markdown)$")).groupBy("src", "dst").agg(F.min("ord").alias("ord"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -28,5 +29,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there in full."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    fs, at = filesystem(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    fs, at = filesystem(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def removed(*tables: DataFrame, folder: str | None = None) -> None:
+    """Remove written() tables that nothing lazy reads any more, or a folder."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in [folder] if folder else {f.rsplit("/", 2)[0] for f in table.inputFiles()}:
+            fs, at = filesystem(spark, path)
+            fs.delete(at, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files of a table: another one as soon as it is written anew."""
+    fs, at = filesystem(spark, path)
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Spread over the cores where a table of few files would leave most of them idle; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -105,3 +105,51 @@ def test_block_references_and_paths_up(spark):
     assert got.a == "second" and got.b == text
     files = spark.createDataFrame([("a/b/c/n.md", "a/b/c", ["../../x.md", "./y"]), ("a/x.md", "a", []), ("a/b/c/y.md", "a/b/c", []), ("x.md", "", [])], "path string, folder string, links array<string>")
     assert sorted((r.src, r.dst) for r in M.resolved(files, files).collect()) == [("a/b/c/n.md", "a/b/c/y.md"), ("a/b/c/n.md", "a/x.md")]
+
+
+def plain_resolve(raw, folder, paths):
+    """The first of: from the folder, from the root, each also with .md; else the shortest path that ends in the link."""
+    import posixpath
+    from urllib.parse import unquote
+
+    name = unquote(raw).replace("\\", "/").strip()
+    near, root = (posixpath.normpath(x).lstrip("/") for x in (f"{folder}/{name}", name))
+    while root.startswith("../"):
+        root = root[3:]
+    for t in (near, near + ".md", root, root + ".md"):
+        if t in paths:
+            return t
+    low = root.lower()
+    found = [(len(p), k, p) for p in paths for k, e in enumerate((low, low + ".md")) if ("/" + p.lower()).endswith("/" + e)]
+    return min(found)[2] if found else None
+
+
+def test_links_by_path_suffix_match_a_plain_resolver(spark):
+    paths = ["a/n.md", "b/n.md", "b/c/n.md", "N.md", "deep/a/n.md", "a/pic.png", "z/pic.png.md", "x/y/one two.md", "one.md.md", "q/one.md", "top.md", "a/b/top.md", "A/Top.md", "zz/n", "m/ä.md", "k/l+m.md"]
+    raws = ["n", "N", "a/n", "A/N.md", "c/n", "../n", "./n", "pic.png", "one two", "one%20two", "ONE", "one.md", "top", "b/top", "b\\top", "nothing", " n ", "Ä", "l+m", "../../x/y/one two", "deep/a/n", "eep/a/n", "%", "."]
+    folders = ["", "a", "b/c", "x/y", "none"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    notes = spark.createDataFrame([(f"{f}/src{i}.md", f, [r]) for f in folders for i, r in enumerate(raws)], "path string, folder string, links array<string>")
+    want = {(f"{f}/src{i}.md", d) for f in folders for i, r in enumerate(raws) if (d := plain_resolve(r, f, paths)) and d.endswith(".md")}
+    for suffixes in (None, M.suffix_index(files).cache()):
+        assert {(r.src, r.dst) for r in M.resolved(notes, files, suffixes).collect()} == want
+
+
+def test_a_name_in_very_many_folders_meets_a_link_once(spark):
+    """Rows that joins make: one for each link and way, not one for each file of the name."""
+    files = spark.range(100_000).select(F.concat(F.lit("folder"), "id", F.lit("/readme.md")).alias("path"))
+    notes = spark.createDataFrame([(f"n{i}.md", "", ["README", "folder77/readme", "readme.md"]) for i in range(50)], "path string, folder string, links array<string>")
+    done = M.resolved(notes, files)
+    assert {(r.dst, r.n) for r in done.groupBy("dst").agg(F.count("*").alias("n")).collect()} == {("folder0/readme.md", 50), ("folder77/readme.md", 50)}
+    assert M.suffix_index(files).where("at = 'readme.md'").count() == 1
+    rows = M.resolved(notes, files)
+    rows.collect()
+    plan, made = [rows._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        more = [node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in node.nodeName() else []
+        children = node.children()
+        plan += more + [children.apply(i) for i in range(children.size())]
+    assert made and max(made) <= 150
