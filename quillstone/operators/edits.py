@@ -1,13 +1,17 @@
-"""Changes to the text of a note, as expressions. They give null where they don't apply; writing is the caller's."""
+"""Changes to the text of a note, as expressions. They give null where they don't apply; writing is the caller's.
+
+committed() takes a batch of edits to a table of notes as compare and swap by version, with what did not fit as rows.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import normal_path
+from quillstone.functions.values import normal_path, view_format
 from quillstone.sources.markdown import FRONT_MATTER, front_matter
 
 
@@ -99,8 +103,77 @@ def moved_links(text: Column, source: Column, old: Column, new: Column, name: Co
     return F.array_join(F.zip_with(gaps, F.concat(F.transform(found, follow), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
 
 
-def expanded(template: Column, title: Column, now: Column) -> Column:
-    """{{title}}, {{date}}, {{time}} filled in; what is not known stays."""
-    out = F.replace(template, F.lit("{{title}}"), title)
-    out = F.replace(out, F.lit("{{date}}"), F.date_format(now, "yyyy-MM-dd"))
-    return F.replace(out, F.lit("{{time}}"), F.date_format(now, "HH:mm"))
+def expanded(template: str, title: Column, now: Column, folder: Column | None = None) -> Column:
+    """A template filled in: {{title}}, {{date}}, {{time}} with a format after a colon if wanted, and the commands of COMMANDS between <% and %>.
+
+    Formats are those of views. Commands that are not known stay as they are written.
+    """
+    parts: list[Column] = []
+    at = 0
+    for m in re.finditer(r"<%[-_*]?\s*([\s\S]*?)\s*[-_]?%>|\{\{\s*(title|date|time)(?::([^}]*))?\s*\}\}", template, re.IGNORECASE):
+        parts += [F.lit(template[at : m.start()])]
+        at = m.end()
+        if m[1] is not None:
+            parts.append(_command(m[1], title, now, F.lit("") if folder is None else folder, m[0]))
+        elif m[2].lower() == "title":
+            parts.append(title)
+        else:
+            parts.append(view_format(now, m[3] or ("YYYY-MM-DD" if m[2].lower() == "date" else "HH:mm")))
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+#: The commands of templates.
+COMMANDS = {
+    "title": r"tp\.file\.title", "folder": r"tp\.file\.folder\(\s*\)", "cursor": r"tp\.file\.cursor\(.*\)", "now": r"tp\.date\.now\(([^)]*)\)",
+    "tomorrow": r"tp\.date\.tomorrow\(([^)]*)\)", "yesterday": r"tp\.date\.yesterday\(([^)]*)\)", "creation": r"tp\.file\.creation_date\(([^)]*)\)",
+}
+
+
+def _command(code: str, title: Column, now: Column, folder: Column, written: str) -> Column:
+    for name, pattern in COMMANDS.items():
+        m = re.fullmatch(pattern, code)
+        if not m:
+            continue
+        if name in ("title", "folder", "cursor"):
+            return {"title": title, "folder": F.substring_index(folder, "/", -1), "cursor": F.lit("")}[name]
+        own = re.match(r"""\s*["']([^"']*)["']""", m[1])
+        days = re.search(r",\s*(-?\d+)", m[1]) if name == "now" else None
+        moved = {"tomorrow": 1, "yesterday": -1}.get(name, int(days[1]) if days else 0)
+        return view_format(now + F.make_interval(days=F.lit(moved)), own[1] if own else "YYYY-MM-DD HH:mm" if name == "creation" else "YYYY-MM-DD")
+    return F.lit(written)
+
+
+def created(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """new(path, text) with created: false where there is a note of that path, in any case, which stays as it is."""
+    had = notes.select(F.lower("path").alias("__had")).distinct()
+    return new.join(had, F.lower("path") == F.col("__had"), "left").withColumn("created", F.col("__had").isNull()).drop("__had")
+
+
+# Batches of edits ---------------------------------------------------------------------------------------------------
+
+
+def committed(notes: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits(path, seq, text, base, force) of notes(path, text, version) with outcome, and theirs where it is a conflict.
+
+    An edit fits if its note still has the version that it began from, if base is null, or if it is forced; one whose note is
+    gone writes it back. Of several that fit, the last forced one counts, else the first by seq ("written", or "created"
+    where there was no note); the others, and those that don't fit, are in conflict with the text that is there in the end,
+    unless they wrote the very same ("same").
+    """
+    both = edits.join(notes.select("path", F.col("text").alias("__now"), F.col("version").alias("__version")), "path", "left")
+    there, force = F.col("__version").isNotNull(), F.coalesce("force", F.lit(False))
+    fits = force | F.col("base").isNull() | ~there | (F.col("base") == F.col("__version"))
+    order = W.partitionBy("path").orderBy(force.desc(), F.when(force, -F.col("seq")).otherwise(F.col("seq")))
+    winners = both.where(fits).withColumn("__n", F.row_number().over(order)).where("__n = 1").select("path", F.col("seq").alias("__seq"), F.col("text").alias("__text"))
+    told = both.join(winners, "path", "left")
+    final = F.coalesce("__text", "__now")
+    won = F.coalesce(F.col("seq") == F.col("__seq"), F.lit(False))
+    outcome = F.when(won, F.when(~there, "created").when(F.col("text") == F.col("__now"), "same").otherwise("written")).when(F.col("text") == final, "same").otherwise("conflict")
+    told = told.withColumn("outcome", outcome)
+    return told.withColumn("theirs", F.when(F.col("outcome") == "conflict", final)).select(*edits.columns, "outcome", "theirs")
+
+
+def after(notes: DataFrame, outcomes: DataFrame, version: Column) -> DataFrame:
+    """notes(path, text, version) once what was written or created is in it, under a new version."""
+    new = outcomes.where(F.col("outcome").isin("written", "created")).select("path", "text", version.alias("version"))
+    return notes.join(new.select("path"), "path", "left_anti").select("path", "text", "version").unionByName(new)

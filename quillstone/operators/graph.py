@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import count
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,48 +115,6 @@ def median_link_length(edges: DataFrame, positions: DataFrame) -> DataFrame:
     return lengths.agg(F.lit(exact_median(lengths, F.col("length"))).cast("double").alias("median"), F.count("*").alias("links"))
 
 
-def pivot_layout(edges: DataFrame, pivots: int = 8, hops: int | None = None) -> DataFrame:
-    """path, x, y: pivot multidimensional scaling. Distances to farthest-first pivots come from joins; only a pivots x pivots matrix is solved on the driver.
-
-    A search goes on until its front is empty, unless hops bound it. What it does not reach counts as one link beyond the greatest distance from any pivot.
-    """
-    nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct(), "nodes")
-    first = degrees(edges).orderBy(F.desc("degree"), "path").first()
-    if first is None:
-        return nodes.select("path", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    table, chosen = nodes, [first["path"]]
-    for k in range(pivots):
-        hop = neighbourhood(edges, chosen[-1], hops).select("path", F.col("hop").cast("double").alias(f"d{k}"))
-        table = written(table.join(hop, "path", "left"), f"pivot{k}")
-        least = F.least(*[F.col(f"d{i}") for i in range(k + 1)]) if k else F.col("d0")
-        far = table.withColumn("least", F.coalesce(least, F.lit(float("inf")))).orderBy(F.desc("least"), "path").first()
-        if far is None or far["least"] == 0 or k + 1 == pivots:
-            pivots = k + 1
-            break
-        chosen.append(far["path"])
-    beyond = float(hops) if hops is not None else max(table.agg(*[F.max(f"d{k}") for k in range(pivots)]).first())
-    table = table.fillna(beyond + 1)
-    squares = [F.col(f"d{k}") ** 2 for k in range(pivots)]
-    n, *means = table.agg(F.count("*"), *map(F.avg, squares)).first()
-    row = sum(squares) / pivots
-    grand = float(np.mean(means))
-    centred = table.select("path", *[(-0.5 * (s - row - F.lit(m) + F.lit(grand))).alias(f"c{k}") for k, (s, m) in enumerate(zip(squares, means, strict=True))])
-    gram = centred.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i in range(pivots) for j in range(pivots)]).first()
-    vectors = np.linalg.eigh(np.array(gram, float).reshape(pivots, pivots))[1][:, ::-1]
-    axis = lambda v: sum(F.col(f"c{k}") * float(v[k]) for k in range(pivots))
-    return centred.select("path", axis(vectors[:, 0]).alias("x"), axis(vectors[:, min(1, pivots - 1)]).alias("y"))
-
-
-def smoothed(positions: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Each note half way to the mean of its neighbours, so many times."""
-    links = both_ways(edges)
-    for k in range(rounds):
-        near = links.join(positions.withColumnRenamed("path", "dst"), "dst").groupBy(F.col("src").alias("path")).agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
-        moved = positions.join(near, "path", "left")
-        positions = written(moved.select("path", ((F.col("x") + F.coalesce("nx", "x")) / 2).alias("x"), ((F.col("y") + F.coalesce("ny", "y")) / 2).alias("y")), f"smooth{k}")
-    return positions
-
-
 def ranked(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     """rows with k, their place within the group from 0. A global sort gives it, with the group's rows in earlier partitions counted before, so a group of any size has no window or task of its own."""
     at = written(rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(group, *order).withColumn("id", F.monotonically_increasing_id()), "ranked")
@@ -179,15 +136,6 @@ def spliced(edges: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
     return edges.join(changed.select(F.col("path").alias("src")), "src", "left_anti").unionByName(new)
 
 
-def packed_rings(sizes: pd.DataFrame) -> pd.DataFrame:
-    """x, y of each component's island by its size, largest first, on widening rings; for the components' table, not for notes."""
-    sizes = sizes.sort_values("n", ascending=False).reset_index(drop=True)
-    ring = np.ceil((np.sqrt(1 + 4 * np.arange(len(sizes)) / 3) - 1) / 2).astype(int)
-    place = np.arange(len(sizes)) - 3 * ring * (ring - 1) - 1
-    angle = 2 * np.pi * place / np.maximum(6 * ring, 1)
-    return sizes.assign(x=ring * np.cos(angle), y=ring * np.sin(angle))
-
-
 def inlink_counts(edges: DataFrame) -> DataFrame:
     """path, n: distinct notes that link to it, counted as pairs."""
     return edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"))

@@ -1,14 +1,34 @@
-"""Values by their rank among all rows, without sorting all of them or taking them to one task."""
+"""Values by their rank among all rows, and sums of those before, without sorting all of them or taking them to one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstone.sources.scratch import removed, written
+
 #: Rows that are sorted in the end.
 SORTED = 100_000
 
 
+def prefix_sums(rows: DataFrame, value: Column, *order: Column) -> DataFrame:
+    """rows with before: the sum of a value over all rows that come before in an order without ties.
+
+    Rows are range-partitioned; the driver holds one sum a partition, and a window runs within each.
+    """
+    ranged = written(rows.withColumn("__v", value).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "prefix")
+    part = F.shiftright("__id", 33)
+    sums = ranged.groupBy(part.alias("__part")).agg(F.sum("__v").alias("s")).orderBy("__part").collect()
+    offsets, total = [], 0.0
+    for r in sums:
+        offsets.append((r["__part"], float(total)))
+        total += r["s"]
+    offsets = rows.sparkSession.createDataFrame(offsets, "__part long, __before double")
+    within = F.coalesce(F.sum("__v").over(W.partitionBy("__part").orderBy("__id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__part", part).withColumn("__within", within).join(F.broadcast(offsets), "__part").select(*rows.columns, (F.col("__before") + F.col("__within")).alias("before"))
+
+
 def exact_median(df: DataFrame, value: Column) -> float | None:
     """The median; the mean of the two middle values of an even number, null for no values.
 
@@ -27,7 +47,12 @@ def exact_median(df: DataFrame, value: Column) -> float | None:
         if low == high and below <= first and last < below + within:
             return low
         if not (below <= first and last < below + within < n + below) or within == n:
-            break
+            # Few distinct values fill the bracket: they are counted, which shrinks them before any shuffle.
+            counts = written(rows.groupBy("v").agg(F.count("*").alias("n")), "values")
+            upto = written(prefix_sums(counts, F.col("n"), F.col("v")), "upto")
+            middle = upto.where((F.col("before") <= last) & (F.col("before") + F.col("n") > first)).agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+            removed(counts, upto)
+            return (middle["a"] + middle["b"]) / 2
         rows, n, first, last = rows.where(F.col("v").between(low, high)), within, first - below, last - below
     found = [r["v"] for r in rows.orderBy("v").offset(first).limit(last - first + 1).collect()]
     return sum(found) / len(found)

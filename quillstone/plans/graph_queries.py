@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.operators import graph as G
+from quillstone.operators import layout as L
 from quillstone.operators.dashboards import top_folder
 from quillstone.plans.registry import query
 from quillstone.sources import projection as P
@@ -63,7 +64,68 @@ def graph_density_raster(spark, d):
 
 @query()
 def graph_pivot_layout(spark, d):
-    return G.pivot_layout(P.edges(spark, d)).select("path", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Over all edges, with all pivots; tests compare distances and places with plain ones on small graphs."""
+    return L.pivot_layout(P.edges(spark, d)).select("path", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), c AS (SELECT c_custkey, n.* FROM customer JOIN n ON c_nationkey = k),
+    all_ AS (SELECT 'regions/' || r AS p, r, NULL AS k, 0 AS up FROM (SELECT DISTINCT r FROM n) UNION ALL SELECT 'nations/' || k, r, k, 1 FROM n UNION ALL SELECT 'customers/' || c_custkey, r, k, 2 FROM c
+        UNION ALL SELECT 'suppliers/' || s_suppkey, r, k, 2 FROM supplier JOIN n ON s_nationkey = k UNION ALL SELECT 'orders/' || o_orderkey, r, k, 3 FROM orders JOIN c ON o_custkey = c_custkey),
+    d AS (SELECT p, 0 AS i, up AS hop FROM all_ WHERE r = 0 UNION ALL SELECT p, 1, up FROM all_ WHERE r = 1
+        UNION ALL SELECT p, 2, CASE WHEN k = 0 THEN up - 1 ELSE up + 1 END FROM all_ WHERE r = (SELECT r FROM n WHERE k = 0))
+    SELECT p || '.md' AS path, CAST(i AS INT) AS "pivot", CAST(hop AS INT) AS hop FROM d""")
+def graph_pivot_distances(spark, d):
+    """How far all notes are from two regions and a nation, by one search."""
+    return L.pivot_distances(G.both_ways(P.edges(spark, d)).distinct(), ["regions/0.md", "regions/1.md", "nations/0.md"])
+
+
+#: Customers as notes of their nation's component, some of them very near to each other.
+PLACES = "SELECT CAST(c_nationkey AS VARCHAR) AS component, 'c' || c_custkey AS path, floor(c_acctbal / 5) / 100 + c_custkey / 100000 AS x, CAST(c_custkey % 40 AS DOUBLE) / 3 AS y FROM customer"
+
+
+def places(spark, d):
+    c = P.read(spark, d, "customer")
+    return c.select(F.col("c_nationkey").cast("string").alias("component"), F.concat(F.lit("c"), "c_custkey").alias("path"), (F.floor(F.col("c_acctbal") / 5) / 100 + F.col("c_custkey") / 100000).alias("x"), ((F.col("c_custkey") % 40).cast("double") / 3).alias("y"))
+
+
+@query("""WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS component, 'c' || c_custkey AS path, floor(c_acctbal) AS x, CAST(c_custkey % 40 AS DOUBLE) AS y FROM customer),
+    m AS (SELECT component, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM p GROUP BY 1), a AS (SELECT path, component, n, x - cx AS x, y - cy AS y, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS r FROM p JOIN m USING (component)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY r, path) - 1 AS k FROM a)
+    SELECT component, path, round(x / r * sqrt(n / pi()) * 1.25 * sqrt((k + 0.5) / n), 4) + 0.0 AS x, round(y / r * sqrt(n / pi()) * 1.25 * sqrt((k + 0.5) / n), 4) + 0.0 AS y FROM k""")
+def graph_equalised(spark, d):
+    """Customers by balance and number, their nation's on a disc."""
+    c = P.read(spark, d, "customer")
+    rows = c.select(F.col("c_nationkey").cast("string").alias("component"), F.concat(F.lit("c"), "c_custkey").alias("path"), F.floor("c_acctbal").cast("double").alias("x"), (F.col("c_custkey") % 40).cast("double").alias("y"))
+    return L.equalised(rows).select("component", "path", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query(f"""WITH p AS ({PLACES}), c AS (SELECT *, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM p), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component, cx, cy ORDER BY path) AS k FROM c) WHERE k <= 24),
+    m AS (SELECT a.path, a.x - o.x AS dx, a.y - o.y AS dy, sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2) AS d FROM c a JOIN o ON a.component = o.component AND abs(a.cx - o.cx) <= 1 AND abs(a.cy - o.cy) <= 1 AND a.path <> o.path)
+    SELECT path, round(sum(dx * (1 - d) / d * 0.25), 4) + 0.0 AS px, round(sum(dy * (1 - d) / d * 0.25), 4) + 0.0 AS py FROM m WHERE d < 1 AND d >= 3e-5 GROUP BY path""")
+def graph_collisions(spark, d):
+    """How near notes push each other apart in a round."""
+    return L.pushes(places(spark, d)).select("path", (F.round("px", 4) + 0.0).alias("px"), (F.round("py", 4) + 0.0).alias("py"))
+
+
+@query("""WITH i AS (SELECT o_custkey AS component, min(o_orderstatus) AS folder, 0.8 * sqrt(count(*)) + 1 AS r FROM orders GROUP BY 1), f AS (SELECT * FROM i ORDER BY r DESC, component LIMIT 1),
+    w AS (SELECT component, r, (SELECT r FROM f) + 2 + (SELECT max(r) FROM i WHERE component <> (SELECT component FROM f)) AS base, 2 * (SELECT max(r) FROM i WHERE component <> (SELECT component FROM f)) + 2 AS width,
+        coalesce(sum(2 * r + 2) OVER (ORDER BY folder, r DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM i WHERE component <> (SELECT component FROM f)),
+    k AS (SELECT component, any_value(r) AS r, max(k) AS k, any_value(base) AS base, any_value(width) AS width, any_value(s) AS s FROM w, range(0, 100) t(k) WHERE k * (2 * pi() * base - width) + pi() * width * k * (k - 1) <= s GROUP BY component),
+    p AS (SELECT component, base + k * width AS big, (s - k * (2 * pi() * base - width) - pi() * width * k * (k - 1) + r + 1) / (base + k * width) AS a FROM k)
+    SELECT component, round(cos(a) * big, 4) + 0.0 AS x, round(sin(a) * big, 4) + 0.0 AS y FROM p UNION ALL SELECT component, 0, 0 FROM f""")
+def graph_packed_islands(spark, d):
+    """Customers' orders as islands on rings."""
+    islands = P.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("component")).agg(F.count("*").alias("n"), F.min("o_orderstatus").alias("folder"))
+    return L.packed(islands).select("component", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query("""SELECT path, CASE WHEN NOT starts_with(path, 'all/') THEN split_part(path, '/', 1) WHEN NOT starts_with(path, 'all/most/') THEN 'all/' || split_part(path, '/', 2) ELSE 'all/most/' || split_part(path, '/', 3) END AS arm
+    FROM (SELECT CASE WHEN o_orderkey % 10 < 8 THEN 'all/most/' || o_orderpriority WHEN o_orderkey % 10 = 8 THEN 'all/rest' ELSE 'other/x' END || '/' || o_orderkey AS path FROM orders)""")
+def graph_arms(spark, d):
+    """Nine tenths of the orders are in one folder, and most of these in one below it, so both are split."""
+    key = F.col("o_orderkey")
+    folder = F.when(key % 10 < 8, F.concat(F.lit("all/most/"), "o_orderpriority")).when(key % 10 == 8, "all/rest").otherwise("other/x")
+    return L.arms(P.read(spark, d, "orders").select(F.concat(folder, F.lit("/"), key).alias("path"), folder.alias("folder")))
 
 
 @query("SELECT src, count(*) AS links_out, min(dst) AS least FROM " + EDGES + " WHERE dst LIKE 'nations/%' GROUP BY 1")

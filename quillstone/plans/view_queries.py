@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.functions import attempts
 from quillstone.functions import values as V
 from quillstone.operators.views import View, custom_summary, related, summary
 from quillstone.plans.registry import query
@@ -129,3 +130,21 @@ def view_globals(spark, d):
         V.as_number(F.col("c_name"), "string").alias("no"), F.size(V.as_list(some, "string")).alias("len"), V.is_type(F.col("c_acctbal"), "Number").alias("ok"), V.has_property(fields, "due").alias("has"),
         V.escape_html(F.concat(F.lit("<b>"), "c_mktsegment", F.lit("&"))).alias("html"),
     )
+
+
+@query("""WITH t AS (SELECT c_custkey AS key, c_acctbal AS a, c_custkey % 7 AS b, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE '' END || c_custkey AS s, '2024-02-' || (25 + c_custkey % 9) AS day FROM customer),
+    r AS (SELECT key, CASE WHEN b = 0 THEN NULL ELSE round(a / b, 3) END AS ratio, TRY_CAST(s AS DOUBLE) * 2 AS twice, TRY_CAST(day AS DATE) AS d,
+        CASE WHEN b = 0 THEN 'division by zero' WHEN TRY_CAST(s AS DOUBLE) IS NULL THEN 'not a number: ' || s WHEN TRY_CAST(day AS DATE) IS NULL THEN 'not a date: ' || day END AS e FROM t)
+    SELECT key, ratio, twice, strftime(d, '%Y-%m-%d') AS day, CAST(NULL AS VARCHAR) AS warning, CAST(NULL AS BIGINT) AS failed FROM r
+    UNION ALL SELECT NULL, NULL, NULL, NULL, arg_min(e, key), count(e) FROM r""")
+def view_row_errors(spark, d):
+    """Formulas that divide, parse and cast bad values: null in their rows, and the first warning in a row of its own."""
+    c = P.read(spark, d, "customer")
+    key = F.col("c_custkey")
+    text = F.concat(F.when(key % 5 == 0, "x").otherwise(""), key.cast("string"))
+    day = attempts.day(F.concat(F.lit("2024-02-"), (25 + key % 9).cast("string")))
+    rows = attempts.with_attempts(c.select("c_custkey", "c_acctbal"), ratio=attempts.divided(F.col("c_acctbal"), key % 7), twice=attempts.then(lambda n: n * 2, attempts.number(text)), day=attempts.then(lambda x: F.date_format(x, "yyyy-MM-dd"), day))
+    none = F.lit(None)
+    shown = rows.select(key.alias("key"), F.round("ratio", 3).alias("ratio"), "twice", "day", none.cast("string").alias("warning"), none.cast("long").alias("failed"))
+    warned = attempts.first_warning(rows, key).select(none.cast("long").alias("key"), none.cast("double").alias("ratio"), none.cast("double").alias("twice"), none.cast("string").alias("day"), "warning", "failed")
+    return shown.unionByName(warned)
