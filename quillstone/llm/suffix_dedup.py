@@ -10,9 +10,12 @@ so a task holds the suffixes of a few buckets and no whole suffix array exists a
   differences are multiples of the period STEP and the cover needs one residue: positions a multiple of STEP from the
   anchor. Samples there are ranked by 1, 2, 4, 8 and 9 blocks of STEP bytes, by doubling. A suffix is ordered by the
   sample rank it reaches first and by the STEP bytes that this sample does not cover.
-* Exact copies of a text, by SHA-256, are one text with a count. Of a bucket with more than HOT anchors, equal
-  contexts are counted before they are shuffled; distinct ones are split, by SPLIT distances at a time and by the bytes that
-  all strings of those distances share, and sorted once. Their spans go back to each place by a join that AQE can split.
+* Exact copies of a text, by SHA-256, are one text with a count. Of a bucket with more than HOT anchors, equal contexts are
+  counted first and take part once. What is left of it is split by halves of the distances again and again: all strings of
+  so many distances share the bytes in their middle, which tell a half's buckets apart. Buckets of one are dropped, those
+  of HOT or fewer are sorted, the rest is split further, at last into single strings, which are counted. Strings that only
+  share a line with very many others part from them on the way, so no task ever holds more than HOT anchors of a bucket.
+  The spans go back to each place by a join that AQE can split.
 * Texts are read SLICE bytes at a time, with the bytes of a string more; a run of strings that a slice cuts is two runs.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; repeated rows are copies of each other; an
@@ -37,9 +40,8 @@ LENGTH, K, STEP = 200, 40, 20
 #: Greatest distance from a string's start to its anchor; columns of a context, whose anchor is at column FAR.
 FAR = LENGTH - K
 WIDTH = FAR + LENGTH
-HOT = 10_000
-#: Distances in a part of a split bucket; all its strings share LENGTH - SPLIT + 1 bytes.
-SPLIT = 81
+#: Anchors of a bucket that are sorted together in one task.
+HOT = 1_000
 #: Contexts sorted together.
 CONTEXTS = 4_000
 BATCH_BYTES = 1_000_000
@@ -149,22 +151,28 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return texts.select(*KEY, "copies", "text", "repeated").mapInArrow(run, OCCURRENCE)
 
 
-def split(found: DataFrame) -> DataFrame:
-    """occurrences() with a row for each SPLIT distances, and in place of the anchor a hash of it and of the bytes that the strings of those distances share."""
+def split(found: DataFrame, size: int) -> DataFrame:
+    """occurrences() with a row for each `size` distances, and in place of the anchor a hash of it and of the bytes that all strings of those distances share.
+
+    With a size of 1 these are the strings themselves, and `digest` tells them apart.
+    """
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tables:
-            rows = []
-            for *key, anchor, place, far, near, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k in range(near // SPLIT, far // SPLIT + 1):
-                    to, from_ = min(far, k * SPLIT + SPLIT - 1), max(near, k * SPLIT)
-                    shared = context[far - k * SPLIT : far - k * SPLIT + LENGTH - SPLIT + 1]
-                    part = hashlib.blake2b(anchor.to_bytes(8, "little", signed=True) + bytes([k]) + shared, digest_size=8).digest()
-                    rows.append((*key, int.from_bytes(part, "little", signed=True), place, to, from_, context[far - to : far - from_ + LENGTH]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, b.schema.types, strict=True)], b.schema.names)
-
-    return found.select(*KEY, "copies", "anchor", "place", "far", "near", "context").mapInArrow(run, OCCURRENCE)
+            far, near, anchor = (b.column(c).to_numpy() for c in ("far", "near", "anchor"))
+            parts = far // size - near // size + 1
+            row = np.repeat(np.arange(len(far)), parts)
+            k = near[row] // size + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            to, from_ = np.minimum(far[row], k * size + size - 1), np.maximum(near[row], k * size)
+            raw = b.column("context").to_pylist()
+            shared = [raw[r][i : i + LENGTH - size + 1] for r, i in zip(row.tolist(), (far[row] - k * size).tolist(), strict=True)]
+            digests = [hashlib.blake2b(anchor[r].tobytes() + bytes([j]) + x, digest_size=16).digest() for r, j, x in zip(row.tolist(), k.tolist(), shared, strict=True)]
+            contexts = [raw[r][i:j] for r, i, j in zip(row.tolist(), (far[row] - to).tolist(), (far[row] - from_ + LENGTH).tolist(), strict=True)]
+            keys = [b.column(c).take(pa.array(row)) for c in (*KEY, "copies")]
+            ints = [np.frombuffer(b"".join(d[:8] for d in digests), np.int64), b.column("place").to_numpy()[row], to.astype(np.int32), from_.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, ints), pa.array(contexts, pa.binary()), pa.array(digests, pa.binary())], [*b.schema.names, "digest"])
+
+    return found.select(*KEY, "copies", "anchor", "place", "far", "near", "context").mapInArrow(run, f"{OCCURRENCE}, digest binary")
 
 
 def pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -268,11 +276,28 @@ def covered_hot(found: DataFrame, scratch: Scratch) -> DataFrame:
     distinct = found.groupBy(*place).agg(F.sum("copies").alias("copies"), F.first("context").alias("context"))
     name = F.unhex(F.sha2(F.concat_ws("|", *place), 256))
     zero = F.lit(0).cast("long")
-    distinct = distinct.select(name.alias("text_hash"), zero.alias("n_bytes"), "copies", "anchor", zero.alias("place"), "far", "near", "context")
-    lost = covered(split(distinct)).groupBy(F.col("text_hash").alias("name")).agg(F.collect_list(F.struct("low", "high")).alias("lost"))
-    lost = scratch.table(lost, "hot_lost")
+    distinct = scratch.table(distinct.select(name.alias("text_hash"), zero.alias("n_bytes"), "copies", "anchor", zero.alias("place"), "far", "near", "context"), "level")
+    # What is there twice as a whole loses all of its strings.
+    span = [F.col("text_hash"), F.col("n_bytes"), (F.col("place") - F.col("far")).alias("low"), (F.col("place") - F.col("near") + LENGTH).alias("high")]
+    lost, size, level = [distinct.where("copies > 1").select(*span)], FAR + 1, distinct
+    while level is not None:
+        size = -(-size // 2)
+        parts = scratch.table(split(level, size), f"parts{size}")
+        bucket = "digest" if size == 1 else "anchor"
+        counts = scratch.table(parts.groupBy(bucket).agg(F.count("*").alias("n"), F.sum("copies").alias("total")).where("total > 1"), f"counts{size}")
+        if size == 1:
+            lost.append(parts.join(counts, "digest", "left_semi").select(*span))
+            break
+        few = parts.join(counts.where(F.col("n").between(2, HOT)), "anchor", "left_semi")
+        lost.append(scratch.table(covered(few), f"lost{size}"))
+        many = counts.where(F.col("n") > HOT)
+        level = scratch.table(parts.join(many, "anchor", "left_semi").drop("digest"), f"level{size}") if len(many.take(1)) else None
+    rows = lost[0]
+    for more in lost[1:]:
+        rows = rows.unionByName(more)
+    rows = scratch.table(rows.groupBy(F.col("text_hash").alias("name")).agg(F.collect_set(F.struct("low", "high")).alias("lost")), "hot_lost")
     moved = F.transform("lost", lambda s: F.struct((F.col("place") + s["low"]).alias("low"), (F.col("place") + s["high"]).alias("high")))
-    return found.select(*KEY, "place", name.alias("name")).join(lost, "name").select(*KEY, moved.alias("spans"))
+    return found.select(*KEY, "place", name.alias("name")).join(rows, "name").select(*KEY, moved.alias("spans"))
 
 
 def cut(texts: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """Slices of every size: very short texts, texts cut into many slices, and hits merged over blocks."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from test_documents import lower, same
+from test_documents import lower, plain_dedup, same
 
 import corpus_pipeline
-from quillstone.llm import decontaminate, quality_rules
+from quillstone.llm import decontaminate, quality_rules, suffix_dedup
 from quillstone.llm.common import Scratch, utf8_buffer
 
 SHORT = ["", "a", "ab", "a b", "abcd", "abcde", "é", "字", "😀", "字字", "a字", "😀字a"]
@@ -84,3 +85,26 @@ def test_places_are_distinct(spark):
     places, met = (spark.read.parquet(f"{scratch.base}/{n}") for n in ("places0", "matches0"))
     assert places.count() == 50 * met.where("low is not null").count()
     same([(r.n_hit,) for r in done], [(14,)])
+
+
+def shared_lines(n, width=199):
+    """Texts that share a line, or the beginning of one, between parts of their own; some shared in pairs."""
+    rng = np.random.default_rng(5)
+    own = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), k))
+    line = own(width)
+    texts = [own(60) + line + own(60) for _ in range(n)]
+    texts += [texts[0][:200] + own(50), own(30) + texts[1][40:], own(20) + line + "Z", own(10) + line + "Z" + own(5)]
+    return texts
+
+
+@pytest.mark.parametrize("width", [199, 230])
+def test_a_line_of_very_many_texts_is_split_until_its_strings_part(spark, monkeypatch, width):
+    monkeypatch.setattr(suffix_dedup, "HOT", 25)
+    texts = shared_lines(60, width)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    found = {bytes(r.text_hash): (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(docs, scratch).collect()}
+    want = plain_dedup(texts)
+    got = [(len(t), *found.get(hashlib.sha256(t.encode()).digest()[:16], (0, 0, hashlib.sha256(t.encode()).hexdigest()))) for t in texts]
+    assert got == [tuple(w) for w in want]
+    assert {"parts81", "parts41"} <= set(scratch.names)
