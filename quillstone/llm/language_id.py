@@ -141,11 +141,11 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[list[str], dict[tuple[str,
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), TRIGRAMS)
-        return pd.DataFrame({"level": rows["level"][:1], "pair": rows["pair"][:1], "w": [fit_machine(x, rows["sign"].to_numpy(np.float32)).tobytes()]})
+        return pd.DataFrame({"level": rows["level"][:1], "pair": rows["pair"][:1], "w": [fit_machine(x, rows["sign"].to_numpy(np.float32)).astype(np.float16).tobytes()]})
 
     fitted = sample.join(F.broadcast(wanted), "lang").where(F.col("rank") <= F.greatest("most", F.lit(1)))
     fitted = fitted.groupBy("level", "pair").applyInPandas(train, "level string, pair string, w binary")
-    machines = {(r["level"], r["pair"]): np.frombuffer(r["w"], np.float32).astype(np.float16) for r in fitted.collect()}
+    machines = {(r["level"], r["pair"]): np.frombuffer(r["w"], np.float16) for r in fitted.collect()}
     scratch.keep()
     return langs, machines
 

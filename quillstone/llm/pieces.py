@@ -188,13 +188,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         del codec
         release()
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
