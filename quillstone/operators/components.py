@@ -8,6 +8,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.sources.scratch import removed
+
 
 def star_forest(links: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """node, root for each node of links(a, b) that is not the smallest of its component.
@@ -23,12 +25,14 @@ def star_forest(links: DataFrame, written: Callable[[DataFrame, str], DataFrame]
         if not seen["n"]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"large{k}")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        nearest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"large{k}")
+        large = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"small{k}")
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = written(small, f"round{k}")
+        new = written(small, f"round{k}")
+        removed(edges, nearest, least)
+        edges = new
         now = sign(edges)
         if now == seen:
             break

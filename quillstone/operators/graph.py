@@ -117,11 +117,11 @@ def median_link_length(edges: DataFrame, positions: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     """rows with k, their place within the group from 0. A global sort gives it, with the group's rows in earlier partitions counted before, so a group of any size has no window or task of its own."""
-    at = written(rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(group, *order).withColumn("id", F.monotonically_increasing_id()), "ranked")
-    at = at.withColumn("part", F.shiftright("id", 33))
-    counts = at.groupBy(F.col(group).alias("g"), F.col("part").alias("p")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    counts = counts.select("g", "p", "first", (F.sum("n").over(W.partitionBy("g").orderBy("p")) - F.col("n")).alias("before"))
-    return at.join(counts, (at[group] == counts["g"]) & (at["part"] == counts["p"])).select(*rows.columns, (F.col("id") - F.col("first") + F.col("before")).alias("k"))
+    at = written(rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(group, *order).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    at = at.withColumn("__part", F.shiftright("__id", 33))
+    counts = at.groupBy(F.col(group).alias("__of"), F.col("__part").alias("__p")).agg(F.min("__id").alias("__first_id"), F.count("*").alias("__n"))
+    counts = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("__of").orderBy("__p")) - F.col("__n")).drop("__n")
+    return at.join(counts, at[group].eqNullSafe(counts["__of"]) & (at["__part"] == counts["__p"])).select(*rows.columns, (F.col("__id") - F.col("__first_id") + F.col("__before")).alias("k"))
 
 
 def small_layouts(members: DataFrame) -> DataFrame:

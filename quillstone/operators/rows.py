@@ -14,11 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions.values import unnest
+from quillstone.operators.graph import ranked
 
 #: Rows that cross to a caller that asks for a capped result.
 CAP = 2000
-#: Items shown for a day of a calendar.
-DAY_ITEMS = 30
+#: Items shown for a day of a calendar, and rows of a group in one row of a nested table.
+DAY_ITEMS, BLOCK = 30, 10_000
 
 
 @dataclass(frozen=True)
@@ -52,11 +53,17 @@ class Rows:
         """Groups with aggregates of their rows, which Spark sums up before the shuffle. Ordered by the key."""
         return Rows.of(self.df.groupBy(key.alias(name)).agg(*[c.alias(k) for k, c in aggregates.items()] or [F.count("*").alias("length")]), name)
 
-    def group_rows(self, name: str, key: Column, *columns: str) -> Rows:
-        """Groups with their rows as a nested table, in order of first appearance; for groups that fit in a row."""
-        ranked = self.df.withColumn("__at", F.row_number().over(W.partitionBy(key).orderBy(*self.order)))
-        first = ranked.groupBy(key.alias(name)).agg(F.array_sort(F.collect_list(F.struct("__at", *columns))).alias("rows"), *[F.min_by(F.struct(*columns), "__at").alias("__first")])
-        return Rows(first.withColumn("rows", F.transform("rows", lambda r: r.dropFields("__at"))), (F.col("__first").asc(),))
+    def group_rows(self, name: str, key: Column, *columns: str, size: int = BLOCK) -> Rows:
+        """Groups with their rows as a nested table, in order of first appearance.
+
+        A group of more than `size` rows is dealt over several, which follow each other, numbered by block: places within a
+        group come from range partitions, so no group is in one task or one row however large it is.
+        """
+        placed = ranked(self.df.withColumn("__g", key), "__g", *self.order)
+        blocks = placed.groupBy(F.col("__g").alias(name), F.floor(F.col("k") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias("rows"))
+        blocks = blocks.withColumn("rows", F.transform("rows", lambda r: r.dropFields("k")))
+        heads = placed.where("k = 0").select(F.col("__g").alias("__of"), F.struct(*columns).alias("__first"))
+        return Rows(blocks.join(heads, F.col(name).eqNullSafe(F.col("__of"))).drop("__of"), (F.col("__first").asc(), F.col("block").asc()))
 
     def table(self, **columns: Column) -> DataFrame:
         return self.df.orderBy(*self.order).select(*[c.alias(k) for k, c in columns.items()])
@@ -66,9 +73,11 @@ class Rows:
         return self.table(**columns)
 
     def tasks_by(self, key: str = "path") -> DataFrame:
-        """Tasks nested by note, or by another key."""
+        """Tasks nested by note, or by another key, whose tasks are a few."""
         fields = [c for c in self.df.columns if c != key]
-        return self.group_rows(key, F.col(key), *fields).df.select(key, "rows")
+        at = self.df.withColumn("__at", F.row_number().over(W.partitionBy(key).orderBy(*self.order)))
+        nested = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", *fields))).alias("rows"))
+        return nested.select(key, F.transform("rows", lambda r: r.dropFields("__at")).alias("rows"))
 
     def calendar(self, day: Column) -> DataFrame:
         """day, n and the first DAY_ITEMS paths of each day; rows without a date are left out."""

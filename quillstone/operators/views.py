@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.values import list_mean, list_sum, natural_key
+from quillstone.operators.graph import ranked
 from quillstone.operators.ranks import exact_median
 
 Filter = Column | list | dict | None
@@ -92,9 +93,70 @@ def summary(name: str, c: Column, kind: str) -> Column:
     return SUMMARIES[name.lower()](c, kind)
 
 
-def custom_summary(f: Callable[[Column], Column], c: Column) -> Column:
-    """f of the column, an aggregate, which is summed up before the shuffle."""
-    return f(c)
+@dataclass(frozen=True)
+class Values:
+    """The values of a column of a segment, as the formula of a custom summary sees them: a list whose ends are aggregates.
+
+    filter() and map() are expressions on each value, so a formula is summed up before the shuffle and no segment becomes a list.
+    """
+
+    value: Column
+    keep: Column = field(default_factory=lambda: F.lit(True))
+
+    def filter(self, f: Callable[[Column], Column]) -> Values:
+        return Values(self.value, self.keep & F.coalesce(f(self.value), F.lit(False)))
+
+    def map(self, f: Callable[[Column], Column]) -> Values:
+        return Values(f(self.value), self.keep)
+
+    def _kept(self) -> Column:
+        return F.when(self.keep, self.value)
+
+    @property
+    def length(self) -> Column:
+        """Nulls included."""
+        return F.count_if(self.keep)
+
+    def sum(self) -> Column:
+        return F.coalesce(F.sum(self._kept()), F.lit(0))
+
+    def mean(self) -> Column:
+        return F.avg(self._kept())
+
+    def min(self) -> Column:
+        return F.min(self._kept())
+
+    def max(self) -> Column:
+        return F.max(self._kept())
+
+    def unique(self) -> Column:
+        """How many values there are, null as one of them."""
+        return F.count_distinct(self._kept()) + F.coalesce(F.bool_or(self.keep & self.value.isNull()), F.lit(False)).cast("int")
+
+    def contains(self, value: Column) -> Column:
+        return F.coalesce(F.bool_or(self.keep & self.value.eqNullSafe(value)), F.lit(False))
+
+    def any(self, f: Callable[[Column], Column]) -> Column:
+        return self.filter(f).length > 0
+
+    def all(self, f: Callable[[Column], Column]) -> Column:
+        return self.filter(f).length == self.length
+
+
+def custom_summary(formula: Callable[[Values], Column], c: Column) -> Column:
+    """A formula over `values`, the values of the column: arithmetic on lengths, sums, means, extremes of filtered and mapped values, and the like."""
+    return formula(Values(c))
+
+
+def group_medians(rows: DataFrame, group: str, column: str, name: str) -> DataFrame:
+    """group, name: the median of a number in each group; the mean of the two middle ones of an even count, nulls left out.
+
+    The middle values are found by their places among the group's, which come from range partitions, so a group of any size is in no task as a whole.
+    """
+    placed = ranked(rows.where(F.col(column).isNotNull()).select(F.col(group).alias("__g"), F.col(column).cast("double").alias("v")), "__g", F.col("v"))
+    sizes = placed.groupBy("__g").agg(F.count("*").alias("n")).withColumnRenamed("__g", "__of")
+    middle = placed.join(sizes, F.col("__g").eqNullSafe(F.col("__of"))).where(F.col("k").between(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    return middle.groupBy(F.col("__g").alias(group)).agg(F.avg("v").alias(name))
 
 
 @dataclass
@@ -134,9 +196,14 @@ class View:
         return self.source(files).agg(F.count("*").alias("total"))
 
     def groups(self, files: DataFrame, **more: Column) -> DataFrame:
-        name = self.group[0]
-        totals = {n: summary(s, F.col(c), k) for n, (s, c, k) in self.summaries.items()} | more
-        return self.shown(files).groupBy(name).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in totals.items()])
+        name, rows = self.group[0], self.shown(files) if self.limit > 0 or self.group_order is not None else self.source(files)
+        medians = {n: c for n, (s, c, _) in self.summaries.items() if s.lower() == "median"}
+        totals = {n: summary(s, F.col(c), k) for n, (s, c, k) in self.summaries.items() if n not in medians} | more
+        out = rows.groupBy(name).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in totals.items()])
+        for n, c in medians.items():
+            own = group_medians(rows, name, c, n).withColumnRenamed(name, "__group")
+            out = out.join(own, F.col(name).eqNullSafe(F.col("__group")), "left").drop("__group")
+        return out.select(name, "n", *self.summaries, *more)
 
     def totals(self, files: DataFrame) -> DataFrame:
         """One row of summaries. A median over all rows is worked out by exact_median(), as an aggregate would sort them in one task."""
@@ -151,4 +218,4 @@ def related(edges: DataFrame, path: str, least: int = 1) -> DataFrame:
     return edges.where(F.col("src") != path).join(own, "dst").groupBy(F.col("src").alias("path")).agg(F.count_distinct("dst").alias("shared")).where(F.col("shared") >= least)
 
 
-__all__ = ["SUMMARIES", "View", "condition", "custom_summary", "list_mean", "list_sum", "related", "sort_key", "summary", "with_formulas"]
+__all__ = ["SUMMARIES", "Values", "View", "condition", "custom_summary", "group_medians", "list_mean", "list_sum", "related", "sort_key", "summary", "with_formulas"]

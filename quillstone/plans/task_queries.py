@@ -76,9 +76,9 @@ def tool_vault_info(spark, d):
     return D.vault_info(P.customer_notes(spark, d))
 
 
-@query("SELECT 'orders/' || l_orderkey || '.md' AS path, count(*) AS n, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_linenumber) AS texts FROM lineitem GROUP BY 1")
+@query("SELECT 'orders/' || l_orderkey || '.md' AS path, count(*) AS n, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_linenumber, l_returnflag) AS texts FROM lineitem GROUP BY 1")
 def task_nested_by_note(spark, d):
-    nested = Rows.of(P.tasks(spark, d), "path", "line").tasks_by("path")
+    nested = Rows.of(P.tasks(spark, d), "path", "line", "text").tasks_by("path")
     return nested.select("path", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: F.concat(r["text"], r["line"].cast("string"))), ",").alias("texts"))
 
 

@@ -62,7 +62,7 @@ def view_summaries_counts(spark, d):
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM customer GROUP BY 1")
 def view_custom_summary(spark, d):
-    positive = custom_summary(lambda c: F.count_if(c > 0), F.col("balance"))
+    positive = custom_summary(lambda values: values.filter(lambda v: v > 0).length, F.col("balance"))
     return View(["key"], group=("segment", "string", False)).groups(P.customer_notes(spark, d), positive=positive)
 
 
@@ -148,3 +148,16 @@ def view_row_errors(spark, d):
     shown = rows.select(key.alias("key"), F.round("ratio", 3).alias("ratio"), "twice", "day", none.cast("string").alias("warning"), none.cast("long").alias("failed"))
     warned = attempts.first_warning(rows, key).select(none.cast("long").alias("key"), none.cast("double").alias("ratio"), none.cast("double").alias("twice"), none.cast("string").alias("day"), "warning", "failed")
     return shown.unionByName(warned)
+
+
+@query("""SELECT o_orderpriority AS priority, count(*) AS n, round(median(o_totalprice), 4) AS middle, round((sum(o_totalprice) FILTER (o_totalprice > 100000)) / count(*), 3) AS share, count(DISTINCT o_custkey % 10) AS uniq,
+    bool_and(o_totalprice > 1000) AS every, max(o_totalprice) - min(o_totalprice) AS reach, bool_or(o_totalprice > 400000) AS some FROM orders GROUP BY 1""")
+def view_formula_summaries(spark, d):
+    """Formulas over the values of groups, and a median of each group, which none of them holds in one task."""
+    view = View(["key"], group=("priority", "string", False), summaries={"middle": ("Median", "total", "number")})
+    total, of = F.col("total"), F.col("customer")
+    more = {
+        "share": custom_summary(lambda values: values.filter(lambda v: v > 100000).sum() / values.length, total), "uniq": custom_summary(lambda values: values.map(lambda v: F.regexp_extract(v, "([0-9]).md$", 1)).unique(), of),
+        "every": custom_summary(lambda values: values.all(lambda v: v > 1000), total), "reach": custom_summary(lambda values: values.max() - values.min(), total), "some": custom_summary(lambda values: values.any(lambda v: v > 400000), total),
+    }
+    return view.groups(P.order_notes(spark, d), **more).withColumns({"middle": F.round("middle", 4), "share": F.round("share", 3)})

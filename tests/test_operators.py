@@ -193,7 +193,7 @@ def test_pivot_layout_reaches_the_ends_of_a_chain(spark):
 
 def test_no_group_is_gathered_in_a_row(spark):
     df = spark.range(10).select(F.lit("a").alias("g"), "id")
-    plan = df.groupBy("g").agg(VW.custom_summary(lambda c: F.count_if(c > 3), F.col("id")).alias("n"))
+    plan = df.groupBy("g").agg(VW.custom_summary(lambda values: values.filter(lambda v: v > 3).length, F.col("id")).alias("n"))
     assert plan.first().n == 6 and "collect_list" not in plan._jdf.queryExecution().toString()
     edges = spark.createDataFrame([(f"n{i:02}", "hub", 0) for i in range(25)] + [("hub", f"m{9 - i}", i) for i in range(7)] + [("n00", "hub", 1)], "src string, dst string, ord int")
     rows = sorted(G.adjacency(edges, 10).where("path = 'hub'").collect(), key=lambda r: r.block)
@@ -260,3 +260,21 @@ def test_links_follow_a_moved_note(spark):
     assert one(edits.relative_path(F.lit("a/b"), F.lit("a/c/d.md"))) == "../c/d.md" and one(edits.relative_path(F.lit(""), F.lit("a/d.md"))) == "a/d.md" and one(edits.relative_path(F.lit("a"), F.lit("a/d.md"))) == "d.md"
     assert one(edits.replaced_once(F.lit("a b a"), "a", "c", every=True)) == "c b c" and one(edits.replaced_once(F.lit("a b a"), "a", "c")) is None
     assert one(edits.property_set(F.lit("---\na.b: 1\naxb: 2\n---\nx"), "a.b", "3")) == "---\na.b: 3\naxb: 2\n---\nx"
+
+
+def test_a_large_group_has_several_rows_and_its_median_no_task_of_its_own(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i, float(i * 7 % 50)) for i in range(60)], "g string, path int, v double")
+    blocks = Rows.of(df).sort(F.col("v").desc()).group_rows("g", F.col("g"), "path", size=12).table(g=F.col("g"), block=F.col("block"), rows=F.col("rows")).collect()
+    assert [(b.block, len(b.rows)) for b in blocks if b.g == "a"] == [(0, 12), (1, 12), (2, 12), (3, 4)] and [len(b.rows) for b in blocks if b.g is None] == [12, 8]
+    for g in ("a", None):
+        want = sorted(((-v, p) for k, p, v in ((r.g, r.path, r.v) for r in df.collect()) if k == g))
+        assert [r.path for b in blocks if b.g == g for r in b.rows] == [p for _, p in want]
+    assert {r.g: r.m for r in VW.group_medians(df.withColumn("v", F.expr("nullif(v, 7)")), "g", "v", "m").collect()} == {g: __import__("statistics").median([r.v for r in df.collect() if r.g == g and r.v != 7]) for g in ("a", None)}
+
+
+def test_formulas_over_values(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "v double")
+    own = lambda f: df.agg(VW.custom_summary(f, F.col("v")).alias("x")).first().x
+    assert own(lambda v: v.length) == 4 and own(lambda v: v.unique()) == 3 and own(lambda v: v.filter(lambda x: x > 1).sum() / v.length) == 1.0
+    assert own(lambda v: v.contains(F.lit(None))) and not own(lambda v: v.contains(F.lit(5.0))) and not own(lambda v: v.all(lambda x: x > 0)) and own(lambda v: v.any(lambda x: x > 1))
+    assert own(lambda v: v.map(lambda x: x * 2).mean()) == pytest.approx(10 / 3)
