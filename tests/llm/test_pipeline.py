@@ -1,9 +1,14 @@
-"""The pipeline's stages, each against a plain version on its own input."""
+"""The pipeline's stages, each against a plain version on its own input: base rules, fingerprints, contamination, pseudonyms, pieces."""
 
-from test_documents import plain_fingerprint
+from collections import Counter
+
+from test_documents import KEY, plain_base, plain_fingerprint
+from test_plain_versions import PLAIN
+from test_short_and_long_slices import plain_judged
 
 import __spark_entry__
 import corpus_pipeline
+from quillstone.llm import decontaminate, pieces, pseudonyms
 
 
 def test_stages(spark, sf, docs):
@@ -25,3 +30,39 @@ def test_stages(spark, sf, docs):
 
 def test_empty(spark, empty_sf):
     assert corpus_pipeline.run(spark, empty_sf).count() == 0
+
+
+def test_the_first_stage_keeps_nothing_that_fails_the_base_rule(spark, sf, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    base = {r.doc_id: plain_base(r.text) for r in docs.collect()}
+    assert not any(base[r.doc_id][0] < 50 or 100 * base[r.doc_id][4] > 50 * base[r.doc_id][0] for r in stages["quality_rules"](spark, docs, sf).collect())
+
+
+def test_decontamination_matches_a_plain_version(spark, sf, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = Counter()
+    for d, t in rows:
+        ((_, n_words, n_hit, _),) = plain_judged([(d, t)], items)
+        want[d, t] += not (n_hit and 20 * n_hit >= n_words)
+    assert Counter((r.doc_id, r.text) for r in decontaminate.stage(spark, docs, sf).collect()) == +want
+
+
+def test_pseudonyms_and_pieces_match_plain_versions(spark, sf, docs):
+    import public_tokenizers
+    import sentencepiece
+
+    planted = spark.createDataFrame([(k, f"see {s} there", "en", "s", 1) for k, (s, _) in enumerate(PLAIN)], docs.schema)
+    spark.conf.set(pseudonyms.KEY_SETTING, KEY)
+    try:
+        done = pseudonyms.stage(spark, planted.unionByName(docs.where("doc_id >= 6").withColumn("doc_id", docs.doc_id + 1000)), sf).cache()
+        got = {r.doc_id: r.text for r in done.collect()}
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
+    assert got == {k: f"see {w} there" for k, (_, w) in enumerate(PLAIN)} | {r.doc_id + 1000: r.text for r in docs.where("doc_id >= 6").collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [r for r in pieces.stage(spark, done, sf).collect()]
+    for r in rows:
+        ids = sp.encode(got[r.doc_id] or "", add_bos=True, add_eos=True)
+        assert (r.ids, r.decoded, r.n_tokens) == (ids, sp.decode(ids), len(ids))
+    assert len(rows) == done.count()
