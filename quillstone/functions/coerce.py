@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import equal, natural_key, shown
+from quillstone.functions.values import equal, link_date, natural_key, shown
 
 NUMERIC = ("boolean", "number", "date", "duration")
 
@@ -21,6 +21,15 @@ def as_day(s: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.replace(s, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm")))
 
 
+def date_of(c: Column, kind: str) -> Column:
+    """A date from a number (milliseconds), a text (as_day()), a link (the day in its display or path) or a date; null if there is none."""
+    if kind == "number":
+        return F.timestamp_millis(c.cast("long"))
+    if kind == "link":
+        return F.coalesce(link_date(c["display"]), link_date(c["path"]))
+    return c.cast("timestamp") if kind == "date" else as_day(c)
+
+
 def text_of(c: Column, kind: str) -> Column:
     return F.coalesce(c["display"], c["path"]) if kind == "link" else shown(c, kind)
 

@@ -10,10 +10,17 @@ from quillstone.functions.values import DAY_MS, plus_ms
 FOLDERS_SHOWN, TAGS_SHOWN = 12, 30
 
 
-def stats(notes: DataFrame, now: Column) -> DataFrame:
-    """notes, edited today, edited in the last seven days (today included)."""
+def stats(notes: DataFrame, now: Column, edges: DataFrame | None = None) -> DataFrame:
+    """notes, edited today, edited in the last seven days (today included); with edges also links, and tags: how many different ones there are."""
     day = F.date_trunc("day", now)
-    return notes.agg(F.count("*").alias("notes"), F.count_if(F.col("mtime") >= day).alias("today"), F.count_if(F.col("mtime") >= plus_ms(day, -6 * DAY_MS)).alias("week"))
+    counts = notes.agg(F.count("*").alias("notes"), F.count_if(F.col("mtime") >= day).alias("today"), F.count_if(F.col("mtime") >= plus_ms(day, -6 * DAY_MS)).alias("week"))
+    if edges is None:
+        return counts
+    # Three rows, one for each table that is counted, folded into one.
+    none = F.lit(None).cast("long")
+    rows = counts.withColumns({"links": none, "tags": none})
+    rows = rows.unionByName(edges.agg(F.count("*").alias("links")), allowMissingColumns=True).unionByName(tag_counts(notes).agg(F.count("*").alias("tags")), allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("notes", "today", "week", "links", "tags")])
 
 
 def recent(notes: DataFrame, n: int) -> DataFrame:

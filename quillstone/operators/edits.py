@@ -103,6 +103,14 @@ def moved_links(text: Column, source: Column, old: Column, new: Column, name: Co
     return F.array_join(F.zip_with(gaps, F.concat(F.transform(found, follow), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
 
 
+def canvas_moved(text: Column, old: Column, new: Column) -> Column:
+    """The text of a canvas whose references to a file follow it; all else in it, known or not, stays as it is written."""
+    in_json = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    literal = F.replace(F.replace(in_json(new), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(in_json(old), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.regexp_replace(text, F.concat(F.lit(r'("file"\s*:\s*")'), quoted, F.lit('(?=")')), F.concat(F.lit("$1"), literal))
+
+
 def expanded(template: str, title: Column, now: Column, folder: Column | None = None) -> Column:
     """A template filled in: {{title}}, {{date}}, {{time}} with a format after a colon if wanted, and the commands of COMMANDS between <% and %>.
 

@@ -16,10 +16,10 @@ def visible(df: DataFrame, only: list[str] | None, path: str = "path") -> DataFr
     return df if only is None else df.where(reduce(lambda a, b: a | b, [in_folder(F.col(path), f) for f in only], F.lit(False)))
 
 
-def find_notes(notes: DataFrame, words: str) -> DataFrame:
-    """Notes with all the words, without accents, in their name."""
+def find_notes(notes: DataFrame, words: str, folder: str | None = None) -> DataFrame:
+    """Notes with all the words, without accents, in their name, in a folder if one is named."""
     parts = fold(F.lit(words))
-    return notes.where(F.forall(F.filter(F.split(parts, r"\s+"), lambda w: w != ""), lambda w: F.contains(fold(F.col("stem")), w)))
+    return (notes if folder is None else notes.where(in_folder(F.col("path"), folder))).where(F.forall(F.filter(F.split(parts, r"\s+"), lambda w: w != ""), lambda w: F.contains(fold(F.col("stem")), w)))
 
 
 def list_tasks(tasks: DataFrame, folder: str | None = None, done: bool | None = None, due_before: Column | None = None, due_after: Column | None = None, text: str | None = None) -> DataFrame:

@@ -142,3 +142,27 @@ def view_coercions(spark, d):
         (coerce.view_compare(null, "string", F.lit("z"), "string") == 1).alias("none_last"), F.array_join(coerce.object_keys(fields), "|").alias("keys"), F.array_join(coerce.object_values(fields), "|").alias("vals"), "to",
     )
     return coerce.links_to(rows, F.col("to"), P.edges(spark, d), "regions/2.md", "to_region").drop("to")
+
+
+@query("""SELECT s_suppkey AS key, '{"nodes":[{"id":"a","file" : "moved/' || s_nationkey || ' $1.md","odd":{"x":1}},{"id":"b","type":"text","text":"nations/' || s_nationkey || '.md"},{"id":"c","file":"nations/' || s_nationkey || '.md.png"}],"more":[]}' AS text FROM supplier""")
+def edit_canvas_references(spark, d):
+    """Canvases of all suppliers after their nations' notes moved; what is no reference stays, and so do keys of other programs."""
+    s = P.read(spark, d, "supplier")
+    nation = F.col("s_nationkey").cast("string")
+    old, new = F.concat(F.lit("nations/"), nation, F.lit(".md")), F.concat(F.lit("moved/"), nation, F.lit(" $1.md"))
+    text = F.concat(F.lit('{"nodes":[{"id":"a","file" : "'), old, F.lit('","odd":{"x":1}},{"id":"b","type":"text","text":"'), old, F.lit('"},{"id":"c","file":"'), old, F.lit('.png"}],"more":[]}'))
+    return s.select(F.col("s_suppkey").alias("key"), edits.canvas_moved(text, old, new).alias("text"))
+
+
+@query("SELECT count(*) AS notes, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-07-30') AS today, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-07-24') AS week, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS links, count(DISTINCT o_orderpriority) AS tags FROM orders")
+def dash_all_stats(spark, d):
+    from quillstone.operators import dashboards as D
+
+    return D.stats(P.order_notes(spark, d).withColumn("mtime", F.col("date")), F.lit("1998-07-30 12:00:00").cast("timestamp"), P.edges(spark, d))
+
+
+@query("SELECT doc_id AS key FROM documents WHERE contains(CAST(doc_id AS VARCHAR), '1') AND contains(CAST(doc_id AS VARCHAR), '2') AND source = 'src2'")
+def tool_find_in_folder(spark, d):
+    from quillstone.operators import tools
+
+    return tools.find_notes(P.document_notes(spark, d).withColumn("stem", F.col("key").cast("string")), "2 1", folder="docs/src2").select("key")

@@ -112,3 +112,12 @@ def test_mixed_values(spark):
         C.view_equal(V.link(F.lit("a/B.md")), "link", F.lit("A/b"), "string").alias("i"), E.expanded("<% tp.date.now('YYYY', -1) %>{{x}}", F.lit("t"), F.lit("2024-01-01 05:00:00").cast("timestamp")).alias("j"),
     ).first()
     assert tuple(row) == ("1a2.5", "2.0", None, True, False, 1, 1, False, True, "2023{{x}}")
+
+
+def test_dates_of_kinds_and_canvas_references(spark):
+    link = V.link(F.lit("days/2024-03-05.md"))
+    row = spark.range(1).select(C.date_of(F.lit(86_400_000), "number").alias("a"), C.date_of(F.lit("2024-02-03T04:05"), "string").alias("b"), C.date_of(link, "link").alias("c"), C.date_of(F.lit("no"), "string").alias("d")).first()
+    assert tuple(row) == (datetime(1970, 1, 2), datetime(2024, 2, 3, 4, 5), datetime(2024, 3, 5), None)
+    text = r'{"file":"a\\b \"c\".md","x":"a\\b \"c\".md"}'
+    moved = spark.range(1).select(E.canvas_moved(F.lit(text), F.lit(r'a\b "c".md'), F.lit(r'd\$1 "e".md')).alias("t")).first().t
+    assert moved == r'{"file":"d\\$1 \"e\".md","x":"a\\b \"c\".md"}'

@@ -50,13 +50,13 @@ def test_distances_of_forty_pivots_are_those_of_plain_searches(spark, edges):
 
 
 def test_pivot_scaling_matches_a_plain_one(spark, edges):
-    table, pivots = L.pivot_table(edges, 12)
+    table, pivots = L.pivot_table(edges, 4)
     rows = sorted(table.collect(), key=lambda r: r.path)
-    d = np.array([[np.nan if r[f"d{k}"] is None else r[f"d{k}"] for k in range(12)] for r in rows])
+    d = np.array([[np.nan if r[f"d{k}"] is None else r[f"d{k}"] for k in range(4)] for r in rows])
     s = np.where(np.isnan(d), np.nanmax(d) + 1, d) ** 2
     c = -0.5 * (s - s.mean(1, keepdims=True) - s.mean(0) + s.mean())
     vectors = np.linalg.eigh(c.T @ c)[1][:, ::-1]
-    got = {r.path: (r.x, r.y) for r in L.pivot_layout(edges, 12).collect()}
+    got = {r.path: (r.x, r.y) for r in L.pivot_layout(edges, 4).collect()}
     for axis in (0, 1):
         own, want = np.array([got[r.path][axis] for r in rows]), c @ vectors[:, axis]
         assert np.allclose(own, want, atol=1e-6) or np.allclose(own, -want, atol=1e-6)
