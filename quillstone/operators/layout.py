@@ -84,14 +84,18 @@ def pivot_table(edges: DataFrame, pivots: int = PIVOTS, hops: int | None = None,
         if len(chosen) >= pivots:
             break
         every = F.array(*[F.struct(F.coalesce(f"d{i}", F.lit(float("inf"))).alias("d"), F.lit(i).alias("i")) for i in range(len(chosen))])
-        near = table.withColumn("near", F.array_min(every)).select("path", F.col("near.d").alias("least"), F.col("near.i").alias("of")).where("least > 0")
-        # The farthest of each pivot's surroundings first: a batch that is spread like the pivots are.
+        near = table.withColumn("near", F.array_min(every)).select("path", F.col("near.d").alias("least"), F.col("near.i").alias("of"), F.transform(every, lambda e: e["d"]).alias("alike")).where("least > 0")
+        # Notes at equal distances from all pivots are alike, such as those of a component without one: the first stands for them.
         size = min(next(sizes), pivots - len(chosen))
-        each = near.groupBy("of").agg(F.max(F.struct("least", F.col("path"))).alias("far")).orderBy(F.desc("far.least"), "far.path").limit(size).collect()
-        batch = [r["far"]["path"] for r in each]
+        alike = written(near.groupBy("of", "least", "alike").agg(F.min("path").alias("path")), "alike")
+        # The farthest of each pivot's surroundings first: a batch that is spread like the pivots are.
+        each = alike.groupBy("of").agg(F.min_by("path", F.struct(-F.col("least"), F.col("path"))).alias("path"), F.max("least").alias("least")).orderBy(F.desc("least"), "path").limit(size).collect()
+        batch = [r["path"] for r in each]
+        if len(batch) < size:
+            batch += [r["path"] for r in alike.where(~F.col("path").isin(batch)).orderBy(F.desc("least"), "path").limit(size - len(batch)).collect()]
         if len(batch) < size:
-            more = near.where(~F.col("path").isin(batch)).orderBy(F.desc("least"), "path").limit(size - len(batch)).collect()
-            batch += [r["path"] for r in more]
+            batch += [r["path"] for r in near.where(~F.col("path").isin(batch)).orderBy(F.desc("least"), "path").limit(size - len(batch)).collect()]
+        removed(alike)
     removed(links)
     return table, chosen
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import search as S
-from quillstone.sources.scratch import exists, listed, removed, widened, written
+from quillstone.sources.scratch import exists, listed, remove_folder, removed, widened, written
 
 #: Changed notes after which segments are merged: a share of all, but so many at least.
 DRIFT, LEAST = 0.03, 2000
@@ -110,7 +110,7 @@ class SearchIndex:
         for name in listed(self.spark, self.base):
             path = f"{self.base}/{name}"
             if name.startswith("segment-") and path not in kept:
-                removed(self.spark.read.parquet(f"{path}/words"), folder=path)
+                remove_folder(self.spark, path)
         return self
 
     # Reading --------------------------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from quillstone.operators.segments import SearchIndex, find_quote
 from quillstone.operators.status import status_byte, status_of
 from quillstone.plans.registry import query
 from quillstone.sources import projection as P
-from quillstone.sources.scratch import fingerprint, listed, removed, shared_folder, widened
+from quillstone.sources.scratch import fingerprint, listed, remove_folder, shared_folder, widened
 
 # The words of a text, as the SQL sees them, and what begins in one at a joint or its start, with and without accents.
 PATTERN = r"'[\p{L}\p{N}]+(?:[-._/][\p{L}\p{N}]+)*'"
@@ -42,7 +42,7 @@ def indexed(spark, d):
     index = SearchIndex(spark, f"{base}/{now}")
     if index.generation() < 0:
         for old in listed(spark, base):
-            removed(notes, folder=f"{base}/{old}")
+            remove_folder(spark, f"{base}/{old}")
         index.build(notes)
     return notes, index
 

@@ -45,13 +45,17 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
 
 
-def removed(*tables: DataFrame, folder: str | None = None) -> None:
-    """Remove written() tables that nothing lazy reads any more, or a folder."""
+def removed(*tables: DataFrame) -> None:
+    """Remove tables that written() made and nothing lazy reads any more; any other table is left alone."""
     for table in tables:
-        spark = table.sparkSession
-        for path in [folder] if folder else {f.rsplit("/", 2)[0] for f in table.inputFiles()}:
-            fs, at = filesystem(spark, path)
-            fs.delete(at, True)
+        for path in {f.rsplit("/", 2)[0] for f in table.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("written-"):
+                remove_folder(table.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, at = filesystem(spark, path)
+    fs.delete(at, True)
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
