@@ -43,7 +43,8 @@ def workers(peaks: dict[str, int], stop: threading.Event) -> None:
     while not stop.is_set():
         for p in psutil.Process().children(recursive=True):
             try:
-                name = "jvm" if "java" in p.name() else "worker"
+                # By the command: a process that the JVM is just starting still has its memory, and another name.
+                name = "worker" if "pyspark.daemon" in " ".join(p.cmdline()) else "jvm"
                 peaks[name] = max(peaks.get(name, 0), p.memory_info().rss >> 20)
             except psutil.Error:
                 pass
