@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.values import link, link_date, normal_path
+from quillstone.functions.values import let, link, link_date, normal_path
 
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 TAG = r"[\p{L}\p{N}_/-]*[\p{L}_/-][\p{L}\p{N}_/-]*"
@@ -57,38 +57,46 @@ def front_fields(text: Column) -> Column:
     """map<string, array<string>> of `key: value`, `key: [a, b]` and `- item` lines; deeper levels are left out."""
     start = F.struct(F.lit("").alias("key"), F.array().cast("array<struct<key:string,value:string>>").alias("found"))
 
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+
     def step(acc: Column, line: Column) -> Column:
-        key = F.regexp_extract(line, r"^([^\s:#-][^:]*?)\s*:(?:\s|$)", 1)
-        value = F.trim(F.regexp_replace(line, r"^[^:]*:", ""))
-        listed = F.filter(F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), unquoted), lambda v: v != "")
-        values = F.when(value.rlike(r"^\[.*\]$"), listed).when(value == "", F.array().cast("array<string>")).otherwise(F.array(unquoted(value)))
-        item = F.regexp_extract(line, r"^\s*-\s+(.*)$", 1)
-        pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-        keyed = F.struct(key.alias("key"), F.concat(acc["found"], F.array(pair(key, F.lit(None).cast("string"))), F.transform(values, lambda v: pair(key, v))).alias("found"))
-        more = F.struct(acc["key"].alias("key"), F.concat(acc["found"], F.array(pair(acc["key"], unquoted(item)))).alias("found"))
-        return F.when(key != "", keyed).when((item != "") & (acc["key"] != ""), more).otherwise(acc)
-
-    found = F.aggregate(F.split(front_matter(text), r"\r?\n"), start, step)["found"]
-    keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
-    values = F.transform(keys, lambda k: F.transform(F.filter(found, lambda e: (e["key"] == k) & e["value"].isNotNull()), lambda e: e["value"]))
-    return F.map_from_arrays(keys, values)
+        def keyed(key: Column) -> Column:
+            def valued(value: Column) -> Column:
+                listed = F.filter(F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), unquoted), lambda v: v != "")
+                values = F.when(value.rlike(r"^\[.*\]$"), listed).when(value == "", F.array().cast("array<string>")).otherwise(F.array(unquoted(value)))
+                return F.struct(key.alias("key"), F.concat(acc["found"], F.array(pair(key, F.lit(None).cast("string"))), F.transform(values, lambda v: pair(key, v))).alias("found"))
+
+            more = lambda item: F.when((item != "") & (acc["key"] != ""), F.struct(acc["key"].alias("key"), F.concat(acc["found"], F.array(pair(acc["key"], unquoted(item)))).alias("found"))).otherwise(acc)
+            return F.when(key != "", let(F.trim(F.regexp_replace(line, r"^[^:]*:", "")), valued)).otherwise(let(F.regexp_extract(line, r"^\s*-\s+(.*)$", 1), more))
+
+        return let(F.regexp_extract(line, r"^([^\s:#-][^:]*?)\s*:(?:\s|$)", 1), keyed)
+
+    def mapped(found: Column) -> Column:
+        values = lambda keys: F.transform(keys, lambda k: F.transform(F.filter(found, lambda e: (e["key"] == k) & e["value"].isNotNull()), lambda e: e["value"]))
+        return let(F.array_distinct(F.transform(found, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, values(keys)))
+
+    return let(F.aggregate(F.split(front_matter(text), r"\r?\n"), start, step)["found"], mapped)
 
 
 def inline_fields(text: Column) -> Column:
     """The same of `key:: value` lines and `[key:: value]` or `(key:: value)` anywhere; the last of a key counts."""
-    plain = without_code(body(text))
-    lines = F.regexp_extract_all(plain, F.lit(r"(?m)^\s*(?:[-*+]\s+)?[\p{L}_][\p{L}\p{N}_ -]*::[ \t]*.*$"), F.lit(0))
-    spans = F.regexp_extract_all(plain, F.lit(r"[\[(][\p{L}_][\p{L}\p{N}_ -]*::[^\])\n]*[\])]"), F.lit(0))
     entry = lambda s: F.struct(F.trim(F.regexp_extract(s, r"([\p{L}_][\p{L}\p{N}_ -]*?)\s*::", 1)).alias("key"), F.array(F.trim(F.regexp_extract(s, r"::[ \t]*(.*?)[\])]?$", 1))).alias("value"))
-    found = F.transform(F.concat(lines, spans), entry)
-    keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]))
+
+    def entries(plain: Column) -> Column:
+        lines = F.regexp_extract_all(plain, F.lit(r"(?m)^\s*(?:[-*+]\s+)?[\p{L}_][\p{L}\p{N}_ -]*::[ \t]*.*$"), F.lit(0))
+        spans = F.regexp_extract_all(plain, F.lit(r"[\[(][\p{L}_][\p{L}\p{N}_ -]*::[^\])\n]*[\])]"), F.lit(0))
+        return F.transform(F.concat(lines, spans), entry)
+
+    def mapped(found: Column) -> Column:
+        values = lambda keys: F.transform(keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"])
+        return let(F.array_distinct(F.transform(found, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, values(keys)))
+
+    return let(let(without_code(body(text)), entries), mapped)
 
 
 def fields(text: Column) -> Column:
     """Front matter, which inline fields override."""
-    a, b = front_fields(text), inline_fields(text)
-    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    return let(inline_fields(text), lambda b: F.map_concat(F.map_filter(front_fields(text), lambda k, v: ~F.map_contains_key(b, k)), b))
 
 
 def without_code(text: Column) -> Column:
@@ -106,8 +114,7 @@ def links(text: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """Of front matter `tags` and `tag`, then inline ones with a character that is no digit."""
-    own = front_fields(text)
-    listed = F.concat(*[F.coalesce(F.try_element_at(own, F.lit(k)), F.array().cast("array<string>")) for k in ("tags", "tag")])
+    listed = let(front_fields(text), lambda own: F.concat(*[F.coalesce(F.try_element_at(own, F.lit(k)), F.array().cast("array<string>")) for k in ("tags", "tag")]))
     spread = F.flatten(F.transform(listed, lambda t: F.split(t, r"[,\s]+")))
     front = F.filter(F.transform(spread, lambda t: F.regexp_replace(t, "^#", "")), lambda t: t != "")
     inline = F.regexp_extract_all(without_code(body(text)), F.lit(rf"(?:^|(?<=[\s(,;]))#({TAG})"), F.lit(1))
