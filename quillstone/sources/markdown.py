@@ -106,10 +106,13 @@ def without_code(text: Column) -> Column:
 
 def links(text: Column) -> Column:
     """Targets in written order, once each: wiki links and embeds without heading and alias, relative Markdown links."""
-    plain = without_code(text)
-    wiki = F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\n|#]+)(?:#[^\]\n|]*)?(?:\|[^\]\n]*)?\]\]"), F.lit(1))
-    mark = F.regexp_extract_all(plain, F.lit(r"\]\((?![a-zA-Z][a-zA-Z0-9+.-]*:|#)<?([^)\s>#]+)[^)]*\)"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(wiki, F.transform(mark, F.url_decode)), lambda x: F.trim(x)))
+
+    def found(plain: Column) -> Column:
+        wiki = F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\n|#]+)(?:#[^\]\n|]*)?(?:\|[^\]\n]*)?\]\]"), F.lit(1))
+        mark = F.regexp_extract_all(plain, F.lit(r"\]\((?![a-zA-Z][a-zA-Z0-9+.-]*:|#)<?([^)\s>#]+)[^)]*\)"), F.lit(1))
+        return F.concat(wiki, F.transform(mark, F.url_decode))
+
+    return F.array_distinct(F.transform(let(without_code(text), found), lambda x: F.trim(x)))
 
 
 def tags(text: Column) -> Column:
