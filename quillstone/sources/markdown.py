@@ -230,11 +230,13 @@ def headings(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("line"), F.lit("").alias("fence"), F.array().cast("array<struct<line:int,level:int,title:string>>").alias("found"))
 
     def step(acc: Column, line: Column) -> Column:
-        fence = F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1)
-        state = F.when((acc["fence"] != "") & (fence != "") & F.startswith(fence, acc["fence"]), "").when((acc["fence"] == "") & (fence != ""), fence).otherwise(acc["fence"])
-        hit = (acc["fence"] == "") & line.rlike(r"^#{1,6}\s+\S")
-        one = F.struct(acc["line"].alias("line"), F.length(F.regexp_extract(line, "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract(line, r"^#+\s+(.*?)\s*#*\s*$", 1)).alias("title"))
-        return F.struct((acc["line"] + 1).alias("line"), state.alias("fence"), F.when(hit, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+        def fenced(fence: Column) -> Column:
+            state = F.when((acc["fence"] != "") & (fence != "") & F.startswith(fence, acc["fence"]), "").when((acc["fence"] == "") & (fence != ""), fence).otherwise(acc["fence"])
+            hit = (acc["fence"] == "") & line.rlike(r"^#{1,6}\s+\S")
+            one = F.struct(acc["line"].alias("line"), F.length(F.regexp_extract(line, "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract(line, r"^#+\s+(.*?)\s*#*\s*$", 1)).alias("title"))
+            return F.struct((acc["line"] + 1).alias("line"), state.alias("fence"), F.when(hit, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+
+        return let(F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1), fenced)
 
     return F.aggregate(F.split(text, r"\r?\n"), start, step)["found"]
 
@@ -245,12 +247,17 @@ def section(text: Column, title: str) -> Column:
         mark = r"\s\^" + re.escape(title[1:]) + r"\s*$"
         line = F.get(F.filter(F.split(text, "\n"), lambda x: x.rlike(mark)), F.lit(0))
         return F.coalesce(F.regexp_replace(line, r"\s\^[\w-]+\s*$", ""), text)
-    all_ = headings(text)
-    own = F.get(F.filter(all_, lambda h: F.lower(h["title"]) == title.lower()), F.lit(0))
-    after = F.get(F.filter(all_, lambda h: (h["line"] > own["line"]) & (h["level"] <= own["level"])), F.lit(0))
     lines = F.split(text, r"\r?\n")
-    end = F.coalesce(after["line"], F.size(lines))
-    return F.when(own.isNotNull(), F.array_join(F.slice(lines, own["line"] + 1, end - own["line"]), "\n"))
+
+    def of(all_: Column) -> Column:
+        def upto(own: Column) -> Column:
+            after = F.get(F.filter(all_, lambda h: (h["line"] > own["line"]) & (h["level"] <= own["level"])), F.lit(0))
+            cut = lambda rows: F.array_join(F.slice(rows, own["line"] + 1, F.coalesce(after["line"], F.size(rows)) - own["line"]), "\n")
+            return F.when(own.isNotNull(), let(lines, cut))
+
+        return let(F.get(F.filter(all_, lambda h: F.lower(h["title"]) == title.lower()), F.lit(0)), upto)
+
+    return let(headings(text), of)
 
 
 def board(text: Column) -> Column:
