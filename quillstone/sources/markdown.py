@@ -128,15 +128,17 @@ def tasks(text: Column) -> Column:
     """array<struct<line, status, text, indent>>. A fence closes on its own character, at least as long as it opened."""
     start = F.struct(F.lit(0).alias("line"), F.lit("").alias("fence"), F.array().cast("array<struct<line:int,status:string,text:string,indent:int>>").alias("found"))
 
+    pattern = r"^(\s*)(?:[-*+]|\d+[.)])\s+\[(.)\]\s+(.*)$"
+
     def step(acc: Column, raw: Column) -> Column:
-        line = F.replace(raw, F.lit("\t"), F.lit("    "))
-        fence = F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1)
-        closes = (acc["fence"] != "") & F.startswith(fence, acc["fence"]) & line.rlike(r"^\s*(`{3,}|~{3,})\s*$")
-        state = F.when(closes, "").when((acc["fence"] == "") & (fence != ""), fence).otherwise(acc["fence"])
-        pattern = r"^(\s*)(?:[-*+]|\d+[.)])\s+\[(.)\]\s+(.*)$"
-        task = F.struct(acc["line"].alias("line"), F.regexp_extract(line, pattern, 2).alias("status"), F.rtrim(F.regexp_extract(line, pattern, 3)).alias("text"), F.length(F.regexp_extract(line, pattern, 1)).alias("indent"))
-        found = F.when((acc["fence"] == "") & (fence == "") & line.rlike(pattern), F.concat(acc["found"], F.array(task))).otherwise(acc["found"])
-        return F.struct((acc["line"] + 1).alias("line"), state.alias("fence"), found.alias("found"))
+        def of_line(line: Column, fence: Column) -> Column:
+            closes = (acc["fence"] != "") & F.startswith(fence, acc["fence"]) & line.rlike(r"^\s*(`{3,}|~{3,})\s*$")
+            state = F.when(closes, "").when((acc["fence"] == "") & (fence != ""), fence).otherwise(acc["fence"])
+            task = F.struct(acc["line"].alias("line"), F.regexp_extract(line, pattern, 2).alias("status"), F.rtrim(F.regexp_extract(line, pattern, 3)).alias("text"), F.length(F.regexp_extract(line, pattern, 1)).alias("indent"))
+            found = F.when((acc["fence"] == "") & (fence == "") & line.rlike(pattern), F.concat(acc["found"], F.array(task))).otherwise(acc["found"])
+            return F.struct((acc["line"] + 1).alias("line"), state.alias("fence"), found.alias("found"))
+
+        return let(F.replace(raw, F.lit("\t"), F.lit("    ")), lambda line: let(F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1), lambda fence: of_line(line, fence)))
 
     return F.aggregate(F.split(text, r"\r?\n"), start, step)["found"]
 
@@ -172,7 +174,8 @@ def task_table(notes: DataFrame) -> DataFrame:
 
     The tasks of a note are one array, so nothing is shuffled.
     """
-    rows = notes.select("path", "tasks", F.posexplode("tasks").alias("k", "t")).select("path", "tasks", "k", "t.*")
+    # Outer, as Spark would else test the array first, by reading the text once more ahead of any shuffle.
+    rows = notes.select("path", "tasks", F.posexplode_outer("tasks").alias("k", "t")).where("k is not null").select("path", "tasks", "k", "t.*")
     before = F.transform(F.slice("tasks", F.lit(1), F.col("k")), lambda t, i: F.struct(i.alias("k"), t["indent"].alias("indent")))
     above = F.filter(before, lambda x: x["indent"] < F.col("indent"))
     parent = F.when(F.size(above) > 0, F.element_at(above, -1)["k"])
@@ -208,7 +211,7 @@ def resolved(notes: DataFrame, files: DataFrame, suffixes: DataFrame | None = No
     Each (folder, link) is resolved once and joined back. All joins are equality joins with distinct paths or with suffix_index(files), which
     may be handed in where it is stored: a link meets one file by each of its ways, however many files share its name.
     """
-    raw = notes.select(F.col("path").alias("src"), "folder", F.posexplode("links").alias("ord", "raw"))
+    raw = notes.select(F.col("path").alias("src"), "folder", F.posexplode_outer("links").alias("ord", "raw")).where("ord is not null")
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace("raw", r"\+", "%2B")), F.col("raw"))
     name = F.trim(F.translate(decoded, "\\", "/"))
     own = raw.select("folder", "raw").distinct().withColumn("clean", normal_path(name)).where("clean <> ''")
