@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quillstone.plans.registry import QUERIES
+from quillstone.plans.registry import ORACLE_SQL, QUERIES
 from quillstone.sources import markdown as M
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +30,21 @@ def test_a_text_is_taken_apart_once(spark, read, most):
 
     text = plan(spark.range(1).select(F.concat(F.col("id").cast("string"), F.lit("\n")).alias("text")).select(read(F.col("text")).alias("x")))
     assert text.count("aggregate(") <= most
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for file in folder.iterdir():
+        con.execute(f"create view {file.name.split('.')[0]} as from '{file}/*.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, str(folder)).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_customers_in_one_place_do_not_push_each_other(spark, tmp_path):
+    rows = [(0, 0.0, 1), (1000, -5.0, 1), (40, 0.0, 1), (2000, -10.0, 2), (3000, -15.0, 2)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    same_as_sql(spark, tmp_path, "graph_collisions")
