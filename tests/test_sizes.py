@@ -48,3 +48,8 @@ def test_customers_in_one_place_do_not_push_each_other(spark, tmp_path):
     rows = [(0, 0.0, 1), (1000, -5.0, 1), (40, 0.0, 1), (2000, -10.0, 2), (3000, -15.0, 2)]
     spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
     same_as_sql(spark, tmp_path, "graph_collisions")
+
+
+def test_more_islands_than_a_hundred_rings_hold(spark, tmp_path):
+    spark.range(40_000).selectExpr("id as o_orderkey", "case when id < 12 then 0 else id end as o_custkey", "'O' as o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    same_as_sql(spark, tmp_path, "graph_packed_islands")
