@@ -38,11 +38,12 @@ def postings(notes: DataFrame, *also: str) -> DataFrame:
     """
     text = F.concat_ws("\n", "text", *also) if also else F.col("text")
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-    found = notes.select("key", words.alias("w")).select("key", F.explode(F.when(F.exists("w", lambda w: F.length(w) > MAX_WORD), F.concat(F.filter("w", lambda w: F.length(w) <= MAX_WORD), F.array(F.lit(LONG_MARK)))).otherwise(F.col("w"))).alias("w"))
+    found = notes.select("key", F.explode(words).alias("w")).withColumn("w", F.when(F.length("w") > MAX_WORD, LONG_MARK).otherwise(F.col("w")))
     w, folded = F.col("w"), fold(F.col("w"))
     form = lambda exact: lambda x: F.struct(x.alias("word"), F.lit(exact).alias("exact"))
-    accented = w.rlike(r"[^\x00-\x7F]") & (folded != w)
-    forms = F.when(accented, F.concat(F.transform(spread(w), form(True)), F.transform(spread(folded), form(False)))).when(w.rlike(JOINT), F.transform(spread(w), form(True))).otherwise(F.array(form(True)(w)))
+    ascii_, joined = F.octet_length(w) == F.length(w), reduce(lambda a, b: a | b, [F.contains(w, F.lit(c)) for c in "-._/"])
+    plain, parts = F.array(form(True)(w)), F.transform(spread(w), form(True))
+    forms = F.when(ascii_ & ~joined, plain).when(~ascii_ & (folded != w), F.concat(parts, F.transform(spread(folded), form(False)))).when(joined, parts).otherwise(plain)
     return found.select("key", F.explode(forms).alias("f")).select("f.word", "key", "f.exact")
 
 
@@ -94,8 +95,9 @@ def flagged(index: DataFrame, terms: list[Term]) -> DataFrame:
 def search(notes: DataFrame, index, clauses: list[list[Term]], negatives: list[Term] = ()) -> DataFrame:
     """Notes that have a term of every clause and none of the negatives.
 
-    index is a SearchIndex, or a table of postings; its flags() answer all word terms at once. Texts are read only for
-    phrases, of what the words left over; a phrase without accents also matches a text without its accents.
+    index is a SearchIndex, or a table of postings; its flags() answer all word terms at once. It may be None where all terms
+    are phrases and fields. Texts are read only for phrases, of what the words left over; a phrase without accents also
+    matches a text without its accents.
     """
     terms = [t for c in clauses for t in c] + list(negatives)
     if not terms:
@@ -111,14 +113,25 @@ def search(notes: DataFrame, index, clauses: list[list[Term]], negatives: list[T
         if t.field:
             return F.coalesce(field_has(t), F.lit(False))
         if t.kind == "phrase":
-            plain = phrase_in(F.col("text"), t.text)
-            return F.coalesce(plain | phrase_in(F.col("text"), t.text, folded=True) if t.text.isascii() else plain, F.lit(False))
+            return F.col("__p")[f"p{phrases.index(t)}"]
         return F.coalesce(F.col(f"__t{worded.index(t)}"), F.lit(False))
 
-    for clause in clauses:
-        out = out.where(reduce(lambda a, b: a | b, map(has, clause)))
-    for t in negatives:
-        out = out.where(~has(t))
+    def read(t: Term) -> Column:
+        plain = phrase_in(F.col("text"), t.text)
+        accented = F.octet_length("text") != F.length("text")
+        return F.coalesce(plain | (accented & phrase_in(F.col("text"), t.text, folded=True)) if t.text.isascii() else plain, F.lit(False))
+
+    phrases = [t for t in terms if t.kind == "phrase" and not t.field]
+    wanted = [(c, reduce(lambda a, b: a | b, map(has, c))) for c in clauses] + [([t], ~has(t)) for t in negatives]
+    for own, condition in wanted:
+        if not any(t in phrases for t in own):
+            out = out.where(condition)
+    if phrases:
+        # Exploded, so that texts are read here, as they are dealt out, and not in the scan, where a file may be one task.
+        out = out.withColumn("__p", F.explode(F.array(F.struct(*[read(t).alias(f"p{i}") for i, t in enumerate(phrases)]))))
+    for own, condition in wanted:
+        if any(t in phrases for t in own):
+            out = out.where(condition)
     return out.select(*notes.columns)
 
 

@@ -13,7 +13,7 @@ from quillstone.sources.scratch import widened
 
 def files(spark, d):
     """A note of every customer and nation, with front matter, links, tags, tasks, code and headings."""
-    c = widened(P.read(spark, d, "customer"))  # few bytes a row, but much work
+    c = widened(P.read(spark, d, "customer"), "c_custkey")  # few bytes a row, but much work
     key, nation, segment = (F.col(x).cast("string") for x in ("c_custkey", "c_nationkey", "c_mktsegment"))
     day = F.concat(F.lit("2024-01-0"), (F.col("c_custkey") % 9 + 1).cast("string"))
     parts = [
@@ -108,7 +108,7 @@ def md_canvases(spark, d):
 @query("SELECT c_custkey AS key, 'Lives in [[N' || c_nationkey || '|home]], see [[N' || c_nationkey || '#top]] and [one](../places/N' || c_nationkey || '.md) or [[other]]' AS text FROM customer")
 def md_renamed_links(spark, d):
     """Links of every customer follow when the nation's note moves."""
-    c = widened(P.read(spark, d, "customer"))
+    c = widened(P.read(spark, d, "customer"), "c_custkey")
     n = F.col("c_nationkey").cast("string")
     text = F.concat(F.lit("Lives in [[nations/n"), n, F.lit("|home]], see [[n"), n, F.lit("#top]] and [one](../nations/n"), n, F.lit(".md) or [[other]]"))
     old, new = F.concat(F.lit("nations/n"), n, F.lit(".md")), F.concat(F.lit("places/N"), n, F.lit(".md"))

@@ -34,6 +34,10 @@ def forms(documents):
         SELECT word, count(DISTINCT doc_id) AS notes FROM g GROUP BY 1"""
 
 
+#: Notes of a task that holds all their words.
+NOTES = 4000
+
+
 def indexed(spark, d):
     """Notes, and their index: written once a session for these very files, in the shared folder. That of files no longer there goes."""
     notes = P.document_notes(spark, d)
@@ -50,7 +54,7 @@ def indexed(spark, d):
 @query(forms("documents"))
 def search_tokens_df(spark, d):
     """The index built anew, and how many notes have each word of it."""
-    return S.settled(S.postings(widened(P.document_notes(spark, d)))).where(F.col("word") != S.LONG_MARK).groupBy("word").agg(F.count("*").alias("notes"))
+    return S.settled(S.postings(widened(P.document_notes(spark, d), "key", NOTES))).where(F.col("word") != S.LONG_MARK).groupBy("word").agg(F.count("*").alias("notes"))
 
 
 @query(f"SELECT doc_id AS key FROM documents WHERE {start('ther')} AND {start('ing')}")
@@ -79,14 +83,13 @@ def search_fragment(spark, d):
 
 @query("SELECT doc_id AS key FROM documents WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the')")
 def search_phrase(spark, d):
-    notes, index = indexed(spark, d)
-    return S.search(notes, index, [[Term("of  the", "phrase")]]).select("key")
+    # No term asks the index, so none is built.
+    return S.search(widened(P.document_notes(spark, d), "key"), None, [[Term("of  the", "phrase")]]).select("key")
 
 
 @query("SELECT doc_id AS key FROM documents WHERE source = 'src2' AND (starts_with('lang/' || lang, 'lang/d')) AND lang = 'de' AND contains(CAST(doc_id AS VARCHAR), '3')")
 def search_fields(spark, d):
-    notes, index = indexed(spark, d)
-    return S.search(notes, index, [[Term("docs/SRC2/", field="path")], [Term("lang/de", field="tag")], [Term("3", field="title")]]).select("key")
+    return S.search(P.document_notes(spark, d), None, [[Term("docs/SRC2/", field="path")], [Term("lang/de", field="tag")], [Term("3", field="title")]]).select("key")
 
 
 @query(f"SELECT doc_id AS key FROM documents WHERE {start('etre')}")

@@ -4,6 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillstone.operators import segments
+from quillstone.operators.segments import SearchIndex
 from quillstone.plans.registry import ORACLE_SQL, QUERIES
 from quillstone.sources import markdown as M
 
@@ -26,8 +30,6 @@ def test_notes_of_a_small_file_are_dealt_out_before_they_are_read(spark, name):
 @pytest.mark.parametrize("read, most", [(M.fields, 2), (M.tags, 2), (M.tasks, 1), (lambda t: M.section(t, "a"), 1)])
 def test_a_text_is_taken_apart_once(spark, read, most):
     """Each expression goes over the lines once, not once for each key or use."""
-    import pyspark.sql.functions as F
-
     text = plan(spark.range(1).select(F.concat(F.col("id").cast("string"), F.lit("\n")).alias("text")).select(read(F.col("text")).alias("x")))
     assert text.count("aggregate(") <= most
 
@@ -53,3 +55,34 @@ def test_customers_in_one_place_do_not_push_each_other(spark, tmp_path):
 def test_more_islands_than_a_hundred_rings_hold(spark, tmp_path):
     spark.range(40_000).selectExpr("id as o_orderkey", "case when id < 12 then 0 else id end as o_custkey", "'O' as o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
     same_as_sql(spark, tmp_path, "graph_packed_islands")
+
+
+@pytest.mark.parametrize("name", ["search_phrase", "search_tokens_df"])
+def test_texts_are_read_as_they_are_dealt_out(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    below = text[text.index("Repartition") :]
+    assert "_extract_all" not in below and "regexp_replace" not in below and "translate" not in below
+
+
+def test_searches_without_words_build_no_index(spark, monkeypatch):
+    monkeypatch.setattr(SearchIndex, "build", lambda *_: pytest.fail("built"))
+    monkeypatch.setattr(SearchIndex, "generation", lambda *_: -1)
+    for name in ("search_phrase", "search_fields"):
+        assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_parts_of_a_segment_have_few_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "PART_ROWS", 50)
+    notes = spark.range(300).selectExpr("id as key", "concat('w', id, ' x', id % 3, ' y') as text")
+    index = SearchIndex(spark, str(tmp_path / "index")).build(notes)
+    parts = {r.part: r.n for r in index._postings(index.segments()[0].path, "bigint").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert sum(parts.values()) == 900 and max(parts.values()) < 150
+
+
+def test_quotations_are_looked_up_once_and_dealt_out(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "one two three four"), (2, "five two three"), (3, "one")], "key long, text string")
+    index = SearchIndex(spark, str(tmp_path / "index")).build(notes)
+    found = segments.find_quote(notes, index, "one two three")
+    text = plan(found)
+    assert text.count("not_supported") <= 2 and text.index("Generate") < text.index("Repartition")
+    assert [(r.key, r.check.verdict) for r in found.collect()] == [(1, "exact")]
