@@ -26,6 +26,8 @@ from quillstone.sources.scratch import exists, listed, remove_folder, removed, w
 
 #: Changed notes after which segments are merged: a share of all, but so many at least.
 DRIFT, LEAST = 0.03, 2000
+#: Rows of a part, forms that are settled into fewer included.
+PART_ROWS = 1_500_000
 #: Letters of a fragment that the trigrams answer.
 GRAM = 3
 
@@ -63,7 +65,9 @@ class SearchIndex:
     def _segment(self, forms: DataFrame, notes: int, gone: DataFrame) -> tuple:
         path = f"{self.base}/segment-{uuid.uuid4().hex}"
         key_type = forms.schema["key"].dataType.simpleString()
-        ranged = S.settled(forms.repartitionByRange("word", "key")).withColumn("part", F.spark_partition_id())
+        # By their number: as many parts as keep the rows of each in little memory.
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-forms.count() // PART_ROWS))
+        ranged = S.settled(forms.repartitionByRange(parts, "word", "key")).withColumn("part", F.spark_partition_id())
         ranged.sortWithinPartitions("part", "word", "key").write.partitionBy("part").parquet(f"{path}/postings")
         postings = self._postings(path, key_type)
         # The range partitioner reads its rows twice: they are written before.
@@ -79,7 +83,7 @@ class SearchIndex:
 
     def build(self, notes: DataFrame) -> SearchIndex:
         """The index of notes(key, text), in place of whatever was there."""
-        forms = written(S.postings(widened(notes.select("key", "text"))), "forms")
+        forms = written(S.postings(widened(notes.select("key", "text"), "key")), "forms")
         self._commit([self._segment(forms, notes.count(), notes.select("key").limit(0))])
         removed(forms)
         return self
@@ -103,9 +107,10 @@ class SearchIndex:
     def merge(self) -> SearchIndex:
         """All segments as one. Those that the manifest before this one has stay for its readers; older ones go."""
         before = self.segments()
-        live = self.postings()
+        live = written(self.postings(), "live")
         notes = live.select("key").distinct().count()
         self._commit([self._segment(live, notes, live.select("key").limit(0))])
+        removed(live)
         kept = {s.path for s in before} | {s.path for s in self.segments()}
         for name in listed(self.spark, self.base):
             path = f"{self.base}/{name}"
@@ -201,6 +206,8 @@ def find_quote(notes: DataFrame, index: SearchIndex, quote: str, near: int | Non
     found_elsewhere, as quote_lookup() has them. Only candidates are read line by line."""
     if not quote_words(quote):
         return notes.withColumns({"check": F.lit(None), "found_elsewhere": F.lit(None)}).where(F.lit(False))
-    found = notes.join(quote_candidates(index, quote), "key", "left_semi").withColumn("__q", S.quote_lookup(F.col("text"), quote, near))
-    found = found.where((F.col("__q.check.verdict") != "not_supported") | F.col("__q.found_elsewhere").isNotNull())
+    found = widened(notes.join(quote_candidates(index, quote), "key", "left_semi"), "key")
+    # Exploded, as a filter would look each quotation up once more, and in the scan, where a file may be one task.
+    held = F.filter(F.array(S.quote_lookup(F.col("text"), quote, near)), lambda q: (q["check"]["verdict"] != "not_supported") | q["found_elsewhere"].isNotNull())
+    found = found.withColumn("__q", F.explode(held))
     return found.select(*notes.columns, "__q.check", "__q.found_elsewhere")
