@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -165,8 +166,25 @@ def embedded(edges: DataFrame, start: str, levels: int = 3) -> DataFrame:
 
 
 def nearest(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
-    """q, path, distance: the nearest of points(path, x, y) to each of queries(q, x, y) within the radius, by cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / radius)
+    """q, path, distance: the nearest of points(path, x, y) to each of queries(q, x, y) within the radius.
+
+    By cells, fine ones first: what is nearest within a smaller radius is nearest at all, so only queries without such a point
+    go on to wider cells, and a query meets few points however dense they are.
+    """
+    # Of points in one place the first by path counts.
+    points = written(points.groupBy("x", "y").agg(F.min("path").alias("path")), "points")
+    rest, found = queries.select("q", "x", "y"), []
+    for share in (4096, 512, 64, 8, 1):
+        # A little within the cells' size, so that no rounding of a cell loses a point.
+        near = written(met_in_cells(points, rest, radius / share, radius / share * (0.999 if share > 1 else 1)), f"nearest{share}")
+        rest = rest.join(near.select(F.col("q").alias("__q")), F.col("q").eqNullSafe(F.col("__q")), "left_anti")
+        found.append(near)
+    return reduce(DataFrame.unionByName, found)
+
+
+def met_in_cells(points: DataFrame, queries: DataFrame, size: float, radius: float) -> DataFrame:
+    """nearest() within a radius that is the cells' size at most, over the points of nine cells a query."""
+    cell = lambda c: F.floor(F.col(c) / size)
     around = F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy"))))))
     wanted = queries.select("q", F.col("x").alias("qx"), F.col("y").alias("qy"), around.alias("c")).select("q", "qx", "qy", "c.cx", "c.cy")
     met = points.withColumns({"cx": cell("x"), "cy": cell("y")}).join(wanted, ["cx", "cy"])

@@ -86,3 +86,28 @@ def test_quotations_are_looked_up_once_and_dealt_out(spark, tmp_path):
     text = plan(found)
     assert text.count("not_supported") <= 2 and text.index("Generate") < text.index("Repartition")
     assert [(r.key, r.check.verdict) for r in found.collect()] == [(1, "exact")]
+
+
+def test_dense_points_meet_few_queries(spark):
+    """Queries that have a point very near take no part in the wider cells."""
+    import math
+
+    from quillstone.operators import graph as G
+
+    points = [(f"p{i:04}", (i * 37 % 1000) / 10, (i * 91 % 700) / 10) for i in range(2000)]
+    asked = [(None if i == 0 else i, i * 1.7, i * 1.1) for i in range(90)]
+    got = {r.q: (r.path, round(r.distance, 9)) for r in G.nearest(spark.createDataFrame(points, "path string, x double, y double"), spark.createDataFrame(asked, "q int, x double, y double"), 20.0).collect()}
+    want = {}
+    for q, x, y in asked:
+        d, p = min((math.hypot(px - x, py - y), p) for p, px, py in points)
+        if d <= 20:
+            want[q] = (p, round(d, 9))
+    assert got == want and 0 < len(got) < 90
+    cells, met_in_cells = [], G.met_in_cells
+    G.met_in_cells = lambda points, rest, size, radius: (cells.append(rest.count()), met_in_cells(points, rest, size, radius))[1]
+    try:
+        line = spark.range(1000).selectExpr("cast(id as string) as path", "id / 1000 as x", "0.0D as y")
+        assert G.nearest(line, line.selectExpr("path as q", "x", "y"), 20.0).count() == 1000
+    finally:
+        G.met_in_cells = met_in_cells
+    assert cells == [1000, 0, 0, 0, 0]
