@@ -33,18 +33,27 @@ def spread(w: Column) -> Column:
 def postings(notes: DataFrame, *also: str) -> DataFrame:
     """word, key, exact of notes(key, text): rows for each word of a note and each form of it, not exact those that only folding gives.
 
-    Words are told apart before the few joined or accented ones are taken to pieces; a form of several words of a note has
-    several rows until the index is written.
+    A note's forms are told apart in its own row, so a key has each word once, unless it is repeated itself. Only the few words
+    that are long, joined or accented are taken to pieces, and those with accents are folded together.
     """
     text = F.concat_ws("\n", "text", *also) if also else F.col("text")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-    found = notes.select("key", F.explode(words).alias("w")).withColumn("w", F.when(F.length("w") > MAX_WORD, LONG_MARK).otherwise(F.col("w")))
-    w, folded = F.col("w"), fold(F.col("w"))
-    form = lambda exact: lambda x: F.struct(x.alias("word"), F.lit(exact).alias("exact"))
-    ascii_, joined = F.octet_length(w) == F.length(w), reduce(lambda a, b: a | b, [F.contains(w, F.lit(c)) for c in "-._/"])
-    plain, parts = F.array(form(True)(w)), F.transform(spread(w), form(True))
-    forms = F.when(ascii_ & ~joined, plain).when(~ascii_ & (folded != w), F.concat(parts, F.transform(spread(folded), form(False)))).when(joined, parts).otherwise(plain)
-    return found.select("key", F.explode(forms).alias("f")).select("f.word", "key", "f.exact")
+    found = notes.select("key", F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("words"))
+    short = lambda w: F.length(w) <= MAX_WORD
+    cut = lambda w: ~short(w) | reduce(lambda a, b: a | b, [F.contains(w, F.lit(c)) for c in "-._/"])
+    found = found.select("key", "words", F.filter("words", cut).alias("cut"), F.array_join(F.filter("words", lambda w: (F.octet_length(w) > F.length(w)) & short(w)), "\n").alias("accented"))
+    pieces = F.flatten(F.transform("cut", lambda w: F.when(short(w), spread(w)).otherwise(F.array(F.lit(LONG_MARK)))))
+    exact = F.when(F.size("cut") == 0, F.col("words")).otherwise(F.array_distinct(F.concat(F.array_except("words", "cut"), pieces)))
+    folded = F.when(F.col("accented") != "", F.split(fold(F.col("accented")), "\n")).otherwise(F.array().cast("array<string>"))
+    found = found.select("key", exact.alias("exact"), folded.alias("folded"))
+    forms = F.array(F.struct(F.col("exact").alias("words"), F.lit(True).alias("exact")), F.struct(F.array_except(F.flatten(F.transform("folded", spread)), "exact").alias("words"), F.lit(False).alias("exact")))
+    return found.select("key", F.explode(forms).alias("f")).select(F.explode("f.words").alias("word"), "key", "f.exact")
+
+
+def one_a_key(notes: DataFrame) -> DataFrame:
+    """notes(key, text), those of a repeated key as one note."""
+    if notes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return notes
+    return notes.groupBy("key").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
 
 
 def settled(found: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def indexed(spark, d):
 @query(forms("documents"))
 def search_tokens_df(spark, d):
     """The index built anew, and how many notes have each word of it."""
-    return S.settled(S.postings(widened(P.document_notes(spark, d), "key", NOTES))).where(F.col("word") != S.LONG_MARK).groupBy("word").agg(F.count("*").alias("notes"))
+    notes = S.one_a_key(P.document_notes(spark, d).select("key", "text"))
+    return S.postings(widened(notes, "key", NOTES)).where(F.col("word") != S.LONG_MARK).groupBy("word").agg(F.count("*").alias("notes"))
 
 
 @query(f"SELECT doc_id AS key FROM documents WHERE {start('ther')} AND {start('ing')}")
