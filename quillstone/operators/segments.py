@@ -26,10 +26,12 @@ from quillstone.sources.scratch import exists, listed, remove_folder, removed, w
 
 #: Changed notes after which segments are merged: a share of all, but so many at least.
 DRIFT, LEAST = 0.03, 2000
-#: Rows of a part, forms that are settled into fewer included.
+#: Rows of a part.
 PART_ROWS = 1_500_000
-#: Letters of a fragment that the trigrams answer.
-GRAM = 3
+#: Letters of a fragment that the trigrams answer, and about so many trigrams a word.
+GRAM, GRAMS = 3, 8
+#: Replaced keys that are sent to every task; more meet the postings in parts of PART_ROWS.
+SENT = 500_000
 
 
 class SearchIndex:
@@ -67,15 +69,19 @@ class SearchIndex:
         key_type = forms.schema["key"].dataType.simpleString()
         # By their number: as many parts as keep the rows of each in little memory.
         parts = max(self.spark.sparkContext.defaultParallelism, -(-forms.count() // PART_ROWS))
-        ranged = S.settled(forms.repartitionByRange(parts, "word", "key")).withColumn("part", F.spark_partition_id())
-        ranged.sortWithinPartitions("part", "word", "key").write.partitionBy("part").parquet(f"{path}/postings")
+        ranged = forms.repartitionByRange(parts, "word", "key").withColumn("part", F.spark_partition_id())
+        # Not sorted within a part, of which a few are read as a whole.
+        ranged.write.partitionBy("part").parquet(f"{path}/postings")
         postings = self._postings(path, key_type)
         # The range partitioner reads its rows twice: they are written before.
         words = written(postings.groupBy("word").agg(F.count("*").alias("notes"), F.min("part").alias("first"), F.max("part").alias("last")), "words")
-        words.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
+        # In as many parts as keep each small; those of few words are left to AQE.
+        most = words.count() * GRAMS // PART_ROWS
+        more = [most] if most > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else []
+        words.repartitionByRange(*more, "word").sortWithinPartitions("word").write.parquet(f"{path}/words")
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - (GRAM - 1)), lambda i: F.substr("word", i, F.lit(GRAM))))
         spread = words.where(F.length("word") >= GRAM).select(F.explode(grams).alias("gram"), "word", "first", "last")
-        spread.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word").write.parquet(f"{path}/grams")
+        spread.repartitionByRange(*more, "gram", "word").sortWithinPartitions("gram", "word").write.parquet(f"{path}/grams")
         gone.select("key").where("key is not null").distinct().write.parquet(f"{path}/gone")
         removed(words)
         n_gone = self.spark.read.schema(f"key {key_type}").parquet(f"{path}/gone").count()
@@ -83,14 +89,14 @@ class SearchIndex:
 
     def build(self, notes: DataFrame) -> SearchIndex:
         """The index of notes(key, text), in place of whatever was there."""
-        forms = written(S.postings(widened(notes.select("key", "text"), "key")), "forms")
+        forms = written(S.postings(widened(S.one_a_key(notes.select("key", "text")), "key")), "forms")
         self._commit([self._segment(forms, notes.count(), notes.select("key").limit(0))])
         removed(forms)
         return self
 
     def update(self, gone: DataFrame, new: DataFrame, merge: bool = True) -> SearchIndex:
         """Without gone(key), and with new(key, text) in place of what these keys had: a segment, merged with the rest when that is due."""
-        new = written(new.select("key", "text"), "new")
+        new = written(widened(S.one_a_key(new.select("key", "text")), "key"), "new")
         forms = written(S.postings(new), "forms")
         own = self._segment(forms, new.count(), gone.select("key").unionByName(new.select("key")))
         self._commit([*(tuple(s)[1:] for s in self.segments()), own])
@@ -123,15 +129,25 @@ class SearchIndex:
     def _postings(self, path: str, key_type: str) -> DataFrame:
         return self.spark.read.schema(f"word string, key {key_type}, exact boolean, part int").parquet(f"{path}/postings")
 
-    def _live(self, rows: DataFrame, at: int, segments: list) -> DataFrame:
-        """Rows of a segment without the keys that later ones replace."""
-        later = [self.spark.read.schema(f"key {s.key_type}").parquet(f"{s.path}/gone") for s in segments[at + 1 :] if s.gone]
-        return rows.join(reduce(DataFrame.unionByName, later).distinct(), "key", "left_anti") if later else rows
+    def _live(self, rows: DataFrame, at: int, segments: list, parts: int | None = None) -> DataFrame:
+        """Rows of a segment without the keys that later ones replace. With parts, rows that are very many meet very many keys in so many."""
+        later = [s for s in segments[at + 1 :] if s.gone]
+        if not later:
+            return rows
+        gone = reduce(DataFrame.unionByName, [self.spark.read.schema(f"key {s.key_type}").parquet(f"{s.path}/gone") for s in later]).distinct()
+        if sum(s.gone for s in later) <= SENT:
+            return rows.join(F.broadcast(gone), "key", "left_anti")
+        if parts:
+            rows, gone = rows.repartition(parts, "key"), gone.repartition(parts, "key")
+        return rows.join(gone, "key", "left_anti")
 
     def postings(self) -> DataFrame:
         """word, key, exact of all that counts."""
         segments = self.segments()
-        parts = [self._live(self._postings(s.path, s.key_type).drop("part"), i, segments).select("word", "key", "exact") for i, s in enumerate(segments)]
+        parts = []
+        for i, s in enumerate(segments):
+            rows = self._postings(s.path, s.key_type).drop("part")
+            parts.append(self._live(rows, i, segments, max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))).select("word", "key", "exact"))
         return reduce(DataFrame.unionByName, parts)
 
     def words_of(self, terms: list[S.Term]) -> DataFrame:

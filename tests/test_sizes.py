@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import search as S
 from quillstone.operators import segments
 from quillstone.operators.segments import SearchIndex
 from quillstone.plans.registry import ORACLE_SQL, QUERIES
@@ -111,3 +112,30 @@ def test_dense_points_meet_few_queries(spark):
     finally:
         G.met_in_cells = met_in_cells
     assert cells == [1000, 0, 0, 0, 0]
+
+
+def test_words_are_told_apart_in_their_note(spark, tmp_path, monkeypatch):
+    """No table of postings is grouped by word and key, and a repeated key still has each word once."""
+    rows = [(1, "a-b Été b"), (2, "a"), (1, "été b c"), (3, None), (3, "ete")]
+    notes = spark.createDataFrame(rows, "key long, text string")
+    want = sorted(map(tuple, S.settled(S.postings(notes)).collect()))
+    monkeypatch.setattr(S, "settled", lambda *_: pytest.fail("grouped"))
+    index = SearchIndex(spark, str(tmp_path / "index")).build(notes)
+    assert sorted(map(tuple, index.postings().collect())) == want
+    assert [r for r in want if r[1] == 1] == [("a", 1, True), ("a-b", 1, True), ("b", 1, True), ("c", 1, True), ("ete", 1, False), ("été", 1, True)]
+    assert plan(QUERIES["search_tokens_df"](spark, SF)).count("Aggregate") == 1
+
+
+def test_changed_notes_are_dealt_out_and_replaced_ones_meet_postings_in_parts(spark, tmp_path, monkeypatch):
+    notes = spark.range(300).selectExpr("id as key", "concat('w', id, ' x', id % 3) as text").coalesce(1)
+    index = SearchIndex(spark, str(tmp_path / "index")).build(notes)
+    seen, postings = [], S.postings
+    monkeypatch.setattr(S, "postings", lambda df: (seen.append(df.rdd.getNumPartitions()), postings(df))[1])
+    index.update(notes.where("key < 50").select("key"), notes.where("key >= 250").selectExpr("key", "'new' as text"), merge=False)
+    assert seen[0] > 1
+    few = sorted(map(tuple, index.postings().collect()))
+    assert len(few) == 450
+    monkeypatch.setattr(segments, "SENT", 10)
+    monkeypatch.setattr(segments, "PART_ROWS", 50)
+    many = index.postings()
+    assert "RepartitionByExpression [key" in plan(many) and sorted(map(tuple, many.collect())) == few
