@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.components import star_forest
 from quillstone.operators.ranks import exact_median
-from quillstone.sources.scratch import written
+from quillstone.sources.scratch import removed, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -61,10 +61,22 @@ def neighbourhood(edges: DataFrame, start: str, hops: int | None) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """path, component (the least path in it) of every node with a link to another."""
-    forest = star_forest(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), written)
+    """path, component (the least path in it) of every node with a link to another.
+
+    A node whose only neighbour has a smaller path has that one's component. Such leaves, most nodes of many graphs, take no
+    part in the rounds and get their component in the end.
+    """
+    pairs = written(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct(), "pairs")
+    one = pairs.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+    leaves = written(one.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select("a", "b"), "leaves")
+    forest = star_forest(pairs.join(leaves.select("a"), "a", "left_anti"), written)
     roots = forest.select(F.col("root").alias("path")).distinct()
-    return forest.select(F.col("node").alias("path"), F.col("root").alias("component")).unionByName(roots.select("path", F.col("path").alias("component")))
+    core = forest.select(F.col("node").alias("path"), F.col("root").alias("component")).unionByName(roots.select("path", F.col("path").alias("component")))
+    # What only leaves are linked to is the least of its component.
+    middles = leaves.select(F.col("b").alias("path")).distinct().join(core, "path", "left_anti")
+    core = written(core.unionByName(middles.select("path", F.col("path").alias("component"))), "core")
+    removed(pairs, forest)
+    return core.unionByName(leaves.join(core, F.col("b") == F.col("path")).select(F.col("a").alias("path"), "component"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,7 +139,8 @@ def ranked(rows: DataFrame, group: str, *order: Column) -> DataFrame:
 
 def small_layouts(members: DataFrame) -> DataFrame:
     """path, component, x, y: sunflower placement within each component of members(component, path, degree), of any size, hubs in the middle. The place follows from the rank alone."""
-    places = ranked(members.select("component", "path", "degree"), "component", F.desc("degree"), F.col("path"))
+    # The range partitioner reads its rows twice: they are written before.
+    places = ranked(written(members.select("component", "path", "degree"), "members"), "component", F.desc("degree"), F.col("path"))
     angle, radius = F.col("k") * float(np.pi * (3 - np.sqrt(5))), F.sqrt(F.col("k").cast("double"))
     return places.select("path", "component", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
 

@@ -139,3 +139,23 @@ def test_changed_notes_are_dealt_out_and_replaced_ones_meet_postings_in_parts(sp
     monkeypatch.setattr(segments, "PART_ROWS", 50)
     many = index.postings()
     assert "RepartitionByExpression [key" in plan(many) and sorted(map(tuple, many.collect())) == few
+
+
+def test_leaves_take_no_part_in_the_rounds_of_components(spark, monkeypatch):
+    import random
+
+    from quillstone.operators import graph as G
+
+    seen, star_forest = [], G.star_forest
+    monkeypatch.setattr(G, "star_forest", lambda links, written: (seen.append(links.count()), star_forest(links, written))[1])
+    deal = random.Random(5)
+    stars = [(f"z{i:03}", f"b{i % 7}") for i in range(300)] + [("b0", "b1"), ("b1", "b2"), ("b2", "b0"), ("b3", "c"), ("z001", "b1"), ("b5", "b5"), ("q", "p"), ("p", "q")]
+    for links in (stars, [(f"n{deal.randrange(60)}", f"n{deal.randrange(60)}") for _ in range(45)], [("x", "x")], []):
+        of = {}
+        for a, b in links:
+            if a != b:
+                one = of.get(a, {a}) | of.get(b, {b})
+                of |= dict.fromkeys(one, one)
+        got = G.components(spark.createDataFrame(links, "src string, dst string")).collect()
+        assert sorted(map(tuple, got)) == sorted((p, min(c)) for p, c in of.items())
+    assert seen[0] <= 5
