@@ -34,7 +34,7 @@ def forms(documents):
         SELECT word, count(DISTINCT doc_id) AS notes FROM g GROUP BY 1"""
 
 
-#: Notes of a task that holds all their words.
+#: Notes of a task.
 NOTES = 4000
 
 
