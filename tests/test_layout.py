@@ -63,6 +63,32 @@ def test_pivot_scaling_matches_a_plain_one(spark, edges):
     assert L.pivot_layout(edges.limit(0)).count() == 0
 
 
+def test_leaves_take_no_part_in_the_search_and_are_as_far_as_a_plain_one_says(spark, monkeypatch):
+    near, pairs = {}, [(f"z{i}", f"h{i % 3}") for i in range(60)] + [("h0", "h1"), ("h1", "h2"), ("a0", "h2"), ("a0", "h2"), ("p1", "p0"), ("q0", "q0")]
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def plain(start, hops):
+        out, front = {start: 0}, {start}
+        for k in range(1, hops + 1):
+            front = {y for x in front for y in near[x]} - set(out)
+            out |= dict.fromkeys(front, k)
+        return out
+
+    sizes, write = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name: (sizes.append((name, write(df, name).count())), write(df, name))[1])
+    table, pivots = L.pivot_table(spark.createDataFrame(pairs, "src string, dst string"), 7, 2, (1, 6))
+    # Notes that are neither leaves nor the second of two: h0 to h2, p0, q0.
+    assert max(n for name, n in sizes if name.startswith(("hop", "seen", "core"))) == 5
+    assert pivots[0] == "h2" and len(set(pivots)) == 7 and any(p.startswith("z") for p in pivots)
+    rows = {r.path: r for r in table.collect()}
+    assert set(rows) == set(near)
+    want = [plain(p, 2) for p in pivots]
+    for path, r in rows.items():
+        assert [r[f"d{k}"] for k in range(7)] == [w.get(path) for w in want]
+
+
 def plain_equalised(at):
     out, comps = {}, {c for c, _ in at}
     for c in comps:
