@@ -12,7 +12,8 @@ so a task holds the suffixes of a few buckets and no whole suffix array exists a
   sample rank it reaches first and by the STEP bytes that this sample does not cover.
 * Exact copies of a text, by SHA-256, are one text with a count. Of a bucket with more than HOT anchors, equal contexts are
   counted first and take part once. What is left of it is split by halves of the distances again and again: all strings of
-  so many distances share the bytes in their middle, which tell a half's buckets apart. Buckets of one are dropped, those
+  so many distances share the bytes in their middle, which tell a half's buckets apart. Equal parts lose all of their strings
+  and one of them goes on, so of near copies only the parts that differ are split again. Buckets of one are dropped, those
   of HOT or fewer are sorted, the rest is split further, at last into single strings, which are counted. Strings that only
   share a line with very many others part from them on the way, so no task ever holds more than HOT anchors of a bucket.
   The spans go back to each place by a join that AQE can split.
@@ -283,15 +284,23 @@ def covered_hot(found: DataFrame, scratch: Scratch) -> DataFrame:
     while level is not None:
         size = -(-size // 2)
         parts = scratch.table(split(level, size), f"parts{size}")
-        bucket = "digest" if size == 1 else "anchor"
-        counts = scratch.table(parts.groupBy(bucket).agg(F.count("*").alias("n"), F.sum("copies").alias("total")).where("total > 1"), f"counts{size}")
         if size == 1:
+            counts = scratch.table(parts.groupBy("digest").agg(F.sum("copies").alias("total")).where("total > 1"), "counts1")
             lost.append(parts.join(counts, "digest", "left_semi").select(*span))
             break
-        few = parts.join(counts.where(F.col("n").between(2, HOT)), "anchor", "left_semi")
+        # Equal parts of different contexts: all lose all of their strings, and one goes on for them, to be met by others.
+        once = parts.groupBy("anchor", "far", "near", F.sha2("context", 256).alias("digest")).agg(
+            F.count("*").alias("n"), F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in (*KEY, "place", "context"))
+        )
+        once = scratch.table(once, f"once{size}")
+        twice = once.where("n > 1").select("anchor", "far", "near", "digest")
+        equal = parts.withColumn("digest", F.sha2("context", 256)).join(twice, ["anchor", "far", "near", "digest"], "left_semi")
+        lost.append(scratch.table(equal.select(*span), f"equal{size}"))
+        counts = scratch.table(once.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), f"counts{size}")
+        few = once.join(counts.where(F.col("n") <= HOT), "anchor", "left_semi")
         lost.append(scratch.table(covered(few), f"lost{size}"))
         many = counts.where(F.col("n") > HOT)
-        level = scratch.table(parts.join(many, "anchor", "left_semi").drop("digest"), f"level{size}") if len(many.take(1)) else None
+        level = scratch.table(once.join(many, "anchor", "left_semi").drop("digest", "n"), f"level{size}") if len(many.take(1)) else None
     rows = lost[0]
     for more in lost[1:]:
         rows = rows.unionByName(more)

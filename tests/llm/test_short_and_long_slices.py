@@ -108,3 +108,19 @@ def test_a_line_of_very_many_texts_is_split_until_its_strings_part(spark, monkey
     got = [(len(t), *found.get(hashlib.sha256(t.encode()).digest()[:16], (0, 0, hashlib.sha256(t.encode()).hexdigest()))) for t in texts]
     assert got == [tuple(w) for w in want]
     assert {"parts81", "parts41"} <= set(scratch.names)
+
+
+def test_near_copies_are_split_only_where_they_differ(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 25)
+    rng = np.random.default_rng(6)
+    own = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), k))
+    before, after = own(300), own(300)
+    texts = [f"{before}{own(9)}{after}" for _ in range(60)] + [before + own(30), own(30) + after[20:]]
+    scratch = Scratch(spark, "t")
+    found = {bytes(r.text_hash): (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch).collect()}
+    want = plain_dedup(texts)
+    got = [(len(t), *found.get(hashlib.sha256(t.encode()).digest()[:16], (0, 0, hashlib.sha256(t.encode()).hexdigest()))) for t in texts]
+    assert got == [tuple(w) for w in want]
+    made = sum(spark.read.parquet(f"{scratch.base}/{n}").count() for n in scratch.names if n.startswith("parts"))
+    # Two halves of a context a level; each string by itself would be 161.
+    assert 0 < made <= 2 * 8 * spark.read.parquet(f"{scratch.base}/level").count()
