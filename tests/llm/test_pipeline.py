@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_documents import KEY, plain_base, plain_fingerprint
 from test_plain_versions import PLAIN
 from test_short_and_long_slices import plain_judged
@@ -66,3 +67,19 @@ def test_pseudonyms_and_pieces_match_plain_versions(spark, sf, docs):
         ids = sp.encode(got[r.doc_id] or "", add_bos=True, add_eos=True)
         assert (r.ids, r.decoded, r.n_tokens) == (ids, sp.decode(ids), len(ids))
     assert len(rows) == done.count()
+
+
+def test_off_a_local_master_a_session_without_a_key_gets_its_own(spark, sf, docs, monkeypatch):
+    planted = spark.createDataFrame([(1, "see 2020-02-29 and 4111 1111 1111 1111 there", "en", "s", 1)], docs.schema)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    try:
+        text = dict(corpus_pipeline.STAGES)["pseudonyms"](spark, planted, sf).first().text
+        key = spark.conf.get(pseudonyms.KEY_SETTING)
+        assert len(key) == 64 and key != pseudonyms.DEMO_KEY
+        assert text == pseudonyms.pseudonymise(planted, key).first().text != pseudonyms.pseudonymise(planted, pseudonyms.DEMO_KEY).first().text
+        assert pseudonyms.pseudonymise(planted.withColumn("text", F.lit(text)), key, restore=True).first().text == planted.first().text
+        assert __spark_entry__.queries()["op6_pseudonyms"](spark, sf).count() == docs.count() and spark.conf.get(pseudonyms.KEY_SETTING) == key
+        spark.conf.set(pseudonyms.KEY_SETTING, KEY)
+        assert pseudonyms.session_key(spark) == KEY
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
