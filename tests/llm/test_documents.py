@@ -399,3 +399,11 @@ def test_clashing_columns(spark, docs):
         out = stage(spark, wide, "")
         assert out.columns == wide.columns
         assert {r.bits for r in out.select("bits").collect()} == {"mine"}
+
+
+def test_pages_of_numbers_do_not_overflow_the_stack(spark):
+    """Runs of thousands of digit groups: without cards, with a card in the middle, and one that only looks like an account."""
+    texts = ["12 " * 50_000, "7-" * 40_000, "1 " * 6000 + "x 4111 1111 1111 1111, " + "2 " * 6000, "GB00 1234 5678 9012 " + "1 " * 9000]
+    done = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    card = pseudonyms.pseudonymise(spark.createDataFrame([(1, "x 4111 1111 1111 1111, ")], "doc_id long, text string"), KEY).first().text
+    assert [r.text for r in done] == [*texts[:2], "1 " * 6000 + card + "2 " * 6000, texts[3]] and [r.pii_kinds for r in done] == [[], [], ["card"], []]
