@@ -207,3 +207,18 @@ def test_sums_before_and_medians_of_two_values(spark, monkeypatch):
     two = spark.range(1000).selectExpr("if(id % 2 = 0, 1.0d, 2.0d) AS v")
     assert exact_median(two, G.F.col("v")) == 1.5
     assert exact_median(spark.range(999).selectExpr("if(id % 3 = 0, 1.0d, 2.0d) AS v"), G.F.col("v")) == 2.0
+
+
+def test_notes_of_a_dense_cell_all_push_each_other(spark, monkeypatch):
+    """As a plain search of all pairs says, with cells whole and in parts, near a corner of four cells and in two components."""
+    rng = random.Random(9)
+    at = {("ab"[i % 2], f"p{i:03}"): (rng.gauss(0, 0.4), rng.gauss(0, 0.4)) for i in range(300)}
+    want = {}
+    for (c, p), (x, y) in at.items():
+        near = [(x - ox, y - oy, math.hypot(x - ox, y - oy)) for (e, o), (ox, oy) in at.items() if c == e and o != p]
+        want[p] = tuple(sum(v[i] * (1 - v[2]) / v[2] * 0.25 for v in near if v[2] < 1) for i in (0, 1))
+    frame = spark.createDataFrame([(*k, x, y) for k, (x, y) in at.items()], "component string, path string, x double, y double")
+    for part in (4_000, 11):
+        monkeypatch.setattr(L, "PART", part)
+        for same in (True, False):
+            close({r.path: (r.px, r.py) for r in L.pushes(frame, same).collect()}, want)
